@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm.line_dedup import line_dedup
+from gridweave.llm.ngram_join import ngram_join
+from gridweave.llm.quality_rules import quality_rules
+from gridweave.llm.token_files import token_files
+from gridweave.llm.tokens import public_path, token_counts
 from gridweave.llm.warc import archived, base32_sha1
 
 
@@ -26,9 +30,29 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), limit=512)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op5_token_files": op5_token_files,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {

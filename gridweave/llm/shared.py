@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,11 @@ def drop_stored(df: DataFrame) -> None:
         if "/tables/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def bounded_sample(docs: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows: those whose doc_id has the smallest hashes. For choosing orders, fitting classifiers and the
+    like; the bound is the caller's documented parameter."""
+    order = F.xxhash64("doc_id")
+    least = [r[0] for r in docs.select(order.alias("o")).orderBy("o").limit(n).collect()]
+    return docs.where(order <= (least[-1] if least else 0)).limit(n)
