@@ -10,6 +10,7 @@ from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.quality_rules import quality_rules
 from gridweave.llm.token_files import token_files
 from gridweave.llm.tokens import public_path, token_counts
+from gridweave.llm.toxicity import fit_toxicity, toxicity
 from gridweave.llm.warc import archived, base32_sha1
 
 
@@ -30,6 +31,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2)
 
@@ -49,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
