@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.llm.decontamination import contaminated
+from gridweave.llm.html_text import extract_text
 from gridweave.llm.line_dedup import line_dedup
+from gridweave.llm.mixing import fit_domains, mix_sources
 from gridweave.llm.ngram_join import ngram_join
 from gridweave.llm.quality_rules import quality_rules
 from gridweave.llm.token_files import token_files
@@ -18,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Weights of the language domains in the mixture.
+MIXTURE = {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return mix_sources(docs, fit_domains(docs, labelled), MIXTURE)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,6 +53,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -53,10 +74,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,

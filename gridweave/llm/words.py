@@ -14,6 +14,8 @@ CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,15 +58,16 @@ class Chunk:
     """Words of several texts. ``data`` holds the texts' bytes, a newline after each.
 
     ``doc`` gives each word's text; ``start`` and ``end`` its bytes; ``hash`` its value; ``first[i]`` the first
-    word of text i and ``first[i + 1]`` the end of its words; ``begin[i]`` the first byte of text i.
+    word of text i and ``first[i + 1]`` the end of its words; ``begin[i]`` the first byte of text i. With ``bare``,
+    ASCII punctuation parts words as white space does.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], bare: bool = False):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        gap = np.concatenate([[True], SPACE[self.data]])
+        gap = np.concatenate([[True], (SPACE | PUNCTUATION if bare else SPACE)[self.data]])
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.begin)
@@ -82,15 +85,15 @@ class Chunk:
         return value, at
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, Chunk]]:
+def chunks(texts: list[str | None], bare: bool = False) -> Iterator[tuple[int, Chunk]]:
     """Chunks over the texts (null: empty) in order, with the place of each chunk's first text."""
     begin, size, part = 0, 0, []
     for text in texts:
         text = text or ""
         if part and size + len(text) > CHUNK_BYTES:
-            yield begin, Chunk(part)
+            yield begin, Chunk(part, bare)
             begin, size, part = begin + len(part), 0, []
         part.append(text)
         size += len(text) + 1
     if part:
-        yield begin, Chunk(part)
+        yield begin, Chunk(part, bare)
