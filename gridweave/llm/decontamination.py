@@ -14,6 +14,7 @@ fixed bound however large the benchmark is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -185,6 +186,19 @@ def _found(docs: DataFrame, items: Items, least: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, item_id long, score double, seeds long, begin_word long, end_word long")
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare_share: float, block_words: int) -> Iterator[Items]:
+    """The items with their seeds, a bounded number of words at a time."""
+    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    items = stored(benchmark.select("item_id", "text").distinct().withColumn("size", size), "items")
+    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-int(total) // block_words))
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
+        block = items_of(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
+        count, frequency = _frequencies(docs, block)
+        yield block.kept(frequency <= max(20, rare_share * count))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, rare_share: float = 1e-3, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, score (1 for a whole copy), seeds, begin_word and end_word for each row of ``docs`` (doc_id,
     text) and each item of ``benchmark`` (item_id, text) whose best alignment scores ``least`` or more. Other columns
@@ -194,15 +208,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     items of fewer than ``n`` words. Repeated items count once. A row of ``docs`` that is repeated gives its matches
     again; null ids stay null. An empty table on either side gives no rows.
     """
-    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
-    items = stored(benchmark.select("item_id", "text").distinct().withColumn("size", size), "items")
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // block_words))
     out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
-        block = items_of(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
-        count, frequency = _frequencies(docs, block)
-        found = _found(docs, block.kept(frequency <= max(20, rare_share * count)), least)
+    for block in _blocks(docs, benchmark, n, rare_share, block_words):
+        found = _found(docs, block, least)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, rare_share: float = 1e-3, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that match no item as :func:`contaminated` has it; decided where
+    they are read, without a shuffle."""
+
+    def filtered(rows: DataFrame, block: Items) -> DataFrame:
+        def work(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for begin, chunk in chunks(_texts(batch), bare=True):
+                    keep[[begin + row[0] for row in matches(chunk, block, least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(work, rows.schema)
+
+    out = docs
+    for block in _blocks(docs, benchmark, n, rare_share, block_words):
+        out = filtered(out, block)
+    return out

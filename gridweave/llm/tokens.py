@@ -26,11 +26,20 @@ from pyspark.sql import functions as F
 #: White space other than single spaces between words and runs of newlines.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANK = re.compile(r"\s+")
+_BLANK = re.compile(r"[^\S\x1c-\x1f]+")
+#: Letters, digits and punctuation without apostrophes, one newline at most between them; and their pre-tokens.
+_PLAIN = re.compile(r"(?: ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)|(?<=\S)\n(?=\S))+")
+_PIECE = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s']|_)+|\n")
+_ONE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)")
+#: Of the characters below U+0250, those that are numbers but no digits.
+_FRACTION = re.compile("[²³¹¼½¾]")
 #: Units kept by a worker; longer ones are not kept.
-KEEP, LONG = 400_000, 80
+KEEP, LONG = 500_000, 80
 #: Texts are encoded together up to this many characters.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 19
+#: Bytes of the longest pre-token that is handled together with others.
+_WIDE = 48
+_ODD_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def public_path(name: str) -> str:
@@ -46,6 +55,13 @@ def units(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def atoms(unit: str, special: list[str]) -> list[str]:
+    """Smaller pieces of a unit that encode on their own too: its pre-tokens, where it is plain enough to see them."""
+    if unit and (unit.isascii() or max(unit) < "\u0250" and not _FRACTION.search(unit)) and _PLAIN.fullmatch(unit) and not any(x in unit for x in special):
+        return _PIECE.findall(unit)
+    return [unit]
+
+
 def grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
     """Units of each text (null: empty), for texts of about TOGETHER characters at a time."""
     part, size = [], 0
@@ -67,11 +83,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kept: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, all in one call of the library; special strings have no place there, so pieces that hold
+        one go apart."""
+        if any(s in p for s in self.special for p in pieces):
+            return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        got = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(got.ids, f"<u{self.width}").tobytes()
+        cut = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1)) * self.width).tolist()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian integers of ``width`` bytes."""
@@ -79,13 +103,36 @@ class Encoder:
             if len(self.kept) > KEEP:
                 self.kept.clear()
             kept, late = self.kept, {}
-            new = list(set().union(*part).difference(kept))
-            for unit, got in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                (kept if len(unit) <= LONG else late)[unit] = self._bytes(got.ids)
+            new = {unit: atoms(unit, self.special) for unit in set().union(*part).difference(kept)}
+            fresh = list({a for own in new.values() for a in own if a not in kept})
+            for atom, got in zip(fresh, self._encoded(fresh) if fresh else (), strict=True):
+                (kept if len(atom) <= LONG else late)[atom] = got
+            for unit, own in new.items():
+                if len(own) > 1:
+                    (kept if len(unit) <= LONG else late)[unit] = b"".join([kept[a] if a in kept else late[a] for a in own])
             for own in part:
                 yield b"".join([kept[u] if u in kept else late[u] for u in own]) if late else b"".join(map(kept.__getitem__, own))
 
 
+def _byte_characters() -> list[str]:
+    """The characters that stand for the 256 bytes in a byte-level vocabulary: printable Latin-1 ones for themselves,
+    the others from U+0100 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(_WIDE, _ODD_NUMBER, np.uint64)), dtype=np.uint64)
+_INVERSES = np.cumprod(np.append(np.uint64(1), np.full(_WIDE, pow(int(_ODD_NUMBER), -1, 1 << 64), np.uint64)), dtype=np.uint64)
+
+
+def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
+    """Sums by which the hash of any part of each row is found."""
+    out = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _POWERS[: rows.shape[1]] * np.uint64(0xD6E8FEB86659FD93), axis=1, out=out[:, 1:])
+    return out
+
+
 class PrefixCounter:
     """Token counts of every prefix of a text, as differences between neighbouring prefixes."""
 
@@ -101,17 +148,33 @@ class PrefixCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.kept: dict[str, bytes] = {}
+        # For batches: tokens that stand alone by the hash of their bytes, a sieve on it, and pairs met, by a slot.
+        place = {c: b for b, c in enumerate(_byte_characters())}
+        tokens = [t for t in self.vocab if len(t) <= _WIDE and self._is_alone(t)]
+        width = np.array([len(t) for t in tokens])
+        rows = np.zeros((len(tokens), _WIDE), np.uint8)
+        for k, t in enumerate(tokens):
+            rows[k, : len(t)] = [place[c] for c in t]
+        value = _prefix_hashes(rows)[np.arange(len(tokens)), width]
+        order = np.argsort(value)
+        self.values, self.tokens, self.widest = value[order], [tokens[k] for k in order], int(width.max())
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.values >> np.uint64(44)).astype(np.int64)] = True
+        self.slots, self.slot_ok = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
 
     def _is_alone(self, token: str) -> bool:
         if (got := self.alone.get(token)) is None:
             got = self.alone[token] = token in self.vocab and len(self.model.tokenize(token)) == 1
         return got
 
+    def _follows(self, a: str, b: str) -> bool:
+        return [t.value for t in self.model.tokenize(a + b)] == [a, b]
+
     def _may_follow(self, a: str, b: str) -> bool:
         if (got := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 4 * KEEP:
+            if len(self.pairs) > KEEP:
                 self.pairs.clear()
-            got = self.pairs[a, b] = [t.value for t in self.model.tokenize(a + b)] == [a, b]
+            got = self.pairs[a, b] = self._follows(a, b)
         return got
 
     def piece(self, piece: str) -> list[int]:
@@ -128,6 +191,56 @@ class PrefixCounter:
                 raise ValueError(f"no token of the vocabulary ends at {end} in {piece!r}")
         return count[1:]
 
+    def _pairs_ok(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which tokens b may follow tokens a (numbers in ``tokens``)."""
+        key = a << 20 | b
+        slot = ((key.astype(np.uint64) * _ODD_NUMBER) >> np.uint64(43)).astype(np.int64)
+        ok, late = self.slot_ok[slot], np.flatnonzero(self.slots[slot] != key)
+        if len(late):
+            new, back = np.unique(key[late], return_inverse=True)
+            found = np.array([self._follows(self.tokens[k >> 20], self.tokens[k & 0xFFFFF]) for k in new.tolist()])
+            ok[late] = found[back]
+            self.slots[slot[late]], self.slot_ok[slot[late]] = key[late], ok[late]
+        return ok
+
+    def batch(self, pieces: list[str]) -> list[bytes]:
+        """Steps of many pre-tokens (of at most _WIDE bytes) at once: the recurrence of :meth:`piece`, for each end and
+        each length of the last token over all pieces together."""
+        raw = [p.encode() for p in pieces]
+        width = np.fromiter(map(len, raw), np.int64, len(raw))
+        most = int(width.max(initial=0))
+        rows = np.frombuffer(b"".join([r.ljust(most, b"\0") for r in raw]), np.uint8).reshape(len(raw), most)
+        value = _prefix_hashes(rows)
+        count, last = np.zeros((len(raw), most + 1), np.int16), np.full((len(raw), most + 1), -1, np.int64)
+        for end in range(1, most + 1):
+            open_ = np.flatnonzero(width >= end)
+            for size in sorted(range(1, min(end, self.widest) + 1), key=lambda n: (abs(n - 3), n)):
+                if not len(open_):
+                    break
+                begin = end - size
+                h = (value[open_, end] - value[open_, begin]) * _INVERSES[begin]
+                some = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
+                k = np.minimum(np.searchsorted(self.values, h[some]), len(self.values) - 1)
+                real = self.values[k] == h[some]
+                some, k = some[real], k[real]
+                if begin and len(some):
+                    fit = self._pairs_ok(last[open_[some], begin], k)
+                    some, k = some[fit], k[fit]
+                own = open_[some]
+                last[own, end], count[own, end] = k, count[own, begin] + 1
+                open_ = np.delete(open_, some)
+            if len(open_):
+                raise ValueError(f"no token of the vocabulary ends at {end} in {pieces[int(open_[0])]!r}")
+        steps = np.diff(count, axis=1).astype(np.int8)
+        out = []
+        for k, (r, n) in enumerate(zip(raw, width.tolist(), strict=True)):
+            if len(pieces[k]) == n:
+                out.append(steps[k, :n].tobytes())
+            else:
+                ends = np.append(np.flatnonzero((rows[k, 1:n] & 0xC0) != 0x80) + 1, n)
+                out.append(np.diff(count[k, ends], prepend=0).astype(np.int8).tobytes())
+        return out
+
     def _plain(self, text: str) -> list[int]:
         """Counts of all prefixes, by code point, of a text without special strings."""
         out: list[int] = []
@@ -164,8 +277,15 @@ class PrefixCounter:
             if len(self.kept) > KEEP:
                 self.kept.clear()
             kept, late = self.kept, {}
-            for unit in set().union(*part).difference(kept):
-                (kept if len(unit) <= LONG else late)[unit] = self._steps(unit)
+            new = {unit: atoms(unit, self.special) for unit in set().union(*part).difference(kept)}
+            fresh = {a for own in new.values() for a in own if a not in kept}
+            plain = [a for a in fresh if 0 < len(a) <= _WIDE // 2 and a != "\n" and (a.isascii() or max(a) < "\u0250") and _ONE.fullmatch(a) and not _FRACTION.search(a)]
+            kept.update(zip(plain, self.batch(plain), strict=True))
+            for atom in fresh.difference(plain):
+                (kept if len(atom) <= LONG else late)[atom] = self._steps(atom)
+            for unit, own in new.items():
+                if len(own) > 1:
+                    (kept if len(unit) <= LONG else late)[unit] = b"".join([kept[a] if a in kept else late[a] for a in own])
             for own in part:
                 yield np.frombuffer(b"".join([kept[u] if u in kept else late[u] for u in own]) if late else b"".join(map(kept.__getitem__, own)), np.int8)
 
