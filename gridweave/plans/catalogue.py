@@ -1,6 +1,398 @@
-"""Queries over the reference tables, one for each operator that SQL can be held against."""
+"""Queries over the test tables, each through the library's operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridweave import schema as S
+from gridweave.functions import scalars as X
+from gridweave.operators import diagnostics as D
+from gridweave.operators.flow import Flow, flow, map_rows
+from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, with_metadata
+from gridweave.operators.ordinals import numbered
+from gridweave.operators.partitioning import Dist, balance_by_weight, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
+from gridweave.plans.flow_plan import dry_run, flow_fingerprint, flow_plan, pending_groups, plan_decision
+from gridweave.sources import catalog as C
+from gridweave.sources import run_store as R
+from gridweave.sources.logs import with_context
+from gridweave.streaming.watch import windowed_counts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _region_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions by market segments, regions fastest."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.col("r_regionkey").cast("long").alias("_r"))
+    # Segments are a handful; their positions come from their order.
+    segments = numbered(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct().withColumn("_o", F.ascii("segment").cast("long")), "_o", name="_s")
+    return regions.crossJoin(F.broadcast(segments)).select("region", "segment", (F.col("_r") + (F.col("_s") - 1) * 5).alias("ordinal"))
+
+
+_GRID_SQL = "select r_name region, segment, r_regionkey + (rank - 1) * 5 as ordinal from region, (select segment, row_number() over (order by ascii(segment)) rank from (select distinct c_mktsegment segment from customer))"
+
+
+@query(f"select region, segment, row_number() over (order by ordinal) as grid_id, substr(md5(concat_ws(chr(30), region, segment, row_number() over (order by ordinal)::varchar)), 1, 8) as grid_hash from ({_GRID_SQL})")
+def grid_cross(spark, sf_dir):
+    out = with_metadata(_region_grid(spark, sf_dir), ["region", "segment"])
+    return out.select("region", "segment", F.col("`.grid_id`").alias("grid_id"), F.col("`.grid_hash`").alias("grid_hash"))
+
+
+@query(f"select region, segment, row_number() over (order by ordinal) as grid_id from ({_GRID_SQL}) where region < segment")
+def grid_filter(spark, sf_dir):
+    out = with_metadata(_region_grid(spark, sf_dir).where("region < segment"), ["region", "segment"])
+    return out.select("region", "segment", F.col("`.grid_id`").alias("grid_id"))
+
+
+@query("select 'nations' as source, n_nationkey as key, n_name as name from nation union all select 'regions', r_regionkey, r_name from region")
+def combine_grid_sources(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return combine_grids("source", nations=nations, regions=regions)
+
+
+@query()
+def latin_hypercube(spark, sf_dir):
+    return lhs_grid(spark, 200, alpha=(0.0, 1.0), beta=(10.0, 20.0))
+
+
+@query("""select 'p_size' as parameter, count(*) as rows, min(p_size)::varchar as low, max(p_size)::varchar as high from part
+union all select 'p_brand', count(*), min(p_brand), max(p_brand) from part""")
+def grid_description(spark, sf_dir):
+    return describe_grid(table(spark, sf_dir, "part").select("p_size", "p_brand")).select("parameter", "rows", F.col("min").alias("low"), F.col("max").alias("high"))
+
+
+@query("""select chunk, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key, o_orderstatus as status from (
+select *, ceil(row_number() over (partition by o_orderstatus order by o_orderkey) / 500.0)::bigint as chunk from orders) group by all""")
+def chunk_by_group(spark, sf_dir):
+    rows = chunk_by(table(spark, sf_dir, "orders"), "o_orderkey", size=500, by=("o_orderstatus",))
+    return rows.groupBy(F.col("o_orderstatus").alias("status"), "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@query("""select chunk, count(*) as n, min(p_partkey) as first_key from (
+select p_partkey, ceil(row_number() over (order by p_partkey) / ceil(count(*) over () / 7.0))::bigint as chunk from part) group by chunk""")
+def chunk_into(spark, sf_dir):
+    return chunk_by(table(spark, sf_dir, "part"), "p_partkey", n_chunks=7).groupBy("chunk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+
+
+@query("select s_suppkey, ((row_number() over (order by s_suppkey)) - 1) % 7 + 1 as grp from supplier")
+def balance_in_turn(spark, sf_dir):
+    return balance_round_robin(table(spark, sf_dir, "supplier"), "s_suppkey", 7, "grp").select("s_suppkey", "grp")
+
+
+@query()
+def balance_weights(spark, sf_dir):
+    rows = balance_by_weight(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 8)
+    return rows.groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("weight"))
+
+
+@query("""with g as (select *, ceil(o_orderkey_rn / 2000.0)::bigint as chunk from (select *, row_number() over (order by o_orderkey) o_orderkey_rn from orders)),
+l as (select chunk, o_orderstatus label, count(*) n, min(o_orderkey) f from g group by all)
+select chunk as chunk_id, count(*) as group_count, sum(n)::bigint as row_count, min(f) as first_row, arg_min(label, f) as label from l group by chunk""")
+def chunk_plan_table(spark, sf_dir):
+    return chunk_plan(chunk_by(table(spark, sf_dir, "orders"), "o_orderkey", size=2000), "chunk", ("o_orderstatus",), "o_orderkey")
+
+
+@query("select wave, count(*) as n from (select ceil(row_number() over (order by c_custkey) / 300.0)::bigint wave from customer) group by wave")
+def wave_sizes(spark, sf_dir):
+    return waves(table(spark, sf_dir, "customer"), "c_custkey", 300).groupBy("wave").agg(F.count("*").alias("n"))
+
+
+@query("""with g as (select c_nationkey, c_mktsegment, count(*) n from customer group by all), t as (select sum(n)::bigint n_rows, count(*) n_groups, ceil(count(*) / 10.0)::bigint groups_per_job from g)
+select *, ceil(n_groups / groups_per_job::double)::bigint as n_jobs from t""")
+def layout(spark, sf_dir):
+    return resolve_layout(table(spark, sf_dir, "customer"), Dist(("c_nationkey", "c_mktsegment"), target_jobs=10))
+
+
+def _priced(spark, sf_dir) -> Flow:
+    grid = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return (
+        flow(grid)
+        .stage("price", {"net": "l_extendedprice * (1 - l_discount)"}, S.returns(net=S.dbl(), _contract=(S.ctr_field("net", min=0, max=60000),)), skip_when="l_quantity > 45")
+        .stage("total", {"gross": "`price.net` * (1 + l_tax)"}, S.returns(gross=S.dbl()), needs=("price",))
+    )
+
+
+_PRICED_SQL = """select l_orderkey, l_linenumber, l_quantity > 45 as skipped, coalesce(l_extendedprice * (1 - l_discount) > 60000, false) and l_quantity <= 45 as broken,
+l_extendedprice * (1 - l_discount) as net, l_extendedprice * (1 - l_discount) * (1 + l_tax) as gross from lineitem"""
+
+
+@query(f"select l_orderkey, l_linenumber, case when not skipped and not broken then net end as net, case when not skipped and not broken then gross end as gross, not broken and not skipped as ok from ({_PRICED_SQL})")
+def stage_chain(spark, sf_dir):
+    out = _priced(spark, sf_dir).collect()
+    return out.select("l_orderkey", "l_linenumber", F.col("`price.net`").alias("net"), F.col("`total.gross`").alias("gross"), F.col("`.ok`").alias("ok"))
+
+
+@query(f"""with p as ({_PRICED_SQL}), a as (
+select 'price' as stage, case when skipped then 'skipped' when broken then 'failed' else 'completed' end as status from p
+union all select 'total', case when skipped or broken then 'cancelled' else 'completed' end from p)
+select stage, count(*) as total, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed,
+count(*) filter (status = 'cancelled') as cancelled, count(*) filter (status = 'skipped') as skipped from a group by stage""")
+def flow_summary(spark, sf_dir):
+    return D.stage_summary(D.attempts(_priced(spark, sf_dir).collect(), "run")).drop("median_ms")
+
+
+@query(f"select l_orderkey, l_linenumber from ({_PRICED_SQL}) where skipped or broken")
+def flow_failed_rows(spark, sf_dir):
+    return D.failed(_priced(spark, sf_dir).collect()).select("l_orderkey", "l_linenumber")
+
+
+@query(f"select l_orderkey, l_linenumber, case when not skipped then gross end as gross from ({_PRICED_SQL}) where not broken")
+def flow_omit(spark, sf_dir):
+    f = _priced(spark, sf_dir)
+    return Flow(f.grid, f.stages, error="omit").collect().select("l_orderkey", "l_linenumber", F.col("`total.gross`").alias("gross"))
+
+
+@query("select o_orderkey, case when o_orderstatus <> 'P' then o_totalprice::bigint % 7 end as rest, o_orderstatus <> 'P' as ok from orders where o_orderkey < 2000")
+def flow_functions(spark, sf_dir):
+    def split(o_totalprice, o_orderstatus):
+        if o_orderstatus == "P":
+            raise ValueError("pending")
+        return round(o_totalprice) % 7
+
+    grid = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.round("o_totalprice").alias("o_totalprice"), "o_orderstatus")
+    out = flow(grid, error="keep").stage("part", split, S.returns(rest=S.dbl())).collect()
+    return out.select("o_orderkey", F.col("`part.rest`").cast("long").alias("rest"), F.col("`.ok`").alias("ok"))
+
+
+@query("select o_orderkey, case when round(o_totalprice) = o_totalprice then o_totalprice::int end as whole, case when o_orderkey % 4 = 0 then (o_orderkey // 4)::int end as quarter from orders")
+def lossless_cast(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.lossless_int(F.col("o_totalprice")).alias("whole"), X.lossless_int(F.col("o_orderkey") / 4).alias("quarter"))
+
+
+@query("select documents.doc_id, lower(left(text, 12)) || '#' || lang as tag, length(text) as n from documents")
+def map_elements(spark, sf_dir):
+    def tag(text, lang):
+        return {"tag": f"{text[:12].lower()}#{lang}", "n": len(text)}
+
+    return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), tag, "doc_id long, tag string, n long")
+
+
+_PLAN_SQL = "select o_orderkey, s.stage, o_orderstatus = 'P' as dep, o_orderkey % 3 = 0 as have, s.over from orders, (values ('fit', 'skip'), ('save', 'overwrite'), ('send', 'error')) s(stage, over)"
+
+
+@query(f"""select action, reason_code, count(*) as n from (select
+case when dep and stage <> 'fit' then 'blocked' when have and over = 'error' then 'blocked' when have and over = 'skip' then 'reuse' else 'execute' end as action,
+case when dep and stage <> 'fit' then 'missing_dependency' when have and over = 'error' then 'artifact_conflict' when have and over = 'skip' then 'artifact_exists' when have then 'overwrite_policy' else 'artifact_missing' end as reason_code
+from ({_PLAN_SQL})) group by all""")
+def plan_actions(spark, sf_dir):
+    stages = spark.createDataFrame([("fit", "skip"), ("save", "overwrite"), ("send", "error")], "stage string, over string")
+    rows = table(spark, sf_dir, "orders").crossJoin(F.broadcast(stages))
+    no = F.lit(False)
+    d = plan_decision((F.col("o_orderstatus") == "P") & (F.col("stage") != "fit"), no, no, F.lit("off"), F.lit(True), F.col("o_orderkey") % 3 == 0, F.col("over"))
+    return dry_run(rows.select(F.inline(F.array(d))))
+
+
+@query("select 'total' as stage, 'execute' as action, 'no_sink' as reason_code, count(*) as n from lineitem union all select 'price', case when l_orderkey % 2 = 0 then 'reuse' else 'execute' end, case when l_orderkey % 2 = 0 then 'artifact_exists' else 'artifact_missing' end, count(*) from lineitem group by all")
+def plan_of_flow(spark, sf_dir):
+    where = F.concat(F.lit("/a/"), F.col("l_orderkey").cast("string"))
+    files = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(where.alias("path"))
+    return flow_plan(_priced(spark, sf_dir), files, {"price": where}).groupBy("stage", "action", "reason_code").agg(F.count("*").alias("n"))
+
+
+@query()
+def plan_fingerprint(spark, sf_dir):
+    return flow_fingerprint(_priced(spark, sf_dir))
+
+
+@query("select c_nationkey, c_mktsegment from customer group by all having not bool_and(c_acctbal > 0)")
+def prune_groups(spark, sf_dir):
+    return pending_groups(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], F.col("c_acctbal") > 0)
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def event_counts(spark, sf_dir):
+    return R.event_counts(table(spark, sf_dir, "events"))
+
+
+@query("select event_id, user_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 3")
+def events_last_n(spark, sf_dir):
+    return R.last_n_by_key(table(spark, sf_dir, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 3).select("event_id", "user_id", "event_type")
+
+
+@query("select event_id from events where event_type in ('error') order by event_id desc limit 50")
+def events_read(spark, sf_dir):
+    return R.read_events(table(spark, sf_dir, "events"), types=["error"], last_n=50, order="event_id").select("event_id")
+
+
+@query("""select user_id, arg_max(case when value > 100 then value end, event_id) filter (value > 100) as value, arg_max(event_type, event_id) as event_type, min(event_id) as first_seq from events group by user_id""")
+def registry_compact(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") > 100, F.col("value")))
+    return R.compact(rows, "user_id", "event_id", ["value", "event_type"])
+
+
+@query("""with o as (select c_custkey k, c_acctbal bal, c_mktsegment seg from customer where c_custkey % 3 <> 0), n as (select c_custkey k, case when c_custkey % 2 = 0 then -1.0 end bal, 'new' seg from customer where c_custkey % 5 = 0)
+select coalesce(o.k, n.k) as k, coalesce(n.bal, o.bal) as bal, coalesce(n.seg, o.seg) as seg from o full join n on o.k = n.k""")
+def status_merge(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    new = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.lit(-1.0)).alias("bal"), F.lit("new").alias("seg"))
+    return R.merged(old, new, "k")
+
+
+@query("select md5(o_custkey::varchar) as param_hash, max(o_orderkey) as o_orderkey from orders where o_custkey % 4 = 0 and o_orderstatus <> 'P' group by o_custkey")
+def manifest_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumns({"param_hash": F.md5(F.col("o_custkey").cast("string")), "output_names": F.array(F.col("o_orderstatus") != "P").cast("array<string>")})
+    wanted = o.where("o_custkey % 4 = 0").select("param_hash", F.array(F.lit("true")).alias("output_names")).distinct()
+    return R.manifest_latest(o, wanted, "o_orderkey").select("param_hash", "o_orderkey")
+
+
+@query("""with p as (select n_nationkey id, map_from_entries([('a', (n_nationkey % 2)::varchar), ('b', (n_nationkey % 3)::varchar)]) m, 2 n from nation
+), q as (select n_nationkey id, 'a' k, (n_nationkey % 2)::varchar v from nation where n_nationkey % 4 = 1 union all select n_nationkey, 'b', (n_nationkey % 3)::varchar from nation where n_nationkey % 4 = 2)
+select p.id as wanted_id, q.id as record_id from p join q on p.m[q.k] = q.v""")
+def manifest_subset(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 2).cast("string").alias("a"), (F.col("n_nationkey") % 3).cast("string").alias("b"))
+    own = n.select("id", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")).alias("params"))
+    one = n.where("id % 4 = 1").select("id", F.create_map(F.lit("a"), F.col("a")).alias("params")).unionByName(n.where("id % 4 = 2").select("id", F.create_map(F.lit("b"), F.col("b")).alias("params")))
+    return R.manifest_subset(one, own)
+
+
+@query("select page_id from pages where regexp_matches(coalesce(url, ''), '(?i)[0-9]7')")
+def catalog_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    return C.catalog_search(rows, "[0-9]7", fields=("path",)).select("page_id")
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
+def sidecar_semi(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(held, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
+def missing_index(spark, sf_dir):
+    jobs = table(spark, sf_dir, "customer").select("c_custkey", F.lit("FAILED").alias("state"))
+    return D.missing_results(jobs, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+
+
+@query("""select user_id, n, event_type, is_match from (select *, max(is_match) over (partition by user_id order by n rows between 3 preceding and 3 following) near from (
+select user_id, row_number() over (partition by user_id order by event_id) n, event_type, event_type = 'error' as is_match from events)) where near""")
+def log_context(spark, sf_dir):
+    lines = numbered(table(spark, sf_dir, "events"), "event_id", ("user_id",), name="n")
+    return with_context(lines, F.col("event_type") == "error", "user_id", "n", 3, 3, block=32).select("user_id", "n", "event_type", "is_match")
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def props_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""select event_id, md5(regexp_replace(trim(regexp_replace('Error at line ' || event_id || ' in /tmp/run' || user_id || '/model.R: bad ' || event_type, '\\bat\\s+line\\s+\\d+', 'at line <N>', 'gi').replace('/tmp/run' || user_id || '/model.R:', '<path>/model.R:')), '\\s+', ' ', 'g')) as fp from events""".replace("regexp_replace('Error", "regexp_replace('Error").replace(".replace('/tmp/run' || user_id || '/model.R:', '<path>/model.R:')", ""))
+def message_fingerprints(spark, sf_dir):
+    message = F.concat(F.lit("Error at line "), F.col("event_id").cast("string"), F.lit(" in /tmp/run"), F.col("user_id").cast("string"), F.lit("/model.R: bad "), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", X.message_fingerprint(message).alias("fp"))
+
+
+ORACLE_SQL["message_fingerprints"] = "select event_id, md5('Error at line <N> in <path>/model.R: bad ' || event_type) as fp from events"
+
+
+@query("""with e as (select event_type || ' ' || (user_id % 40) as message, (day(ts) + 4) // 5 as run from events where event_type in ('error', 'signup') and not (user_id % 3 = 0 and day(ts) > 25) and not (user_id % 7 = 1 and day(ts) < 26)),
+t as (select message, min(run) first_seen, max(run) last_seen, count(distinct run) n_runs from e group by message)
+select md5(message) as fingerprint, message, first_seen, last_seen, n_runs, case when n_runs = (select max(run) from e) then 'persistent' when first_seen = (select max(run) from e) then 'new' when last_seen < (select max(run) from e) then 'resolved' else 'flaky' end as pattern from t""")
+def failure_patterns(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'signup')").withColumn("d", F.dayofmonth("ts"))
+    e = e.where("not (user_id % 3 = 0 and d > 25) and not (user_id % 7 = 1 and d < 26)")
+    e = e.select(F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string")).alias("message"), F.floor((F.col("d") + 4) / 5).cast("long").alias("run_idx"))
+    return D.failure_patterns(e)
+
+
+@query("""select event_id, date_diff('second', date_trunc('second', s), date_trunc('second', ts)) - case when (epoch_us(ts) % 1000000) < (epoch_us(s) % 1000000) then 1 else 0 end as offset_s from (select *, min(ts) over (partition by user_id) s from events)""")
+def failure_timeline(spark, sf_dir):
+    return D.failure_timeline(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "offset_s")
+
+
+_STATES = "case event_id % 6 when 0 then 'OUT_OF_MEMORY' when 1 then 'TIMEOUT' when 2 then 'CANCELLED' when 3 then 'NODE_FAIL' when 4 then 'FAILED' else 'COMPLETED' end"
+
+
+@query(f"""select class, count(*) as n from (select case when s = 'OUT_OF_MEMORY' or event_id % 10 = 9 then 'oom' when s = 'TIMEOUT' then 'timeout' when s in ('CANCELLED', 'NODE_FAIL') then 'slurm_infra'
+when event_type = 'view' then 'dependency' when event_type = 'click' then 'validation' when event_type = 'error' then 'r_error' when s = 'FAILED' then 'r_crash' else 'unknown' end as class from (select *, {_STATES} s from events)) group by class""")
+def failure_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("s", F.expr(_STATES))
+    kind = F.when(F.col("event_type") == "click", "contract")
+    status = F.when(F.col("event_type") == "view", "cancelled").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    return D.failure_report(e.select(D.classify_failure(F.col("s"), F.when(F.col("event_id") % 10 == 9, 9), kind, status).alias("class")))
+
+
+@query("select event_type as stage, count(*) as total, count(*) filter (user_id % 3 = 0) as completed, count(*) filter (user_id % 3 = 1) as failed, count(*) filter (user_id % 3 = 2) as cancelled, 0::bigint as skipped, round(median(value), 4) as median_ms from events group by event_type union all select 'idle', 0, 0, 0, 0, 0, null")
+def attempt_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), F.element_at(F.array(*map(F.lit, ("completed", "failed", "cancelled"))), (F.col("user_id") % 3 + 1).cast("int")).alias("status"))
+    stages = spark.createDataFrame([(s,) for s in ("signup", "purchase", "error", "view", "click", "idle")], "stage string")
+    return D.stage_summary(e, stages).withColumn("median_ms", F.round("median_ms", 4))
+
+
+@query("select user_id as chunk_id, count(*) as n_elements, count(*) filter (event_type = 'error') as n_errors, coalesce(sum(event_id) filter (event_type = 'error'), 0)::bigint as error_sum from events group by user_id")
+def packed_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("index"), (F.col("event_type") == "error").alias("is_error"))
+    return D.packed_errors(e).select("chunk_id", "n_elements", "n_errors", F.aggregate("error_indices", F.lit(0).cast("long"), lambda a, x: a + x).alias("error_sum"))
+
+
+@query("select o_orderkey, (o_orderkey // 3600)::varchar || ':' || lpad(((o_orderkey % 3600) // 60)::varchar, 2, '0') || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') as t, '+' || (o_orderkey // 3600)::varchar || ':' || lpad(((o_orderkey % 3600) // 60)::varchar, 2, '0') || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') as off, o_orderkey::double as back from orders")
+def hms_format(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.hms(k).alias("t"), X.offset(k).alias("off"), X.parse_hms(F.concat(F.lpad(F.floor(k / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(k % 3600 / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))).alias("back"))
+
+
+@query("""select p_partkey, p_size * case p_partkey % 4 when 0 then 1024.0 when 1 then 1048576.0 when 2 then 1073741824.0 else 1.0 end as bytes,
+case when p_partkey % 4 = 3 then p_size::varchar || 'B' else p_size::varchar || '.0' || case p_partkey % 4 when 0 then 'K' when 1 then 'M' else 'G' end end as shown from part""")
+def parse_memory(spark, sf_dir):
+    text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("K", "m", "G", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.parse_memory(text).alias("bytes")).withColumn("shown", X.format_bytes(F.col("bytes")))
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then p_size::varchar || ':00:00' when 1 then (p_size // 60)::varchar || ':' || lpad((p_size % 60)::varchar, 2, '0') || ':00' else p_size::varchar || ':05:00' end as t from part""")
+def normal_time(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit(" Hours"))).when(F.col("p_partkey") % 3 == 1, F.concat(size, F.lit("min"))).otherwise(F.concat(size, F.lit(":05")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.normal_time(text).alias("t"))
+
+
+@query("select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name || ' /' || p_type, '\\s+', '-', 'g'), '[^A-Za-z0-9_.+-]', '-', 'g'), '-{2,}', '-', 'g'), '-') as name, 'job-' || lpad(p_partkey::varchar, 5, '0') as idx, 'job-' || left(md5(p_name), 8) as dig from part")
+def job_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.safe_name(F.concat(F.col("p_name"), F.lit(" /"), F.col("p_type"))).alias("name"), X.indexed_name(F.col("p_partkey"), "job", 5).alias("idx"), X.digest_name(F.col("p_name")).alias("dig"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '(.)\\.[^.]*$', '\\1') as stem from pages")
+def path_stem(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.stem(F.col("url")).alias("stem"))
+
+
+@query("select p_brand, arg_max(p_partkey, p_size::bigint * 1000000000 + p_partkey) as p_partkey, max(p_size) as p_size from part group by p_brand")
+def resource_envelope(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("p_partkey"), F.max("p_size").alias("p_size"))
+
+
+@query("""select n_nationkey, sha1('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') as row_key from nation""")
+def row_hash(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.row_key("n_nationkey", "n_name", "n_regionkey").alias("row_key"))
+
+
+@query("select time_bucket(interval '1 day', ts) as window_start, event_type, count(*) as n from events group by all")
+def event_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(rows, "ts", "1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""select user_id, case when user_id % 4 = 0 then 'submission_failed after ' || (user_id % 5) || '/9 jobs: quota' when user_id % 5 < 4 and user_id % 4 = 1 then 'submission incomplete; ' || (user_id % 5) || ' submitted, ' || (4 - user_id % 5) || ' unsubmitted'
+when user_id % 3 = 0 then '1/' || (user_id % 5) || ' submitted jobs failed' when user_id % 5 > 0 then 'all ' || (user_id % 5) || ' submitted jobs finished' else 'run recorded' end as line from (select distinct user_id from events)""")
+def run_diagnosis(spark, sf_dir):
+    u = F.col("user_id")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    expected = F.when(u % 4 == 0, 9).when(u % 4 == 1, 4)
+    return users.select("user_id", D.run_diagnosis(expected, u % 5, u % 5, F.when(u % 3 == 0, 1).otherwise(0), F.when(u % 4 == 0, "failed"), F.lit("quota")).alias("line"))
