@@ -41,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once and rarer languages more often, so that their expected words meet MIXTURE. Documents
     without labelled ones among them stay as they are, as do rows without a doc_id."""
-    labelled = docs.select("doc_id", F.col("lang").alias("domain")).where(F.col("domain").isin(list(MIXTURE))).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    usable = docs.where(F.col("lang").isin(list(MIXTURE)) & F.char_length("text").between(1, 16384))
+    labelled = usable.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     if labelled.isEmpty():
         return docs
     model = fit_domains(docs, labelled)

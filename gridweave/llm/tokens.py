@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 _ODD = re.compile(r"[^\S \n]|  | \n|\n ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = re.compile(r"[^\S\x1c-\x1f]+")
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 #: Letters, digits and punctuation without apostrophes, one newline at most between them; and their pre-tokens.
 _PLAIN = re.compile(r"(?: ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)|(?<=\S)\n(?=\S))+")
 _PIECE = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s']|_)+|\n")
@@ -62,6 +63,15 @@ def atoms(unit: str, special: list[str]) -> list[str]:
     return [unit]
 
 
+def halves(unit: str) -> list[str]:
+    """As :func:`atoms`, but only what is quickly seen: a comma or full stop after a letter, a newline between words."""
+    if "\n" in unit:
+        return [h for part in _LINE.split(unit) for h in (halves(part) if part != "\n" and "\n" not in part else [part])]
+    if len(unit) > 1 and unit[-1] in ",." and unit[-2] < "\u0250" and unit[-2].isalpha():
+        return [unit[:-1], unit[-1]]
+    return [unit]
+
+
 def grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
     """Units of each text (null: empty), for texts of about TOGETHER characters at a time."""
     part, size = [], 0
@@ -103,7 +113,7 @@ class Encoder:
             if len(self.kept) > KEEP:
                 self.kept.clear()
             kept, late = self.kept, {}
-            new = {unit: atoms(unit, self.special) for unit in set().union(*part).difference(kept)}
+            new = {unit: halves(unit) for unit in set().union(*part).difference(kept)}
             fresh = list({a for own in new.values() for a in own if a not in kept})
             for atom, got in zip(fresh, self._encoded(fresh) if fresh else (), strict=True):
                 (kept if len(atom) <= LONG else late)[atom] = got
