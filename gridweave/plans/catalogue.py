@@ -160,14 +160,14 @@ def flow_omit(spark, sf_dir):
     return Flow(f.grid, f.stages, error="omit").collect().select("l_orderkey", "l_linenumber", F.col("`total.gross`").alias("gross"))
 
 
-@query("select o_orderkey, case when o_orderstatus <> 'P' then o_totalprice::bigint % 7 end as rest, o_orderstatus <> 'P' as ok from orders where o_orderkey < 2000")
+@query("select o_orderkey, case when o_orderstatus <> 'P' then floor(o_totalprice)::bigint % 7 end as rest, o_orderstatus <> 'P' as ok from orders where o_orderkey < 2000")
 def flow_functions(spark, sf_dir):
     def split(o_totalprice, o_orderstatus):
         if o_orderstatus == "P":
             raise ValueError("pending")
         return round(o_totalprice) % 7
 
-    grid = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.round("o_totalprice").alias("o_totalprice"), "o_orderstatus")
+    grid = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
     out = flow(grid, error="keep").stage("part", split, S.returns(rest=S.dbl())).collect()
     return out.select("o_orderkey", F.col("`part.rest`").cast("long").alias("rest"), F.col("`.ok`").alias("ok"))
 
