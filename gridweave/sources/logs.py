@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, line (from 1, in the order of the file) and text. A file is read whole by one task, since its lines have
     no number before that."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
