@@ -204,7 +204,8 @@ def mix_sources(
 
     def rated(batches):
         for batch in batches:
-            r = _rates(_matrix(batch["posteriors"], width), history, step, penalty, least)
+            # Sums come in any order; without their last digits rates are the same from run to run.
+            r = np.round(_rates(_matrix(batch["posteriors"], width), history, step, penalty, least), 6)
             copies = np.floor(r + np.asarray(batch["draw"], np.float64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tokens"], batch["posteriors"], pa.array(r), pa.array(copies), batch["draw"]], ["doc_id", "tokens", "posteriors", "rate", "copies", "draw"])
 

@@ -100,16 +100,23 @@ def _one_word(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
     return np.array(out, bool)
 
 
+def _stutter(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
+    same = (chunk.hash[1:] == chunk.hash[:-1]) & (chunk.doc[1:] == chunk.doc[:-1])
+    return 10 * np.bincount(chunk.doc[1:][same], minlength=len(chunk.first) - 1)[rows] > 3 * facts["n_words"][rows]
+
+
 def _dense(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
     raw = [chunk.data[chunk.begin[r] : chunk.begin[r + 1]].tobytes() for r in rows]
     return np.array([len(x) >= 400 and 8 * len(zlib.compress(x, 1)) < len(x) for x in raw], bool)
 
 
-#: The rules past the base one: symbols, repeated lines, odd word lengths, capitals, one dominant word, redundancy.
+#: The rules past the base one: symbols, mostly repeated lines, odd word lengths, words said again at once, capitals, one
+#: dominant word, redundancy.
 RULES = (
     Rule("symbols", lambda chunk, f, rows: 100 * f["n_symbols"][rows] > 10 * f["n_words"][rows]),
-    Rule("repeated_lines", lambda chunk, f, rows: 10 * f["n_dup_lines"][rows] > 3 * np.maximum(f["n_lines"][rows], 1)),
+    Rule("repeated_lines", lambda chunk, f, rows: (f["n_dup_lines"][rows] > 3) & (2 * f["n_dup_lines"][rows] > f["n_lines"][rows])),
     Rule("word_length", lambda chunk, f, rows: (f["word_chars"][rows] < 2 * f["n_words"][rows]) | (f["word_chars"][rows] > 15 * f["n_words"][rows])),
+    Rule("stutter", _stutter),
     Rule("capitals", _capitals),
     Rule("one_word", _one_word),
     Rule("redundant", _dense),
