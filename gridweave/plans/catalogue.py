@@ -349,7 +349,7 @@ def hms_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.hms(k).alias("t"), X.offset(k).alias("off"), X.parse_hms(F.concat(F.lpad(F.floor(k / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(k % 3600 / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))).alias("back"))
 
 
-@query("""select p_partkey, p_size * case p_partkey % 4 when 0 then 1024.0 when 1 then 1048576.0 when 2 then 1073741824.0 else 1.0 end as bytes,
+@query("""select p_partkey, p_size * case p_partkey % 4 when 0 then 1024::double when 1 then 1048576::double when 2 then 1073741824::double else 1::double end as bytes,
 case when p_partkey % 4 = 3 then p_size::varchar || 'B' else p_size::varchar || '.0' || case p_partkey % 4 when 0 then 'K' when 1 then 'M' else 'G' end end as shown from part""")
 def parse_memory(spark, sf_dir):
     text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("K", "m", "G", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))
