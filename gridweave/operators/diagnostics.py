@@ -50,7 +50,7 @@ def classify_failure(state: Column, signal: Column, error_class: Column, status:
         .when(state.contains("TIMEOUT"), "timeout")
         .when((state.contains("CANCELLED") & ~state.rlike(r"CANCELLED\+")) | state.contains("NODE_FAIL"), "slurm_infra")
         .when(status == "cancelled", "dependency")
-        .when(error_class.rlike("^(contract|parade_)"), "validation")
+        .when(error_class.rlike("^(contract|validation)"), "validation")
         .when(error_class.isNotNull() | (status == "failed"), "r_error")
         .when(state.isin("FAILED", "CANCELLED", "TIMEOUT"), "r_crash")
         .otherwise("unknown")
