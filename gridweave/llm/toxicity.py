@@ -5,8 +5,8 @@ Both dictionaries end with the commonest ordinary words, at the same distances.
 words and word beginnings that are typical of toxic documents (by a likelihood ratio on document counts, with several
 different contexts, so that copies of one document do not make its words typical), the ordinary one as many bytes that
 occur in no text; so an ordinary window comes out about equally long with both. The calibration is a logistic
-regression on shares of windows that save at least so many bytes, fitted on labelled documents that the dictionaries
-have not seen.
+regression on shares of windows that save at least so many bytes, fitted by cross-fitting: on labelled documents that
+their dictionaries have not seen.
 
 Fitting takes a bounded sample of labelled documents to the driver; scoring is one pass without a shuffle over whole
 texts, in which a task holds one batch.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 WINDOW = 4
 #: Bytes saved from which a window counts, one share each.
 THRESHOLDS = (2, 3, 4, 5, 7)
+FOLDS = 4
 _WORDS = 3000  # bytes of the commonest words in either dictionary
 _TERMS = 1500  # bytes of the most typical terms; more of them match parts of ordinary words
 
@@ -115,41 +116,56 @@ def features(saved: np.ndarray) -> list[float]:
     return [float(top[0]), float(top[:3].mean()), *[math.sqrt(float((saved >= t).mean())) for t in THRESHOLDS], float(np.clip(saved - 1, 0, 8).mean())]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression, by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, the bias of a weighted logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p) + 1e-9)[:, None]) + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train_toxicity(texts: list[str], toxic: list[bool]) -> ToxicityModel:
-    """A model from labelled texts: seven in ten make the dictionaries, the rest calibrate. Without toxic texts every
-    score is 0, without ordinary ones the model has no contrast and scores what it is calibrated to."""
-    rows = list(zip(texts, toxic, strict=True))
-    seen = [r for k, r in enumerate(rows) if k % 10 < 7]
-    unseen = [r for k, r in enumerate(rows) if k % 10 >= 7] or seen
-    bad, good = [t for t, y in seen if y], [t for t, y in seen if not y]
-    (a, contexts), (b, _) = _counted(bad), _counted(good)
-    least = max(3, round(0.004 * len(bad)))
-    ratio = {k: _likelihood_ratio(n, len(bad), b[k], len(good)) for k, n in a.items() if n >= least and contexts[k] >= least and (n + 0.5) / (len(bad) + 1) > 5 * (b[k] + 0.5) / (len(good) + 1)}
+def _dictionaries(a: Counter, contexts: Counter, n: int, b: Counter, m: int) -> tuple[bytes, bytes]:
+    """Both dictionaries from the document counts of terms in n toxic and m ordinary texts."""
+    least = max(3, round(0.004 * n))
+    ratio = {k: _likelihood_ratio(c, n, b[k], m) for k, c in a.items() if c >= least and contexts[k] >= least and (c + 0.5) / (n + 1) > 5 * (b[k] + 0.5) / (m + 1)}
     terms = sorted((k for k, g in ratio.items() if g >= 16), key=lambda k: (-ratio[k], k))
     common = _fitting(sorted((k for k in b if not k.endswith("\0") and k not in ratio), key=lambda k: (-b[k], k)), _WORDS) + b" "
     typical = _fitting(terms, _TERMS)
-    ours, theirs = typical + common, b"\0" * max(len(typical), 8) + common
-    ours = ours if typical else theirs
-    x = np.array([features(savings(t, _compressor(ours), _compressor(theirs))) for t, _ in unseen] or [[0.0] * (len(THRESHOLDS) + 3)])
-    y = np.array([y for _, y in unseen] or [False], float)
+    theirs = b"\0" * max(len(typical), 8) + common
+    return (typical + common if typical else theirs), theirs
+
+
+def train_toxicity(texts: list[str], toxic: list[bool], calibrating: int = 2400, share: float = 1 / 3) -> ToxicityModel:
+    """A model from labelled texts. The dictionaries come from all of them; the calibration is cross-fitted: texts of
+    each of four parts (at most ``calibrating`` in all) are scored with dictionaries from the other three. Weights make
+    toxic texts count as ``share`` of all. Without toxic texts every score is 0."""
+    parts = [[(t, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True)) if k % FOLDS == f] for f in range(FOLDS)]
+    counted = [[_counted([t for t, y in part if y is kind]) for kind in (True, False)] for part in parts]
+    sizes = [[sum(y is kind for _, y in part) for kind in (True, False)] for part in parts]
+
+    def fitted(use: list[int]) -> tuple[bytes, bytes]:
+        total = lambda kind, what: sum((Counter(counted[f][kind][what]) for f in use), Counter())
+        return _dictionaries(total(0, 0), total(0, 1), sum(sizes[f][0] for f in use), total(1, 0), sum(sizes[f][1] for f in use))
+
+    ours, theirs = fitted(list(range(FOLDS)))
+    x, y = [[0.0] * (len(THRESHOLDS) + 3)], [0.0]
+    for f, part in enumerate(parts if any(toxic) else ()):
+        pair = [_compressor(d) for d in fitted([g for g in range(FOLDS) if g != f])]
+        for text, label in part[: calibrating // FOLDS]:
+            x.append(features(savings(text, *pair)))
+            y.append(float(label))
+    x, y = np.array(x[1:] or x), np.array(y[1:] or y)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    if not any(toxic):
+    if not y.any():
         return ToxicityModel(ours, theirs, tuple(center), tuple(scale), (0.0,) * x.shape[1], -35.0)
-    w = _logistic((x - center) / scale, y)
+    weight = np.where(y > 0, share * len(y) / y.sum(), (1 - share) * len(y) / max(1.0, (1 - y).sum()))
+    w = _logistic((x - center) / scale, y, weight)
     return ToxicityModel(ours, theirs, tuple(center), tuple(scale), tuple(w[:-1]), float(w[-1]))
 
 
