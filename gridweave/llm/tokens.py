@@ -29,7 +29,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = re.compile(r"[^\S\x1c-\x1f]+")
 _LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 #: Letters, digits and punctuation without apostrophes, one newline at most between them; and their pre-tokens.
-_PLAIN = re.compile(r"(?: ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)|(?<=\S)\n(?=\S))+")
+_PLAIN = re.compile(r"(?: ?(?:[^\W\d_]++|[0-9]++|(?:[^\w\s']|_)++)|(?<=\S)\n(?=\S))++")
 _PIECE = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s']|_)+|\n")
 _ONE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)")
 #: Of the characters below U+0250, those that are numbers but no digits.
