@@ -80,7 +80,7 @@ def test_retries(spark, tmp_path):
 
     def flaky(x):
         path = os.path.join(marks, str(int(x)))
-        n = len(os.listdir(marks)) if False else (int(open(path).read()) if os.path.exists(path) else 0)
+        n = int(open(path).read()) if os.path.exists(path) else 0
         with open(path, "w") as f:
             f.write(str(n + 1))
         if n < 2:

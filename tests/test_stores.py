@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,4 +106,3 @@ def test_streams(spark, events, tmp_path):
     assert sorted(r.message for r in spark.read.schema("sig string, message string").json(out).collect()) == ["other", "same"]
     table = spark.createDataFrame([(k, "a") for k in range(10)], "s long, event_type string").select(F.timestamp_seconds("s").alias("ts"), "event_type")
     assert sorted(r.n for r in windowed_counts(table, "ts", "4 seconds").collect()) == [2, 4, 4]
-    json.dumps({})
