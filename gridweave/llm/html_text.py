@@ -26,9 +26,10 @@ footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices a
 share sharing social related recommended recommendations comment comments commentlist reply replies respondent disqus discussion widget pagination pager
 login search form copyright legal disclaimer skip""".split()
 
+# A tag has a bounded number of characters outside quotes, so that a page of broken ones takes time in proportion.
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{'|'.join(DROPPED)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=drop)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{'|'.join(DROPPED)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'){{0,2048}}+>.*?(?:</(?P=drop)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'){0,2048}+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]{0,8192})>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
