@@ -1,8 +1,8 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary, and exact token counts at every prefix.
 
 A single space between two characters that are no white space always begins a new pre-token, so what lies between such
-spaces ("units") encodes on its own; the ids of a text are those of its units, one after another. Workers keep the
-units they have met, up to a bound.
+spaces ("units") encodes on its own; the ids of a text are those of its units, one after another. Workers keep what
+they have met, up to a bound.
 
 Prefix counts come from dynamic programming over prefixes. Within a pre-token, the last token of a prefix is the one
 vocabulary entry that ends there and may follow the last token of the prefix before it, so each prefix's count is that
@@ -23,18 +23,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.words import CHUNK_BYTES, span_hashes
+
 #: White space other than single spaces between words and runs of newlines.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = re.compile(r"[^\S\x1c-\x1f]+")
-_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 #: Letters, digits and punctuation without apostrophes, one newline at most between them; and their pre-tokens.
 _PLAIN = re.compile(r"(?: ?(?:[^\W\d_]++|[0-9]++|(?:[^\w\s']|_)++)|(?<=\S)\n(?=\S))++")
 _PIECE = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s']|_)+|\n")
 _ONE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)")
 #: Of the characters below U+0250, those that are numbers but no digits.
 _FRACTION = re.compile("[²³¹¼½¾]")
-#: Units kept by a worker; longer ones are not kept.
+#: Bytes at which texts may be cut, and those that tell whether they are.
+_BLANK_BYTE, _GAP, _MARK, _ALNUM = (np.zeros(256, bool) for _ in range(4))
+_BLANK_BYTE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_GAP[[0x20, 0x0A]] = True
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_ALNUM[[b for b in range(0x80) if chr(b).isalnum()]] = True
+#: Units (or pieces) kept by a worker; longer units are not kept.
 KEEP, LONG = 500_000, 80
 #: Texts are encoded together up to this many characters.
 TOGETHER = 1 << 19
@@ -63,15 +70,6 @@ def atoms(unit: str, special: list[str]) -> list[str]:
     return [unit]
 
 
-def halves(unit: str) -> list[str]:
-    """As :func:`atoms`, but only what is quickly seen: a comma or full stop after a letter, a newline between words."""
-    if "\n" in unit:
-        return [h for part in _LINE.split(unit) for h in (halves(part) if part != "\n" and "\n" not in part else [part])]
-    if len(unit) > 1 and unit[-1] in ",." and unit[-2] < "\u0250" and unit[-2].isalpha():
-        return [unit[:-1], unit[-1]]
-    return [unit]
-
-
 def grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
     """Units of each text (null: empty), for texts of about TOGETHER characters at a time."""
     part, size = [], 0
@@ -85,8 +83,43 @@ def grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
         yield part
 
 
+def pieces(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of several texts begin and end. ``data`` holds the texts' bytes in UTF-8, a newline before, between
+    and after them; ``begin`` and ``stop`` are each text's bytes.
+
+    Pieces are cut where the vocabulary's pattern always parts pre-tokens: before a single space and before and after a
+    single newline between characters that are no white space, and before ASCII punctuation other than an apostrophe
+    that follows a letter or digit. Characters that may be white space for some reader part nothing.
+    """
+    mark = np.zeros(len(data) + 1, bool)
+    mark[begin] = mark[stop] = True
+    at = np.flatnonzero(_GAP[data])
+    at = at[(at > 2) & (at < len(data) - 1)]
+    far, two, before, after = data[at - 3], data[at - 2], data[at - 1], data[at + 1]
+    # White space beyond ASCII begins with C2 (two bytes) or E1 to E3 (three).
+    doubtful = (before >= 0x80) & ((two == 0xC2) | (far >= 0xE1) & (far <= 0xE3)) | (after == 0xC2) | (after >= 0xE1) & (after <= 0xE3)
+    at = at[~_BLANK_BYTE[before] & ~_BLANK_BYTE[after] & ~doubtful]
+    mark[at] = True
+    mark[at[data[at] == 10] + 1] = True
+    at = np.flatnonzero(_MARK[data])
+    at = at[at > 1]
+    before = data[at - 1]
+    # C3 is followed by letters but for the signs of multiplication and division.
+    mark[at[_ALNUM[before] | (data[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]] = True
+    cut = np.flatnonzero(mark)
+    between = np.zeros(len(data) + 1, bool)
+    between[stop] = True
+    start, end = cut[:-1], cut[1:]
+    own = ~between[start] & (start >= begin[0])
+    return start[own], end[own]
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizers library gives them, without added special tokens."""
+    """Ids of whole texts as the tokenizers library gives them, without added special tokens.
+
+    Texts are taken apart by :func:`pieces`; of each different piece the library is asked once as long as a worker keeps
+    its ids, which it does up to a bound, by a 64-bit hash of the piece.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,33 +128,71 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kept: dict[str, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, all in one call of the library; special strings have no place there, so pieces that hold
-        one go apart."""
-        if any(s in p for s in self.special for p in pieces):
-            return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        got = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(got.ids, f"<u{self.width}").tobytes()
-        cut = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1)) * self.width).tolist()
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Kept pieces: sorted hashes, and where in ``pool`` the ids of each begin and how many there are."""
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, f"<u{self.width}")
+
+    def _keep(self, hashes: np.ndarray, texts: list[str]) -> None:
+        got = self.library.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(texts) + 1))
+        place = np.searchsorted(self.hashes, hashes)
+        self.at = np.insert(self.at, place, cut[:-1] + len(self.pool))
+        self.size = np.insert(self.size, place, np.diff(cut))
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.pool = np.concatenate([self.pool, np.array(got.ids, self.pool.dtype)])
+
+    def _together(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of some texts without special strings."""
+        joined = b"\n\n\n" + b"\n".join(raw) + b"\n\n"
+        data, length = np.frombuffer(joined, np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        stop = 2 + np.cumsum(length + 1)
+        begin = stop - length
+        start, end = pieces(data, begin, stop)
+        if not len(start):
+            return [b""] * len(raw)
+        different, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) > KEEP or len(self.pool) > 16 * KEEP:
+            self._forget()
+        new = np.ones(len(different), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(np.searchsorted(self.hashes, different), len(self.hashes) - 1)] != different
+        if new.any():
+            own = first[new]
+            self._keep(different[new], [joined[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+        entry = np.searchsorted(self.hashes, different)
+        size = self.size[entry][back].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.at[entry][back] - total[:-1], size) + np.arange(total[-1])]
+        edge = total[np.searchsorted(start, np.append(begin, len(data)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _apart(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.pool.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian integers of ``width`` bytes."""
-        for part in grouped(texts):
-            if len(self.kept) > KEEP:
-                self.kept.clear()
-            kept, late = self.kept, {}
-            new = {unit: halves(unit) for unit in set().union(*part).difference(kept)}
-            fresh = list({a for own in new.values() for a in own if a not in kept})
-            for atom, got in zip(fresh, self._encoded(fresh) if fresh else (), strict=True):
-                (kept if len(atom) <= LONG else late)[atom] = got
-            for unit, own in new.items():
-                if len(own) > 1:
-                    (kept if len(unit) <= LONG else late)[unit] = b"".join([kept[a] if a in kept else late[a] for a in own])
-            for own in part:
-                yield b"".join([kept[u] if u in kept else late[u] for u in own]) if late else b"".join(map(kept.__getitem__, own))
+        """Each text's ids (null: none) as little-endian integers of ``width`` bytes."""
+        part, size, odd = [], 0, {}
+
+        def done() -> Iterator[bytes]:
+            for k, got in enumerate(self._together(part)):
+                yield self._apart(odd[k]) if k in odd else got
+
+        for text in texts:
+            text = text or ""
+            special = any(s in text for s in self.special)
+            raw = b"" if special else text.encode()
+            if part and size + len(raw) > CHUNK_BYTES - 64:
+                yield from done()
+                part, size, odd = [], 0, {}
+            if special:
+                odd[len(part)] = text
+            part.append(raw)
+            size += len(raw) + 1
+        if part:
+            yield from done()
 
 
 def _byte_characters() -> list[str]:
