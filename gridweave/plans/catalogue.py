@@ -160,14 +160,14 @@ def flow_omit(spark, sf_dir):
     return Flow(f.grid, f.stages, error="omit").collect().select("l_orderkey", "l_linenumber", F.col("`total.gross`").alias("gross"))
 
 
-@query("select o_orderkey, case when o_orderstatus <> 'P' then floor(o_totalprice)::bigint % 7 end as rest, o_orderstatus <> 'P' as ok from orders where o_orderkey < 2000")
+@query("select o_orderkey, case when o_orderstatus <> 'P' then floor(o_totalprice)::bigint % 7 end as rest, o_orderstatus <> 'P' as ok from orders")
 def flow_functions(spark, sf_dir):
     def split(o_totalprice, o_orderstatus):
         if o_orderstatus == "P":
             raise ValueError("pending")
         return round(o_totalprice) % 7
 
-    grid = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+    grid = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
     out = flow(grid, error="keep").stage("part", split, S.returns(rest=S.dbl())).collect()
     return out.select("o_orderkey", F.col("`part.rest`").cast("long").alias("rest"), F.col("`.ok`").alias("ok"))
 
@@ -177,10 +177,10 @@ def lossless_cast(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.lossless_int(F.col("o_totalprice")).alias("whole"), X.lossless_int(F.col("o_orderkey") / 4).alias("quarter"))
 
 
-@query("select documents.doc_id, lower(left(text, 12)) || '#' || lang as tag, length(text) as n from documents")
+@query("select doc_id, lang || '#' || length(text) as tag, len(string_split(text, ' ')) as n from documents")
 def map_elements(spark, sf_dir):
     def tag(text, lang):
-        return {"tag": f"{text[:12].lower()}#{lang}", "n": len(text)}
+        return {"tag": f"{lang}#{len(text)}", "n": len(text.split(" "))}
 
     return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), tag, "doc_id long, tag string, n long")
 
@@ -200,10 +200,10 @@ def plan_actions(spark, sf_dir):
     return dry_run(rows.select(F.inline(F.array(d))))
 
 
-@query("select 'total' as stage, 'execute' as action, 'no_sink' as reason_code, count(*) as n from lineitem union all select 'price', case when l_orderkey % 2 = 0 then 'reuse' else 'execute' end, case when l_orderkey % 2 = 0 then 'artifact_exists' else 'artifact_missing' end, count(*) from lineitem group by all")
+@query("select 'total' as stage, 'execute' as action, 'no_sink' as reason_code, count(*) as n from lineitem union all select 'price', case when o_orderkey is not null then 'reuse' else 'execute' end, case when o_orderkey is not null then 'artifact_exists' else 'artifact_missing' end, count(*) from lineitem left join (select o_orderkey from orders where o_orderstatus = 'F') on l_orderkey = o_orderkey group by 1, 2, 3")
 def plan_of_flow(spark, sf_dir):
-    where = F.concat(F.lit("/a/"), F.col("l_orderkey").cast("string"))
-    files = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(where.alias("path"))
+    named = lambda key: F.concat(F.lit("/a/"), F.col(key).cast("string"))
+    where, files = named("l_orderkey"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(named("o_orderkey").alias("path"))
     return flow_plan(_priced(spark, sf_dir), files, {"price": where}).groupBy("stage", "action", "reason_code").agg(F.count("*").alias("n"))
 
 
@@ -238,29 +238,29 @@ def registry_compact(spark, sf_dir):
     return R.compact(rows, "user_id", "event_id", ["value", "event_type"])
 
 
-@query("""with o as (select c_custkey k, c_acctbal bal, c_mktsegment seg from customer where c_custkey % 3 <> 0), n as (select c_custkey k, case when c_custkey % 2 = 0 then -1.0 end bal, 'new' seg from customer where c_custkey % 5 = 0)
+@query("""with o as (select c_custkey k, c_acctbal bal, c_mktsegment seg from customer where c_mktsegment <> 'BUILDING'), n as (select c_custkey k, case when c_acctbal > 7000 then -1.0 end bal, 'new' seg from customer where c_acctbal > 4000)
 select coalesce(o.k, n.k) as k, coalesce(n.bal, o.bal) as bal, coalesce(n.seg, o.seg) as seg from o full join n on o.k = n.k""")
 def status_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
-    new = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.lit(-1.0)).alias("bal"), F.lit("new").alias("seg"))
+    old = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    new = c.where("c_acctbal > 4000").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 7000, F.lit(-1.0)).alias("bal"), F.lit("new").alias("seg"))
     return R.merged(old, new, "k")
 
 
-@query("select md5(o_custkey::varchar) as param_hash, max(o_orderkey) as o_orderkey from orders where o_custkey % 4 = 0 and o_orderstatus <> 'P' group by o_custkey")
+@query("select md5(o_custkey::varchar) as param_hash, max(o_orderkey) as o_orderkey from orders where o_orderstatus <> 'P' and o_custkey in (select o_custkey from orders where o_orderpriority like '1%') group by o_custkey")
 def manifest_latest(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumns({"param_hash": F.md5(F.col("o_custkey").cast("string")), "output_names": F.array(F.col("o_orderstatus") != "P").cast("array<string>")})
-    wanted = o.where("o_custkey % 4 = 0").select("param_hash", F.array(F.lit("true")).alias("output_names")).distinct()
+    wanted = o.where("o_orderpriority like '1%'").select("param_hash", F.array(F.lit("true")).alias("output_names")).distinct()
     return R.manifest_latest(o, wanted, "o_orderkey").select("param_hash", "o_orderkey")
 
 
 @query("""with p as (select n_nationkey id, map_from_entries([('a', (n_nationkey % 2)::varchar), ('b', (n_nationkey % 3)::varchar)]) m, 2 n from nation
-), q as (select n_nationkey id, 'a' k, (n_nationkey % 2)::varchar v from nation where n_nationkey % 4 = 1 union all select n_nationkey, 'b', (n_nationkey % 3)::varchar from nation where n_nationkey % 4 = 2)
+), q as (select n_nationkey id, 'a' k, (n_nationkey % 2)::varchar v from nation where n_regionkey = 1 union all select n_nationkey, 'b', (n_nationkey % 3)::varchar from nation where n_regionkey = 2)
 select p.id as wanted_id, q.id as record_id from p join q on p.m[q.k] = q.v""")
 def manifest_subset(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 2).cast("string").alias("a"), (F.col("n_nationkey") % 3).cast("string").alias("b"))
+    n = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 2).cast("string").alias("a"), (F.col("n_nationkey") % 3).cast("string").alias("b"))
     own = n.select("id", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")).alias("params"))
-    one = n.where("id % 4 = 1").select("id", F.create_map(F.lit("a"), F.col("a")).alias("params")).unionByName(n.where("id % 4 = 2").select("id", F.create_map(F.lit("b"), F.col("b")).alias("params")))
+    one = n.where("n_regionkey = 1").select("id", F.create_map(F.lit("a"), F.col("a")).alias("params")).unionByName(n.where("n_regionkey = 2").select("id", F.create_map(F.lit("b"), F.col("b")).alias("params")))
     return R.manifest_subset(one, own)
 
 
@@ -303,13 +303,11 @@ def message_fingerprints(spark, sf_dir):
 ORACLE_SQL["message_fingerprints"] = "select event_id, md5('Error at line <N> in <path>/model.R: bad ' || event_type) as fp from events"
 
 
-@query("""with e as (select event_type || ' ' || (user_id % 40) as message, (day(ts) + 4) // 5 as run from events where event_type in ('error', 'signup') and not (user_id % 3 = 0 and day(ts) > 25) and not (user_id % 7 = 1 and day(ts) < 26)),
+@query("""with e as (select event_type || ' ' || user_id as message, day(ts) as run from events),
 t as (select message, min(run) first_seen, max(run) last_seen, count(distinct run) n_runs from e group by message)
 select md5(message) as fingerprint, message, first_seen, last_seen, n_runs, case when n_runs = (select max(run) from e) then 'persistent' when first_seen = (select max(run) from e) then 'new' when last_seen < (select max(run) from e) then 'resolved' else 'flaky' end as pattern from t""")
 def failure_patterns(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type in ('error', 'signup')").withColumn("d", F.dayofmonth("ts"))
-    e = e.where("not (user_id % 3 = 0 and d > 25) and not (user_id % 7 = 1 and d < 26)")
-    e = e.select(F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string")).alias("message"), F.floor((F.col("d") + 4) / 5).cast("long").alias("run_idx"))
+    e = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("message"), F.dayofmonth("ts").cast("long").alias("run_idx"))
     return D.failure_patterns(e)
 
 
