@@ -50,8 +50,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataF
 
     marked = keyed.join(repeated, ["_k1", "_k2"]).where(~F.col("doc_id").eqNullSafe(F.col("_keep")))
     dropped = marked.groupBy(F.col("doc_id").alias("_doc"), "_body").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
-    split = base.withColumns({"_body": F.xxhash64("text"), "_lines": F.split("text", "\n", -1)}).drop("text")
-    joined = split.join(dropped, split["doc_id"].eqNullSafe(dropped["_doc"]) & (split["_body"] == dropped["_body"]), "left").drop("_doc", "_body")
+    whole = base.withColumn("_body", F.xxhash64("text"))
+    joined = whole.join(dropped, whole["doc_id"].eqNullSafe(dropped["_doc"]) & (whole["_body"] == dropped["_body"]), "left").drop("_doc", "_body")
+    # Split behind the join, so that texts and not arrays of lines are shuffled and sorted.
+    joined = joined.withColumn("_lines", F.split("text", "\n", -1))
 
     none = F.array().cast("array<int>")
     gone, size = F.coalesce("_gone", none), F.size("_lines")
