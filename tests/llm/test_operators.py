@@ -284,6 +284,29 @@ def test_decontamination(spark, docs, data, empty, block):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stem", [0, 9])
+def test_decontamination_of_edited_copies(spark, stem):
+    """Held against alignment of every pair; with ``stem``, 40 items begin with the same words, as do 60 documents."""
+    rng = random.Random(9)
+    vocabulary = [f"e{k}" for k in range(400)]
+    shared = [rng.choice(vocabulary) for _ in range(stem)]
+    items = [(k, shared + [rng.choice(vocabulary) for _ in range(rng.randint(6, 16))]) for k in range(40)]
+    texts = [shared + [rng.choice(vocabulary) for _ in range(20)] for _ in range(60)]
+    for _, words in items[:8]:
+        texts.append([w if j % 4 < 3 else "new" for j, w in enumerate(words)])
+        texts.append([x for j, w in enumerate(words) for x in ([w, "new"] if j % 3 == 2 else [w])])
+        texts.append([x for w in words for x in (w, "new")])
+        texts.append([w for j, w in enumerate(words) if j % 4 < 3])
+        texts.append(words[: len(words) // 2 + 2] + [w if j % 3 < 2 else "new" for j, w in enumerate(words[len(words) // 2 + 2 :])])
+    texts.append([w for t in texts for w in t] * 2)
+    docs = frame(spark, [(k, "before " + " ".join(t) + " after") for k, t in enumerate(texts)])
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, benchmark).collect()}
+    want = {(d, k): plain_alignment(w, t) for d, t in enumerate(texts) for k, w in items}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    assert got == pytest.approx(want) and len(want) > 40
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("aeioubcdfgt") for _ in range(rng.randint(2, 8))) for _ in range(500)]
