@@ -28,11 +28,15 @@ def balance_round_robin(df: DataFrame, ordinal: str, n_groups: int, name: str =
     return numbered(df, ordinal, name="_rn").withColumn(name, ((F.col("_rn") - 1) % n_groups + 1).cast("long")).drop("_rn")
 
 
-def balance_by_weight(df: DataFrame, key: str, weight: str, n_groups: int, name: str = "group", classes: int = 64) -> DataFrame:
+def balance_by_weight(df: DataFrame, key: str, weight: str, n_groups: int, name: str = "group") -> DataFrame:
     """Groups of about equal total weight, without placing rows one after another: rows of about the same weight (equal
-    to within a factor of 2 ** 0.25 when ``classes`` cover the range) are dealt in turn, each class starting where the
-    one before it stopped. No group exceeds another by more than one row of each class."""
-    level = F.least(F.lit(classes - 1), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(weight).cast("double"), F.lit(1.0))) * 4))).cast("int")
+    to within a factor of 2 ** 0.25, whatever the range) are dealt in turn, each class starting where the one before it
+    stopped. Of each class no group has more than one row more than another. Rows of weight zero are a class of their
+    own, as are those without a weight (null or NaN); negative weights have classes by size."""
+    own = F.col(weight).cast("double")
+    size = F.floor(F.log2(F.abs(own)) * 4)
+    # The classes of doubles lie between -4296 and 4096.
+    level = F.when(own.isNull() | F.isnan(own), -10001).when(own == 0, -10000).when(own > 0, size).otherwise(-20000 - size).cast("long")
     rows = df.withColumn("_class", level)
     seen = numbered(rows, key, ("_class",), name="_rn")
     sizes = rows.groupBy("_class").agg(F.count("*").alias("_n"))

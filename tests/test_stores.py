@@ -59,6 +59,18 @@ def test_ordinals_with_a_hot_group(spark):
     assert len(sums) == 4 and max(sums) - min(sums) < 0.06 * sum(sums) / 4
 
 
+def test_weights_of_any_size(spark):
+    cases = ["case when id % 4 = 0 then 1e9 else 1e6 end", "case when id % 4 = 0 then 0.5 else 0.001 end", "pow(10, id % 13 - 3) * (1 + (id % 4) * 4)"]
+    for weight in cases:
+        rows = balance_by_weight(spark.range(520).selectExpr("id", f"{weight} as w"), "id", "w", 4)
+        sums = [r[1] for r in rows.groupBy("group").agg(F.sum("w")).collect()]
+        heaviest = [r[1] for r in rows.groupBy(F.floor(F.log2("w") * 4)).agg(F.max("w")).collect()]
+        assert len(sums) == 4 and max(sums) - min(sums) <= sum(heaviest)
+    odd = spark.createDataFrame([(k, (None, 0.0, -2.0, float("nan"), 1e-300, 1e300)[k % 6]) for k in range(48)], "id long, w double")
+    counts = balance_by_weight(odd, "id", "w", 4).groupBy("group", F.nanvl("w", F.lit(None).cast("double")).alias("w")).count().collect()
+    assert len(counts) == 20 and {(r["count"], r.w is None) for r in counts} == {(2, False), (4, True)}
+
+
 def test_logs(spark, tmp_path):
     path = tmp_path / "job-7.err"
     path.write_text("\n".join("ERROR here" if k in (20, 23, 60) else f"line {k}" for k in range(100)) + "\n")
