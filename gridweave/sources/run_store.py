@@ -87,16 +87,31 @@ def manifest_latest(records: DataFrame, wanted: DataFrame, order: str, files: Da
     return found.groupBy("param_hash", "_names").agg(F.max_by(whole, F.col(order)).alias("_r")).select("_r.*")
 
 
-def manifest_subset(records: DataFrame, wanted: DataFrame, id_column: str = "id") -> DataFrame:
+def manifest_subset(records: DataFrame, wanted: DataFrame, id_column: str = "id", files: DataFrame | None = None) -> DataFrame:
     """Pairs of a wanted row and a record whose parameters (maps) are a strict subset of its own.
 
     Instead of comparing every pair, equal (name, value) entries are joined and counted: a record is a subset when as
-    many entries match as it has. Records without parameters are a subset of every row that has some."""
-    entries = lambda df, key: df.select(key, F.size("params").alias("n"), F.explode("params").alias("k", "v"))
-    own = entries(wanted.withColumnRenamed(id_column, "wanted_id"), "wanted_id")
-    theirs = entries(records.withColumnRenamed(id_column, "record_id"), "record_id").withColumnRenamed("n", "m")
-    hits = own.join(theirs, ["k", "v"]).groupBy("wanted_id", "record_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("m").alias("m"))
-    return hits.where((F.col("hits") == F.col("m")) & (F.col("m") < F.col("n"))).select("wanted_id", "record_id")
+    many entries match as it has. Records without parameters are a subset of every row that has some. Where records
+    have a ``stage_id``, wanted rows have one too and only records of the same stage match. With ``files`` (path) all
+    ``output_paths`` of a record exist. Of records of one ``param_hash`` a wanted row gets the one of the least id."""
+    if files is not None:
+        paths = records.select(id_column, F.explode(F.map_values("output_paths")).alias("path"))
+        records = records.join(paths.join(files.select("path").distinct(), "path", "left_anti").select(id_column).distinct(), id_column, "left_anti")
+    stage = F.col("stage_id") if "stage_id" in records.columns else F.lit("")
+    own = wanted.select(F.col(id_column).alias("wanted_id"), stage.alias("stage_id"), "params")
+    theirs = records.select(F.col(id_column).alias("record_id"), stage.alias("stage_id"), "params")
+    entries = lambda df, key, n: df.select(key, "stage_id", F.size("params").alias(n), F.explode("params").alias("k", "v"))
+    left, right = entries(own, "wanted_id", "n").alias("l"), entries(theirs, "record_id", "m").alias("r")
+    same = (F.col("l.stage_id") == F.col("r.stage_id")) & (F.col("l.k") == F.col("r.k")) & F.col("l.v").eqNullSafe(F.col("r.v"))
+    hits = left.join(right, same).groupBy("wanted_id", "record_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("m").alias("m"))
+    found = hits.where((F.col("hits") == F.col("m")) & (F.col("m") < F.col("n"))).select("wanted_id", "record_id")
+    bare = theirs.where(F.size("params") == 0).select("record_id", "stage_id")
+    found = found.unionByName(own.where(F.size("params") > 0).join(bare, "stage_id").select("wanted_id", "record_id"))
+    if "param_hash" not in records.columns:
+        return found
+    hashed = found.join(records.select(F.col(id_column).alias("record_id"), "param_hash"), "record_id")
+    lone = F.when(F.col("param_hash").isNull(), F.col("record_id"))
+    return hashed.groupBy("wanted_id", "param_hash", lone.alias("_lone")).agg(F.min("record_id").alias("record_id")).select("wanted_id", "record_id")
 
 
 def adopted(records: DataFrame, new: dict[str, str]) -> DataFrame:

@@ -82,6 +82,20 @@ def test_logs(spark, tmp_path):
     assert tuple(find_logs(lines, spark.createDataFrame([(7, "FAILED")], "chunk_id long, state string")).select("lines", "chunk_id", "state").first()) == (100, 7, "FAILED")
 
 
+def test_manifest_subset_of_stages_and_files(spark):
+    schema = "id long, stage_id string, params map<string,string>, param_hash string, output_paths map<string,string>"
+    records = [
+        (1, "s", {}, "none", {"o": "/1"}), (2, "s", {"a": "1"}, "a1", {"o": "/1", "p": "/2"}), (3, "s", {"a": "1"}, "a1", {"o": "/1"}),
+        (4, "t", {"a": "1"}, "a1", {"o": "/1"}), (5, "s", {"b": None}, "b", {"o": "/1"}), (6, "s", {"b": "2"}, "b2", {"o": "/gone"}), (7, "t", {}, "none", None), (8, "s", None, "null", None),
+    ]
+    wanted = spark.createDataFrame([(10, "s", {"a": "1", "b": "2"}), (11, "s", {"a": "3", "b": None}), (12, "s", {}), (13, "t", {"a": "1"}), (14, "s", None)], "id long, stage_id string, params map<string,string>")
+    files = spark.createDataFrame([("/1",), ("/2",), ("/1",)], "path string")
+    got = sorted(tuple(r) for r in R.manifest_subset(spark.createDataFrame(records, schema), wanted, files=files).collect())
+    assert got == [(10, 1), (10, 2), (11, 1), (11, 5), (13, 7)]
+    got = sorted(tuple(r) for r in R.manifest_subset(spark.createDataFrame(records, schema), wanted, files=files.where("path = '/1'")).collect())
+    assert got == [(10, 1), (10, 3), (11, 1), (11, 5), (13, 7)]
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
