@@ -76,11 +76,12 @@ def combine_grids(id_name: str = ".source", **grids: DataFrame) -> DataFrame:
 
 
 def describe_grid(df: DataFrame) -> DataFrame:
-    """Rows, distinct values, minimum and maximum (as text) of each column, in one pass."""
+    """Rows, distinct values, minimum and maximum (as text) of each column. The counts are exact:
+    distinct values are found on the map side first."""
     names = df.columns
     aggregates = [F.count("*").alias("rows")]
     for k, c in enumerate(names):
         own = F.col(f"`{c}`")
-        aggregates += [F.approx_count_distinct(own).alias(f"d{k}"), F.min(own).cast("string").alias(f"a{k}"), F.max(own).cast("string").alias(f"b{k}")]
+        aggregates += [F.count_distinct(own).alias(f"d{k}"), F.min(own).cast("string").alias(f"a{k}"), F.max(own).cast("string").alias(f"b{k}")]
     one = df.agg(*aggregates)
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("parameter"), "rows", F.col(f"d{k}").alias("n_distinct"), F.col(f"a{k}").alias("min"), F.col(f"b{k}").alias("max")) for k, c in enumerate(names)])))

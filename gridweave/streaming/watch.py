@@ -23,7 +23,7 @@ def new_errors(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def progress(events: DataFrame) -> DataFrame:
     """Chunks finished in each run so far (for update or complete mode)."""
-    return events.where(F.col("event_type") == "chunk_completed").groupBy("run_id").agg(F.approx_count_distinct("chunk_id").alias("chunks_done"))
+    return events.where(F.col("event_type") == "chunk_completed").dropDuplicates(["run_id", "chunk_id"]).groupBy("run_id").agg(F.count("chunk_id").alias("chunks_done"))
 
 
 def silent(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

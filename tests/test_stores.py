@@ -3,11 +3,12 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as X
 from gridweave.operators import diagnostics as D
+from gridweave.operators.grids import describe_grid
 from gridweave.operators.ordinals import numbered
 from gridweave.operators.partitioning import balance_by_weight, chunk_by
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import find_logs, read_log, with_context
-from gridweave.streaming.watch import event_stream, new_errors, watch, windowed_counts
+from gridweave.streaming.watch import event_stream, new_errors, progress, watch, windowed_counts
 
 
 @pytest.fixture
@@ -71,6 +72,18 @@ def test_weights_of_any_size(spark):
     assert len(counts) == 20 and {(r["count"], r.w is None) for r in counts} == {(2, False), (4, True)}
 
 
+def test_exact_distinct_values(spark, tmp_path):
+    df = spark.range(30_000).select((F.col("id") % 9973).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("b"))
+    assert [tuple(r) for r in describe_grid(df).select("parameter", "rows", "n_distinct").collect()] == [("a", 30_000, 9973), ("b", 30_000, 15_000)]
+    events = df.selectExpr("'2024-01-01 00:00:00' as timestamp", "'chunk_completed' as event_type", "'r' as run_id", "a as chunk_id")
+    events.write.json(str(tmp_path / "events"))
+    assert tuple(progress(events).first()) == ("r", 9973)
+    for mode in ("update", "complete"):
+        name = f"progress_{mode}"
+        progress(event_stream(spark, str(tmp_path / "events"))).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        assert [tuple(r) for r in spark.table(name).collect()] == [("r", 9973)]
+
+
 def test_logs(spark, tmp_path):
     path = tmp_path / "job-7.err"
     path.write_text("\n".join("ERROR here" if k in (20, 23, 60) else f"line {k}" for k in range(100)) + "\n")
