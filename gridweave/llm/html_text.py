@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -20,21 +22,25 @@ from pyspark.sql import DataFrame
 DROPPED = "script style noscript template svg math head title iframe object canvas audio video select option button textarea datalist".split()
 INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 HOLDERS = "article main div section nav aside header footer form ul ol dl table tbody thead tr td th figure fieldset details dialog menu body blockquote".split()
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of HTML that end an svg or math around them.
+_BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li listing menu ol p pre table ul".split())
 #: Parts of class and id names of menus, adverts, notices, comments and the like.
 HINTS = """ad ads advert advertisement adverts banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs
 footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup
 share sharing social related recommended recommendations comment comments commentlist reply replies respondent disqus discussion widget pagination pager
 login search form copyright legal disclaimer skip""".split()
 
-# A tag has a bounded number of characters outside quotes, so that a page of broken ones takes time in proportion.
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{'|'.join(DROPPED)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'){{0,2048}}+>.*?(?:</(?P=drop)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'){0,2048}+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]{0,8192})>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# Of the dropped elements those whose content has no tags: they end at their end tag or with the page. What head can hold.
+RAW = "script style title iframe textarea".split()
+IN_HEAD = "base basefont bgsound link meta noframes noscript script style template title".split()
+
+_TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+_STOP = re.compile("[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_INLINE, _HOLDERS, _HINTS = frozenset(INLINE), frozenset(HOLDERS), frozenset(HINTS)
+_INLINE, _HOLDERS, _HINTS, _DROPPED, _IN_HEAD = frozenset(INLINE), frozenset(HOLDERS), frozenset(HINTS), frozenset(DROPPED), frozenset(IN_HEAD)
 
 
 @dataclass
@@ -57,11 +63,70 @@ def _hinted(attrs: str) -> bool:
     return any(part.lower() in _HINTS for m in _NAMES.finditer(attrs) for part in _PARTS.findall(m[1] or m[2] or m[3] or ""))
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether it is an end tag and attributes of each tag; comments and the like have no name. A tag
+    ends at the first ``>`` outside quotes, or where a quote is not closed at the first one of all. Quotes from which no
+    end was found are not tried again, so that a page of broken tags takes time in proportion."""
+    at, last, failed = 0, page.rfind(">"), set()
+    while tag := _TAG.search(page, at):
+        begin, at = tag.span()
+        if tag["comment"]:
+            stop = page.find("-->", at)
+            at = len(page) if stop < 0 else stop + 3
+            yield begin, at, "", False, ""
+            continue
+        if at > last:
+            continue
+        name = (tag["name"] or "").lower()
+        stop = page.find(">", at)
+        if name:
+            tried, here = [], at
+            while (mark := _STOP.search(page, here)) and mark[0] != ">":
+                here = mark.start()
+                close = -1 if here in failed else page.find(mark[0], here + 1)
+                tried.append(here)
+                if close < 0:
+                    mark = None
+                    break
+                here = close + 1
+            if mark:
+                stop = mark.start()
+            else:
+                failed.update(tried)
+        attrs, at = page[at:stop], stop + 1
+        yield begin, at, name, bool(tag["end"]), attrs
+
+
+class _Dropped:
+    """A dropped element that is open, and the elements open in it."""
+
+    def __init__(self, name: str, block: str, held: Counter):
+        self.name, self.block, self.held, self.inner = name, block, held, Counter()
+
+    def ended(self, name: str, end: bool, attrs: str) -> str:
+        """After one of its tags: "" if it goes on, "with" if it ends with the tag, "before" if the tag comes after it."""
+        if end:
+            if self.inner[name]:
+                self.inner[name] -= 1
+                return ""
+            return "with" if name == self.name else "before" if self.held[name] or name in (self.block, "body", "html") else ""
+        if name == "body" or (self.name == "head" and name not in _IN_HEAD and not self.inner.total()):
+            return "before"
+        if name == self.name and name in ("option", "button"):
+            return "before"
+        if self.name in ("svg", "math") and name in _BREAKS and not any(self.inner[n] for n in ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")):
+            return "before"
+        if name not in _VOID and not attrs.endswith("/"):
+            self.inner[name] += 1
+        return ""
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a whole page, in order."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []
+    held: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     state = {"name": "", "hinted": False, "marked": False}
     link = 0
@@ -85,17 +150,34 @@ def blocks(page: str | None) -> list[Block]:
             )
         pieces.clear()
 
-    at = 0
-    for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            pieces.append((page[at : tag.start()], link > 0))
-        at = tag.end()
-        name = (tag["name"] or tag["name2"] or "").lower()
+    at, dropped = 0, None
+    for begin, stop, name, end, attrs in _tags(page):
+        if begin < at:
+            continue
+        if dropped is None and begin > at:
+            pieces.append((page[at:begin], link > 0))
+        at = stop
         if not name:
-            if tag["drop"]:
+            continue
+        foreign = dropped is not None and dropped.name in ("svg", "math")
+        if name in _RAW_END and not end and not (foreign and attrs.endswith("/")):
+            close = _RAW_END[name].search(page, at)
+            over = page.find(">", close.end()) if close else -1
+            at = over + 1 if over >= 0 else len(page)
+            if dropped is None:
                 pieces.append((" ", False))
             continue
-        end, attrs = tag["end"] or tag["end2"], tag["attrs"] or tag["attrs2"] or ""
+        if dropped is not None:
+            how = dropped.ended(name, end, attrs)
+            if how:
+                dropped = None
+            if how != "before":
+                continue
+        if name in _DROPPED and not end:
+            pieces.append((" ", False))
+            if not (name in ("svg", "math") and attrs.endswith("/")):
+                dropped = _Dropped(name, state["name"], held)
+            continue
         if name in _INLINE:
             if name == "a":
                 link = 0 if end else 1
@@ -109,6 +191,7 @@ def blocks(page: str | None) -> list[Block]:
             if name in _HOLDERS:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
+                        held.subtract(n for n, _ in stack[k:])
                         del stack[k:]
                         break
         else:
@@ -116,10 +199,12 @@ def blocks(page: str | None) -> list[Block]:
             marked = "data-main" in attrs
             if name in _HOLDERS:
                 stack.append((name, hinted))
+                held[name] += 1
                 state.update(name=name, hinted=False, marked=marked)
             else:
                 state.update(name=name, hinted=hinted, marked=marked)
-    pieces.append((page[at:], link > 0))
+    if dropped is None:
+        pieces.append((page[at:], link > 0))
     closed()
     return out
 

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -240,6 +241,30 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_blocks_behind_open_elements():
+    """What is dropped ends where it must, and tags of any length are tags."""
+    cases = {
+        "<head><title>x</title><meta a><body><article>shown": ["shown"],
+        "<head><link a><p>shown": ["shown"],
+        "<div><svg width=1/>shown</div><svg><path d=''/></svg>after": ["shown", "after"],
+        "<div><svg><title>t</title><g></div>shown": ["shown"],
+        "<div><svg><g><p>shown</div>": ["shown"],
+        "<div><button>gone</div><p>shown": ["shown"],
+        "<div><option>gone</div>shown": ["shown"],
+        "<div><select><option>gone<option>gone</select>shown": ["shown"],
+        "<div><button><div>gone</div>gone</button>shown": ["shown"],
+        f"<img src=data:{'x' * 20_000} alt='a>b'>shown": ["shown"],
+        '<a "open>shown</a> after': ["shown after"],
+        "a < b <script>gone<p></script>shown<script>gone": ["a < b shown"],
+    }
+    for page, want in cases.items():
+        assert [b.text for b in html_text.blocks(page)] == want, page
+    start = time.process_time()
+    for part in ('<a ">" ', '<a "', "<svg>", "<div><svg>", "</script ", "<option>"):
+        html_text.blocks("<p>" + part * 30_000 + "'")
+    assert time.process_time() - start < 20
+
+
 def plain_alignment(item, text):
     best, row = 0, [0] * (len(text) + 1)
     for w in item:
