@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.components import connected_components
 from gridweave.llm.shared import stored
-from gridweave.llm.words import Chunk, _power, chunks, mix
+from gridweave.llm.words import Chunk, chunks, hashes, mix
 
 BANDS, ROWS = 27, 4
 VALUES = BANDS * ROWS
@@ -47,22 +48,17 @@ def text_grams(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(chunk.first)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        own = np.array([int(mix(chunk.hash[chunk.first[s] : chunk.first[s + 1]] * _power(int(count[s]))).sum(dtype=np.uint64)) for s in short], np.uint64)
-        grams, text = np.concatenate([grams, mix(own)]), np.concatenate([text, short])
+        own = hashes([chunk.hash[chunk.first[s] : chunk.first[s + 1]].tobytes() for s in short])
+        grams, text = np.concatenate([grams, own]), np.concatenate([text, short])
         order = np.argsort(text, kind="stable")
         grams, text = grams[order], text[order]
     return grams, text
 
 
-def sequence_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's words in order."""
-    out, n = [], len(chunk.hash)
-    for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(chunk.hash ^ salt) * _power(n), out=sums[1:])
-        value = (sums[chunk.first[1:]] - sums[chunk.first[:-1]]) * _power(n + 1, inverse=True)[chunk.first[:-1]]
-        out.append(mix(value + np.diff(chunk.first).astype(np.uint64)).astype(np.int64))
-    return out[0], out[1]
+def sequence_hashes(chunk: Chunk) -> np.ndarray:
+    """128 bits of each text's words in order, as two columns of signed integers."""
+    cut = chunk.first.tolist()
+    return np.frombuffer(b"".join([blake2b(chunk.hash[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]), "<i8").reshape(-1, 2)
 
 
 def signatures(grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,12 +172,12 @@ def _texts_signed(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
                 count = len(chunk.first) - 1
-                k1, k2 = sequence_hashes(chunk)
+                keys = sequence_hashes(chunk)
                 have, sig = signatures(*text_grams(chunk, n))
                 sigs, bands = [None] * count, [None] * count
-                for row, s, keys in zip(have, sig, band_keys(sig), strict=True):
-                    sigs[row], bands[row] = s.tobytes(), keys
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, count), pa.array(k1), pa.array(k2), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sig", "bands"])
+                for row, s, band in zip(have, sig, band_keys(sig), strict=True):
+                    sigs[row], bands[row] = s.tobytes(), band
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, count), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sig", "bands"])
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(work, "doc_id long, k1 long, k2 long, sig binary, bands array<long>")
 

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridweave.llm.shared import bounded_sample
-from gridweave.llm.words import SPACE, Chunk, chunks, mix, span_hashes
+from gridweave.llm.words import SPACE, Chunk, chunks, mix, spans
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL, _UPPER, _LOWER = (np.zeros(256, bool) for _ in range(3))
 _SYMBOL[list(SYMBOLS)] = True
 _UPPER[65:91] = True
 _LOWER[97:123] = True
-#: An odd number for telling texts apart in keys.
+#: An odd number for telling texts apart in hashes.
 _APART = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -36,9 +36,17 @@ def _per_text(chunk: Chunk, mask: np.ndarray) -> np.ndarray:
     return sums[chunk.begin[1:]] - sums[chunk.begin[:-1]]
 
 
-def _own(values: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Keys that are equal where value and text are."""
-    return mix(values + (text.astype(np.uint64) + np.uint64(1)) * _APART)
+def repeated_windows(chunk: Chunk, n: int) -> np.ndarray:
+    """The first words of the n-word windows that are found twice or more in their text. Windows are sorted by a hash;
+    those that share one are compared word by word, and where two of them differ all windows are."""
+    grams, at = chunk.grams(n)
+    _, lead, back, times = np.unique(mix(grams + (chunk.doc[at].astype(np.uint64) + np.uint64(1)) * _APART), return_index=True, return_inverse=True, return_counts=True)
+    again = times[back] > 1
+    here, first = at[again], at[lead[back[again]]]
+    if all((chunk.id[here + k] == chunk.id[first + k]).all() for k in range(n)) and (chunk.doc[here] == chunk.doc[first]).all():
+        return here
+    _, back, times = np.unique(np.column_stack([chunk.doc[at], *[chunk.id[at + k] for k in range(n)]]), axis=0, return_inverse=True, return_counts=True)
+    return at[times[back] > 1]
 
 
 def base_facts(chunk: Chunk) -> dict[str, np.ndarray]:
@@ -51,15 +59,13 @@ def base_facts(chunk: Chunk) -> dict[str, np.ndarray]:
     worded = letters[ends] > letters[starts]
     starts, ends = starts[worded], ends[worded]
     text = np.searchsorted(chunk.begin, starts, side="right") - 1
-    _, one = np.unique(_own(span_hashes(data, starts, ends), text), return_index=True)
+    line, different = spans(data, starts, ends)
+    _, one = np.unique(text * (len(different) + 1) + line, return_index=True)
     n_lines = np.bincount(text, minlength=n)
-    grams, at = chunk.grams(5)
+    again = repeated_windows(chunk, 5)
     repeat = np.zeros(len(chunk.hash) + 1, np.int64)
-    if len(at):
-        _, back, times = np.unique(_own(grams, chunk.doc[at]), return_inverse=True, return_counts=True)
-        again = at[times[back] > 1]
-        np.add.at(repeat, again, 1)
-        np.add.at(repeat, again + 5, -1)
+    np.add.at(repeat, again, 1)
+    np.add.at(repeat, again + 5, -1)
     covered = np.cumsum(repeat)[:-1] > 0
     return {
         "n_words": np.diff(chunk.first),
@@ -95,7 +101,7 @@ def _capitals(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
 def _one_word(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
     out = []
     for r in rows:
-        _, times = np.unique(chunk.hash[chunk.first[r] : chunk.first[r + 1]], return_counts=True)
+        _, times = np.unique(chunk.id[chunk.first[r] : chunk.first[r + 1]], return_counts=True)
         out.append(len(times) > 0 and 10 * times.max() > 3 * times.sum())
     return np.array(out, bool)
 

@@ -12,10 +12,12 @@ a signed byte for each code point, which depend on the unit alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.words import CHUNK_BYTES, span_hashes
+from gridweave.llm.words import CHUNK_BYTES, spans
 
 #: White space other than single spaces between words and runs of newlines.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n ")
@@ -114,11 +116,20 @@ def pieces(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return start[own], end[own]
 
 
+def byte_level(library) -> bool:
+    """Whether a vocabulary parts texts as :func:`pieces` and :class:`PrefixCounter` take for granted: byte-level BPE
+    with the usual pattern, no normalizer and no space put before a text."""
+    state = json.loads(library.to_str())
+    cut = state["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+    return bool(plain and state["normalizer"] is None and state["model"]["type"] == "BPE" and not state["model"].get("dropout"))
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, without added special tokens.
 
     Texts are taken apart by :func:`pieces`; of each different piece the library is asked once as long as a worker keeps
-    its ids, which it does up to a bound, by a 64-bit hash of the piece.
+    its ids by the piece's bytes, which it does up to a bound. Texts for a vocabulary of another kind go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -128,20 +139,21 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.parted = byte_level(self.library)
         self._forget()
 
     def _forget(self) -> None:
-        """Kept pieces: sorted hashes, and where in ``pool`` the ids of each begin and how many there are."""
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """Kept pieces: the number of each, and where in ``pool`` the ids of each begin and how many there are."""
+        self.number: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, f"<u{self.width}")
 
-    def _keep(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = self.library.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(texts) + 1))
-        place = np.searchsorted(self.hashes, hashes)
-        self.at = np.insert(self.at, place, cut[:-1] + len(self.pool))
-        self.size = np.insert(self.size, place, np.diff(cut))
-        self.hashes = np.insert(self.hashes, place, hashes)
+    def _keep(self, new: list[bytes]) -> None:
+        got = self.library.encode([piece.decode() for piece in new], is_pretokenized=True, add_special_tokens=False)
+        cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))
+        self.number.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.at = np.concatenate([self.at, cut[:-1] + len(self.pool)])
+        self.size = np.concatenate([self.size, np.diff(cut).astype(np.int32)])
         self.pool = np.concatenate([self.pool, np.array(got.ids, self.pool.dtype)])
 
     def _together(self, raw: list[bytes]) -> list[bytes]:
@@ -153,16 +165,14 @@ class Encoder:
         start, end = pieces(data, begin, stop)
         if not len(start):
             return [b""] * len(raw)
-        different, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.hashes) > KEEP or len(self.pool) > 16 * KEEP:
+        back, different = spans(data, start, end)
+        if len(self.number) > KEEP or len(self.pool) > 16 * KEEP:
             self._forget()
-        new = np.ones(len(different), bool)
-        if len(self.hashes):
-            new = self.hashes[np.minimum(np.searchsorted(self.hashes, different), len(self.hashes) - 1)] != different
-        if new.any():
-            own = first[new]
-            self._keep(different[new], [joined[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
-        entry = np.searchsorted(self.hashes, different)
+        entry = np.fromiter(map(self.number.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = len(self.at) + np.arange(len(new))
+            self._keep([different[k] for k in new])
         size = self.size[entry][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.at[entry][back] - total[:-1], size) + np.arange(total[-1])]
@@ -182,7 +192,7 @@ class Encoder:
 
         for text in texts:
             text = text or ""
-            special = any(s in text for s in self.special)
+            special = not self.parted or any(s in text for s in self.special)
             raw = b"" if special else text.encode()
             if part and size + len(raw) > CHUNK_BYTES - 64:
                 yield from done()
@@ -222,6 +232,8 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if not byte_level(self.library):
+            raise ValueError(f"prefix counts are for byte-level BPE; {path} is of another kind")
         self.model, self.before = self.library.model, self.library.pre_tokenizer
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocab = set(self.library.get_vocab(with_added_tokens=False))
@@ -239,6 +251,9 @@ class PrefixCounter:
         value = _prefix_hashes(rows)[np.arange(len(tokens)), width]
         order = np.argsort(value)
         self.values, self.tokens, self.widest = value[order], [tokens[k] for k in order], int(width.max())
+        if (self.values[1:] == self.values[:-1]).any():
+            raise ValueError("two tokens share a hash")
+        self.spelled = rows[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.values >> np.uint64(44)).astype(np.int64)] = True
         self.slots, self.slot_ok = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
@@ -302,7 +317,7 @@ class PrefixCounter:
                 h = (value[open_, end] - value[open_, begin]) * _INVERSES[begin]
                 some = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
                 k = np.minimum(np.searchsorted(self.values, h[some]), len(self.values) - 1)
-                real = self.values[k] == h[some]
+                real = (self.values[k] == h[some]) & (self.spelled[k, :size] == rows[open_[some], begin:end]).all(axis=1)
                 some, k = some[real], k[real]
                 if begin and len(some):
                     fit = self._pairs_ok(last[open_[some], begin], k)

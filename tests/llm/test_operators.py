@@ -398,5 +398,50 @@ def test_html_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def mirrored(size):
+    """Two strings of a and b that every polynomial hash modulo a power of two takes for one."""
+    out = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_equality_is_that_of_bytes(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    one, other = mirrored(4096)
+    spelled = [" ".join(x) for x in (one, other)]
+    data = list(enumerate([f"{one}\n{other}", one, other, one, *spelled, " ".join(spelled)]))
+    docs = frame(spark, data).coalesce(1)
+    for _ in range(2):
+        got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+        for i, t in data:
+            w = split_words(t)
+            windows = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+            assert got[i].n_dup_lines == 0
+            assert got[i].n_repeat_words == len({j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+        chunk = quality_rules.Chunk([t for _, t in data])
+        held = sorted(quality_rules.repeated_windows(chunk, 5))
+        monkeypatch.setattr(quality_rules, "mix", lambda h: h & np.uint64(0))
+        assert sorted(quality_rules.repeated_windows(chunk, 5)) == held
+    library = Tokenizer.from_file(PATH)
+    ids = {r.doc_id: r.ids_crc32 for r in token_files.token_files(docs, PATH).collect()}
+    for i, t in data:
+        assert ids[i] == zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs).collect()} == jaccard_truth(data)
+    benchmark = spark.createDataFrame([(1, f"{one} {one} {one} {one}")], "item_id long, text string")
+    texts = frame(spark, [(1, f"{other} {other} {other} {other}"), (2, f"{one} {one} {one} {one}")])
+    assert [r.doc_id for r in decontamination.contaminated(texts, benchmark).collect()] == [2]
+
+
+def test_vocabularies_of_other_kinds():
+    path = tokens.public_path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    coder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Two words, don't  stop\n\nhere", None, "", "x" * 300]
+    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens.PrefixCounter(path)
+
+
 def test_stored_tables_are_read_back(spark, docs):
     assert stored(docs, "t").count() == docs.count()
