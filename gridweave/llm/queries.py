@@ -14,7 +14,7 @@ from gridweave.llm.quality_rules import quality_rules
 from gridweave.llm.token_files import token_files
 from gridweave.llm.tokens import public_path, token_counts
 from gridweave.llm.toxicity import fit_toxicity, toxicity
-from gridweave.llm.warc import archived, base32_sha1
+from gridweave.llm.warc import archived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archived(table(spark, sf_dir, "pages"))
-    digest = base32_sha1(F.col("payload"))
-    # The full payload's own digest, held against the one that the header keeps.
-    sound = F.when(digest == F.col("payload_digest"), digest).otherwise(F.raise_error(F.lit("a payload differs from its header's digest")).cast("string"))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", "refers_to")
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,39 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_query_over_a_whole_table(spark):
+    from gridweave.llm.queries import op3_warc, table
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "html").collect()
+    holder = {}
+    for r in pages:
+        holder[r.html or ""] = min(r.page_id, holder.get(r.html or "", r.page_id))
+    want = set()
+    for r in pages:
+        body, first = (r.html or "").encode(), holder[r.html or ""]
+        want.add((r.page_id, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if r.page_id == first else "revisit", None if r.page_id == first else first))
+    got = [tuple(r) for r in op3_warc(spark, "/root/testdata/sf0.1").collect()]
+    assert set(got) == want and len(got) == len(pages)
+
+
+@pytest.mark.parametrize("part", ["payload", "header"])
+def test_damaged_archives_fail(spark, tmp_path, part):
+    """Also for the columns of the query alone."""
+    pages = spark.createDataFrame([(1, "u", "one page"), (2, "u", "one page"), (2, "v", "one page"), (3, "w", "another page")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/sound")
+    sound = warc.read_archive(spark, f"{tmp_path}/sound").collect()
+    assert len({bytes(r.record) for r in sound}) == 4 and [r.refers_to for r in sound if r.page_id == 2] == [1, 1]
+    for name in ("payloads", "headers"):
+        rows = spark.read.parquet(f"{tmp_path}/sound/{name}")
+        if part == "payload" and name == "payloads":
+            rows = rows.withColumn("payload", F.when(F.decode("payload", "UTF-8") == "one page", F.lit(b"one pagf")).otherwise(F.col("payload")))
+        if part == "header" and name == "headers":
+            rows = rows.withColumn("header", F.encode(F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 12"), F.lit("Content-Length: 13")), "UTF-8"))
+        rows.write.parquet(f"{tmp_path}/damaged/{name}")
+    with pytest.raises(Exception, match="is not that of|does not state"):
+        warc.read_archive(spark, f"{tmp_path}/damaged").select("page_id", F.octet_length("payload"), "payload_digest", "record_type", "refers_to").collect()
+
+
 def test_prefix_counts_and_encoding(data):
     from tokenizers import Tokenizer
 
