@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import getpass
+import re
+import socket
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Factors of memory units and of time units.
+# Factors of memory units and of time units, ends of file names.
 MEMORY_UNITS = {"": 1, "K": 1024, "M": 1024**2, "G": 1024**3, "T": 1024**4, "P": 1024**5}
+FILE_NAME = r"\.(csv|txt|rds|dat|tsv|json|xml|nii|gz)$"
 TIME_UNITS = {"d": 86400, "day": 86400, "days": 86400, "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600, "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1}
 
 
@@ -45,7 +52,7 @@ def format_bytes(value: Column) -> Column:
 def hms(seconds: Column) -> Column:
     """Whole seconds as H:MM:SS."""
     s = seconds.cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60)
+    return F.when(s.isNotNull(), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60))
 
 
 def normal_time(text: Column) -> Column:
@@ -83,9 +90,14 @@ def safe_name(name: Column, default: str = "job", most: int = 128) -> Column:
     return F.coalesce(F.nullif(F.substring(s, 1, most), F.lit("")), F.lit(default))
 
 
-def stem(path: Column) -> Column:
-    """The last part of a path without its last extension."""
-    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(.)\.[^.]*$", "$1")
+def stem(path: Column, pattern: str | None = None) -> Column:
+    """The last part of a path without its last extension; with a pattern, what its first group (or all of it) matches
+    there, or the whole where it matches nothing."""
+    whole = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(.)\.[^.]*$", "$1")
+    if pattern is None:
+        return whole
+    group = 1 if re.compile(pattern).groups else 0
+    return F.when(whole.rlike(pattern), F.regexp_extract(whole, pattern, group)).otherwise(whole)
 
 
 def indexed_name(number: Column, prefix: str = "job", width: int = 0) -> Column:
@@ -98,6 +110,53 @@ def digest_name(value: Column, prefix: str = "job", length: int = 8) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.md5(value), 1, length))
 
 
+def named_by(rule: str | Callable[[Column, Column], Column], element: Column, number: Column, **options) -> Column:
+    """Job names by a rule: index, stem, digest, auto (the stem of what looks like a file, else the index), or a function
+    of element and number."""
+    index = indexed_name(number, **{k: v for k, v in options.items() if k in ("prefix", "width")})
+    if callable(rule):
+        return F.coalesce(F.nullif(safe_name(rule(element, number), ""), F.lit("")), index)
+    if rule == "index":
+        return index
+    if rule == "digest":
+        return digest_name(element.cast("string"), **{k: v for k, v in options.items() if k in ("prefix", "length")})
+    own = F.coalesce(F.nullif(safe_name(stem(element.cast("string"), options.get("pattern")), ""), F.lit("")), index)
+    if rule == "stem":
+        return own
+    if rule == "auto":
+        return F.when(element.cast("string").rlike(FILE_NAME), own).otherwise(index)
+    raise ValueError(f"no rule {rule}")
+
+
+def one_line(text: Column, what: str = "a value") -> Column:
+    """The text, or an error where it has a line break."""
+    return F.when(text.rlike(r"[\r\n]"), F.raise_error(F.lit(f"{what} has a line break")).cast("string")).otherwise(text)
+
+
+def path_values(now: datetime | None = None, **given) -> dict[str, Column]:
+    """Columns for the places of a path template: date, time, run, user and host have defaults."""
+    now = now or datetime.now()
+    known = {"date": f"{now:%Y%m%d}", "time": f"{now:%H%M%S}", "run": f"{now:%Y%m%d_%H%M%S}", "user": getpass.getuser(), "host": socket.gethostname()}
+    return {k: v if isinstance(v, Column) else F.lit(v) for k, v in (known | given).items()}
+
+
+def event_brief(kind: Column, chunk: Column, stage: Column, attempt: Column, message: Column, summary: Column, duration_ms: Column) -> Column:
+    """An event in one line: what it is, of which chunk and stage, and what it says."""
+    where = F.when(chunk.isNotNull(), F.concat(F.lit("chunk "), chunk.cast("string"), F.lit(" / "), F.coalesce(stage, F.lit("stage")))).otherwise(F.coalesce(F.nullif(stage, F.lit("")), F.lit("worker")))
+    which = F.when(attempt.isNotNull(), F.concat(F.lit(" (attempt "), attempt.cast("string"), F.lit(")"))).otherwise("")
+    took = F.when(duration_ms.isNotNull(), F.format_string(" (%.1fs)", duration_ms / 1000)).otherwise("")
+    told = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(": "), c)).otherwise("")
+    what = F.replace(kind, F.lit("_"), F.lit(" "))
+    return F.when(kind.startswith("run_"), F.concat(what, told(summary))).otherwise(F.concat(what, F.lit(" "), where, which, took, told(message)))
+
+
+def submit_error(message: Column) -> Column:
+    """struct(class, retryable) of an error at submission."""
+    quota, passing = message.contains("QOSMaxSubmitJobPerUserLimit"), message.rlike("(?i)socket|temporar|transient|timed out")
+    kind = F.when(quota, "submission_quota_limit").when(passing, "submission_transient_error").otherwise("submission_failed")
+    return F.struct(kind.alias("class"), F.coalesce(quota | passing, F.lit(False)).alias("retryable"))
+
+
 def expand(template: str, **columns: Column) -> Column:
     """A path or name template with ``{name}`` places."""
     out, rest = [], template
@@ -112,6 +171,7 @@ def expand(template: str, **columns: Column) -> Column:
 
 def normal_message(message: Column) -> Column:
     """An error message without what changes between runs: line numbers, folders, addresses, times, runs of blanks."""
+    # These patterns decide which messages have one fingerprint.
     s = F.coalesce(message, F.lit(""))
     s = F.regexp_replace(s, r"(?i)\bat\s+line\s+\d+", "at line <N>")
     s = F.regexp_replace(s, r"/[^ ]+/([^ /]+)", "<path>/$1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.scalars import attempt_id, message_fingerprint
+from gridweave.functions.scalars import attempt_id, format_bytes, hms, message_fingerprint, parse_memory
 
 
 def diagnostics(out: DataFrame, stage: str | None = None) -> DataFrame:
@@ -67,17 +67,99 @@ def suggested_hours(elapsed_seconds: Column) -> Column:
     return F.ceil(elapsed_seconds * 2 / 3600)
 
 
+# Labels of failure classes.
+LABELS = {"oom": "OOM", "timeout": "TIMEOUT", "dependency": "DEP", "validation": "VALIDATION", "r_error": "ERROR", "r_crash": "CRASH", "unknown": "UNKNOWN"}
+
+
+def failure_details(failures: DataFrame) -> DataFrame:
+    """Failures (state, signal, error_class, error_message, status, max_rss in bytes, requested_memory as text,
+    elapsed_seconds) with class, label, detail and suggestion, which is null where there is nothing to suggest."""
+    rows = failures.withColumn("class", classify_failure(F.col("state"), F.col("signal"), F.col("error_class"), F.col("status")))
+    kind, rss, asked, took = F.col("class"), F.col("max_rss"), F.col("requested_memory"), F.col("elapsed_seconds")
+    gone, down = F.col("state").contains("NODE_FAIL"), F.col("state") == "COMPLETED"
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), kind)
+    message = F.coalesce("error_message", F.lit(""))
+    against = F.when(asked.isNotNull(), F.concat(F.lit(" against "), asked)).otherwise("")
+    detail = (
+        F.when(kind == "oom", F.concat(F.lit("killed for memory"), F.when(rss.isNotNull(), F.concat(F.lit(" at "), format_bytes(rss), against)).otherwise("")))
+        .when(kind == "timeout", F.concat(F.lit("out of time"), F.when(took.isNotNull(), F.concat(F.lit(" after "), hms(took))).otherwise("")))
+        .when(kind == "slurm_infra", F.when(gone, "a node failed").otherwise("the job was cancelled"))
+        .when(kind.isin("dependency", "validation", "r_error"), message)
+        .when(kind == "r_crash", F.when(down, "completed without a result").otherwise(F.concat(F.lit("no result after "), F.lower("state"))))
+        .otherwise("the cause is not known")
+    )
+    more = F.concat(F.lit("ask for "), suggested_memory(parse_memory(asked)).cast("string"), F.lit("G of memory"))
+    longer = F.concat(F.lit("ask for "), suggested_hours(took).cast("string"), F.lit(":00:00 of time"))
+    suggestion = (
+        F.when(kind == "oom", F.coalesce(more, F.lit("ask for more memory")))
+        .when(kind == "timeout", F.coalesce(longer, F.lit("ask for more time")))
+        .when((kind == "slurm_infra") & gone, "run it again")
+        .when(kind == "dependency", "see to the stage before it")
+        .when(kind == "validation", "see to schema and contract")
+        .when(kind == "r_crash", "look into the log for the end of the process")
+        .when(kind == "unknown", "look into logs and results")
+    )
+    return rows.withColumns({"label": F.coalesce(label, F.when(gone, "NODE_FAIL").otherwise("CANCELLED")), "detail": detail, "suggestion": suggestion})
+
+
+def failure_suggestions(details: DataFrame) -> DataFrame:
+    """For each class of failures with something to suggest: how many there are and the least of their suggestions."""
+    return details.where(F.col("suggestion").isNotNull()).groupBy("class", "label").agg(F.count("*").alias("n"), F.min("suggestion").alias("suggestion"))
+
+
+def run_errors(results: DataFrame, jobs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """All errors of a run as one table: chunk_id, row_id, stage, error_msg, source, context and class.
+
+    ``results`` (chunk_id, row_id, .diag) are what chunks left; every stage that neither succeeded nor was skipped is an
+    error of source "index". ``jobs`` (chunk_id, state) in a final state of which there is no result are errors of source
+    "missing"; others only lend their states to the classes. ``labels`` (chunk_id, label) give the context."""
+    own = results.select("chunk_id", "row_id", F.inline("`.diag`")).where(~F.col("ok") & ~F.col("skipped"))
+    index = own.select("chunk_id", "row_id", "stage", F.coalesce("error_message", F.lit("unknown error")).alias("error_msg"), F.lit("index").alias("source"), "status", "error_class")
+    lost = missing_results(jobs, results, "chunk_id")
+    text = F.when(F.col("state") == "COMPLETED", "completed without a result").otherwise(F.concat(F.lower("state"), F.lit(" without a result")))
+    none = F.lit(None).cast("string")
+    crashed = lost.select("chunk_id", none.alias("row_id"), none.alias("stage"), text.alias("error_msg"), F.lit("missing").alias("source"), none.alias("status"), none.alias("error_class"))
+    rows = index.unionByName(crashed).join(jobs.select("chunk_id", "state", *[c for c in ("signal",) if c in jobs.columns]), "chunk_id", "left")
+    signal = F.col("signal") if "signal" in jobs.columns else F.lit(None).cast("int")
+    missing = F.col("source") == "missing"
+    # A chunk without a result that is said to be completed died before it could leave one.
+    state = F.when(missing & (F.col("state") == "COMPLETED"), "FAILED").otherwise(F.col("state"))
+    rows = rows.withColumn("class", classify_failure(state, signal, F.col("error_class"), F.col("status")))
+    rows = rows.join(labels.select("chunk_id", F.col("label").alias("context")), "chunk_id", "left") if labels is not None else rows.withColumn("context", none)
+    return rows.select("chunk_id", "row_id", "stage", "error_msg", "source", "context", "class")
+
+
+def incomplete_jobs(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Chunks that are to be submitted again: their state is not COMPLETED or they left no result."""
+    done = jobs.where("state = 'COMPLETED'").join(results.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id")
+    return jobs.join(done, "chunk_id", "left_anti")
+
+
+#: States in the order in which a report has them.
+STATE_ORDER = ("FAILED", "TIMEOUT", "CANCELLED", "RUNNING", "PENDING", "COMPLETED")
+
+
+def by_state(jobs: DataFrame, *then: str) -> DataFrame:
+    """Jobs in the order of their states, unknown ones last."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STATE_ORDER)), F.col("state")), F.lit(0)), F.lit(len(STATE_ORDER) + 1))
+    return jobs.orderBy(place, *then)
+
+
 def failure_report(errors: DataFrame) -> DataFrame:
     """Errors of each class."""
     return errors.groupBy("class").agg(F.count("*").alias("n"))
 
 
-def failure_patterns(errors: DataFrame, run: str = "run_idx", message: str = "message", n_runs: Column | None = None) -> DataFrame:
-    """Each message's fingerprint with the runs it was seen in: persistent (all), new (the last only), resolved (not the
-    last) or flaky. ``run`` numbers the runs from 1; the last is the largest number there is, or ``n_runs``."""
-    seen = errors.select(message_fingerprint(F.col(message)).alias("fingerprint"), F.col(message).alias("message"), F.col(run).alias("run"))
-    rows = seen.groupBy("fingerprint").agg(F.min("message").alias("message"), F.min("run").alias("first_seen"), F.max("run").alias("last_seen"), F.count_distinct("run").alias("n_runs"))
-    last = rows.crossJoin(F.broadcast(errors.agg(F.max(run).alias("_last")))) if n_runs is None else rows.withColumn("_last", n_runs)
+def failure_patterns(errors: DataFrame, run: str = "run_idx", message: str = "message", n_runs: int | Column | None = None) -> DataFrame:
+    """Each message's fingerprint, with its class where ``errors`` have one, and the runs it was seen in: persistent (all),
+    new (the last only), resolved (not the last) or flaky. ``run`` numbers the runs from 1. ``n_runs`` is how many there
+    are; without it a run with no errors after all others is not seen, since the last is the largest number there is."""
+    kind = F.col("class") if "class" in errors.columns else F.lit("unknown")
+    seen = errors.select(message_fingerprint(F.col(message)).alias("fingerprint"), F.col(message).alias("message"), kind.alias("class"), F.col(run).alias("run"))
+    first = F.min(F.struct("run", "message", "class"))
+    rows = seen.groupBy("fingerprint").agg(F.min("message").alias("message"), first.alias("_first"), F.min("run").alias("first_seen"), F.max("run").alias("last_seen"), F.count_distinct("run").alias("n_runs"))
+    rows = rows.withColumn("class", F.col("_first.class")).drop("_first")
+    last = rows.crossJoin(F.broadcast(errors.agg(F.max(run).alias("_last")))) if n_runs is None else rows.withColumn("_last", n_runs if isinstance(n_runs, Column) else F.lit(n_runs))
     pattern = F.when(F.col("n_runs") == F.col("_last"), "persistent").when(F.col("first_seen") == F.col("_last"), "new").when(F.col("last_seen") < F.col("_last"), "resolved").otherwise("flaky")
     return last.withColumn("pattern", pattern).drop("_last")
 
@@ -106,6 +188,7 @@ def run_diagnosis(expected: Column, submitted: Column, finished: Column, failed_
     )
 
 
-def packed_errors(elements: DataFrame, chunk: str = "chunk_id", index: str = "index", bad: str = "is_error") -> DataFrame:
-    """Elements, errors and the indices of errors of each chunk; chunks are of bounded size."""
-    return elements.groupBy(chunk).agg(F.count("*").alias("n_elements"), F.count_if(F.col(bad)).alias("n_errors"), F.sort_array(F.collect_list(F.when(F.col(bad), F.col(index)))).alias("error_indices"))
+def packed_errors(elements: DataFrame, chunk: str = "chunk_id", index: str = "index", bad: str = "is_error", block: int = 4096) -> DataFrame:
+    """Elements, errors and the indices of errors of each chunk. A chunk whose indices lie in several blocks of ``block``
+    has a row for each, so no list is longer than that."""
+    return elements.groupBy(chunk, F.floor(F.col(index) / block).alias("block")).agg(F.count("*").alias("n_elements"), F.count_if(F.col(bad)).alias("n_errors"), F.sort_array(F.collect_list(F.when(F.col(bad), F.col(index)))).alias("error_indices"))

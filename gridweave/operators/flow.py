@@ -1,8 +1,9 @@
 """Flows: a grid, named stages with declared results, one wide table with the outcome of every stage.
 
-Stages given as columns stay in Catalyst. Neighbouring stages given as functions run together in one ``mapInPandas``,
-row by row, and read only the columns they name. The result has the grid's columns, ``row_id``, a column ``id.field``
-for each output, ``.diag`` (a record for each stage) and ``.ok``.
+Stages are columns, which stay in Catalyst, or functions, which run in an Arrow UDF over the columns they name. All
+else is the same for both and made of columns: cancellation, skips, inputs, lossless casts, contracts, records. The
+result has the grid's columns, ``row_id``, a column ``id.field`` for each output, ``.diag`` (a record for each stage)
+and ``.ok``.
 """
 
 from __future__ import annotations
@@ -11,23 +12,25 @@ import inspect
 import random
 import socket
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from datetime import UTC, datetime
 from graphlib import TopologicalSorter
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions.scalars import row_key
-from gridweave.schema import DIAG, Returns, lossless
+from gridweave.schema import DIAG, FILE_REF, Flex, Returns, arrow_type, lossless, lossless_column, stored_value, validate_row
+from gridweave.sources.events import sending
 
 ERRORS = ("propagate", "keep", "omit", "stop")
 CANCELS = ("deps", "all", "none")
-#: Seconds that a retry waits at most.
-LONGEST_WAIT = 86_400
+#: Seconds that a retry waits at most, and that one may keep a task's core waiting.
+LONGEST_WAIT, LONGEST_SLEEP = 86_400, 60
 
 
 def retry_delay(retry: int, backoff: str, base: float) -> float:
@@ -36,10 +39,25 @@ def retry_delay(retry: int, backoff: str, base: float) -> float:
     return min(wait, LONGEST_WAIT)
 
 
+class StageError(Exception):
+    """An error of a stage with a class of its own."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
 @dataclass(frozen=True)
 class Stage:
     """``does`` is a dict of columns (or SQL text) by output, or a function of the values it names in its signature that
-    returns a dict, or one value for a single output."""
+    returns a dict, or one value for a single output.
+
+    A function sees the grid's columns, the outputs of earlier stages by their bare names, those of stages it needs also
+    as ``stage_output``, and ``constants``. ``skip_when`` is a column, SQL text or function for either kind of stage. With
+    ``io_mode`` "error" a null or missing one of ``inputs``, one of ``input_artifacts`` that is no file reference, and one of
+    ``outputs`` (by default all declared) that is not returned are failures; with "warn" they are told in the record of
+    a stage that goes on. Stages of columns have no sink and no retries: the same expression gives the same again.
+    """
 
     id: str
     does: dict[str, Column | str] | Callable
@@ -49,6 +67,8 @@ class Stage:
     skip_when: Column | str | Callable | None = None
     constants: dict[str, Any] = field(default_factory=dict)
     inputs: tuple[str, ...] = ()
+    input_artifacts: tuple[str, ...] = ()
+    outputs: tuple[str, ...] | None = None
     io_mode: str = "off"
     retries: int | None = None
     backoff: str | None = None
@@ -57,6 +77,18 @@ class Stage:
     resources: dict[str, Any] = field(default_factory=dict)
     sink: Any = None
 
+    def __post_init__(self) -> None:
+        if self.io_mode not in ("off", "warn", "error"):
+            raise ValueError(f"stage {self.id}: unknown io_mode {self.io_mode}")
+        refused = [n for n in ("sink", "retries", "backoff", "base", "retry_on") if getattr(self, n) is not None]
+        if self.is_columns and refused:
+            raise ValueError(f"stage {self.id}: a stage of columns takes no {', '.join(refused)}")
+        if self.is_columns and any(isinstance(kind, Flex) for _, kind in self.schema.fields):
+            raise ValueError(f"stage {self.id}: a stage of columns has Spark's types only")
+        for rule in self.schema.rules:
+            if rule.name not in dict(self.schema.fields):
+                raise ValueError(f"stage {self.id}: there is no output {rule.name} to have a rule")
+
     def named(self, output: str) -> str:
         return f"{self.id}.{output}" if self.prefix else output
 
@@ -64,6 +96,11 @@ class Stage:
     def is_columns(self) -> bool:
         return isinstance(self.does, dict)
 
+    @property
+    def expected(self) -> tuple[str, ...]:
+        """The outputs that must be returned."""
+        return tuple(name for name, _ in self.schema.fields) if self.outputs is None else self.outputs
+
     def arguments(self) -> list[str]:
         """What the function takes; all there is if it has a catch-all."""
         takes = inspect.signature(self.does).parameters.values()
@@ -72,6 +109,9 @@ class Stage:
 
 @dataclass(frozen=True)
 class Flow:
+    """``validate``: light or full, for types that are checked by predicates. ``events``: a folder that all executors share,
+    to which :mod:`gridweave.sources.events` writes what functions tell of themselves."""
+
     grid: DataFrame
     stages: tuple[Stage, ...] = ()
     error: str = "propagate"
@@ -81,6 +121,9 @@ class Flow:
     base: float = 0.0
     seed_col: str | None = None
     resources: dict[str, Any] = field(default_factory=dict)
+    validate: str = "light"
+    run_id: str | None = None
+    events: str | None = None
 
     def __post_init__(self) -> None:
         if self.error not in ERRORS or self.cancel not in CANCELS:
@@ -114,23 +157,19 @@ class Flow:
         grid = self.grid if limit is None else self.grid.orderBy(ordinal).limit(limit)
         names = grid.columns
         df = grid.withColumns({"row_id": row_key(*names), ".diag": F.array().cast(T.ArrayType(DIAG))})
-        todo = self.ordered()
-        while todo:
-            run = [todo.pop(0)]
-            if run[0].is_columns:
-                df = _with_columns(df, self, run[0])
-                continue
-            while todo and not todo[0].is_columns:
-                run.append(todo.pop(0))
-            df = _with_functions(df, self, run, names)
-        df = df.withColumn(".ok", F.forall(F.col("`.diag`"), lambda d: d["ok"] | d["skipped"]))
+        done: list[Stage] = []
+        for stage in self.ordered():
+            df = _staged(df, self, stage, names, done)
+            done.append(stage)
+        ok = F.forall(F.col("`.diag`"), lambda d: d["ok"] | d["skipped"])
         if self.error == "omit":
-            df = df.where(F.col("`.ok`"))
+            df = df.where(ok)
         if self.error == "stop":
+            # A filter, so that no choice of columns goes past it.
             first = F.element_at(F.filter(F.col("`.diag`"), lambda d: ~d["ok"] & ~d["skipped"]), 1)
             bad = F.raise_error(F.concat(F.lit("stage "), first["stage"], F.lit(": "), F.coalesce(first["error_message"], F.lit("failed"))))
-            df = df.withColumn(".ok", F.when(F.col("`.ok`"), F.lit(True)).otherwise(bad.cast("boolean")))
-        return df
+            df = df.where(F.when(ok, F.lit(True)).otherwise(bad.cast("boolean")))
+        return df.withColumn(".ok", ok)
 
 
 def flow(grid: DataFrame, **options: Any) -> Flow:
@@ -161,103 +200,31 @@ def _cancelled(flow: Flow, stage: Stage) -> Column:
     return out
 
 
-def _with_columns(df: DataFrame, flow: Flow, stage: Stage) -> DataFrame:
-    """A stage of expressions: cast to what is declared, held against the contract."""
-    cancelled = _cancelled(flow, stage)
-    skipped = F.coalesce(_column(stage.skip_when), F.lit(False)) if stage.skip_when is not None else F.lit(False)
-    df = df.withColumns({"_cancelled": cancelled, "_skipped": skipped & ~cancelled})
-    idle = F.col("_cancelled") | F.col("_skipped")
-    values, broken = {}, F.lit(None).cast("string")
-    for name, kind in stage.schema.fields:
-        made = _column(stage.does[name]).cast(kind) if name in stage.does else F.lit(None).cast(kind)
-        values[f"_v_{name}"] = F.when(~idle, made)
-    df = df.withColumns(values)
-    for name, kind in stage.schema.fields:
-        if rule := stage.schema.rule(name):
-            broken = F.coalesce(broken, F.when(~idle, F.when(rule.broken(F.col(f"_v_{name}"), kind).isNotNull(), F.concat(F.lit(f"{name}: "), rule.broken(F.col(f"_v_{name}"), kind)))))
-    df = df.withColumn("_broken", broken)
-    failed = F.col("_broken").isNotNull()
-    outputs = {stage.named(name): F.when(~failed, F.col(f"_v_{name}")) for name, _ in stage.schema.fields}
-    status = F.when(F.col("_cancelled"), "cancelled").when(F.col("_skipped"), "skipped").when(failed, "failed").otherwise("completed")
-    now, none = F.current_timestamp(), F.lit(None)
-    kind_of = F.when(failed, F.lit("contract")).when(F.col("_cancelled"), F.lit("cancelled"))
-    record = F.struct(
-        F.lit(stage.id).alias("stage"), (~idle & ~failed).alias("ok"), F.col("_skipped").alias("skipped"), status.alias("status"), now.alias("started_at"), now.alias("ended_at"), F.lit(0.0).alias("duration_ms"),
-        none.cast("string").alias("host"), F.when(idle, 0).otherwise(1).alias("attempt"), F.lit(0).alias("retry_count"), none.cast("double").alias("queue_ms"), kind_of.alias("error_class"), F.col("_broken").alias("error_message"),
-    )
-    df = df.withColumns(outputs | {".diag": F.concat("`.diag`", F.array(record.cast(DIAG)))})
-    return df.drop("_cancelled", "_skipped", "_broken", *values)
+def raises(value: Column) -> Column:
+    """Whether evaluating a column raises an error for a row. ``try_to_binary`` is null where what it is given raises; the
+    JSON of a value is text whatever its type. A Python UDF inside is not guarded."""
+    return F.try_to_binary(F.coalesce(F.to_json(F.struct(value.alias("v"))), F.lit("{}")), F.lit("utf-8")).isNull()
 
 
-def _with_functions(df: DataFrame, flow: Flow, stages: list[Stage], grid: list[str]) -> DataFrame:
-    """Stages of functions, one row after another in a task."""
-    added = [T.StructField(s.named(name), kind) for s in stages for name, kind in s.schema.fields]
-    out = T.StructType([*[f for f in df.schema if f.name not in {a.name for a in added}], *added])
-    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(out)])
-    before = df.columns
-    options = (flow.error, flow.cancel, flow.retries, flow.backoff, flow.base, flow.seed_col)
-
-    def work(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = [_run_row(dict(zip(before, row, strict=True)), stages, grid, options) for row in frame.itertuples(index=False, name=None)]
-            yield pd.DataFrame({p.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for p, f in zip(plain, out, strict=True)})
-
-    return df.toDF(*[f"c{k}" for k in range(len(before))]).mapInPandas(work, plain).toDF(*out.names)
+def _visible(stage: Stage, grid: list[str], done: list[Stage]) -> dict[str, str]:
+    """The names that functions of a stage see, and the columns that they are."""
+    out = {name: s.named(name) for s in done for name, _ in s.schema.fields}
+    out |= {name: name for name in grid}
+    return out | {f"{s.id}_{name}": s.named(name) for s in done if s.id in stage.needs for name, _ in s.schema.fields}
 
 
-def _plain(value: Any) -> Any:
-    """A value as a function sees it: no NaN for null, no numpy scalars."""
-    if hasattr(value, "item") and not hasattr(value, "__len__"):
-        value = value.item()
-    return None if isinstance(value, float) and value != value or value.__class__.__name__ in ("NaTType", "NAType") else value
+def _packed(function: Callable, visible: dict[str, str], extra: list[str] = ()) -> tuple[Column, list[str]]:
+    """A struct of the columns that a function names (all with a catch-all), and the names of its fields."""
+    parameters = inspect.signature(function).parameters
+    wide = any(p.kind is inspect.Parameter.VAR_KEYWORD for p in parameters.values())
+    taken = [n for n in visible if wide or n in parameters or n in extra]
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{visible[n]}`").alias(f"a{k}") for k, n in enumerate(taken)]), taken
 
 
-def _run_row(row: dict[str, Any], stages: list[Stage], grid: list[str], options: tuple) -> dict[str, Any]:
-    """All stages of one row, with their records added to ``.diag``."""
-    error, cancel, retries, backoff, base, seed_col = options
-    row = {k: _plain(v) for k, v in row.items()}
-    diag = [dict(d) if isinstance(d, dict) else d.asDict() for d in (row[".diag"] if row[".diag"] is not None else [])]
-    if seed_col is not None and row.get(seed_col) is not None:
-        random.seed(int(row[seed_col]))
-    for stage in stages:
-        began, record = time.time(), {"stage": stage.id, "ok": False, "skipped": False, "attempt": 0, "retry_count": 0, "host": socket.gethostname(), "queue_ms": None, "error_class": None, "error_message": None}
-        values: dict[str, Any] = {name: None for name, _ in stage.schema.fields}
-        known = {d["stage"]: d for d in diag}
-        stopped = error == "propagate" and cancel != "none" and (any(not known[n]["ok"] for n in stage.needs) or cancel == "all" and any(not d["ok"] and not d["skipped"] for d in diag))
-        # The grid first, then earlier outputs by their bare names, then constants; outputs of needs by full name.
-        arguments = dict(stage.constants)
-        for name, value in row.items():
-            if "." in name and name not in grid and not name.startswith("."):
-                arguments[name.split(".", 1)[1]] = value
-        arguments |= {g: row[g] for g in grid}
-        arguments |= {n.replace(".", "_"): v for n, v in row.items() if "." in n and n.split(".", 1)[0] in stage.needs}
-        if stopped:
-            record |= {"status": "cancelled", "error_class": "cancelled", "error_message": "a stage before it did not succeed"}
-        elif _skips(stage, arguments):
-            record |= {"status": "skipped", "skipped": True}
-        else:
-            most = stage.retries if stage.retries is not None else retries
-            while True:
-                record["attempt"] += 1
-                try:
-                    values |= _called(stage, arguments)
-                    record |= {"status": "completed", "ok": True, "error_class": None, "error_message": None}
-                    break
-                except Exception as e:  # a stage's own error, which the flow's policy decides on
-                    if error == "stop":
-                        raise RuntimeError(f"stage {stage.id}: {e}") from e
-                    record |= {"status": "failed", "error_class": type(e).__name__, "error_message": str(e)}
-                    if record["retry_count"] >= most or stage.retry_on is not None and type(e).__name__ not in stage.retry_on:
-                        break
-                    record["retry_count"] += 1
-                    time.sleep(retry_delay(record["retry_count"], stage.backoff or backoff, base if stage.base is None else stage.base))
-        row |= {stage.named(k): v for k, v in values.items()}
-        ended = time.time()
-        diag.append(record | {"started_at": datetime.fromtimestamp(began, UTC).replace(tzinfo=None), "ended_at": datetime.fromtimestamp(ended, UTC).replace(tzinfo=None), "duration_ms": 1000 * (ended - began)})
-    row[".diag"] = diag
-    return row
+def _rows(batch: pa.Array, names: list[str]) -> list[dict[str, Any]]:
+    """Packed columns as arguments; maps are dicts."""
+    columns = [[dict(v) if v is not None else None for v in c.to_pylist()] if pa.types.is_map(c.type) else c.to_pylist() for c in (batch.field(k + 1) for k in range(len(names)))]
+    return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)] if names else [{} for _ in range(len(batch))]
 
 
 def _takes(function: Callable, arguments: dict[str, Any]) -> dict[str, Any]:
@@ -267,36 +234,207 @@ def _takes(function: Callable, arguments: dict[str, Any]) -> dict[str, Any]:
     return {k: v for k, v in arguments.items() if k in parameters}
 
 
-def _skips(stage: Stage, arguments: dict[str, Any]) -> bool:
+def _skips(stage: Stage, visible: dict[str, str]) -> Column:
     """An error in the condition means that the stage is not skipped."""
-    if stage.skip_when is None:
-        return False
-    try:
-        return bool(stage.skip_when(**_takes(stage.skip_when, arguments)))
-    except Exception:
-        return False
-
-
-def _called(stage: Stage, arguments: dict[str, Any]) -> dict[str, Any]:
-    """The declared outputs of one call, cast without loss; what does not fit is null, what breaks a rule an error."""
-    if stage.io_mode == "error" and (missing := [i for i in stage.inputs if arguments.get(i) is None]):
-        raise ValueError(f"missing_input: {missing}")
+    test = stage.skip_when
+    if test is None:
+        return F.lit(False)
+    if not callable(test) or isinstance(test, Column):
+        test = _column(test)
+        return F.when(raises(test), F.lit(False)).otherwise(F.coalesce(test, F.lit(False)))
+    packed, names = _packed(test, visible)
+    constants = stage.constants
+
+    def one(arguments: dict[str, Any]) -> bool:
+        try:
+            return bool(test(**_takes(test, constants | arguments)))
+        except Exception:
+            return False
+
+    @F.arrow_udf("boolean")
+    def found(batch: pa.Array) -> pa.Array:
+        return pa.array([one(row) for row in _rows(batch, names)], pa.bool_())
+
+    return found(packed)
+
+
+def _lost_inputs(df: DataFrame, stage: Stage, visible: dict[str, str]) -> Column:
+    """The inputs that are missing or no artifacts, as a message; null if none."""
+    if stage.io_mode == "off":
+        return F.lit(None).cast("string")
+
+    def lost(name: str, artifact: bool) -> Column:
+        if name in stage.constants and not artifact:
+            return F.lit(stage.constants[name] is None)
+        if name not in visible or (artifact and df.schema[visible[name]].dataType != FILE_REF):
+            return F.lit(True)
+        return F.col(f"`{visible[name]}`").isNull()
+
+    def told(kind: str, names: tuple[str, ...], artifact: bool) -> Column:
+        gone = F.array_compact(F.array(*[F.when(lost(n, artifact), F.lit(n)) for n in names], F.lit(None).cast("string")))
+        return F.when(F.size(gone) > 0, F.concat(F.lit(f"{kind}: "), F.array_join(gone, ", ")))
+
+    return F.coalesce(told("missing_input", stage.inputs, False), told("not_artifact_input", stage.input_artifacts, True))
+
+
+def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list[Stage]) -> DataFrame:
+    """A stage's outputs and its record."""
+    visible = _visible(stage, grid, done)
+    none = F.lit(None).cast("string")
+    df = df.withColumns({"_cancelled": _cancelled(flow, stage), "_lost": _lost_inputs(df, stage, visible), "_skip": _skips(stage, visible)})
+    df = df.withColumns({"_skipped": F.col("_skip") & ~F.col("_cancelled")})
+    idle = F.col("_cancelled") | F.col("_skipped")
+    barred = F.col("_lost").isNotNull() & F.lit(stage.io_mode == "error")
+    df = df.withColumn("_run", ~idle & ~barred)
+    df = _columns_made(df, stage) if stage.is_columns else _function_made(df, flow, stage, visible)
+
+    # What went wrong, as "kind: message"; the first of a lost input, an error of the stage's own, a broken rule.
+    broken = none
+    for name, kind in stage.schema.fields:
+        if (rule := stage.schema.rule(name)) is not None:
+            rest = rule.broken(F.col(f"_v_{name}"), kind.stored if isinstance(kind, Flex) else kind)
+            broken = F.coalesce(broken, F.when(rest.isNotNull(), F.concat(F.lit(f"{name}: "), rest)))
+    broken = F.when(F.col("_run") & F.col("_error").isNull(), broken)
+    df = df.withColumn("_broken", broken)
+    lost = F.when(~idle & barred, F.split_part("_lost", F.lit(": "), F.lit(1)))
+    # After a cancellation there is nothing else to tell; a warning is told beside what is well.
+    kind_of = F.coalesce(F.when(F.col("_cancelled"), "cancelled"), lost, F.col("_kind"), F.when(F.col("_broken").isNotNull(), "contract"))
+    warned = F.concat_ws("; ", F.when(F.lit(stage.io_mode == "warn"), F.col("_lost")), F.col("_warning"))
+    message = F.coalesce(F.when(F.col("_cancelled"), "a stage before it did not succeed"), F.when(lost.isNotNull(), F.col("_lost")), F.col("_error"), F.col("_broken"), F.when(~idle & (warned != ""), warned))
+    df = df.withColumns({"_kind": kind_of, "_message": message})
+    failed = ~idle & F.col("_kind").isNotNull()
+    status = F.when(F.col("_cancelled"), "cancelled").when(F.col("_skipped"), "skipped").when(failed, "failed").otherwise("completed")
+    outputs = {stage.named(name): F.when(F.col("_run") & ~failed, F.col(f"_v_{name}")) for name, _ in stage.schema.fields}
+    record = F.struct(
+        F.lit(stage.id).alias("stage"), (~idle & ~failed).alias("ok"), F.col("_skipped").alias("skipped"), status.alias("status"), F.col("_began").alias("started_at"), F.col("_ended").alias("ended_at"),
+        F.coalesce((F.unix_micros("_ended") - F.unix_micros("_began")) / 1000, F.lit(0.0)).alias("duration_ms"), F.col("_host").alias("host"), F.when(F.col("_run"), F.col("_attempt")).otherwise(0).alias("attempt"),
+        F.when(F.col("_run"), F.col("_attempt") - 1).otherwise(0).alias("retry_count"), none.cast("double").alias("queue_ms"), F.col("_kind").alias("error_class"), F.col("_message").alias("error_message"),
+    )
+    df = df.withColumns(outputs | {".diag": F.concat("`.diag`", F.array(record.cast(DIAG)))})
+    return df.drop("_cancelled", "_skip", "_skipped", "_lost", "_run", "_error", "_kind", "_warning", "_broken", "_message", "_began", "_ended", "_host", "_attempt", *[f"_v_{n}" for n, _ in stage.schema.fields])
+
+
+def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
+    """Expressions are evaluated where nothing keeps the stage from running; one that raises makes its row fail."""
+    none = F.lit(None).cast("string")
+    made = {name: _column(stage.does[name]) for name, _ in stage.schema.fields if name in stage.does}
+    raised = F.array_compact(F.array(*[F.when(raises(F.when(F.col("_run"), value)), F.lit(name)) for name, value in made.items()], none))
+    now = F.current_timestamp()
+    absent = [n for n in stage.expected if n not in stage.does]
+    missing = F.lit(f"missing_output: {', '.join(absent)}") if absent else none
+    df = df.withColumns({"_raised": raised, "_began": now, "_ended": now, "_host": none, "_attempt": F.lit(1), "_warning": missing if stage.io_mode == "warn" else none})
+    error = F.when(F.size("_raised") > 0, F.concat(F.lit("raised an error: "), F.array_join("_raised", ", ")))
+    kind = F.when(F.size("_raised") > 0, "expression")
+    if absent and stage.io_mode == "error":
+        error, kind = missing, F.lit("missing_output")
+    df = df.withColumns({"_error": F.when(F.col("_run"), error), "_kind": F.when(F.col("_run"), kind)})
+    values = {}
+    for name, kind in stage.schema.fields:
+        if name in made:
+            own = df.select(made[name].alias("v")).schema["v"].dataType
+            values[f"_v_{name}"] = F.when(F.col("_run") & F.col("_error").isNull(), lossless_column(made[name], own, kind))
+        else:
+            values[f"_v_{name}"] = F.lit(None).cast(kind)
+    return df.withColumns(values).drop("_raised")
+
+
+def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, str]) -> DataFrame:
+    """The function over the columns it names; rows where it is not to run are passed by."""
+    # A sink names its files by the row's parameters, so it sees the grid.
+    seed = [flow.seed_col] if flow.seed_col in visible else []
+    packed, names = _packed(stage.does, visible, [*seed, *(visible if stage.sink is not None else [])])
+    fields = [(name, kind.stored if isinstance(kind, Flex) else kind) for name, kind in stage.schema.fields]
+    told = [("_error", T.StringType()), ("_kind", T.StringType()), ("_warning", T.StringType()), ("_attempt", T.IntegerType()), ("_host", T.StringType()), ("_from", T.LongType()), ("_to", T.LongType())]
+    out = T.StructType([T.StructField(n, t) for n, t in [*told, *[(f"_v_{name}", kind) for name, kind in fields]]])
+    shape = arrow_type(out)
+    options = (flow.validate, flow.retries, flow.backoff, flow.base, flow.seed_col, flow.run_id, flow.events)
+
+    # A condition that is a column stays here.
+    bare = replace(stage, skip_when=None)
+
+    def work(batch: pa.Array, run: pa.Array, row_id: pa.Array) -> pa.Array:
+        rows = [_attempted(bare, a, options, i) if r else None for a, r, i in zip(_rows(batch, names), run.to_pylist(), row_id.to_pylist(), strict=True)]
+        return pa.array(rows, shape)
+
+    # Not deterministic, as retries and files are not to happen again for each column that is read.
+    work.__annotations__ = {"batch": pa.Array, "run": pa.Array, "row_id": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(work, out).asNondeterministic()
+    df = df.withColumn("_made", made(packed, F.col("_run"), F.col("row_id")))
+    got = {n: F.col(f"_made.{n}") for n in out.names if n not in ("_from", "_to")}
+    return df.withColumns(got | {"_began": F.timestamp_micros("_made._from"), "_ended": F.timestamp_micros("_made._to")}).drop("_made")
+
+
+def _attempted(stage: Stage, arguments: dict[str, Any], options: tuple, row_id: str) -> dict[str, Any]:
+    """One row: the call and its retries."""
+    validate, retries, backoff, base, seed_col, run_id, events = options
+    most = stage.retries if stage.retries is not None else retries
+    if seed_col is not None and arguments.get(seed_col) is not None:
+        _seed(f"{arguments[seed_col]}")
+    began, attempt = time.time_ns(), 0
+    with sending(events, {"run_id": run_id, "row_id": row_id, "stage": stage.id}) as context:
+        while True:
+            attempt += 1
+            context["attempt"] = attempt
+            try:
+                values, warning = _called(stage, stage.constants | arguments, validate)
+                record = {f"_v_{k}": v for k, v in values.items()} | {"_warning": warning}
+                break
+            except Exception as e:  # a stage's own error, which the flow's policy decides on
+                kind = e.kind if isinstance(e, StageError) else type(e).__name__
+                record = {"_error": str(e), "_kind": kind}
+                if attempt > most or stage.retry_on is not None and kind not in stage.retry_on:
+                    break
+                time.sleep(min(LONGEST_SLEEP, retry_delay(attempt, stage.backoff or backoff, base if stage.base is None else stage.base)))
+    return record | {"_attempt": attempt, "_host": socket.gethostname(), "_from": began // 1000, "_to": time.time_ns() // 1000}
+
+
+def _seed(text: str) -> None:
+    """Python's and numpy's own generators, so that a row draws the same in any task."""
+    import numpy as np
+
+    random.seed(text)
+    np.random.seed(zlib.crc32(text.encode()))
+
+
+def _called(stage: Stage, arguments: dict[str, Any], validate: str) -> tuple[dict[str, Any], str | None]:
+    """The declared outputs of one call, cast without loss, and a warning; what does not fit is null, what breaks a rule
+    an error."""
     made = stage.does(**_takes(stage.does, arguments))
     if not isinstance(made, dict):
         if len(stage.schema.fields) != 1:
             raise TypeError("several outputs are declared and one value is returned")
         made = {stage.schema.fields[0][0]: made}
+    warning = None
+    if stage.io_mode != "off" and (absent := [n for n in stage.expected if n not in made]):
+        warning = f"missing_output: {', '.join(absent)}"
+        if stage.io_mode == "error":
+            raise StageError("missing_output", warning)
+    if wrong := validate_row(made, stage.schema, validate):
+        raise StageError("validation", "; ".join(wrong))
     out = {}
     for name, kind in stage.schema.fields:
-        try:
-            out[name] = lossless(made.get(name), kind)
-        except TypeError:
-            out[name] = None
-        if (rule := stage.schema.rule(name)) and (broken := rule.holds(out[name])):
-            raise ValueError(f"{name}: {broken}")
+        rule = stage.schema.rule(name)
+        if rule is not None and (broken := rule.holds(made.get(name))):
+            raise StageError("contract", f"{name}: {broken}")
+        if stage.sink is not None and name in stage.sink.fields:
+            out[name] = made.get(name)
+        elif isinstance(kind, Flex):
+            out[name] = stored_value(made.get(name), kind)
+        else:
+            try:
+                out[name] = lossless(made.get(name), kind)
+            except TypeError:
+                out[name] = None
     if stage.sink is not None:
         out = stage.sink.written(stage.id, out, arguments)
-    return out
+    return out, warning
+
+
+def _plain(value: Any) -> Any:
+    """A value as a function sees it: no NaN for null, no numpy scalars."""
+    if hasattr(value, "item") and not hasattr(value, "__len__"):
+        value = value.item()
+    return None if isinstance(value, float) and value != value or value.__class__.__name__ in ("NaTType", "NAType") else value
 
 
 def map_rows(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:

@@ -48,22 +48,17 @@ def grid(spark: SparkSession, where: Column | str | None = None, metadata: bool
 
 
 def lhs_grid(spark: SparkSession, n: int, seed: int = 42, **ranges: tuple[float, float]) -> DataFrame:
-    """A Latin hypercube of ``n`` points: each parameter has one uniform draw in each of n equal strata, in an order of
-    its own. The orders are walks i -> (a i + b) mod n with steps prime to n, so no column is sorted."""
-    from math import gcd
-    from random import Random
-
-    rng = Random(seed)
-    out = spark.range(n).withColumnRenamed("id", "_i")
-    columns = [(F.col("_i") + 1).alias(".lhs_id")]
+    """A Latin hypercube of ``n`` points: each parameter has one uniform draw in each of n equal strata, in a random order
+    of its own (points are numbered by a seeded hash). The same seed gives the same points."""
+    out = spark.range(1, n + 1).withColumnRenamed("id", "_i")
     for k, (name, (low, high)) in enumerate(ranges.items()):
         if not low < high:
             raise ValueError(f"{name}: the minimum is below the maximum")
-        step = next(a for a in iter(lambda: rng.randrange(1, max(2, n)), None) if gcd(a, n) == 1) if n > 1 else 1
-        stratum = F.pmod(F.col("_i") * step + rng.randrange(n), F.lit(n))
-        draw = F.pmod(F.xxhash64("_i", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
-        columns.append((F.lit(float(low)) + (stratum + draw) * ((high - low) / n)).alias(name))
-    return out.select(*columns)
+        hashed = spark.range(1, n + 1).select(F.col("id").alias("_i"), F.xxhash64("id", F.lit(seed), F.lit(2 * k)).alias("_hash"))
+        draw = F.pmod(F.xxhash64("_i", F.lit(seed), F.lit(2 * k + 1)), F.lit(1 << 40)) / float(1 << 40)
+        point = F.lit(float(low)) + (F.col("_stratum") - 1 + draw) * ((high - low) / n)
+        out = out.join(numbered(hashed, "_hash", name="_stratum").select("_i", point.alias(name)), "_i")
+    return out.withColumnRenamed("_i", ".lhs_id")
 
 
 def combine_grids(id_name: str = ".source", **grids: DataFrame) -> DataFrame:

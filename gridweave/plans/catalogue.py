@@ -13,6 +13,7 @@ from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, wi
 from gridweave.operators.ordinals import numbered
 from gridweave.operators.partitioning import Dist, balance_by_weight, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
 from gridweave.plans.flow_plan import dry_run, flow_fingerprint, flow_plan, pending_groups, plan_decision
+from gridweave.plans.flow_plan import resource_envelope as envelope
 from gridweave.sources import catalog as C
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import with_context
@@ -73,10 +74,17 @@ def latin_hypercube(spark, sf_dir):
     return lhs_grid(spark, 200, alpha=(0.0, 1.0), beta=(10.0, 20.0))
 
 
-@query("""select 'p_size' as parameter, count(*) as rows, min(p_size)::varchar as low, max(p_size)::varchar as high from part
-union all select 'p_brand', count(*), min(p_brand), max(p_brand) from part""")
+@query("select p.parameter, s.stratum, 1::bigint as n from (values ('alpha'), ('beta')) p(parameter), (select unnest(range(200)) as stratum) s")
+def latin_hypercube_strata(spark, sf_dir):
+    """Each parameter has one point in each stratum."""
+    points = lhs_grid(spark, 200, alpha=(0.0, 1.0), beta=(10.0, 20.0)).select(F.inline(F.array(F.struct(F.lit("alpha").alias("parameter"), F.floor(F.col("alpha") * 200).alias("stratum")), F.struct(F.lit("beta").alias("parameter"), F.floor((F.col("beta") - 10) * 20).alias("stratum")))))
+    return points.groupBy("parameter", "stratum").agg(F.count("*").alias("n"))
+
+
+@query("""select 'p_size' as parameter, count(*) as rows, count(distinct p_size) as n_distinct, min(p_size)::varchar as low, max(p_size)::varchar as high from part
+union all select 'p_brand', count(*), count(distinct p_brand), min(p_brand), max(p_brand) from part""")
 def grid_description(spark, sf_dir):
-    return describe_grid(table(spark, sf_dir, "part").select("p_size", "p_brand")).select("parameter", "rows", F.col("min").alias("low"), F.col("max").alias("high"))
+    return describe_grid(table(spark, sf_dir, "part").select("p_size", "p_brand")).select("parameter", "rows", "n_distinct", F.col("min").alias("low"), F.col("max").alias("high"))
 
 
 @query("""select chunk, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key, o_orderstatus as status from (
@@ -97,7 +105,9 @@ def balance_in_turn(spark, sf_dir):
     return balance_round_robin(table(spark, sf_dir, "supplier"), "s_suppkey", 7, "grp").select("s_suppkey", "grp")
 
 
-@query()
+@query("""with c as (select *, case when o_totalprice is null then -10001 when o_totalprice = 0 then -10000 when o_totalprice > 0 then floor(log2(o_totalprice::double) * 4) else -20000 - floor(log2(abs(o_totalprice::double)) * 4) end::bigint as class from orders),
+r as (select *, row_number() over (order by class desc, o_orderkey) - 1 as place from c)
+select (place % 8 + 1)::bigint as "group", count(*) as n, round(sum(o_totalprice), 2) as weight from r group by 1""")
 def balance_weights(spark, sf_dir):
     rows = balance_by_weight(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 8)
     return rows.groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("weight"))
@@ -172,6 +182,67 @@ def flow_functions(spark, sf_dir):
     return out.select("o_orderkey", F.col("`part.rest`").cast("long").alias("rest"), F.col("`.ok`").alias("ok"))
 
 
+@query("""with r as (select o_orderkey, o_orderkey % 4 as d, error, kind from orders, (values ('propagate'), ('keep'), ('omit')) e(error), (values ('columns'), ('function')) k(kind))
+select o_orderkey, error, kind, (case when d > 0 then 12 // d end)::int as share, (case when d > 0 then 12 // d + 1 when error = 'keep' then 0 end)::int as next, d > 0 as ok, case when d > 0 then 'completed' else 'failed' end as status
+from r where d > 0 or error <> 'omit'""")
+def flow_error_modes(spark, sf_dir):
+    """Stages that raise, of columns and of functions, under each policy that returns rows."""
+    grid = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("d"))
+    kinds = {"columns": ({"share": "12 div d"}, {"next": "coalesce(`s.share`, -1) + 1"}), "function": (lambda d: 12 // d, lambda share: (-1 if share is None else share) + 1)}
+    out = None
+    for error in ("propagate", "keep", "omit"):
+        for kind, (first, second) in kinds.items():
+            f = flow(grid, error=error).stage("s", first, S.returns(share=S.int_())).stage("t", second, S.returns(next=S.int_()), needs=("s",))
+            rows = f.collect().select("o_orderkey", F.lit(error).alias("error"), F.lit(kind).alias("kind"), F.col("`s.share`").alias("share"), F.col("`t.next`").alias("next"), F.col("`.ok`").alias("ok"), F.element_at("`.diag`", 1)["status"].alias("status"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""select o_orderkey, kind, (case when o_orderkey % 2 = 0 then o_orderkey // 2 end)::int as half, (case when round(o_totalprice) = o_totalprice then o_totalprice end)::int as whole, o_orderkey::double as number, null::varchar as text,
+(case when o_orderkey % 3 < 2 then o_orderkey % 3 = 1 end) as flag, o_orderstatus as status from orders, (values ('columns'), ('function')) k(kind)""")
+def flow_casts(spark, sf_dir):
+    """Declared types hold without loss for either kind of stage."""
+    grid = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus")
+    shape = S.returns(half=S.int_(), whole=S.int_(), number=S.dbl(), text=S.chr_(), flag=S.lgl(), status=S.chr_())
+    columns = {"half": "o_orderkey / 2", "whole": "price", "number": "o_orderkey", "text": "o_orderkey", "flag": "o_orderkey % 3", "status": "o_orderstatus"}
+    function = lambda o_orderkey, price, o_orderstatus: {"half": o_orderkey / 2, "whole": price, "number": o_orderkey, "text": o_orderkey, "flag": o_orderkey % 3, "status": o_orderstatus}
+    out = None
+    for kind, does in (("columns", columns), ("function", function)):
+        rows = flow(grid).stage("s", does, shape).collect().select("o_orderkey", F.lit(kind).alias("kind"), *[F.col(f"`s.{n}`").alias(n) for n, _ in shape.fields])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""with r as (select p_partkey, p_size, kind, case when p_size is null then 'size: missing' when p_size < 5 then 'size: min' when p_size > 45 then 'size: max' when p_size % 7 = 0 then 'size: predicate' end as broken
+from part, (values ('columns'), ('function')) k(kind)) select p_partkey, kind, case when broken is null then p_size end::int as size, broken, broken is null as ok from r""")
+def flow_contracts(spark, sf_dir):
+    """Every part of a rule is enforced for either kind of stage."""
+    rule = S.ctr_field("size", min=5, max=45, allow_na=False, type=S.int_(), predicate=lambda c: c % 7 != 0)
+    grid, out = table(spark, sf_dir, "part").select("p_partkey", "p_size"), None
+    for kind, does in (("columns", {"size": "p_size"}), ("function", lambda p_size: p_size)):
+        made = flow(grid, error="keep").stage("s", does, S.returns(size=S.int_(), _contract=(rule,))).collect()
+        rows = made.select("p_partkey", F.lit(kind).alias("kind"), F.col("`s.size`").alias("size"), F.element_at("`.diag`", 1)["error_message"].alias("broken"), F.col("`.ok`").alias("ok"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""select o_orderkey, case when o_orderkey % 2 = 0 then 'completed' else 'failed' end as status, case when o_orderkey % 2 = 1 then 'missing_output: b' end as message from orders""")
+def flow_missing_outputs(spark, sf_dir):
+    """A declared output that is not returned is an error where the stage says so."""
+    does = lambda o_orderkey: {"a": 1, "b": 2} if o_orderkey % 2 == 0 else {"a": 1}
+    made = flow(table(spark, sf_dir, "orders").select("o_orderkey")).stage("s", does, S.returns(a=S.int_(), b=S.int_()), io_mode="error").collect()
+    return made.select("o_orderkey", F.element_at("`.diag`", 1)["status"].alias("status"), F.element_at("`.diag`", 1)["error_message"].alias("message"))
+
+
+@query("""select o_orderkey, o_orderkey % 5 in (0, 1) as ok, case when o_orderkey % 5 not in (0, 1) then 'validation' end as error_class from orders""")
+def flow_flexible_types(spark, sf_dir):
+    """Union and predicate types, checked value by value."""
+    values = [3, "text", 3.5, [1], None]
+    kind = S.one_of(S.pred(lambda v: isinstance(v, int) and v > 2), S.isa("str"))
+    made = flow(table(spark, sf_dir, "orders").select("o_orderkey")).stage("s", lambda o_orderkey: {"v": values[o_orderkey % 5]}, S.returns(v=kind)).collect()
+    return made.select("o_orderkey", F.col("`.ok`").alias("ok"), F.element_at("`.diag`", 1)["error_class"].alias("error_class"))
+
+
 @query("select o_orderkey, case when round(o_totalprice) = o_totalprice then o_totalprice::int end as whole, case when o_orderkey % 4 = 0 then (o_orderkey // 4)::int end as quarter from orders")
 def lossless_cast(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.lossless_int(F.col("o_totalprice")).alias("whole"), X.lossless_int(F.col("o_orderkey") / 4).alias("quarter"))
@@ -212,6 +283,23 @@ def plan_fingerprint(spark, sf_dir):
     return flow_fingerprint(_priced(spark, sf_dir))
 
 
+@query("select 'same rows in other partitions' as change, true as same union all select 'one row less', false union all select 'another stage', false")
+def plan_fingerprint_changes(spark, sf_dir):
+    """What changes a flow's fingerprint and what does not."""
+    f = _priced(spark, sf_dir)
+    last = f.grid.agg(F.max("l_orderkey").alias("m"))
+    others = {
+        "same rows in other partitions": Flow(f.grid.repartition(7), f.stages),
+        "one row less": Flow(f.grid.join(F.broadcast(last), (F.col("l_orderkey") == F.col("m")) & (F.col("l_linenumber") == 1), "left_anti"), f.stages),
+        "another stage": f.stage("more", {"z": "1"}, S.returns(z=S.int_())),
+    }
+    own, out = flow_fingerprint(f).select(F.col("fingerprint").alias("own")), None
+    for change, other in others.items():
+        row = flow_fingerprint(other).crossJoin(F.broadcast(own)).select(F.lit(change).alias("change"), (F.col("own") == F.col("fingerprint")).alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("select c_nationkey, c_mktsegment from customer group by all having not bool_and(c_acctbal > 0)")
 def prune_groups(spark, sf_dir):
     return pending_groups(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], F.col("c_acctbal") > 0)
@@ -270,10 +358,12 @@ def catalog_search(spark, sf_dir):
     return C.catalog_search(rows, "[0-9]7", fields=("path",)).select("page_id")
 
 
-@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
+@query("select page_id, page_id % 3 = 0 as held, case when page_id % 3 = 0 then 'fit' end as stage from pages")
 def sidecar_semi(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(held, "c_custkey", "left_semi").select("c_custkey")
+    """Files with the sidecars of those that have one."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/a/"), F.col("page_id").cast("string")).alias("path"))
+    sides = p.where("page_id % 3 = 0").select("path", F.lit('{"stage": "fit", "bytes": 7}').alias("value"))
+    return C.with_sidecars(p, sides).select("page_id", F.col("_s").isNotNull().alias("held"), F.col("_s.stage").alias("stage"))
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
@@ -291,7 +381,8 @@ def log_context(spark, sf_dir):
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def props_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
+    return R.parsed_lines(rows, S.record("k string")).select("event_id", "k")
 
 
 @query("""select event_id, md5(regexp_replace(trim(regexp_replace('Error at line ' || event_id || ' in /tmp/run' || user_id || '/model.R: bad ' || event_type, '\\bat\\s+line\\s+\\d+', 'at line <N>', 'gi').replace('/tmp/run' || user_id || '/model.R:', '<path>/model.R:')), '\\s+', ' ', 'g')) as fp from events""".replace("regexp_replace('Error", "regexp_replace('Error").replace(".replace('/tmp/run' || user_id || '/model.R:', '<path>/model.R:')", ""))
@@ -305,9 +396,9 @@ ORACLE_SQL["message_fingerprints"] = "select event_id, md5('Error at line <N> in
 
 @query("""with e as (select event_type || ' ' || user_id as message, day(ts) as run from events),
 t as (select message, min(run) first_seen, max(run) last_seen, count(distinct run) n_runs from e group by message)
-select md5(message) as fingerprint, message, first_seen, last_seen, n_runs, case when n_runs = (select max(run) from e) then 'persistent' when first_seen = (select max(run) from e) then 'new' when last_seen < (select max(run) from e) then 'resolved' else 'flaky' end as pattern from t""")
+select md5(message) as fingerprint, message, split_part(message, ' ', 1) as class, first_seen, last_seen, n_runs, case when n_runs = (select max(run) from e) then 'persistent' when first_seen = (select max(run) from e) then 'new' when last_seen < (select max(run) from e) then 'resolved' else 'flaky' end as pattern from t""")
 def failure_patterns(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("message"), F.dayofmonth("ts").cast("long").alias("run_idx"))
+    e = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("message"), F.dayofmonth("ts").cast("long").alias("run_idx"), F.col("event_type").alias("class"))
     return D.failure_patterns(e)
 
 
@@ -328,6 +419,18 @@ def failure_report(spark, sf_dir):
     return D.failure_report(e.select(D.classify_failure(F.col("s"), F.when(F.col("event_id") % 10 == 9, 9), kind, status).alias("class")))
 
 
+@query("""select event_id, case event_id % 4 when 0 then 'oom' when 1 then 'timeout' when 2 then 'r_error' else 'slurm_infra' end as class, case event_id % 4 when 0 then 'OOM' when 1 then 'TIMEOUT' when 2 then 'ERROR' else 'NODE_FAIL' end as label,
+case event_id % 4 when 0 then 'killed for memory at 3.0G against 2G' when 1 then 'out of time after 1:00:' || lpad((event_id % 60)::varchar, 2, '0') when 2 then event_type else 'a node failed' end as detail,
+case event_id % 4 when 0 then 'ask for 3G of memory' when 1 then 'ask for 3:00:00 of time' when 3 then 'run it again' end as suggestion from events""")
+def failure_details(spark, sf_dir):
+    k = F.col("event_id") % 4
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(k == 0, "OUT_OF_MEMORY").when(k == 1, "TIMEOUT").when(k == 3, "NODE_FAIL").alias("state"), F.lit(None).cast("int").alias("signal"), F.when(k == 2, "ValueError").alias("error_class"), F.col("event_type").alias("error_message"),
+        F.when(k == 2, "failed").alias("status"), F.lit(3 * 1024**3).cast("long").alias("max_rss"), F.lit("2G").alias("requested_memory"), (3600 + F.col("event_id") % 60).alias("elapsed_seconds"),
+    )
+    return D.failure_details(e).select("event_id", "class", "label", "detail", "suggestion")
+
+
 @query("select event_type as stage, count(*) as total, count(*) filter (user_id % 3 = 0) as completed, count(*) filter (user_id % 3 = 1) as failed, count(*) filter (user_id % 3 = 2) as cancelled, 0::bigint as skipped, round(median(value), 4) as median_ms from events group by event_type union all select 'idle', 0, 0, 0, 0, 0, null")
 def attempt_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), F.element_at(F.array(*map(F.lit, ("completed", "failed", "cancelled"))), (F.col("user_id") % 3 + 1).cast("int")).alias("status"))
@@ -338,7 +441,9 @@ def attempt_summary(spark, sf_dir):
 @query("select user_id as chunk_id, count(*) as n_elements, count(*) filter (event_type = 'error') as n_errors, coalesce(sum(event_id) filter (event_type = 'error'), 0)::bigint as error_sum from events group by user_id")
 def packed_errors(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("index"), (F.col("event_type") == "error").alias("is_error"))
-    return D.packed_errors(e).select("chunk_id", "n_elements", "n_errors", F.aggregate("error_indices", F.lit(0).cast("long"), lambda a, x: a + x).alias("error_sum"))
+    # Users have errors in several blocks of indices.
+    rows = D.packed_errors(e).withColumn("own", F.aggregate("error_indices", F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.groupBy("chunk_id").agg(F.sum("n_elements").alias("n_elements"), F.sum("n_errors").alias("n_errors"), F.sum("own").alias("error_sum"))
 
 
 @query("select o_orderkey, (o_orderkey // 3600)::varchar || ':' || lpad(((o_orderkey % 3600) // 60)::varchar, 2, '0') || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') as t, '+' || (o_orderkey // 3600)::varchar || ':' || lpad(((o_orderkey % 3600) // 60)::varchar, 2, '0') || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') as off, o_orderkey::double as back from orders")
@@ -371,9 +476,25 @@ def path_stem(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.stem(F.col("url")).alias("stem"))
 
 
-@query("select p_brand, arg_max(p_partkey, p_size::bigint * 1000000000 + p_partkey) as p_partkey, max(p_size) as p_size from part group by p_brand")
+@query("""select p_brand, max(p_size) as cpus, max(floor(p_retailprice)::bigint)::varchar || 'M' as memory, (max(p_size) // 60)::varchar || ':' || lpad((max(p_size) % 60)::varchar, 2, '0') || ':00' as time from part group by p_brand""")
 def resource_envelope(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("p_partkey"), F.max("p_size").alias("p_size"))
+    p = table(spark, sf_dir, "part")
+    asks = p.select("p_brand", F.col("p_size").alias("cpus"), F.concat(F.floor("p_retailprice").cast("long").cast("string"), F.lit("M")).alias("memory"), F.concat(F.col("p_size").cast("string"), F.lit("min")).alias("time"))
+    return envelope(asks, "p_brand")
+
+
+@query("""with j as (select c_custkey, case c_custkey % 4 when 0 then 'FAILED' when 1 then 'TIMEOUT' when 2 then 'COMPLETED' else 'RUNNING' end as state from customer), h as (select distinct o_custkey from orders)
+select o_custkey as chunk_id, o_orderkey::varchar as row_id, 'fit' as stage, 'late' as error_msg, 'index' as source, case when state = 'TIMEOUT' then 'timeout' else 'r_error' end as class from orders left join j on c_custkey = o_custkey where o_orderstatus = 'P'
+union all select c_custkey, null, null, lower(state) || ' without a result', 'missing', case state when 'TIMEOUT' then 'timeout' else 'r_crash' end from j where state <> 'RUNNING' and c_custkey not in (select o_custkey from h)""")
+def error_table(spark, sf_dir):
+    """Errors in results, joined to their chunks' states, under those of chunks without a result."""
+    o = table(spark, sf_dir, "orders")
+    bad = F.col("o_orderstatus") == "P"
+    one = F.struct(F.lit("fit").alias("stage"), (~bad).alias("ok"), F.lit(False).alias("skipped"), F.when(bad, "failed").otherwise("completed").alias("status"), F.when(bad, "ValueError").alias("error_class"), F.when(bad, "late").alias("error_message"))
+    results = o.select(F.col("o_custkey").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("row_id"), F.array(one).alias(".diag"))
+    state = F.element_at(F.array(*map(F.lit, ("FAILED", "TIMEOUT", "COMPLETED", "RUNNING"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), state.alias("state"))
+    return D.run_errors(results, jobs).drop("context")
 
 
 @query("""select n_nationkey, sha1('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') as row_key from nation""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import getpass
 import hashlib
 import json
 import os
@@ -9,13 +10,15 @@ import pickle
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.schema import record
+from gridweave.schema import FILE_REF, record
+from gridweave.sources.events import run_context
 
 SIDECAR = record(
     "stage string, field string, row_key string, sha256 string, bytes long, written boolean, existed boolean, created_at string, creator string, code_version string, schema_signature string, params_hash string, params map<string,string>, upstream_run_id string, run_key string, run_status string, stage_fingerprint string"
@@ -90,7 +93,8 @@ class Sink:
     """Fields of a stage that become files below ``base`` (a folder that all executors share) and file references.
 
     ``overwrite``: skip (an existing file stays), overwrite or error. Files are written beside their place and renamed,
-    and paths follow from the row alone, so a task that runs twice does no harm.
+    and paths follow from the row alone, so a task that runs twice does no harm. Sidecars have every field of SIDECAR;
+    the status in them is that of the run while its stage writes.
     """
 
     fields: tuple[str, ...]
@@ -99,6 +103,9 @@ class Sink:
     format: str = "rds"
     overwrite: str = "skip"
     sidecar: bool = True
+    code_version: str | None = None
+    schema_signature: str | None = None
+    stage_fingerprint: str | None = None
 
     def path(self, stage: str, field: str, row: dict[str, Any]) -> str:
         key = hashlib.sha1(json.dumps({k: v for k, v in row.items() if not k.startswith(".")}, sort_keys=True, default=str).encode()).hexdigest()
@@ -128,11 +135,46 @@ class Sink:
         ref = {"path": path, "bytes": os.path.getsize(path), "sha256": digest, "written": write, "existed": existed}
         if self.sidecar and write:
             params = {k: str(v) for k, v in row.items() if not k.startswith(".") and "." not in k}
-            _write_json({"stage": stage, "field": field, "row_key": os.path.basename(path).split(".")[0], "params": params, **{k: ref[k] for k in ("sha256", "bytes", "written", "existed")}}, f"{path}.side")
+            known = run_context() or {}
+            told = {
+                "stage": stage, "field": field, "row_key": os.path.basename(path).split(".")[0], "params": params, "params_hash": hashlib.sha1(json.dumps(params, sort_keys=True).encode()).hexdigest(),
+                "created_at": datetime.now(UTC).isoformat(), "creator": getpass.getuser(), "code_version": self.code_version, "schema_signature": self.schema_signature, "stage_fingerprint": self.stage_fingerprint,
+                "upstream_run_id": known.get("run_id"), "run_key": hashlib.sha1(f"{known.get('run_id')}/{stage}/{self.stage_fingerprint}".encode()).hexdigest(), "run_status": "running",
+            }
+            _write_json(told | {k: ref[k] for k in ("sha256", "bytes", "written", "existed")}, f"{path}.side")
             os.replace(f"{path}.side", f"{path}.json")
         return ref
 
 
+def temporary_sink(fields: tuple[str, ...], base: str, prefix: str = "quick", **options: Any) -> Sink:
+    """A sink in a new folder of its own below ``base``, which all executors share."""
+    return Sink(fields, os.path.join(base, f"{prefix}-{datetime.now(UTC):%Y%m%d_%H%M%S}-{uuid.uuid4().hex[:8]}"), **options)
+
+
+def is_file_ref(kind: T.DataType) -> bool:
+    """Whether a column of this type holds file references."""
+    return isinstance(kind, T.StructType) and {f.name: f.dataType for f in FILE_REF}.items() <= {f.name: f.dataType for f in kind}.items()
+
+
+def file_ref_of(path: Column, size: Column, reused: bool = False) -> Column:
+    """A reference to a file that is there: written just now, or reused."""
+    values = {"path": path, "bytes": size.cast("long"), "sha256": F.lit(None).cast("string"), "written": F.lit(not reused), "existed": F.lit(reused)}
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """All JSON files below a folder under one another, with the union of their fields; files that are no JSON are left
+    out. The fields are inferred, so the files are read twice."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(folder, multiLine=True)
+    return rows
+
+
+def manifest_clear(spark: SparkSession, folder: str, stage: str | None = None) -> bool:
+    """Deletes the manifest of one stage (a file or folder of its name) or all there are; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder if stage is None else f"{folder}/{stage}.jsonl")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(ref: dict[str, Any], format: str) -> Any:
     """The value of a file reference."""
     return _formats[format].reader(ref["path"])
@@ -144,15 +186,20 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
     return files if pattern is None else files.where(F.col("path").rlike(pattern))
 
 
+def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Files (path, any other columns) with ``_s``: their sidecars (path of the file, value as JSON) in SIDECAR's fields."""
+    return files.join(sidecars.select("path", F.from_json("value", SIDECAR).alias("_s")), "path", "left")
+
+
 def artifact_catalog(spark: SparkSession, folder: str, pattern: str | None = None, limit: int | None = None, without_sidecar: bool = False) -> DataFrame:
     """A row for each artifact with its sidecar's fields, in the order of paths, then limited. Sidecars without an
     artifact are left out; artifacts without one come in on request, with what their paths tell."""
     files = list_files(spark, folder)
     sides = files.where(F.col("path").endswith(".json")).select(F.regexp_replace("path", r"\.json$", "").alias("path"))
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_replace("_metadata.file_path", r"\.json$", "").alias("_p"), F.from_json("value", SIDECAR).alias("_s"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_replace("_metadata.file_path", r"\.json$", "").alias("_p"), "value")
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     base = files.join(sides, "path", "left_semi").select(plain("path").alias("path"), F.col("bytes").alias("_bytes"), "mtime")
-    rows = base.join(text.select(plain("_p").alias("path"), "_s"), "path", "left").select("path", F.coalesce("_s.bytes", "_bytes").alias("bytes"), "mtime", *[F.col(f"_s.{f.name}").alias(f.name) for f in SIDECAR if f.name != "bytes"])
+    rows = with_sidecars(base, text.select(plain("_p").alias("path"), "value")).select("path", F.coalesce("_s.bytes", "_bytes").alias("bytes"), "mtime", *[F.col(f"_s.{f.name}").alias(f.name) for f in SIDECAR if f.name != "bytes"])
     if without_sidecar:
         bare = files.where(~F.col("path").endswith(".json")).join(sides, "path", "left_anti").select(plain("path").alias("path"), "bytes", "mtime")
         rows = rows.unionByName(inferred(bare), allowMissingColumns=True)

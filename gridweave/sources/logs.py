@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line (from 1, in the order of the file) and text. A file is read whole by one task, since its lines have
-    no number before that."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    """file, line (from 1, in the order of the file) and text. Files are read in splits; lines are numbered by the split
+    they are in and their place there, so a very long log is no burden to one task."""
+    splits = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), splits.alias("_p"), F.col("value").alias("text"))
+    # Of one file, splits later in it and lines later in a split have larger ids within a split.
+    within = F.row_number().over(Window.partitionBy("file", "_p.file_block_start").orderBy("_p.at"))
+    placed = lines.withColumn("_n", within)
+    sizes = placed.groupBy("file", F.col("_p.file_block_start").alias("_start")).agg(F.max("_n").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("file").orderBy("_start")) - F.col("_size")
+    offsets = sizes.select("file", "_start", before.alias("_before"))
+    joined = placed.withColumn("_start", F.col("_p.file_block_start")).join(offsets, ["file", "_start"])
+    return joined.select("file", (F.col("_before") + F.col("_n")).cast("int").alias("line"), "text")
 
 
 def find_logs(lines: DataFrame, states: DataFrame | None = None, failed_only: bool = True) -> DataFrame:
@@ -37,6 +45,22 @@ def with_context(lines: DataFrame, match: Column, by: str, order: str, before: i
     return copies.withColumn("_near", near).where((F.col("_own") == F.col("_block")) & F.col("_near")).drop("_own", "_block", "_near")
 
 
-def capped(matches: DataFrame, order: list[str], most: int) -> DataFrame:
-    """The first matches, as a report shows them."""
-    return matches.orderBy(*order).limit(most)
+def capped(lines: DataFrame, match: Column, order: list[str], most: int) -> DataFrame:
+    """``lines`` with ``hit``: whether a line matches and is one of the first ``most`` that do, in an order over all files."""
+    place = F.struct(*order)
+    # One row, from no more rows than the cap.
+    last = lines.where(match).orderBy(*order).limit(most).agg(F.max(place).alias("_last"))
+    return lines.crossJoin(F.broadcast(last)).withColumn("hit", F.coalesce(match & (place <= F.col("_last")), F.lit(False))).drop("_last")
+
+
+def search_logs(lines: DataFrame, pattern: str, context: int = 3, max_matches: int | None = 50) -> DataFrame:
+    """Lines (file, line, text) that match or lie near one that does, with ``is_match``; at most so many matches over
+    all files."""
+    match = F.col("text").rlike(pattern)
+    rows = lines.withColumn("hit", match) if max_matches is None else capped(lines, match, ["file", "line"], max_matches)
+    return with_context(rows, F.col("hit"), "file", "line", context, context).drop("hit")
+
+
+def by_time(files: DataFrame) -> DataFrame:
+    """Files (path, mtime) from the oldest on."""
+    return files.orderBy("mtime", "path")

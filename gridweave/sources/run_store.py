@@ -22,13 +22,19 @@ MANIFEST = record("stage_id string, param_cols array<string>, params map<string,
 REGISTRY = record("run_id string, status string, backend string, n_chunks long, label string, created_at string, updated_at string")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Well-formed JSON lines of files or folders, with the file and the line's place in it."""
+def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines (``value``, any other columns) as records beside the other columns; blank and malformed ones are left out."""
     marked = T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())])
-    # Read as text and parsed, so that a query of any columns knows which lines are malformed.
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    # Parsed from text, so that a query of any columns knows which lines are malformed.
     rows = lines.where(F.trim("value") != "").withColumn("_row", F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    return rows.where(F.col("_row._corrupt_record").isNull() & F.col("_row").isNotNull()).select("_file", "_line", *[F.col(f"_row.{f.name}").alias(f.name) for f in schema])
+    rows = rows.where(F.col("_row._corrupt_record").isNull() & F.col("_row").isNotNull())
+    return rows.select(*[c for c in lines.columns if c != "value"], *[F.col(f"_row.{f.name}").alias(f.name) for f in schema])
+
+
+def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Well-formed JSON lines of files or folders, with the file and the line's place in it."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    return parsed_lines(lines, schema)
 
 
 def append_line(path: str, record: dict[str, Any]) -> None:
@@ -128,3 +134,17 @@ def run_ls(registry: DataFrame, status: list[str] | None = None, n: int = 20) ->
     rows = compact(registry, "run_id", "_line", [c for c in registry.columns if c not in ("run_id", "_line", "_file")])
     rows = rows if status is None else rows.where(F.col("status").isin(*status))
     return rows.orderBy(F.col("created_at").desc_nulls_last(), "run_id").limit(n)
+
+
+def run_info(registry: DataFrame, status: DataFrame, events: DataFrame, run_id: str) -> DataFrame:
+    """One row about a run: its registry record under its status snapshot, and counts of its events. A run of which
+    nothing is known has the status "unknown"."""
+    fields = [c for c in registry.columns if c not in ("run_id", "_line", "_file")]
+    own = compact(registry.where(F.col("run_id") == run_id), "run_id", "_line", fields).drop("first_seq")
+    known = merged(own, status.where(F.col("run_id") == run_id).select("run_id", *fields), "run_id")
+    asked = registry.sparkSession.createDataFrame([(run_id,)], "run_id string").join(known, "run_id", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    kinds = events.where(F.col("run_id") == run_id).groupBy("event_type").agg(F.count("*").alias("n"))
+    # A row for each type of event.
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("n"))), F.lit(0))
+    counts = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("event_counts"), of("chunk_failed").alias("chunks_failed"), of("chunk_completed").alias("chunks_completed"))
+    return asked.crossJoin(F.broadcast(counts))

@@ -1,13 +1,16 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as X
 from gridweave.operators import diagnostics as D
 from gridweave.operators.grids import describe_grid
-from gridweave.operators.ordinals import numbered
+from gridweave.operators.ordinals import in_ranges, numbered
 from gridweave.operators.partitioning import balance_by_weight, chunk_by
+from gridweave.plans.flow_plan import larger_memory, resource_envelope
 from gridweave.sources import run_store as R
-from gridweave.sources.logs import find_logs, read_log, with_context
+from gridweave.sources.logs import by_time, find_logs, read_log, search_logs, with_context
 from gridweave.streaming.watch import event_stream, new_errors, progress, watch, windowed_counts
 
 
@@ -50,7 +53,7 @@ def test_manifests(spark):
 
 def test_ordinals_with_a_hot_group(spark):
     df = spark.range(1000).select(F.col("id").alias("o"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 30).cast("string"))).alias("g"))
-    got = {(r.g, r.o): r.row_number for r in numbered(df, "o", ("g",), block=64).collect()}
+    got = {(r.g, r.o): r.row_number for r in numbered(df, "o", ("g",), parts=16).collect()}
     for g in {k[0] for k in got}:
         assert [got[k] for k in sorted(k for k in got if k[0] == g)] == list(range(1, 1 + sum(k[0] == g for k in got)))
     chunks = sorted(r.chunk for r in chunk_by(spark.range(10), "id", n_chunks=4).collect())
@@ -60,6 +63,20 @@ def test_ordinals_with_a_hot_group(spark):
     assert len(sums) == 4 and max(sums) - min(sums) < 0.06 * sum(sums) / 4
 
 
+def test_ordinals_with_gaps(spark):
+    """No range has many more rows than another, however the ordinals are spread."""
+    sparse = spark.range(20_000).select(F.xxhash64("id").alias("o"))
+    uneven = spark.range(20_000).select(F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") * 10**12).alias("o"))
+    for df in (sparse, uneven):
+        sizes = [r["count"] for r in in_ranges(df, "o", 40).groupBy("_block").count().collect()]
+        assert len(sizes) == 40 and max(sizes) < 3 * 500
+        got = [r.row_number for r in numbered(df, "o", parts=40).orderBy("o").collect()]
+        assert got == list(range(1, 20_001))
+    near = spark.range(1000).select((F.col("id") + 2**60).alias("o"))
+    assert [r.row_number for r in numbered(near, "o").orderBy("o").collect()] == list(range(1, 1001))
+    assert numbered(spark.range(0), "id").count() == 0
+
+
 def test_weights_of_any_size(spark):
     cases = ["case when id % 4 = 0 then 1e9 else 1e6 end", "case when id % 4 = 0 then 0.5 else 0.001 end", "pow(10, id % 13 - 3) * (1 + (id % 4) * 4)"]
     for weight in cases:
@@ -92,6 +109,20 @@ def test_logs(spark, tmp_path):
         got = sorted((r.line, r.is_match) for r in with_context(lines, F.col("text").startswith("ERROR"), "file", "line", 3, 2, block).collect())
         want = sorted({n for m in (21, 24, 61) for n in range(m - 3, m + 3)})
         assert [g[0] for g in got] == want and [g[0] for g in got if g[1]] == [21, 24, 61]
+    long = tmp_path / "many"
+    long.mkdir()
+    (long / "big.log").write_text("".join(f"{k} " + "x" * (k % 50) + "\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    big = read_log(spark, str(long))
+    assert big.select("text").rdd.getNumPartitions() > 4
+    assert [(r.line, int(r.text.split(" ")[0])) for r in big.orderBy("line").collect()] == [(k + 1, k) for k in range(3000)]
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+    two = search_logs(lines, "^ERROR", 1, 2)
+    assert sorted((r.line, r.is_match) for r in two.collect()) == [(20, False), (21, True), (22, False), (23, False), (24, True), (25, False)]
+    assert search_logs(lines, "^ERROR", 1).where("is_match").count() == 3
+    assert by_time(spark.createDataFrame([("b", 2), ("a", 1)], "path string, mtime int")).first().path == "a"
     assert tuple(find_logs(lines, spark.createDataFrame([(7, "FAILED")], "chunk_id long, state string")).select("lines", "chunk_id", "state").first()) == (100, 7, "FAILED")
 
 
@@ -128,14 +159,63 @@ def test_scalars(spark):
     assert tuple(one(spark, X.exit_code(F.lit("1:9")))) == (1, 9)
     with pytest.raises(KeyError):
         X.expand("{nothing}")
+    assert one(spark, X.stem(F.lit("/a/sample_07.csv"), r"_(\d+)")) == "07" and one(spark, X.stem(F.lit("/a/b.tar.gz"), "^x")) == "b.tar"
+    for rule, element, want in (("auto", "/x/data 1.csv", "data-1"), ("auto", "plain", "job-3"), ("index", "q", "job-3"), ("stem", "a/b.c", "b"), ("digest", "q", "job-7694f4a6"), (lambda e, n: F.concat(e, F.lit("!")), "f", "f"), (lambda e, n: F.lit(""), "f", "job-3")):
+        assert one(spark, X.named_by(rule, F.lit(element), F.lit(3))) == want
+    with pytest.raises(Exception, match="line break"):
+        one(spark, X.one_line(F.lit("a\nb")))
+    values = X.path_values(datetime.datetime(2024, 5, 6, 7, 8, 9), name="n")
+    assert one(spark, X.expand("{name}/{date}-{time}/{run}", **values)) == "n/20240506-070809/20240506_070809"
+    null = F.lit(None).cast("string")
+    assert one(spark, X.event_brief(F.lit("stage_failed"), F.lit(2), F.lit("fit"), F.lit(1), F.lit("bad"), null, F.lit(1500.0))) == "stage failed chunk 2 / fit (attempt 1) (1.5s): bad"
+    assert one(spark, X.event_brief(F.lit("run_completed"), null, null, null, null, F.lit("all done"), F.lit(None).cast("double"))) == "run completed: all done"
+    assert tuple(one(spark, X.submit_error(F.lit("Socket timed out")))) == ("submission_transient_error", True)
+    assert one(spark, larger_memory(F.lit("8G"), F.lit("9000M"))) == "9000M" and one(spark, larger_memory(F.lit("1G"), F.lit("1024M"))) == "1G"
+    asks = spark.createDataFrame([("a", 2, "8G", "90min"), ("a", 4, "512M", "2:00:00"), ("b", 1, None, None)], "g string, cpus int, memory string, time string")
+    assert sorted(tuple(r) for r in resource_envelope(asks, "g").collect()) == [("a", 4, "8G", "2:00:00"), ("b", 1, None, None)]
+    with pytest.raises(Exception, match="no memory"):
+        resource_envelope(spark.createDataFrame([(1, "much", "1h")], "cpus int, memory string, time string")).collect()
 
 
 def test_failures(spark):
     rows = [("OUT_OF_MEMORY", None, None, None, "oom"), ("TIMEOUT", None, None, None, "timeout"), ("NODE_FAIL", None, None, None, "slurm_infra"), ("FAILED", 9, None, None, "oom"), (None, None, None, "cancelled", "dependency"), (None, None, "contract", "failed", "validation"), (None, None, "ValueError", "failed", "r_error"), ("FAILED", None, None, None, "r_crash"), (None, None, None, None, "unknown")]
     df = spark.createDataFrame(rows, "state string, signal int, kind string, status string, want string")
     assert df.where(D.classify_failure(F.col("state"), F.col("signal"), F.col("kind"), F.col("status")) != F.col("want")).count() == 0
+    more = spark.createDataFrame([(*r, "msg", 3 * 1024**3, "2G", 5400) for r in rows], df.schema.simpleString()[7:-1].replace(":", " ") + ", error_message string, max_rss long, requested_memory string, elapsed_seconds long").withColumnRenamed("kind", "error_class")
+    details = D.failure_details(more)
+    by = {(r["class"], r.state): (r.label, r.detail, r.suggestion) for r in details.collect()}
+    assert by["oom", "OUT_OF_MEMORY"] == ("OOM", "killed for memory at 3.0G against 2G", "ask for 3G of memory")
+    assert by["timeout", "TIMEOUT"] == ("TIMEOUT", "out of time after 1:30:00", "ask for 3:00:00 of time")
+    assert by["slurm_infra", "NODE_FAIL"] == ("NODE_FAIL", "a node failed", "run it again")
+    assert by["r_error", None] == ("ERROR", "msg", None) and by["dependency", None][0] == "DEP"
+    assert {r["class"]: r.n for r in D.failure_suggestions(details).collect()} == {"oom": 2, "timeout": 1, "slurm_infra": 1, "dependency": 1, "validation": 1, "r_crash": 1, "unknown": 1}
     errors = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 3), ("c", 1), ("d", 1), ("d", 3)], "message string, run_idx long")
     assert {r.message: r.pattern for r in D.failure_patterns(errors).collect()} == {"a": "persistent", "b": "new", "c": "resolved", "d": "flaky"}
+    clean_last = D.failure_patterns(errors.withColumn("class", F.lit("r_error")), n_runs=4).collect()
+    assert {r.message: r.pattern for r in clean_last} == dict.fromkeys("abcd", "resolved") and {r["class"] for r in clean_last} == {"r_error"}
+
+
+def test_errors_of_a_run(spark):
+    diag = "array<struct<stage:string,ok:boolean,skipped:boolean,status:string,error_class:string,error_message:string>>"
+    results = spark.createDataFrame([(1, "r1", [("a", True, False, "completed", None, None), ("b", False, False, "failed", "contract", "b: max")]), (2, "r2", [("a", False, True, "skipped", None, None)]), (2, "r3", [("a", False, False, "failed", "ValueError", None)])], f"chunk_id long, row_id string, `.diag` {diag}")
+    jobs = spark.createDataFrame([(1, "COMPLETED"), (2, "FAILED"), (3, "TIMEOUT"), (4, "COMPLETED"), (5, "RUNNING"), (6, "OUT_OF_MEMORY")], "chunk_id long, state string")
+    labels = spark.createDataFrame([(3, "three")], "chunk_id long, label string")
+    got = sorted((r.chunk_id, r.stage, r.error_msg, r.source, r.context, r["class"]) for r in D.run_errors(results, jobs, labels).collect())
+    assert got == [(1, "b", "b: max", "index", None, "validation"), (2, "a", "unknown error", "index", None, "r_error"), (3, None, "timeout without a result", "missing", "three", "timeout"), (4, None, "completed without a result", "missing", None, "r_crash")]
+    assert sorted(r.chunk_id for r in D.incomplete_jobs(jobs, results).collect()) == [2, 3, 4, 5, 6]
+    assert [r.state for r in D.by_state(jobs, "chunk_id").collect()] == ["FAILED", "TIMEOUT", "RUNNING", "COMPLETED", "COMPLETED", "OUT_OF_MEMORY"]
+    packed = D.packed_errors(spark.range(10_000).selectExpr("id % 2 as chunk_id", "id as index", "id % 1000 < 2 as is_error")).collect()
+    assert sum(r.n_errors for r in packed) == 20 and max(len(r.error_indices) for r in packed) <= 4096 and {r.chunk_id for r in packed} == {0, 1}
+
+
+def test_run_info(spark):
+    registry = spark.createDataFrame([("a", 1, "running", 3), ("a", 2, None, 4), ("b", 3, "completed", 1)], "run_id string, _line long, status string, n_chunks long")
+    status = spark.createDataFrame([("a", "completed", None)], "run_id string, status string, n_chunks long")
+    events = spark.createDataFrame([("a", "chunk_completed"), ("a", "chunk_completed"), ("a", "chunk_failed"), ("b", "x")], "run_id string, event_type string")
+    r = R.run_info(registry, status, events, "a").first()
+    assert (r.status, r.n_chunks, r.n_events, r.chunks_completed, r.chunks_failed, r.event_counts) == ("completed", 4, 3, 2, 1, {"chunk_completed": 2, "chunk_failed": 1})
+    r = R.run_info(registry, status, events, "none").first()
+    assert (r.status, r.n_events) == ("unknown", 0)
 
 
 def test_streams(spark, events, tmp_path):
