@@ -1,7 +1,8 @@
 """Jaccard self-join on word n-grams with Bayesian pruning of candidates (Satuluri and Parthasarathy, "Bayesian
 Locality Sensitive Hashing for Fast Similarity Search", 2012).
 
-1. Texts with the same words in the same order make one class; the smallest doc_id stands for it.
+1. Texts with the same words in the same order make one class, known by 128 bits of a hash of them; one text stands
+   for it, so a doc_id with several texts is in several classes.
 2. Each representative has 108 MinHash values. Two that share any of 27 bands of four values are compared; a pair at
    the threshold of 0.8 shares none with a probability of 7e-7, the design's only source of loss beside the tolerance.
 3. The values of a pair are compared 18 at a time. With a uniform prior on the similarity, the posterior after m
@@ -26,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridweave.llm.components import connected_components
-from gridweave.llm.shared import stored
+from gridweave.llm.shared import drop_stored, stored
 from gridweave.llm.words import Chunk, chunks, hashes, mix
 
 BANDS, ROWS = 27, 4
@@ -161,10 +163,10 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
 def _blocks(df: DataFrame, group: str, size: str) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in: columns low, high and block."""
     count = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = df.withColumns({"_n": count, "block": F.pmod(F.xxhash64("doc_id"), count.cast("long")).cast("int")})
+    own = df.withColumns({"_n": count, "block": F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")})
     dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")}).drop("_other", "_n")
-    return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "doc_id")
+    return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "node")
 
 
 def _texts_signed(docs: DataFrame, n: int) -> DataFrame:
@@ -172,12 +174,12 @@ def _texts_signed(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
                 count = len(chunk.first) - 1
-                keys = sequence_hashes(chunk)
+                keys = _keys(chunk)
                 have, sig = signatures(*text_grams(chunk, n))
                 sigs, bands = [None] * count, [None] * count
                 for row, s, band in zip(have, sig, band_keys(sig), strict=True):
                     sigs[row], bands[row] = s.tobytes(), band
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, count), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, count), *keys, pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "sig", "bands"])
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(work, "doc_id long, k1 long, k2 long, sig binary, bands array<long>")
 
@@ -191,7 +193,7 @@ def _candidate_edges(buckets: DataFrame, least: tuple[int, ...]) -> DataFrame:
 
     def work(batches):
         for table, sizes in whole_groups(batches, ["key", "low", "high"]):
-            names, sig = table["doc_id"].to_numpy(), _matrix(table["sig"], VALUES)
+            names, sig = table["node"].to_numpy(), _matrix(table["sig"], VALUES)
             block, across = table["block"].to_numpy(), table["low"].to_numpy() != table["high"].to_numpy()
             group = np.repeat(np.arange(len(sizes)), sizes)
             for a, b in pair_slices(sizes):
@@ -229,11 +231,11 @@ def _shared_counts(grams: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.
 
 
 def _verified(members: DataFrame, threshold: Fraction, least: tuple[int, ...]) -> DataFrame:
-    """For each pair of blocks of a cluster and each document in them: its links there and its root."""
+    """For each pair of blocks of a cluster and each class in them: its links there and its root."""
 
     def work(batches):
         for table, sizes in whole_groups(batches, ["cluster", "low", "high"]):
-            names, sig, copies = table["doc_id"].to_numpy(), _matrix(table["sig"], VALUES), table["copies"].to_numpy()
+            names, sig, copies = table["node"].to_numpy(), _matrix(table["sig"], VALUES), table["copies"].to_numpy()
             block, across = table["block"].to_numpy(), table["low"].to_numpy() != table["high"].to_numpy()
             grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
             length = np.array([len(g) for g in grams], np.int64)
@@ -248,65 +250,98 @@ def _verified(members: DataFrame, threshold: Fraction, least: tuple[int, ...]) -
                 own = copies[at]
                 links = np.bincount(a, own[b], len(at)) + np.bincount(b, own[a], len(at))
                 root = roots(len(at), a, b, names[at])
-                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(root), pa.array(links.astype(np.int64)), pa.array(table["blocks"].to_numpy()[at])], ["doc_id", "root", "links", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(root), pa.array(links.astype(np.int64)), pa.array(table["blocks"].to_numpy()[at])], ["node", "root", "links", "blocks"])
 
-    return members.mapInArrow(work, "doc_id long, root long, links long, blocks int")
+    return members.mapInArrow(work, "node long, root long, links long, blocks int")
+
+
+def _keys(chunk: Chunk) -> list[pa.Array]:
+    keys = sequence_hashes(chunk)
+    return [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id (smallest doc_id it is connected with by links), n_links (other documents with a Jaccard
-    similarity of at least ``threshold`` on sets of n-word windows) and copy_id (smallest doc_id with the same words),
-    for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, class_id (smallest doc_id it is connected with by links), n_links (documents whose texts have a Jaccard
+    similarity of at least ``threshold`` on sets of n-word windows, itself left out), copy_id (smallest doc_id with the
+    same words), k1 and k2 (the hash of the words) and class_key (one number for each class; null without words), for
+    each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are what white space parts, in lower case. A text of fewer than n words has one window, all its words. Null
     texts and texts without words have no links and make classes of their own. Rows that repeat a doc_id and its text
-    are one document, and each is returned; rows with a null doc_id are left out. No rows give no rows.
+    are one document, and each is returned; a doc_id's other texts are compared as those of other documents are. Rows
+    with a null doc_id are left out. No rows give no rows.
     """
     limit = Fraction(str(threshold))
     least = least_matches(limit, tolerance)
     signed = stored(_texts_signed(docs, n), "signatures")
     worded = signed.where(F.col("sig").isNotNull())
+    # The first half of a class's key is its name in graphs.
     classes = stored(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("copies")), "classes")
 
     standing = worded.select("doc_id", "k1", "k2", "bands").join(classes.select(F.col("copy_id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    keys = stored(standing.select("doc_id", F.explode("bands").alias("key")), "bands")
+    keys = stored(standing.select(F.col("k1").alias("node"), F.explode("bands").alias("key")).distinct(), "bands")
     crowded = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
     placed = keys.join(crowded, "key")
-    # A doc_id with several texts would meet itself here; its first signature stands for it.
-    sigs = worded.select("doc_id", "sig").join(placed.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    buckets = _blocks(placed.join(sigs, "doc_id").select("key", "size", "doc_id", "sig"), "key", "size")
-    edges = _candidate_edges(buckets, least)
+    sigs = worded.select(F.col("k1").alias("node"), "sig").join(placed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+    edges = _candidate_edges(_blocks(placed.join(sigs, "node").select("key", "size", "node", "sig"), "key", "size"), least)
 
-    clusters = stored(connected_components(edges), "clusters")
-    size = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    member = clusters.join(stored(size, "sizes"), "component").join(classes.select(F.col("copy_id").alias("node"), "copies").groupBy("node").agg(F.max("copies").alias("copies")), "node")
-    texts = docs.select("doc_id", "text").join(member.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("doc_id", "component", "size", "copies").agg(F.min("text").alias("text"))
+    joined = connected_components(edges)
+    clusters = stored(joined, "clusters")
+    sizes = stored(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    member = clusters.join(sizes, "component").join(classes.select(F.col("k1").alias("node"), "copy_id", "copies"), "node")
+    # A doc_id with several texts brings them all; the one that is the class's is known by its key.
+    texts = docs.select("doc_id", "text").join(member.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("node", "component", "size", "copies", "text")
 
     def with_grams(batches):
         for batch in batches:
             for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
                 count = len(chunk.first) - 1
+                own = np.flatnonzero(sequence_hashes(chunk)[:, 0] == batch["node"].slice(begin, count).to_numpy())
                 grams, text = text_grams(chunk, n)
                 have, sig = signatures(grams, text)
                 cut = np.searchsorted(text, np.arange(count + 1))
-                sets = [np.unique(grams[cut[i] : cut[i + 1]]).tobytes() for i in range(count)]
-                own = {int(r): s.tobytes() for r, s in zip(have, sig, strict=True)}
-                blank = b"\0" * (4 * VALUES)
+                place = np.searchsorted(have, own)
+                kept = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch[c].slice(begin, count) for c in ("doc_id", "component", "size", "copies")], pa.array([own.get(i, blank) for i in range(count)], pa.binary()), pa.array(sets, pa.binary())],
-                    ["doc_id", "cluster", "size", "copies", "sig", "grams"],
-                )
-
-    members = stored(texts.select("doc_id", "component", "size", "copies", "text").mapInArrow(with_grams, "doc_id long, cluster long, size long, copies long, sig binary, grams binary"), "members")
+                    [
+                        *[batch[c].slice(begin, count).take(kept) for c in ("node", "component", "size", "copies")], pa.array([sig[k].tobytes() for k in place], pa.binary()),
+                        pa.array([np.unique(grams[cut[i] : cut[i + 1]]).tobytes() for i in own], pa.binary()),
+                    ],
+                    ["node", "cluster", "size", "copies", "sig", "grams"],
+                )
+
+    members = stored(texts.mapInArrow(with_grams, "node long, cluster long, size long, copies long, sig binary, grams binary").dropDuplicates(["node"]), "members")
     dealt = _blocks(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "cluster", "size")
     found = stored(_verified(dealt, limit, least), "links")
 
-    totals = found.groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.max("blocks").alias("blocks"))
-    wide = found.where((F.col("blocks") > 1) & (F.col("doc_id") != F.col("root"))).select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    joined = connected_components(wide).withColumnRenamed("node", "doc_id")
-    labels = totals.join(joined, "doc_id", "left").select("doc_id", "links", F.coalesce("component", F.when(F.col("blocks") > 1, F.col("doc_id")).otherwise(F.col("root"))).alias("class_id"))
+    totals = found.groupBy("node").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.max("blocks").alias("blocks"))
+    wide = found.where((F.col("blocks") > 1) & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    across = connected_components(wide)
+    labels = totals.join(across, "node", "left").select(F.col("node").alias("k1"), "links", F.coalesce("component", F.when(F.col("blocks") > 1, F.col("node")).otherwise(F.col("root"))).alias("_class"))
+    labelled = stored(classes.join(labels, "k1", "left").withColumn("_class", F.coalesce("_class", "k1")), "labelled")
+    least_id = labelled.groupBy("_class").agg(F.min("copy_id").alias("class_id"))
+    known = stored(labelled.join(least_id, "_class").select("k1", "k2", "copy_id", "class_id", F.col("_class").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    for table in (classes, keys, crowded, joined, clusters, sizes, members, found, across, labelled):
+        drop_stored(table)
+    bare = signed.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "k1", "k2", F.lit(None).cast("long").alias("class_key"))
+    return worded.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "copy_id", "k1", "k2", "class_key").unionByName(bare)
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row, all columns as they are, of each class of :func:`ngram_join`: of its smallest doc_id (and key, where that
+    has several texts in the class). Rows without words stay, each doc_id and text once; rows with a null doc_id stay."""
+    found = ngram_join(docs, n, threshold)
+    row = F.struct("doc_id", "k1", "k2")
+    keep = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(row).alias("r")).select("r.*")
+    keep = keep.unionByName(found.where(F.col("class_key").isNull()).select("doc_id", "k1", "k2").distinct())
+    fields = T.StructType([*docs.schema, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
+
+    def keyed(batches):
+        for batch in batches:
+            for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
+                part = batch.slice(begin, len(chunk.first) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, *_keys(chunk)], [*part.schema.names, "_k1", "_k2"])
 
-    known = classes.join(labels.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left").select("k1", "k2", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = stored(known, "known")
-    bare = signed.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"))
-    return worded.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "copy_id").unionByName(bare)
+    named = docs.where(F.col("doc_id").isNotNull()).mapInArrow(keyed, fields)
+    kept = named.join(keep.select("doc_id", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["doc_id", "_k1", "_k2"], "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"])
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

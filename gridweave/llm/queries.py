@@ -59,7 +59,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("k1", "k2", "class_key")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,27 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert sorted(got) == sorted([*jaccard_truth(data).items(), (3, jaccard_truth(data)[3])])
 
 
+def test_near_duplicates_of_rows_with_one_doc_id(spark):
+    """A doc_id's texts are compared apart; each class keeps one row, whatever shares its doc_id."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (4, c), (4, c), (5, None), (5, ""), (6, " "), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, k1 string, class_key long")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(docs).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (4, 4, 0), (5, 5, 0), (5, 5, 0), (6, 6, 0)]
+    kept = ngram_join.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "").strip()) for r in kept.collect())) == sorted([(False, 1, a), (False, 1, b), (False, 4, c), (False, 5, ""), (False, 6, ""), (True, 0, a), (True, 0, a)])
+    assert ngram_join.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_ngram_join_of_a_whole_table(spark):
+    from gridweave.llm.queries import op8_ngram_join, table
+
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op8_ngram_join(spark, "/root/testdata/sf0.01").collect()}
+    assert got == jaccard_truth(docs)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 560)]
