@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.decontamination import without_contaminated
 from gridweave.llm.mixing import fit_domains, mix_sources
-from gridweave.llm.ngram_join import ngram_join
+from gridweave.llm.ngram_join import without_near_duplicates
 from gridweave.llm.queries import MIXTURE, table
 from gridweave.llm.shared import stored
 from gridweave.llm.token_files import token_files
@@ -25,12 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each class with the smallest doc_id, once. Documents without words and rows without a doc_id
-    have no near duplicates and stay."""
-    found = ngram_join(docs)
-    standing = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    kept = docs.join(standing, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class of near duplicates: the one with the smallest doc_id. Rows without words or without a doc_id
+    have no near duplicates; of the former each doc_id and text stays once, of the latter every row."""
+    return without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
