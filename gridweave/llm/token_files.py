@@ -33,15 +33,16 @@ from gridweave.llm.tokens import encoder
 
 MAGIC = b"IDS1"
 _HEAD = struct.Struct("<4sB32sI")
-#: A shard is closed at so many bytes of frames or so many documents.
-SHARD_BYTES, SHARD_DOCS = 1 << 20, 4096
+#: A shard is closed at so many bytes of ids or so many documents.
+SHARD_BYTES, SHARD_DOCS = 1 << 22, 4096
 
 
-def train_dictionary(docs: DataFrame, path: str, sample: int = 2000, shortest: int = 64, longest: int = 8192, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary from the id arrays of at most ``sample`` whole documents: those of ``shortest`` to
-    ``longest`` characters whose hash is smallest. It changes the size of files only. Too few documents: none (b"")."""
+def train_dictionary(docs: DataFrame, path: str, sample: int = 2000, longest: int = 8192, size: int = 1 << 16) -> bytes:
+    """A zstandard dictionary from the id arrays of at most ``sample`` whole documents: those of up to ``longest``
+    characters whose hash is smallest. It changes the size of files only. Where there are too few for the trainer, the
+    arrays themselves are the dictionary's content; without any document there is none (b"")."""
     chosen = F.xxhash64("doc_id", "text")
-    short = docs.select("doc_id", "text", chosen.alias("_order")).where(F.char_length("text").between(shortest, longest))
+    short = docs.select("doc_id", "text", chosen.alias("_order")).where(F.char_length("text").between(1, longest))
     order = [r[0] for r in short.select("_order").distinct().orderBy("_order").limit(sample).collect()]
     if not order:
         return b""
@@ -55,7 +56,7 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = 2000, shortest: i
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-size:]
 
 
 def write_shard(ids: list[bytes], doc_ids: list[int | None], width: int, dictionary: bytes, pack: zstandard.ZstdCompressor) -> bytes:
@@ -99,7 +100,7 @@ def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 2) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) with the vocabulary at ``path`` and write them to the
     folder ``out``. Null text: empty. ``end_id`` ends each document. Rows of one doc_id follow each other in the order
-    of their texts. Each document is held whole; a task holds one shard."""
+    of a hash of their texts, so that very many of them are spread over tasks. Each document is held whole; a task holds one shard."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, path)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, content binary").write.mode("overwrite").parquet(f"{out}/dictionary")
@@ -119,14 +120,14 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 2) -
                 ids.append(got + end)
                 names.append(name)
                 size += len(got)
-                if size >= 4 * SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
                     row, tokens = closed()
                     yield row
                     ids, names, size, number, before = [], [], 0, number + 1, before + tokens
         if ids:
             yield closed()[0]
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").withColumn("_order", F.xxhash64("text")).repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order", "text").select("doc_id", "text")
     shards = ordered.mapInArrow(work, "part long, number long, before long, n_docs long, n_tokens long, first_id long, last_id long, shard binary")
     shards.write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/shards")
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -35,8 +36,8 @@ _BLANK = re.compile(r"[^\S\x1c-\x1f]+")
 _PLAIN = re.compile(r"(?: ?(?:[^\W\d_]++|[0-9]++|(?:[^\w\s']|_)++)|(?<=\S)\n(?=\S))++")
 _PIECE = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s']|_)+|\n")
 _ONE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|(?:[^\w\s']|_)+)")
-#: Of the characters below U+0250, those that are numbers but no digits.
-_FRACTION = re.compile("[²³¹¼½¾]")
+#: Characters whose kind every reader agrees on: assigned long ago, and no numbers other than ASCII digits.
+_KNOWN = re.compile("[" + "".join(f"\\U{k:08x}" for k in range(0x80, 0x10000) if (c := unicodedata.ucd_3_2_0.category(chr(k)))[0] in "LMPSZ" and c == unicodedata.category(chr(k))) + "\\x00-\\x7f]*+")
 #: Bytes at which texts may be cut, and those that tell whether they are.
 _BLANK_BYTE, _GAP, _MARK, _ALNUM = (np.zeros(256, bool) for _ in range(4))
 _BLANK_BYTE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -47,8 +48,8 @@ _ALNUM[[b for b in range(0x80) if chr(b).isalnum()]] = True
 KEEP, LONG = 500_000, 80
 #: Texts are encoded together up to this many characters.
 TOGETHER = 1 << 19
-#: Bytes of the longest pre-token that is handled together with others.
-_WIDE = 48
+#: Bytes of the longest pre-tokens that are handled together with others: of words, and of texts without spaces.
+_NARROW, _WIDE = 48, 240
 _ODD_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +68,7 @@ def units(text: str) -> list[str]:
 
 def atoms(unit: str, special: list[str]) -> list[str]:
     """Smaller pieces of a unit that encode on their own too: its pre-tokens, where it is plain enough to see them."""
-    if unit and (unit.isascii() or max(unit) < "\u0250" and not _FRACTION.search(unit)) and _PLAIN.fullmatch(unit) and not any(x in unit for x in special):
+    if unit and (unit.isascii() or _KNOWN.fullmatch(unit)) and _PLAIN.fullmatch(unit) and not any(x in unit for x in special):
         return _PIECE.findall(unit)
     return [unit]
 
@@ -224,6 +225,17 @@ def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Pre-tokens in one table of the recurrence.
+_AT_ONCE = 50_000
+
+
+def _small(steps: np.ndarray) -> np.ndarray:
+    """Steps as signed bytes; one that does not fit is an error."""
+    if len(steps) and np.abs(steps).max(initial=0) > 127:
+        raise OverflowError("the count of tokens changes by more than 127 at one character")
+    return steps.astype(np.int8)
+
+
 class PrefixCounter:
     """Token counts of every prefix of a text, as differences between neighbouring prefixes."""
 
@@ -245,7 +257,7 @@ class PrefixCounter:
         place = {c: b for b, c in enumerate(_byte_characters())}
         tokens = [t for t in self.vocab if len(t) <= _WIDE and self._is_alone(t)]
         width = np.array([len(t) for t in tokens])
-        rows = np.zeros((len(tokens), _WIDE), np.uint8)
+        rows = np.zeros((len(tokens), int(width.max())), np.uint8)
         for k, t in enumerate(tokens):
             rows[k, : len(t)] = [place[c] for c in t]
         value = _prefix_hashes(rows)[np.arange(len(tokens)), width]
@@ -327,14 +339,14 @@ class PrefixCounter:
                 open_ = np.delete(open_, some)
             if len(open_):
                 raise ValueError(f"no token of the vocabulary ends at {end} in {pieces[int(open_[0])]!r}")
-        steps = np.diff(count, axis=1).astype(np.int8)
+        steps = _small(np.diff(count, axis=1))
         out = []
         for k, (r, n) in enumerate(zip(raw, width.tolist(), strict=True)):
             if len(pieces[k]) == n:
                 out.append(steps[k, :n].tobytes())
             else:
                 ends = np.append(np.flatnonzero((rows[k, 1:n] & 0xC0) != 0x80) + 1, n)
-                out.append(np.diff(count[k, ends], prepend=0).astype(np.int8).tobytes())
+                out.append(_small(np.diff(count[k, ends], prepend=0)).tobytes())
         return out
 
     def _plain(self, text: str) -> list[int]:
@@ -365,7 +377,7 @@ class PrefixCounter:
         return [*out, base, *[base + n for n in self.counts(text[at + len(found) :])]]
 
     def _steps(self, unit: str) -> bytes:
-        return np.diff(np.array(self.counts(unit), np.int64), prepend=0).astype(np.int8, casting="unsafe").tobytes()
+        return _small(np.diff(np.array(self.counts(unit), np.int64), prepend=0)).tobytes()
 
     def steps(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text an int8 for each code point: by how much the count of the prefix that ends there differs from the one before."""
@@ -375,9 +387,14 @@ class PrefixCounter:
             kept, late = self.kept, {}
             new = {unit: atoms(unit, self.special) for unit in set().union(*part).difference(kept)}
             fresh = {a for own in new.values() for a in own if a not in kept}
-            plain = [a for a in fresh if 0 < len(a) <= _WIDE // 2 and a != "\n" and (a.isascii() or max(a) < "\u0250") and _ONE.fullmatch(a) and not _FRACTION.search(a)]
-            kept.update(zip(plain, self.batch(plain), strict=True))
-            for atom in fresh.difference(plain):
+            sized = {a: len(a.encode()) for a in fresh if 0 < len(a) <= _WIDE and a != "\n" and (a.isascii() or _KNOWN.fullmatch(a)) and _ONE.fullmatch(a)}
+            plain = [[a for a, n in sized.items() if low < n <= high] for low, high in ((0, _NARROW), (_NARROW, _WIDE))]
+            for some in plain:
+                for at in range(0, len(some), _AT_ONCE):
+                    own = some[at : at + _AT_ONCE]
+                    for a, steps in zip(own, self.batch(own), strict=True):
+                        (kept if len(a) <= LONG else late)[a] = steps
+            for atom in fresh.difference(*plain):
                 (kept if len(atom) <= LONG else late)[atom] = self._steps(atom)
             for unit, own in new.items():
                 if len(own) > 1:

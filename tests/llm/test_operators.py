@@ -148,7 +148,7 @@ def test_prefix_counts_and_encoding(data):
 
     library, counter, coder = Tokenizer.from_file(PATH), tokens.PrefixCounter(PATH), tokens.Encoder(PATH)
     rng = random.Random(3)
-    parts = ["a", "the", " ", "  ", "\n", " \n", "'s", "'re", "'ll", "'", "é", "日本", "1", "23", "!", "..", "\t", "\xa0", "😀", "<|endoftext|>", "<|end", "ing", "don't", "\r\n", ",", "x.\nY", "\n\n", "\x1c", "²", "ⅷ"]
+    parts = ["a", "the", " ", "  ", "\n", " \n", "'s", "'re", "'ll", "'", "é", "日本", "1", "23", "!", "..", "\t", "\xa0", "😀", "<|endoftext|>", "<|end", "ing", "don't", "\r\n", ",", "x.\nY", "\n\n", "\x1c", "²", "ⅷ", "слово", "Ωμέγα", "한국어", "ไทย", "हिन्दी", "漢字かな交じり文", "עברית", "١٢", "。", "\u0378", "\u0301", "𐐷"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)]
     texts += [t for _, t in data if t is not None and len(t) < 800][:20]
     for text, ids, steps in zip(texts, coder.encode(texts), counter.steps(texts), strict=True):
@@ -192,6 +192,24 @@ def test_token_files(spark, docs, data, empty, tmp_path):
     assert everything[0].doc_id is None and [r.doc_id for r in everything].count(3) == 2
 
 
+def test_shards_and_dictionaries_of_few_documents(spark, monkeypatch, tmp_path):
+    """Several shards in a part, ids of one doc_id in several parts, short documents."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 3)
+    rows = [(k, f"short {k}") for k in range(20)] + [(7, f"again {k}") for k in range(20)]
+    folder = f"file://{tmp_path}/ids"
+    token_files.write_tokens(frame(spark, rows), folder, PATH)
+    shards = spark.read.parquet(f"{folder}/shards")
+    assert shards.agg(F.max("number")).first()[0] > 0 and shards.agg(F.max("n_docs")).first()[0] <= 3
+    assert len(spark.read.parquet(f"{folder}/dictionary").first().content) > 0
+    got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert sorted((r.doc_id, tuple(r.ids)) for r in got) == sorted((d, (*library.encode(t, add_special_tokens=False).ids, 2)) for d, t in rows)
+
+
 def test_quality_rules(docs, data, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in data:
