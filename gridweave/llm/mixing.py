@@ -77,11 +77,12 @@ def log_odds(text: str | None, weights: np.ndarray) -> np.ndarray:
     return out / np.sqrt(len(raw) - 2)
 
 
-def train_domains(texts: list[str], labels: list[str]) -> DomainModel:
+def train_domains(texts: list[str], labels: list[str], domains: tuple[str, ...] = ()) -> DomainModel:
     """A model from labelled texts; the temperature is the one with the least log loss on the third of them that did
-    not make the counts."""
-    domains = tuple(sorted(set(labels)))
-    y = np.array([domains.index(v) for v in labels])
+    not make the counts. ``domains`` without a text are known too, with the prior of one text and no trigrams of their own;
+    without any text all domains are equally likely everywhere."""
+    domains = tuple(sorted({*labels, *domains}))
+    y = np.array([domains.index(v) for v in labels], int)
 
     def fitted(rows):
         counts = np.full((BUCKETS, len(domains)), 0.05)
@@ -103,18 +104,18 @@ def train_domains(texts: list[str], labels: list[str]) -> DomainModel:
     return DomainModel(domains, *fitted(every), temperature)
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = 3000, longest: int = 16384) -> DomainModel:
-    """A model from ``labelled`` (doc_id, domain), of at most ``sample`` documents: those whose doc_id has the smallest
-    hash, of up to ``longest`` characters. A document with several domains has the least of them."""
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = (), sample: int = 3000, longest: int = 16384) -> DomainModel:
+    """A model from ``labelled`` (doc_id, domain), of at most ``sample`` documents of ``docs``: of those of up to ``longest``
+    characters the ones whose doc_id has the smallest hash. A document with several domains or texts has the least of
+    them. ``domains`` are known even if no document is labelled with them, see :func:`train_domains`."""
     order = F.xxhash64("doc_id")
     marks = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    short = docs.select("doc_id", "text").where(F.char_length("text") <= longest)
     # No more rows than the sample.
-    chosen = F.broadcast(marks.orderBy(order).limit(sample))
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(chosen, "doc_id").select(order.alias("o"), "text", "domain").dropDuplicates(["o"]).collect()
-    if not rows:
-        raise ValueError("no labelled document")
-    rows.sort(key=lambda r: (r["o"], r["text"]))
-    return train_domains([r["text"] for r in rows], [r["domain"] for r in rows])
+    chosen = F.broadcast(marks.join(short.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample))
+    rows = short.join(chosen, "doc_id").groupBy(order.alias("o"), "doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).collect()
+    rows.sort(key=lambda r: (r["o"], r["doc_id"]))
+    return train_domains([r["text"] for r in rows], [r["domain"] for r in rows], domains)
 
 
 def _rates(p: np.ndarray, history: list[np.ndarray], step: float, penalty: float, least: float) -> np.ndarray:
@@ -146,11 +147,13 @@ def _sums(featured: DataFrame, width: int, history: list[np.ndarray], step: floa
 
 
 def mix_sources(
-    docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, least: float = 0.0, penalty: float = 1e-3, most_steps: int = 40, close: float = 1e-6
+    docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, least: float = 0.0, penalty: float = 1e-3, most_steps: int = 100, close: float = 1e-6, most_rate: float | None = None
 ) -> DataFrame:
-    """doc_id, tokens (words), posteriors (in the order of ``model.domains``), rate (at least ``least``) and copies (the
-    rate rounded up or down by a hash of doc_id and text, so that its expectation is the rate) of each row of ``docs``
-    (doc_id, text; other columns are ignored).
+    """doc_id, tokens (words), posteriors (in the order of ``model.domains``), rate (at least ``least``), copies (the rate
+    rounded up or down by a hash of doc_id and text, so that its expectation is the rate) and miss of each row of ``docs``
+    (doc_id, text; other columns are ignored). ``miss`` is one number for all rows: the largest difference between a domain's
+    share of the budget in expected tokens and its target, 0 where targets can be met; steps end when it is below ``close``,
+    when they change nothing, or after ``most_steps``. A rate above ``most_rate`` is an error.
 
     ``targets`` are weights of domains; those that the model does not know are an error, those left out are 0.
     ``budget`` is the number of expected tokens; None: all tokens there are, or with ``least`` above 0 the smallest
@@ -194,10 +197,11 @@ def mix_sources(
     step = 1 / (1 + penalty)
     history: list[np.ndarray] = []
     before = np.full(width, np.inf)
-    for _ in range(most_steps):
+    for _ in range(most_steps + 1):
         sums = _sums(featured, width, history, step, penalty, least)
         error = (sums - budget * share) / total
-        if np.abs(error).max() < close or np.abs(sums - before).max() < close * total:
+        miss = float(np.abs(sums / max(budget, 1.0) - share).max()) if m.any() else 0.0
+        if np.abs(error).max() < close or np.abs(sums - before).max() < close * total or len(history) == most_steps:
             break
         history.append(inverse @ error)
         before = sums
@@ -206,7 +210,9 @@ def mix_sources(
         for batch in batches:
             # Sums come in any order; without their last digits rates are the same from run to run.
             r = np.round(_rates(_matrix(batch["posteriors"], width), history, step, penalty, least), 6)
+            if most_rate is not None and len(r) and r.max() > most_rate:
+                raise ValueError(f"a document is to be repeated {r.max():.6g} times, more than {most_rate:.6g}: its domain is too rare for its target")
             copies = np.floor(r + np.asarray(batch["draw"], np.float64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tokens"], batch["posteriors"], pa.array(r), pa.array(copies), batch["draw"]], ["doc_id", "tokens", "posteriors", "rate", "copies", "draw"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tokens"], batch["posteriors"], pa.array(r), pa.array(copies)], ["doc_id", "tokens", "posteriors", "rate", "copies"])
 
-    return featured.mapInArrow(rated, "doc_id long, tokens long, posteriors array<double>, rate double, copies long, draw double").drop("draw")
+    return featured.mapInArrow(rated, "doc_id long, tokens long, posteriors array<double>, rate double, copies long").withColumn("miss", F.round(F.lit(miss), 6))

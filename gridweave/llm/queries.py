@@ -28,7 +28,7 @@ MIXTURE = {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15}
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return mix_sources(docs, fit_domains(docs, labelled), MIXTURE)
+    return mix_sources(docs, fit_domains(docs, labelled, tuple(MIXTURE)), MIXTURE)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,15 +174,18 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordinary: int = 4000, longest: int = 16384) -> ToxicityModel:
-    """A model from ``labels`` (doc_id, toxic) that are not held out: of each class at most so many documents, those
-    whose doc_id has the smallest hash, of up to ``longest`` characters. A document labelled both ways is toxic."""
+    """A model from ``labels`` (doc_id, toxic) that are not held out: of each class at most so many documents of ``docs``, of
+    those of up to ``longest`` characters the ones whose doc_id has the smallest hash. A document labelled both ways is
+    toxic; of one with several texts the least counts."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = F.xxhash64("doc_id")
-    chosen = [marks.where(F.col("toxic") == kind).orderBy(order).limit(most) for kind, most in ((True, most_toxic), (False, most_ordinary))]
+    short = docs.select("doc_id", "text").where(F.char_length("text") <= longest)
+    there = marks.join(short.select("doc_id"), "doc_id", "left_semi")
+    chosen = [there.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most) for kind, most in ((True, most_toxic), (False, most_ordinary))]
     # No more rows than the two limits.
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(sample, "doc_id").select(order.alias("o"), "text", "toxic").dropDuplicates(["o"]).collect()
-    rows.sort(key=lambda r: (r["o"], r["text"]))
+    rows = short.join(sample, "doc_id").groupBy(order.alias("o"), "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: (r["o"], r["doc_id"]))
     return train_toxicity([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -427,6 +427,11 @@ def test_toxicity(spark, empty):
     assert got[900].score == got[901].score and got[900].predicted == 0 and 0 <= got[902].score <= 1
     assert {r.doc_id for r in toxicity.keep_ordinary(docs, model).collect()} == {k for k, r in got.items() if r.predicted == 0}
     assert toxicity.toxicity(empty, model).count() == 0
+    both = docs.unionByName(frame(spark, [(k, "another text of this document") for k in range(0, 600, 7)])).repartition(5)
+    again = [toxicity.fit_toxicity(d, marks.unionByName(spark.createDataFrame([(1, 1, 1), (1, 1, 0)], marks.schema))) for d in (both, both.repartition(3, "text"))]
+    assert again[0] == again[1]
+    few = toxicity.fit_toxicity(docs.where("doc_id % 2 = 0"), marks, most_toxic=40, most_ordinary=80)
+    assert few.toxic != few.ordinary
     none = toxicity.fit_toxicity(empty, marks)
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs.limit(5), none).collect())
 
@@ -454,6 +459,36 @@ def test_mixing(spark, empty):
     assert mixing.mix_sources(empty, model, {"aa": 1.0}).count() == 0
     with pytest.raises(ValueError, match="targets"):
         mixing.mix_sources(docs, model, {"zz": 1.0})
+    with pytest.raises(Exception, match="too rare"):
+        mixing.mix_sources(docs, model, {"aa": 0.01, "cc": 0.99}, least=1.0, most_rate=5.0).collect()
+
+
+def test_mixing_against_plain_least_squares(spark):
+    """Rates are those of a projected gradient of tiny steps over all documents in one place; targets out of reach are told."""
+    rng = np.random.default_rng(4)
+    words = {"aa": "abcd bcde cdef", "bb": "wxyz vwxy zyxw", "cc": "klmn mnop opqr"}
+    texts = [" ".join(rng.choice(words[d].split(), rng.integers(3, 40))) for d in rng.choice(list(words), 150, p=[0.6, 0.3, 0.1])]
+    texts += [texts[0] + " " + texts[1], "long " * 30_000]
+    docs = frame(spark, list(enumerate(texts)))
+    marks = [(k, "aa" if "abcd" in t or "cdef" in t else "bb" if "wxyz" in t or "zyxw" in t else "cc") for k, t in enumerate(texts[:100])]
+    model = mixing.fit_domains(docs, spark.createDataFrame(marks, "doc_id long, domain string"))
+    for targets, least in (({"aa": 0.3, "bb": 0.3, "cc": 0.4}, 0.0), ({"aa": 0.2, "bb": 0.4, "cc": 0.4}, 1.0)):
+        out = sorted(mixing.mix_sources(docs, model, targets, least=least, most_steps=400, close=1e-9).collect(), key=lambda r: r.doc_id)
+        p, w = np.array([r.posteriors for r in out]), np.array([r.tokens for r in out], float)
+        total, share = w.sum(), np.array([targets[d] for d in model.domains])
+        m = (p * w[:, None]).T @ p
+        budget = total if not least else max(m.sum(axis=0) / share)
+        inverse, r = np.linalg.pinv(m / total + 1e-9 * np.eye(3)), np.full(len(w), max(1.0, least))
+        for _ in range(40_000):
+            r = np.maximum(least, r - 0.2 * (p @ (inverse @ (((p * (w * r)[:, None]).sum(axis=0) - budget * share) / total)) + 1e-3 * (r - 1)))
+        assert np.allclose([x.rate for x in out], r, atol=2e-3) and {x.miss for x in out} == {out[0].miss} and out[0].miss < 0.01
+    one = mixing.fit_domains(docs, spark.createDataFrame([], "doc_id long, domain string"), ("aa", "bb"))
+    out = mixing.mix_sources(docs, one, {"aa": 0.9, "bb": 0.1}).collect()
+    assert len(out) == len(texts) and all(abs(x.posteriors[0] - 0.5) < 1e-9 for x in out) and out[0].miss > 0.3
+    none = docs.limit(0)
+    assert mixing.mix_sources(none, mixing.fit_domains(none, none.select("doc_id", F.col("lang").alias("domain")), ("aa", "bb")), {"aa": 1.0}).count() == 0
+    some = mixing.fit_domains(docs, spark.createDataFrame([(k, d) for k, d in marks if d != "cc"], "doc_id long, domain string"), ("cc",))
+    assert some.domains == ("aa", "bb", "cc")
 
 
 def test_html_text(spark):
