@@ -35,9 +35,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: A language so rare that its documents were to be repeated more often is an error.
+MOST_COPIES = 1000.0
+
+
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once and rarer languages more often, so that their expected words meet MIXTURE. Documents
-    without labelled ones among them stay as they are, as do rows without a doc_id."""
+    """Every document at least once and rarer languages more often, so that their expected words meet MIXTURE. Languages
+    without labelled documents are left out of the targets; without any, all documents stay as they are, as do rows
+    without a doc_id."""
     usable = docs.where(F.col("lang").isin(list(MIXTURE)) & F.char_length("text").between(1, 16384))
     labelled = usable.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     if labelled.isEmpty():
@@ -45,7 +50,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = fit_domains(docs, labelled)
     targets = {k: v for k, v in MIXTURE.items() if k in model.domains}
     named = docs.where(F.col("doc_id").isNotNull())
-    rates = mix_sources(named, model, targets, least=1.0).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    rates = mix_sources(named, model, targets, least=1.0, most_rate=MOST_COPIES).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     mixed = named.join(rates, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
     return mixed.unionByName(docs.where(F.col("doc_id").isNull()))
 
