@@ -166,10 +166,12 @@ def passages_of(chunk: Chunk, items: Items) -> list[tuple[int, int, int, int, in
 def matches(chunk: Chunk, items: Items, least: float) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, seeds, begin, end) of the best passage of each text for each item, where the score is at
     least ``least``. begin and end are words of the text: the passage aligned, up to the alignment's end."""
-    found = sorted(passages_of(chunk, items), key=lambda x: x[3] - x[2])
+    # A table is as wide as the longer of passage and item.
+    wide = lambda x: max(x[3] - x[2], len(items.words[x[1]]))
+    found = sorted(passages_of(chunk, items), key=wide)
     out: dict[tuple[int, int], tuple] = {}
     while found:
-        size = max(1, _CELLS // (found[-1][3] - found[-1][2]))
+        size = max(1, _CELLS // wide(found[-1]))
         part, found = found[-size:], found[:-size]
         best, end = aligned([items.words[i] for _, i, *_ in part], [chunk.hash[b:e] for _, _, b, e, _ in part])
         for (t, i, b, _, seeds), top, stop in zip(part, best.tolist(), end.tolist(), strict=True):

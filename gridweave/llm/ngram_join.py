@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.components import connected_components
-from gridweave.llm.shared import drop_stored, stored
+from gridweave.llm.shared import drop_stored, stored, unused
 from gridweave.llm.words import Chunk, chunks, hashes, mix
 
 BANDS, ROWS = 27, 4
@@ -334,14 +334,15 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8)
     row = F.struct("doc_id", "k1", "k2")
     keep = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(row).alias("r")).select("r.*")
     keep = keep.unionByName(found.where(F.col("class_key").isNull()).select("doc_id", "k1", "k2").distinct())
-    fields = T.StructType([*docs.schema, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
+    k1, k2 = unused(docs.columns, "_k1", "_k2")
+    fields = T.StructType([*docs.schema, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())])
 
     def keyed(batches):
         for batch in batches:
             for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
                 part = batch.slice(begin, len(chunk.first) - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, *_keys(chunk)], [*part.schema.names, "_k1", "_k2"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *_keys(chunk)], [*part.schema.names, k1, k2])
 
     named = docs.where(F.col("doc_id").isNotNull()).mapInArrow(keyed, fields)
-    kept = named.join(keep.select("doc_id", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["doc_id", "_k1", "_k2"], "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"])
+    kept = named.join(keep.select("doc_id", F.col("k1").alias(k1), F.col("k2").alias(k2)), ["doc_id", k1, k2], "left_semi").dropDuplicates(["doc_id", k1, k2])
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -107,8 +107,11 @@ def _one_word(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
 
 
 def _stutter(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:
-    same = (chunk.hash[1:] == chunk.hash[:-1]) & (chunk.doc[1:] == chunk.doc[:-1])
-    return 10 * np.bincount(chunk.doc[1:][same], minlength=len(chunk.first) - 1)[rows] > 3 * facts["n_words"][rows]
+    out = []
+    for r in rows:
+        own = chunk.id[chunk.first[r] : chunk.first[r + 1]]
+        out.append(10 * int((own[1:] == own[:-1]).sum()) > 3 * len(own))
+    return np.array(out, bool)
 
 
 def _dense(chunk: Chunk, facts: dict, rows: np.ndarray) -> np.ndarray:

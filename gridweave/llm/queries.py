@@ -86,6 +86,43 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Base 32 is taken from the hexadecimal digits, five bits at a time.
+    "op3_warc": """
+with p as (
+  select page_id, coalesce(html, '') body from pages
+), d as (
+  select page_id, strlen(body)::bigint payload_bytes, sha1(body) digits, min(page_id) over (partition by body) holder from p
+)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * (instr('0123456789abcdef', substr(digits, 5 * k // 4 + 1, 1)) - 1)
+    + instr('0123456789abcdef', substr(digits, 5 * k // 4 + 2, 1)) - 1)::int >> (3 - 5 * k % 4)::int) & 31), 1) for k in range(32)], '') payload_digest,
+  case when page_id = holder then 'response' else 'revisit' end record_type, case when page_id <> holder then holder end refers_to
+from d
+""",
+    # All pairs with an n-gram in common; classes by what is reached over links.
+    "op8_ngram_join": """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents
+), c as (
+  select ws, min(doc_id) copy_id, count(*) copies from w where len(ws) > 0 group by ws
+), g as (
+  select distinct copy_id d, unnest(case when len(ws) < 5 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) gram from c
+), n as (
+  select d, count(*) n from g group by d
+), pairs as (
+  select x.d a, y.d b, count(*) both_have from g x join g y on x.gram = y.gram and x.d <> y.d group by all
+), links as (
+  select a, b from pairs join n na on na.d = a join n nb on nb.d = b where 5 * both_have >= 4 * (na.n + nb.n - both_have)
+), reach as (
+  select copy_id a, copy_id b from c union select r.a, l.b from reach r join links l on r.b = l.a
+), class as (
+  select a, min(b) class_id from reach group by a
+), linked as (
+  select a, sum(copies)::bigint n from links join c on b = copy_id group by a
+)
+select doc_id, coalesce(class_id, doc_id) class_id, (coalesce(linked.n, 0) + coalesce(copies, 1) - 1)::bigint n_links, coalesce(copy_id, doc_id) copy_id
+from w left join c on w.ws = c.ws left join class on class.a = copy_id left join linked on linked.a = copy_id
+""",
     "op2_line_dedup": """
 with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos

@@ -39,6 +39,17 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as make them none of the columns'."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def bounded_sample(docs: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows: those whose doc_id has the smallest hashes. For choosing orders, fitting classifiers and the
     like; the bound is the caller's documented parameter."""

@@ -221,7 +221,13 @@ def test_quality_rules(docs, data, empty):
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(again))
         assert r.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w))
-        assert r.kept == (r.rejected_by is None) and not (r.base_failed and r.kept)
+        raw, upper, lower = (t or "").encode(), sum("A" <= c <= "Z" for c in t or ""), sum("a" <= c <= "z" for c in t or "")
+        rules = [
+            100 * r.n_symbols > 10 * len(w), r.n_dup_lines > 3 and 2 * r.n_dup_lines > len(lines), not 2 * len(w) <= r.word_chars <= 15 * len(w), 10 * sum(a == b for a, b in zip(w, w[1:])) > 3 * len(w),
+            10 * upper > 3 * (upper + lower), len(w) > 0 and 10 * max(collections.Counter(w).values()) > 3 * len(w), len(raw) + 1 >= 400 and 8 * len(zlib.compress(raw + b"\n", 1)) < len(raw) + 1,
+        ]
+        assert r.kept == (not r.base_failed and not any(rules)), i
+        assert r.kept == (r.rejected_by is None)
     assert quality_rules.quality_rules(empty).count() == 0
     backwards = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, quality_rules.RULES[::-1]).collect()}
     assert backwards == {i: r.kept for i, r in got.items()}
