@@ -303,9 +303,15 @@ class Node:
     high: Node | None = None
 
     def shares(self, x: np.ndarray) -> np.ndarray:
+        """The leaves' shares for the rows; branches that no row takes are not walked."""
         if self.low is None:
             return np.full(len(x), self.share)
-        out, under = np.empty(len(x)), x[:, self.feature] <= self.limit
+        under = x[:, self.feature] <= self.limit
+        if under.all():
+            return self.low.shares(x)
+        if not under.any():
+            return self.high.shares(x)
+        out = np.empty(len(x))
         out[under], out[~under] = self.low.shares(x[under]), self.high.shares(x[~under])
         return out
 
