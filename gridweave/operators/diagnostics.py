@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +132,29 @@ def run_errors(results: DataFrame, jobs: DataFrame, labels: DataFrame | None = N
     return rows.select("chunk_id", "row_id", "stage", "error_msg", "source", "context", "class")
 
 
+def with_attempts(errors: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Errors (row_id, stage, any other columns) with what their attempts tell, where there is one."""
+    told = attempts.select("row_id", "stage", "attempt_id", "attempt", "retry_count", "host", "started_at", "duration_ms")
+    return errors.join(told, ["row_id", "stage"], "left")
+
+
+def write_summary(out: DataFrame, run_id: str, path: str) -> None:
+    """A run's summary and that of its stages as one small file, HTML if the name ends so and else JSON. It holds a row for
+    each stage, no rows of the result."""
+    total = run_summary(out, run_id).first().asDict()
+    stages = [r.asDict() for r in stage_summary(attempts(out, run_id)).orderBy("stage").collect()]
+    if path.endswith((".html", ".htm")):
+        cell = lambda tag, v: f"<{tag}>{html.escape(str(v))}</{tag}>"
+        names = list(stages[0]) if stages else []
+        rows = "".join("<tr>" + "".join(cell("td", s[n]) for n in names) + "</tr>" for s in stages)
+        head = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in total.items())
+        text = f"<html><body><ul>{head}</ul><table><tr>{''.join(cell('th', n) for n in names)}</tr>{rows}</table></body></html>"
+    else:
+        text = json.dumps(total | {"stages": stages}, default=str)
+    with open(path, "w") as f:
+        f.write(text)
+
+
 def incomplete_jobs(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """Chunks that are to be submitted again: their state is not COMPLETED or they left no result."""
     done = jobs.where("state = 'COMPLETED'").join(results.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,6 +187,16 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
     return files if pattern is None else files.where(F.col("path").rlike(pattern))
 
 
+def glob(spark: SparkSession, pattern: str) -> DataFrame:
+    """The paths that a file pattern matches, in order; none is an empty table."""
+    try:
+        return spark.read.format("binaryFile").load(pattern).select("path").orderBy("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string")
+
+
 def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Files (path, any other columns) with ``_s``: their sidecars (path of the file, value as JSON) in SIDECAR's fields."""
     return files.join(sidecars.select("path", F.from_json("value", SIDECAR).alias("_s")), "path", "left")

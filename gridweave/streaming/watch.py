@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalars import error_signature
@@ -32,6 +32,15 @@ def silent(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes")
     return beats.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "run_id", "chunk_id").agg(F.count("*").alias("beats")).select("run_id", "chunk_id", F.col("w.start").alias("first"), F.col("w.end").alias("silent_from"), "beats")
 
 
+def silent_now(events: DataFrame, now: Column, gap_seconds: int) -> DataFrame:
+    """Workers (run, chunk) whose last sign of life is older than the gap at ``now`` and that did not finish, in a table of
+    events as it is at the time: it tells of silence while it lasts, however few events come."""
+    beats = F.max(F.when(F.col("event_type").isin("worker_heartbeat", "stage_heartbeat", "stage_started", "chunk_started"), F.col("ts")))
+    ended = F.bool_or(F.col("event_type").isin("chunk_completed", "chunk_failed"))
+    rows = events.groupBy("run_id", "chunk_id").agg(beats.alias("last"), ended.alias("_ended"))
+    return rows.where(~F.col("_ended") & (F.unix_seconds(now) - F.unix_seconds("last") > gap_seconds)).drop("_ended")
+
+
 def windowed_counts(events: DataFrame, at: str, width: str, slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Events in windows of event time; works on tables as on streams."""
     windows = F.window(at, width, slide) if slide else F.window(at, width)

@@ -1,17 +1,21 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from gridweave import schema as S
 from gridweave.functions import scalars as X
 from gridweave.operators import diagnostics as D
+from gridweave.operators.flow import flow
 from gridweave.operators.grids import describe_grid
 from gridweave.operators.ordinals import in_ranges, numbered
-from gridweave.operators.partitioning import balance_by_weight, chunk_by
+from gridweave.operators.partitioning import Dist, balance_by_weight, chunk_by, dealt
 from gridweave.plans.flow_plan import larger_memory, resource_envelope
+from gridweave.sources import catalog as C
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import by_time, find_logs, read_log, search_logs, with_context
-from gridweave.streaming.watch import event_stream, new_errors, progress, watch, windowed_counts
+from gridweave.streaming.watch import event_stream, new_errors, progress, silent, silent_now, watch, windowed_counts
 
 
 @pytest.fixture
@@ -225,3 +229,40 @@ def test_streams(spark, events, tmp_path):
     assert sorted(r.message for r in spark.read.schema("sig string, message string").json(out).collect()) == ["other", "same"]
     table = spark.createDataFrame([(k, "a") for k in range(10)], "s long, event_type string").select(F.timestamp_seconds("s").alias("ts"), "event_type")
     assert sorted(r.n for r in windowed_counts(table, "ts", "4 seconds").collect()) == [2, 4, 4]
+
+
+def test_silent_workers(spark):
+    rows = [("r", 1, "stage_heartbeat", 0), ("r", 1, "stage_heartbeat", 100), ("r", 2, "stage_heartbeat", 10), ("r", 3, "worker_heartbeat", 20), ("r", 3, "chunk_completed", 30)]
+    events = spark.createDataFrame(rows, "run_id string, chunk_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.chunk_id for r in silent_now(events, F.timestamp_seconds(F.lit(150)), 60).collect()] == [2]
+    assert sorted(r.chunk_id for r in silent_now(events, F.timestamp_seconds(F.lit(200)), 60).collect()) == [1, 2]
+    beats = sorted((r.chunk_id, r.beats) for r in silent(events, "1 minute").collect())
+    assert beats == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_small_helpers(spark, tmp_path):
+    registry = spark.createDataFrame([("a", 1, "running", "2024-01-01"), ("a", 2, "completed", None), ("b", 3, "failed", "2024-01-02"), ("c", 4, "completed", None)], "run_id string, _line long, status string, created_at string")
+    assert [r.run_id for r in R.run_ls(registry).collect()] == ["b", "a", "c"]
+    assert [r.run_id for r in R.run_ls(registry, ["completed"], 1).collect()] == ["a"]
+    assert one(spark, X.clean_params(F.create_map(F.lit("b"), F.lit("1"), F.lit(".x"), F.lit("2"), F.lit("a"), F.lit("3")))) == {"a": "3", "b": "1"}
+    assert one(spark, X.escape_html(F.lit("<a> & b"))) == "&lt;a&gt; &amp; b"
+    assert one(spark, D.suggested_memory(F.lit(2 * 1024**3))) == 3 and one(spark, D.suggested_hours(F.lit(3601))) == 3
+    by = dealt(spark.range(100).withColumn("g", F.col("id") % 3), Dist(("g",))).groupBy("g", F.spark_partition_id().alias("p")).count()
+    assert by.count() == 3
+    for name in ("b.x", "a.x", "c.y"):
+        (tmp_path / name).write_text("1")
+    assert [r.path.rpartition("/")[2] for r in C.glob(spark, f"{tmp_path}/*.x").collect()] == ["a.x", "b.x"]
+    assert C.glob(spark, f"{tmp_path}/*.none").count() == 0
+
+
+def test_summaries_in_files(spark, tmp_path):
+    out = flow(spark.range(3).withColumnRenamed("id", "x")).stage("s", {"y": "6 div x"}, S.returns(y=S.int_())).collect()
+    D.write_summary(out, "r<1>", str(tmp_path / "s.json"))
+    found = json.loads((tmp_path / "s.json").read_text())
+    assert (found["rows"], found["failed_rows"], found["stages"][0]["completed"], found["stages"][0]["failed"]) == (3, 1, 2, 1)
+    D.write_summary(out, "r<1>", str(tmp_path / "s.html"))
+    assert "r&lt;1&gt;" in (tmp_path / "s.html").read_text()
+    attempts = D.attempts(out, "r")
+    errors = attempts.where("not ok").select("row_id", "stage", "error_class").unionByName(spark.createDataFrame([("none", "s", "x")], "row_id string, stage string, error_class string"))
+    got = sorted((r.error_class, r.attempt) for r in D.with_attempts(errors, attempts).collect())
+    assert got == [("expression", 1), ("x", None)]
