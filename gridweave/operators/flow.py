@@ -3,7 +3,7 @@
 Stages are columns, which stay in Catalyst, or functions, which run in an Arrow UDF over the columns they name. All
 else is the same for both and made of columns: cancellation, skips, inputs, lossless casts, contracts, records. The
 result has the grid's columns, ``row_id``, a column ``id.field`` for each output, ``.diag`` (a record for each stage)
-and ``.ok``.
+and ``.ok``. Filters on the result do not reach the grid: filter the grid first.
 """
 
 from __future__ import annotations
@@ -305,9 +305,12 @@ def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list
     failed = ~idle & F.col("_kind").isNotNull()
     status = F.when(F.col("_cancelled"), "cancelled").when(F.col("_skipped"), "skipped").when(failed, "failed").otherwise("completed")
     outputs = {stage.named(name): F.when(F.col("_run") & ~failed, F.col(f"_v_{name}")) for name, _ in stage.schema.fields}
+    # The partition is a nondeterministic expression: filters on what comes out are not pushed through stages, where each
+    # would be written out once for every use of the one before it and grow without end.
+    place = F.coalesce(F.col("_host"), F.concat(F.lit("partition "), F.spark_partition_id().cast("string")))
     record = F.struct(
         F.lit(stage.id).alias("stage"), (~idle & ~failed).alias("ok"), F.col("_skipped").alias("skipped"), status.alias("status"), F.col("_began").alias("started_at"), F.col("_ended").alias("ended_at"),
-        F.coalesce((F.unix_micros("_ended") - F.unix_micros("_began")) / 1000, F.lit(0.0)).alias("duration_ms"), F.col("_host").alias("host"), F.when(F.col("_run"), F.col("_attempt")).otherwise(0).alias("attempt"),
+        F.coalesce((F.unix_micros("_ended") - F.unix_micros("_began")) / 1000, F.lit(0.0)).alias("duration_ms"), place.alias("host"), F.when(F.col("_run"), F.col("_attempt")).otherwise(0).alias("attempt"),
         F.when(F.col("_run"), F.col("_attempt") - 1).otherwise(0).alias("retry_count"), none.cast("double").alias("queue_ms"), F.col("_kind").alias("error_class"), F.col("_message").alias("error_message"),
     )
     df = df.withColumns(outputs | {".diag": F.concat("`.diag`", F.array(record.cast(DIAG)))})

@@ -154,6 +154,16 @@ def test_functions_read_what_they_name(spark, tmp_path):
     assert "wide" not in udf.split("a0")[0] and [r[0] for r in out.select("`s.y`").orderBy("`s.y`").collect()] == list(range(5))
 
 
+def test_long_flows_are_planned_in_proportion(spark):
+    f = flow(numbers(spark, *range(50)))
+    before = "x"
+    for k in range(8):
+        f = f.stage(f"s{k}", {"y": f"`{before}` + 1"}, S.returns(y=S.dbl(), _contract=(S.ctr_field("y", min=0, max=40),)), needs=(f"s{k - 1}",) if k else ())
+        before = f"s{k}.y"
+    began = time.time()
+    assert D.failed(f.collect()).count() == 50 - 33 and time.time() - began < 120
+
+
 def test_flexible_types(spark):
     class Thing:
         pass
