@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.llm.clustering import cluster_vectors
 from gridweave.llm.decontamination import contaminated
 from gridweave.llm.html_text import extract_text
 from gridweave.llm.line_dedup import line_dedup
@@ -72,6 +73,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Each round over distinct vectors: the nearest centroid by least 16 * distance + number, then the floors of means."""
+    nearest = """a{0} as (
+  select q, n, min(16 * list_sum(list_transform(range(1, 65), lambda i: (d.q[i] - c.p[i]) * (d.q[i] - c.p[i])))::hugeint + c.c) v from d cross join c{0} c group by q, n
+)"""
+    moved = """c{1} as (
+  select c.c, coalesce(m.p, c.p) p from c{0} c left join (
+    select c, list(((s - ((s % w) + w) % w) // w)::bigint order by i) p from (
+      select v % 16 c, i, sum(n * q[i])::hugeint s, sum(n)::hugeint w from a{0}, range(1, 65) t(i) group by all
+    ) group by c
+  ) m on m.c = c.c
+)"""
+    steps = [part.format(r, r + 1) for r in range(rounds) for part in (nearest, moved)] + [nearest.format(rounds)]
+    return """
+with kept as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), d as (
+  select q, count(*) n from kept group by q
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id), q) - 1 c, q p from kept qualify c < 16
+), {0}
+select vec_id, (v % 16)::int "cluster", (v // 16)::bigint distance, sum(v // 16) over (partition by v % 16)::bigint cluster_inertia,
+  sum(v // 16) over ()::bigint inertia, sha256(array_to_string(p, ',')) centroid_sha256
+from kept join a{1} using (q) join c{1} c on c.c = v % 16
+""".format(", ".join(steps), rounds)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -83,9 +116,11 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_clusters": op11_clusters,
 }
 
 ORACLE_SQL = {
+    "op11_clusters": _lloyd_sql(3),
     # Base 32 is taken from the hexadecimal digits, five bits at a time.
     "op3_warc": """
 with p as (
