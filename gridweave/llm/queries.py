@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.clustering import cluster_vectors
 from gridweave.llm.decontamination import contaminated
+from gridweave.llm.fingerprints import edited_fingerprints
 from gridweave.llm.html_text import extract_text
 from gridweave.llm.line_dedup import line_dedup
 from gridweave.llm.mixing import fit_domains, mix_sources
@@ -77,6 +78,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _lloyd_sql(rounds: int) -> str:
     """Each round over distinct vectors: the nearest centroid by least 16 * distance + number, then the floors of means."""
     nearest = """a{0} as (
@@ -117,6 +122,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_clusters": op11_clusters,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL = {
