@@ -9,6 +9,7 @@ from gridweave.llm.clustering import cluster_vectors
 from gridweave.llm.decontamination import contaminated
 from gridweave.llm.fingerprints import edited_fingerprints
 from gridweave.llm.html_text import extract_text
+from gridweave.llm.lexical_search import search
 from gridweave.llm.line_dedup import line_dedup
 from gridweave.llm.mixing import fit_domains, mix_sources
 from gridweave.llm.ngram_join import ngram_join
@@ -78,6 +79,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -122,10 +127,33 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_clusters": op11_clusters,
+    "op12_search": op12_search,
     "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL = {
+    "op12_search": r"""
+with t as (
+  select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from documents
+), s as (
+  select count(*) filter (len(ts) > 0) docs, sum(len(ts))::bigint terms from t
+), p as (
+  select r, doc_id, n, term, count(*) tf from (select r, doc_id, len(ts) n, unnest(ts) term from t) group by all
+), w as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint w from p, s group by term, docs
+), q as (
+  select item, item_id, term, count(*) qtf from (
+    select row_number() over () item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from (select distinct item_id, text from benchmark)
+  ) group by all
+), scored as (
+  select item, item_id, r, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint score
+  from q join p using (term) join w using (term), s group by all
+)
+select item_id, (row_number() over (partition by item order by score desc, doc_id))::int "rank", doc_id, score from scored where score > 0
+qualify "rank" <= 10
+""",
     "op11_clusters": _lloyd_sql(3),
     # Base 32 is taken from the hexadecimal digits, five bits at a time.
     "op3_warc": """
