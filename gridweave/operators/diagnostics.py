@@ -194,7 +194,7 @@ def failure_timeline(events: DataFrame, run: str, at: str) -> DataFrame:
     """Events with whole seconds since their run's first one. The first times are one row for each run, combined before
     they are shuffled, so a run with very many events is no burden to one task."""
     starts = events.groupBy(run).agg(F.min(at).alias("_start"))
-    return events.join(starts, run).withColumn("offset_s", F.timestamp_diff("SECOND", F.col("_start"), F.col(at))).drop("_start")
+    return events.join(starts, events[run].eqNullSafe(starts[run])).drop(starts[run]).withColumn("offset_s", F.timestamp_diff("SECOND", F.col("_start"), F.col(at))).drop("_start")
 
 
 def missing_results(jobs: DataFrame, results: DataFrame, key: str, states: tuple[str, ...] = ("FAILED", "TIMEOUT", "CANCELLED", "COMPLETED")) -> DataFrame:

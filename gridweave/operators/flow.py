@@ -206,6 +206,25 @@ def raises(value: Column) -> Column:
     return F.try_to_binary(F.coalesce(F.to_json(F.struct(value.alias("v"))), F.lit("{}")), F.lit("utf-8")).isNull()
 
 
+#: Formats in which JSON keeps times to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _deterministic(df: DataFrame, value: Column) -> bool:
+    return bool(df.select(value.alias("v"))._jdf.queryExecution().analyzed().expressions().head().deterministic())
+
+
+def _once(value: Column) -> Column:
+    """A column that gives something else each time it is evaluated, as bytes that are made once for each row, as Spark
+    copies no such expression; null where it raises an error."""
+    return F.try_to_binary(F.to_json(F.struct(value.alias("v")), _TIMES), F.lit("utf-8"))
+
+
+def _again(made: str, kind: T.DataType) -> Column:
+    """The value from such bytes."""
+    return F.from_json(F.decode(F.col(made), "utf-8"), T.StructType([T.StructField("v", kind)]), _TIMES)["v"]
+
+
 def _visible(stage: Stage, grid: list[str], done: list[Stage]) -> dict[str, str]:
     """The names that functions of a stage see, and the columns that they are."""
     out = {name: s.named(name) for s in done for name, _ in s.schema.fields}
@@ -321,7 +340,12 @@ def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
     """Expressions are evaluated where nothing keeps the stage from running; one that raises makes its row fail."""
     none = F.lit(None).cast("string")
     made = {name: _column(stage.does[name]) for name, _ in stage.schema.fields if name in stage.does}
-    raised = F.array_compact(F.array(*[F.when(raises(F.when(F.col("_run"), value)), F.lit(name)) for name, value in made.items()], none))
+    drawn = {name: f"_drawn_{name}" for name, value in made.items() if not _deterministic(df, value)}
+    kinds = {name: df.select(made[name].alias("v")).schema["v"].dataType for name in drawn}
+    df = df.withColumns({to: _once(F.when(F.col("_run"), made[name])) for name, to in drawn.items()})
+    failing = {name: F.col(drawn[name]).isNull() if name in drawn else raises(F.when(F.col("_run"), value)) for name, value in made.items()}
+    made |= {name: _again(to, kinds[name]) for name, to in drawn.items()}
+    raised = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in failing.items()], none))
     now = F.current_timestamp()
     absent = [n for n in stage.expected if n not in stage.does]
     missing = F.lit(f"missing_output: {', '.join(absent)}") if absent else none
@@ -338,7 +362,7 @@ def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
             values[f"_v_{name}"] = F.when(F.col("_run") & F.col("_error").isNull(), lossless_column(made[name], own, kind))
         else:
             values[f"_v_{name}"] = F.lit(None).cast(kind)
-    return df.withColumns(values).drop("_raised")
+    return df.withColumns(values).drop("_raised", *drawn.values())
 
 
 def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, str]) -> DataFrame:

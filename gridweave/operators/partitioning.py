@@ -19,7 +19,13 @@ def chunk_by(df: DataFrame, ordinal: str, size: int | None = None, n_chunks: int
     if size is not None:
         return rows.withColumn(name, F.ceil(F.col("_rn") / size).cast("long")).drop("_rn")
     counts = df.groupBy(*by).agg(F.count("*").alias("_n")) if by else df.agg(F.count("*").alias("_n"))
-    joined = rows.join(counts, list(by)) if by else rows.crossJoin(F.broadcast(counts))
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & rows[c].eqNullSafe(counts[c])
+        joined = rows.join(counts, same).drop(*[counts[c] for c in by])
+    else:
+        joined = rows.crossJoin(F.broadcast(counts))
     return joined.withColumn(name, F.ceil(F.col("_rn") / F.ceil(F.col("_n") / n_chunks)).cast("long")).drop("_rn", "_n")
 
 

@@ -35,12 +35,14 @@ def find_logs(lines: DataFrame, states: DataFrame | None = None, failed_only: bo
 def with_context(lines: DataFrame, match: Column, by: str, order: str, before: int = 3, after: int = 3, block: int = 4096) -> DataFrame:
     """Lines that match or lie within so many lines of one that does, with ``is_match``; a line is returned once.
 
-    ``order`` numbers the lines of ``by`` from some number on without gaps. Lines are handled in blocks of neighbours,
-    each with copies of the lines at its edges, so a very long log is spread over tasks.
+    ``order`` numbers the lines of ``by`` from some number on without gaps. Lines are handled in blocks of neighbours, at
+    least as many as the context has, and matches are copied to the blocks that their context reaches, so a very long
+    log is spread over tasks and a match is in three blocks at most.
     """
-    rows = lines.withColumns({"is_match": F.coalesce(match, F.lit(False)), "_block": F.floor(F.col(order) / block)})
-    edge = F.array_compact(F.array(F.col("_block"), F.when(F.col(order) % block < before, F.col("_block") - 1), F.when(F.col(order) % block >= block - after, F.col("_block") + 1)))
-    copies = rows.withColumn("_own", F.explode(F.array_distinct(edge)))
+    size = max(block, before + after)
+    rows = lines.withColumns({"is_match": F.coalesce(match, F.lit(False)), "_block": F.floor(F.col(order) / size)})
+    reached = F.sequence(F.floor((F.col(order) - before) / size), F.floor((F.col(order) + after) / size))
+    copies = rows.withColumn("_own", F.explode(F.when(F.col("is_match"), reached).otherwise(F.array("_block"))))
     near = F.max("is_match").over(Window.partitionBy(by, "_own").orderBy(order).rangeBetween(-after, before))
     return copies.withColumn("_near", near).where((F.col("_own") == F.col("_block")) & F.col("_near")).drop("_own", "_block", "_near")
 

@@ -1,4 +1,4 @@
-"""Every query that has SQL gives the same rows as DuckDB on the smallest tables."""
+"""Every query that has SQL gives the same rows as DuckDB on small tables of two sizes."""
 
 import os
 
@@ -7,16 +7,16 @@ import pytest
 
 from gridweave.plans.catalogue import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SIZES = ("sf0.001", "sf0.01")
 
 
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
+@pytest.fixture(scope="module", params=SIZES)
+def tables(request):
+    con, folder = duckdb.connect(), f"/root/testdata/{request.param}"
     con.sql("set timezone = 'UTC'")
-    for f in os.listdir(SF):
-        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
-    return con
+    for f in os.listdir(folder):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
+    return folder, con
 
 
 def plain(value):
@@ -26,8 +26,9 @@ def plain(value):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    got = QUERIES[name](spark, SF)
+def test_query(spark, tables, name):
+    folder, duck = tables
+    got = QUERIES[name](spark, folder)
     columns = sorted(got.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=str)
     if name in ORACLE_SQL:

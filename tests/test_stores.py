@@ -266,3 +266,9 @@ def test_summaries_in_files(spark, tmp_path):
     errors = attempts.where("not ok").select("row_id", "stage", "error_class").unionByName(spark.createDataFrame([("none", "s", "x")], "row_id string, stage string, error_class string"))
     got = sorted((r.error_class, r.attempt) for r in D.with_attempts(errors, attempts).collect())
     assert got == [("expression", 1), ("x", None)]
+
+
+def test_context_of_any_length(spark):
+    lines = spark.range(200).select(F.lit("f").alias("file"), F.col("id").alias("line"))
+    got = with_context(lines, F.col("line") == 100, "file", "line", before=40, after=70, block=16)
+    assert sorted(r.line for r in got.collect()) == list(range(60, 171))
