@@ -18,6 +18,7 @@ from gridweave.sources import catalog as C
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import with_context
 from gridweave.streaming.watch import windowed_counts
+from gridweave.streaming.workers import chunk_marks, progress, worker_alerts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -287,10 +288,10 @@ def plan_fingerprint(spark, sf_dir):
 def plan_fingerprint_changes(spark, sf_dir):
     """What changes a flow's fingerprint and what does not."""
     f = _priced(spark, sf_dir)
-    last = f.grid.agg(F.max("l_orderkey").alias("m"))
+    least = f.grid.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m"))
     others = {
         "same rows in other partitions": Flow(f.grid.repartition(7), f.stages),
-        "one row less": Flow(f.grid.join(F.broadcast(last), (F.col("l_orderkey") == F.col("m")) & (F.col("l_linenumber") == 1), "left_anti"), f.stages),
+        "one row less": Flow(f.grid.join(F.broadcast(least), F.struct("l_orderkey", "l_linenumber") == F.col("m"), "left_anti"), f.stages),
         "another stage": f.stage("more", {"z": "1"}, S.returns(z=S.int_())),
     }
     own, out = flow_fingerprint(f).select(F.col("fingerprint").alias("own")), None
@@ -515,3 +516,47 @@ def run_diagnosis(spark, sf_dir):
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     expected = F.when(u % 4 == 0, 9).when(u % 4 == 1, 4)
     return users.select("user_id", D.run_diagnosis(expected, u % 5, u % 5, F.when(u % 3 == 0, 1).otherwise(0), F.when(u % 4 == 0, "failed"), F.lit("quota")).alias("line"))
+
+
+@query("""select o_orderkey, ceil(row_number() over (partition by p order by o_orderkey) / ceil(count(*) over (partition by p) / 7.0))::bigint as chunk
+from (select o_orderkey, nullif(o_orderpriority, '5-LOW') p from orders)""")
+def chunk_null_groups(spark, sf_dir):
+    """Chunks within groups, of which one has no name."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
+    return chunk_by(rows, "o_orderkey", n_chunks=7, by=("p",)).select("o_orderkey", "chunk")
+
+
+@query("""select user_id, n, is_match from (select *, max(is_match) over (partition by user_id order by n rows between 70 preceding and 40 following) near from (
+select user_id, row_number() over (partition by user_id order by event_id) n, value > 480 as is_match from events)) where near""")
+def context_beyond_block(spark, sf_dir):
+    """Context longer than the blocks that lines are handled in."""
+    lines = numbered(table(spark, sf_dir, "events"), "event_id", ("user_id",), name="n")
+    return with_context(lines, F.col("value") > 480, "user_id", "n", before=40, after=70, block=16).select("user_id", "n", "is_match")
+
+
+@query("select true as fits, count(*) as n from lineitem")
+def flow_random_columns(spark, sf_dir):
+    """A stage whose expression draws at random whether it raises: each row is either whole or a failure."""
+    out = flow(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), error="keep").stage("draw", {"v": "if(rand() < 0.5, 1 div 0, l_linenumber)"}, S.returns(v=S.int_()))
+    value, ok = F.col("`draw.v`"), F.col("`.ok`")
+    return out.collect().groupBy(((ok & (value == F.col("l_linenumber"))) | (~ok & value.isNull())).alias("fits")).agg(F.count("*").alias("n"))
+
+
+@query("""with b as (select distinct user_id::varchar as run_id, user_id % 3 as chunk_id, ts from events where event_type in ('view', 'click', 'signup')),
+g as (select *, lag(ts) over (partition by run_id, chunk_id order by ts) as last from b)
+select run_id, chunk_id, 'silent' as alert, last + interval 6 hour as at, last from g where ts - last > interval 6 hour
+union all select run_id, chunk_id, 'returned', ts, last from g where ts - last > interval 6 hour""")
+def worker_silences(spark, sf_dir):
+    """Times in which nothing was heard of a worker and its return, from keyed state."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("view", "click"), "worker_heartbeat").when(F.col("event_type") == "signup", "stage_started").otherwise("user_log")
+    rows = e.select(F.col("user_id").cast("string").alias("run_id"), (F.col("user_id") % 3).alias("chunk_id"), kind.alias("event_type"), "ts")
+    out = worker_alerts(rows, gap_s=6 * 3600)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "last")})
+
+
+@query("select event_type as run_id, count(distinct user_id) as chunks_done from events group by event_type")
+def chunk_progress(spark, sf_dir):
+    """Chunks done of each run, each once however often it is told."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("user_id").alias("chunk_id"), F.lit("chunk_completed").alias("event_type"), "ts")
+    return progress(chunk_marks(rows)).select("run_id", "chunks_done")

@@ -22,12 +22,14 @@ def new_errors(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Chunks finished in each run so far (for update or complete mode)."""
+    """Chunks finished in each run so far (for update or complete mode). Its state has a row for each chunk and never ends;
+    for streams that run on there is :func:`gridweave.streaming.workers.chunk_marks`."""
     return events.where(F.col("event_type") == "chunk_completed").dropDuplicates(["run_id", "chunk_id"]).groupBy("run_id").agg(F.count("chunk_id").alias("chunks_done"))
 
 
 def silent(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Times in which a worker (run, chunk) kept sending: a session that ends tells that nothing came for ``gap``."""
+    """Times in which a worker (run, chunk) kept sending: a session that ends tells that nothing came for ``gap``. For alerts
+    while a worker is silent and when it is back there is :func:`gridweave.streaming.workers.worker_alerts`."""
     beats = events.where(F.col("event_type").isin("worker_heartbeat", "stage_heartbeat"))
     return beats.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "run_id", "chunk_id").agg(F.count("*").alias("beats")).select("run_id", "chunk_id", F.col("w.start").alias("first"), F.col("w.end").alias("silent_from"), "beats")
 

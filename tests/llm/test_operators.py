@@ -85,6 +85,17 @@ def test_line_dedup(docs, data, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_keys_that_collide_in_xxhash64(spark):
+    """Two different lines with the same two values of a 64-bit hash under two seeds are different lines."""
+    x = "x" * 24
+    lines = ["]>.c$#$\"" + x + "y}w/pw{/" + x, "k<q$~=sz" + x + ")!,8>$9v" + x]
+    seeds = spark.createDataFrame([(v,) for v in lines], "v string").select(F.xxhash64(F.lit(1), "v"), F.xxhash64(F.lit(2), "v"))
+    assert seeds.distinct().count() == 1
+    docs = spark.createDataFrame([(1, lines[0]), (2, lines[1]), (3, lines[1])], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(docs).collect()}
+    assert got == {1: (lines[0], 0), 2: (lines[1], 0), 3: ("", 1)}
+
+
 def test_line_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "a shared long line\nx"), (1, "a shared long line\nx"), (None, "A SHARED long line \ny"), (None, "another line of null\n"), (None, "another line of null")]
     got = sorted((r.doc_id is None, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -156,6 +167,30 @@ def test_prefix_counts_and_encoding(data):
         assert np.cumsum(steps, dtype=int).tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
 
 
+def test_prefix_counts_of_long_words():
+    """Words far beyond those handled together, with and without special strings, against the library at many prefixes."""
+    from tokenizers import Tokenizer
+
+    library, counter, rng = Tokenizer.from_file(PATH), tokens.PrefixCounter(PATH), random.Random(4)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base64_letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    chinese, kana = "".join(map(chr, range(0x4E00, 0x9FA5))), "".join(map(chr, range(0x3041, 0x3096)))
+    texts = [drawn(letters, n) for letters in ("acgt", base64_letters, chinese, kana, "a", "=-", "é", "ab1") for n in (33, 300, 2000)]
+    texts += [drawn("acgt", tokens._STRETCH - 2) + drawn(base64_letters, 300), "don't" * 100 + drawn(kana, 400) + "'re"]
+    texts += ["ab<|endoftext|>" * 40 + drawn("acgt", 300) + "<|endoftext|><|endof" + drawn(chinese, 100), "<|endoftext|>" * 50]
+    for text, steps in zip(texts, counter.steps(texts), strict=True):
+        places = range(1, len(text) + 1) if len(text) < 400 else sorted({*rng.sample(range(1, len(text)), 60), len(text)})
+        count = np.cumsum(steps, dtype=int)
+        assert len(steps) == len(text)
+        assert [count[k - 1] for k in places] == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in places]
+
+
+def test_many_special_strings():
+    text = "<|endoftext|>" * 100_000
+    (steps,) = tokens.PrefixCounter(PATH).steps([text])
+    assert steps.sum(dtype=int) == 100_000
+
+
 def test_token_counts(docs, data, empty):
     from tokenizers import Tokenizer
 
