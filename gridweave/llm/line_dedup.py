@@ -1,6 +1,6 @@
 """Line deduplication across documents, with DataFrame functions only.
 
-Lines are exploded with their positions, keyed by a 128-bit hash of their normalised form, and the documents of each
+Lines are exploded with their positions, keyed by 128 bits of SHA-256 of their normalised form, and the documents of each
 key counted; lines of keys over the threshold go, except in the first document, and the others are put back in order.
 
 Scale: the aggregate over keys combines on the map side, so a line found in a third of all documents costs a row per
@@ -24,6 +24,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, UPPER.lower())
 
 
+def digest128(text: Column) -> Column:
+    """16 bytes of SHA-256, which stand for the text."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, any other columns) with ``text`` rebuilt, ``n_lines`` and ``n_dropped``.
 
@@ -35,22 +40,22 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataF
     if min_docs < 2:
         raise ValueError("min_docs is at least 2")
     base = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
-    lines = base.select("doc_id", F.xxhash64("text").alias("_body"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
+    lines = base.select("doc_id", digest128(F.col("text")).alias("_body"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
     keyed = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
-    keyed = keyed.select("doc_id", "_body", "_at", F.xxhash64(F.lit(1), "_key").alias("_k1"), F.xxhash64(F.lit(2), "_key").alias("_k2"))
+    keyed = keyed.select("doc_id", "_body", "_at", digest128(F.col("_key")).alias("_key"))
 
     unnamed = F.max(F.col("doc_id").isNull().cast("int"))
     if min_docs == 2:
-        found = keyed.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("_keep"), F.max("doc_id").alias("_last"), unnamed.alias("_unnamed"))
+        found = keyed.groupBy("_key").agg(F.min("doc_id").alias("_keep"), F.max("doc_id").alias("_last"), unnamed.alias("_unnamed"))
         found = found.where((F.col("_keep") < F.col("_last")) | (F.col("_keep").isNotNull() & (F.col("_unnamed") == 1)))
     else:
-        per_doc = keyed.groupBy("_k1", "_k2", "doc_id").agg(F.lit(1).alias("_one"))
-        found = per_doc.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("_keep"), F.sum("_one").alias("_docs")).where(F.col("_docs") >= min_docs)
-    repeated = stored(found.select("_k1", "_k2", "_keep"), "repeated_lines")
+        per_doc = keyed.groupBy("_key", "doc_id").agg(F.lit(1).alias("_one"))
+        found = per_doc.groupBy("_key").agg(F.min("doc_id").alias("_keep"), F.sum("_one").alias("_docs")).where(F.col("_docs") >= min_docs)
+    repeated = stored(found.select("_key", "_keep"), "repeated_lines")
 
-    marked = keyed.join(repeated, ["_k1", "_k2"]).where(~F.col("doc_id").eqNullSafe(F.col("_keep")))
+    marked = keyed.join(repeated, "_key").where(~F.col("doc_id").eqNullSafe(F.col("_keep")))
     dropped = marked.groupBy(F.col("doc_id").alias("_doc"), "_body").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
-    whole = base.withColumn("_body", F.xxhash64("text"))
+    whole = base.withColumn("_body", digest128(F.col("text")))
     joined = whole.join(dropped, whole["doc_id"].eqNullSafe(dropped["_doc"]) & (whole["_body"] == dropped["_body"]), "left").drop("_doc", "_body")
     # Split behind the join, so that texts and not arrays of lines are shuffled and sorted.
     joined = joined.withColumn("_lines", F.split("text", "\n", -1))
