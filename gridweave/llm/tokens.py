@@ -50,6 +50,8 @@ KEEP, LONG = 500_000, 80
 TOGETHER = 1 << 19
 #: Bytes of the longest pre-tokens that are handled together with others: of words, and of texts without spaces.
 _NARROW, _WIDE = 48, 240
+#: Pre-tokens of more bytes are searched for tokens as a whole, so many bytes at a time.
+_SEARCHED, _STRETCH = 240, 1 << 15
 _ODD_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,14 +216,23 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
-_POWERS = np.cumprod(np.append(np.uint64(1), np.full(_WIDE, _ODD_NUMBER, np.uint64)), dtype=np.uint64)
-_INVERSES = np.cumprod(np.append(np.uint64(1), np.full(_WIDE, pow(int(_ODD_NUMBER), -1, 1 << 64), np.uint64)), dtype=np.uint64)
+@lru_cache(maxsize=4)
+def _table(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)), dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    return _table(int(_ODD_NUMBER), _WIDE if n <= _WIDE else _STRETCH + _WIDE)[:n]
+
+
+def _inverses(n: int) -> np.ndarray:
+    return _table(pow(int(_ODD_NUMBER), -1, 1 << 64), _WIDE if n <= _WIDE else _STRETCH + _WIDE)[: n + 1]
 
 
 def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
     """Sums by which the hash of any part of each row is found."""
     out = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _POWERS[: rows.shape[1]] * np.uint64(0xD6E8FEB86659FD93), axis=1, out=out[:, 1:])
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _powers(rows.shape[1]) * np.uint64(0xD6E8FEB86659FD93), axis=1, out=out[:, 1:])
     return out
 
 
@@ -248,6 +259,7 @@ class PrefixCounter:
             raise ValueError(f"prefix counts are for byte-level BPE; {path} is of another kind")
         self.model, self.before = self.library.model, self.library.pre_tokenizer
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.vocab = set(self.library.get_vocab(with_added_tokens=False))
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -255,6 +267,9 @@ class PrefixCounter:
         self.kept: dict[str, bytes] = {}
         # For batches: tokens that stand alone by the hash of their bytes, a sieve on it, and pairs met, by a slot.
         place = {c: b for b, c in enumerate(_byte_characters())}
+        self.place = {ord(c): b for c, b in place.items()}
+        self.met: dict[int, bool] = {}
+        self.begun: dict[tuple[str, str], list[int]] = {}
         tokens = [t for t in self.vocab if len(t) <= _WIDE and self._is_alone(t)]
         width = np.array([len(t) for t in tokens])
         rows = np.zeros((len(tokens), int(width.max())), np.uint8)
@@ -287,6 +302,8 @@ class PrefixCounter:
 
     def piece(self, piece: str) -> list[int]:
         """Counts of all prefixes of a pre-token of byte characters: entry i is that of its first i + 1 bytes."""
+        if len(piece) > _SEARCHED and self.longest <= _WIDE:
+            return self._long_piece(piece)
         count, last, longest = [0], [""], self.longest
         for end in range(1, len(piece) + 1):
             for begin in range(max(0, end - longest), end):
@@ -299,6 +316,57 @@ class PrefixCounter:
                 raise ValueError(f"no token of the vocabulary ends at {end} in {piece!r}")
         return count[1:]
 
+    def _ending(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens in some bytes, by their end: end, length and number in ``tokens``, those of three bytes first."""
+        value = _prefix_hashes(data[None, :])[0]
+        inverse = _inverses(len(data))
+        ends, sizes, numbers = [], [], []
+        for size in sorted(range(1, min(len(data), self.widest) + 1), key=lambda n: (abs(n - 3), n)):
+            h = (value[size:] - value[:-size]) * inverse[: len(data) - size + 1]
+            begin = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.values, h[begin]), len(self.values) - 1)
+            real = self.values[k] == h[begin]
+            begin, k = begin[real], k[real]
+            if len(begin):
+                real = (self.spelled[k, :size] == data[begin[:, None] + np.arange(size)]).all(axis=1)
+                begin, k = begin[real], k[real]
+            ends.append(begin + size)
+            sizes.append(np.full(len(begin), size))
+            numbers.append(k)
+        ends, sizes, numbers = map(np.concatenate, (ends, sizes, numbers))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], sizes[order], numbers[order]
+
+    def _long_piece(self, piece: str) -> list[int]:
+        """:meth:`piece` for many bytes: the tokens that end at each place are found for a stretch at a time, and what is
+        left for each place is to look up which of a handful may follow."""
+        data = np.frombuffer(piece.translate(self.place).encode("latin-1"), np.uint8)
+        count, last, met, tokens = [0] * (len(data) + 1), [-1] * (len(data) + 1), self.met, self.tokens
+        for begin in range(0, len(data), _STRETCH):
+            back = max(0, begin - self.widest)
+            ends, sizes, numbers = self._ending(data[back : begin + _STRETCH])
+            own = ends + back > begin
+            if len(met) > 4 * KEEP:
+                met.clear()
+            done = begin
+            for end, size, k in zip((ends[own] + back).tolist(), sizes[own].tolist(), numbers[own].tolist(), strict=True):
+                if end == done:
+                    continue
+                before = last[end - size]
+                if end > size:
+                    pair = before << 20 | k
+                    ok = met.get(pair)
+                    if ok is None:
+                        ok = met[pair] = self._follows(tokens[before], tokens[k])
+                    if not ok:
+                        continue
+                if end != done + 1:
+                    break
+                done, count[end], last[end] = end, count[end - size] + 1, k
+            if done != min(len(data), begin + _STRETCH):
+                raise ValueError(f"no token of the vocabulary ends at {done + 1} in {piece!r}")
+        return count[1:]
+
     def _pairs_ok(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which tokens b may follow tokens a (numbers in ``tokens``)."""
         key = a << 20 | b
@@ -318,7 +386,7 @@ class PrefixCounter:
         width = np.fromiter(map(len, raw), np.int64, len(raw))
         most = int(width.max(initial=0))
         rows = np.frombuffer(b"".join([r.ljust(most, b"\0") for r in raw]), np.uint8).reshape(len(raw), most)
-        value = _prefix_hashes(rows)
+        value, inverse = _prefix_hashes(rows), _inverses(most)
         count, last = np.zeros((len(raw), most + 1), np.int16), np.full((len(raw), most + 1), -1, np.int64)
         for end in range(1, most + 1):
             open_ = np.flatnonzero(width >= end)
@@ -326,7 +394,7 @@ class PrefixCounter:
                 if not len(open_):
                     break
                 begin = end - size
-                h = (value[open_, end] - value[open_, begin]) * _INVERSES[begin]
+                h = (value[open_, end] - value[open_, begin]) * inverse[begin]
                 some = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
                 k = np.minimum(np.searchsorted(self.values, h[some]), len(self.values) - 1)
                 real = (self.values[k] == h[some]) & (self.spelled[k, :size] == rows[open_[some], begin:end]).all(axis=1)
@@ -339,15 +407,17 @@ class PrefixCounter:
                 open_ = np.delete(open_, some)
             if len(open_):
                 raise ValueError(f"no token of the vocabulary ends at {end} in {pieces[int(open_[0])]!r}")
-        steps = _small(np.diff(count, axis=1))
-        out = []
-        for k, (r, n) in enumerate(zip(raw, width.tolist(), strict=True)):
-            if len(pieces[k]) == n:
-                out.append(steps[k, :n].tobytes())
-            else:
-                ends = np.append(np.flatnonzero((rows[k, 1:n] & 0xC0) != 0x80) + 1, n)
-                out.append(_small(np.diff(count[k, ends], prepend=0)).tobytes())
-        return out
+        # Of all pieces at once: the bytes at which a code point ends, and the steps from one such byte to the next.
+        at = np.arange(most)
+        ends = at < width[:, None]
+        ends[:, :-1] &= ((rows[:, 1:] & 0xC0) != 0x80) | (at[:-1] == width[:, None] - 1)
+        some = count[:, 1:][ends].astype(np.int64)
+        steps, size = np.diff(some, prepend=0), ends.sum(axis=1)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        first = edge[:-1][size > 0]
+        steps[first] = some[first]
+        small = _small(steps).tobytes()
+        return [small[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def _plain(self, text: str) -> list[int]:
         """Counts of all prefixes, by code point, of a text without special strings."""
@@ -365,16 +435,27 @@ class PrefixCounter:
                 out[run.end() - 1] = (out[run.start() - 1] if run.start() else 0) + sum(self.piece(p)[-1] for p, _ in pieces)
         return out
 
+    def _begun(self, head: str, special: str) -> list[int]:
+        """Counts of ``head`` with the beginnings of a special string, short of the whole."""
+        if (got := self.begun.get((head, special))) is None:
+            got = [len(self.library.encode(head + special[:k], add_special_tokens=False).ids) for k in range(1, len(special))]
+            if len(head) <= LONG and len(self.begun) < KEEP // 16:
+                self.begun[head, special] = got
+        return got
+
     def counts(self, text: str) -> list[int]:
-        """Counts of all prefixes, by code point."""
-        at, found = min(((text.find(s), s) for s in self.special if s in text), key=lambda x: (x[0], -len(x[1])), default=(-1, ""))
-        if at < 0:
-            return self._plain(text)
-        head = text[:at]
-        out = self._plain(head)
-        out += [len(self.library.encode(head + found[:k], add_special_tokens=False).ids) for k in range(1, len(found))]
-        base = (out[at - 1] if at else 0) + 1
-        return [*out, base, *[base + n for n in self.counts(text[at + len(found) :])]]
+        """Counts of all prefixes, by code point. Special strings part the text; a prefix that ends within one has its
+        beginning as plain text."""
+        out: list[int] = []
+        at = 0
+        for found in self.specials.finditer(text) if self.special else ():
+            base, head = out[-1] if out else 0, text[at : found.start()]
+            out += [base + n for n in self._plain(head)]
+            out += [base + n for n in self._begun(head, found[0])]
+            out.append((out[found.start() - 1] if found.start() else 0) + 1)
+            at = found.end()
+        base = out[-1] if out else 0
+        return out + [base + n for n in self._plain(text[at:])]
 
     def _steps(self, unit: str) -> bytes:
         return _small(np.diff(np.array(self.counts(unit), np.int64), prepend=0)).tobytes()
