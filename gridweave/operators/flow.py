@@ -39,6 +39,19 @@ def retry_delay(retry: int, backoff: str, base: float) -> float:
     return min(wait, LONGEST_WAIT)
 
 
+def should_retry(error: Exception, kind: str, rule: tuple[str, ...] | Callable | None) -> bool:
+    """Whether a rule takes an error: names of its class or of one that it derives from, or a function of the error; one that
+    fails takes nothing. No rule takes all."""
+    if rule is None:
+        return True
+    if callable(rule):
+        try:
+            return bool(rule(error))
+        except Exception:
+            return False
+    return kind in rule or any(c.__name__ in rule for c in type(error).__mro__)
+
+
 class StageError(Exception):
     """An error of a stage with a class of its own."""
 
@@ -56,7 +69,8 @@ class Stage:
     as ``stage_output``, and ``constants``. ``skip_when`` is a column, SQL text or function for either kind of stage. With
     ``io_mode`` "error" a null or missing one of ``inputs``, one of ``input_artifacts`` that is no file reference, and one of
     ``outputs`` (by default all declared) that is not returned are failures; with "warn" they are told in the record of
-    a stage that goes on. Stages of columns have no sink and no retries: the same expression gives the same again.
+    a stage that goes on. ``hoist_struct`` makes a column ``id.output$field`` of each field of outputs that are records.
+    Stages of columns have no sink and no retries: the same expression gives the same again.
     """
 
     id: str
@@ -73,9 +87,10 @@ class Stage:
     retries: int | None = None
     backoff: str | None = None
     base: float | None = None
-    retry_on: tuple[str, ...] | None = None
+    retry_on: tuple[str, ...] | Callable | None = None
     resources: dict[str, Any] = field(default_factory=dict)
     sink: Any = None
+    hoist_struct: bool = False
 
     def __post_init__(self) -> None:
         if self.io_mode not in ("off", "warn", "error"):
@@ -119,6 +134,7 @@ class Flow:
     retries: int = 0
     backoff: str = "none"
     base: float = 0.0
+    retry_on: tuple[str, ...] | Callable | None = None
     seed_col: str | None = None
     resources: dict[str, Any] = field(default_factory=dict)
     validate: str = "light"
@@ -161,6 +177,10 @@ class Flow:
         for stage in self.ordered():
             df = _staged(df, self, stage, names, done)
             done.append(stage)
+        return self.finished(df)
+
+    def finished(self, df: DataFrame) -> DataFrame:
+        """Rows with the records of all stages under the flow's policy for errors, with ``.ok`` and hoisted records."""
         ok = F.forall(F.col("`.diag`"), lambda d: d["ok"] | d["skipped"])
         if self.error == "omit":
             df = df.where(ok)
@@ -169,7 +189,9 @@ class Flow:
             first = F.element_at(F.filter(F.col("`.diag`"), lambda d: ~d["ok"] & ~d["skipped"]), 1)
             bad = F.raise_error(F.concat(F.lit("stage "), first["stage"], F.lit(": "), F.coalesce(first["error_message"], F.lit("failed"))))
             df = df.where(F.when(ok, F.lit(True)).otherwise(bad.cast("boolean")))
-        return df.withColumn(".ok", ok)
+        df = df.withColumn(".ok", ok)
+        hoisted = {s.named(n): [f.name for f in kind] for s in self.stages if s.hoist_struct for n, kind in s.schema.fields if isinstance(kind, T.StructType) and kind != FILE_REF}
+        return df.select(*[c for name in df.columns for c in ([F.col(f"`{name}`.`{f}`").alias(f"{name}${f}") for f in hoisted[name]] if name in hoisted else [F.col(f"`{name}`")])])
 
 
 def flow(grid: DataFrame, **options: Any) -> Flow:
@@ -296,8 +318,9 @@ def _lost_inputs(df: DataFrame, stage: Stage, visible: dict[str, str]) -> Column
     return F.coalesce(told("missing_input", stage.inputs, False), told("not_artifact_input", stage.input_artifacts, True))
 
 
-def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list[Stage]) -> DataFrame:
-    """A stage's outputs and its record."""
+def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list[Stage], wave: int | None = None) -> DataFrame:
+    """A stage's outputs and its record. With ``wave`` a function is called once, as the attempt of that number, and a column
+    ``_retry`` tells whether a failure is one to try again."""
     visible = _visible(stage, grid, done)
     none = F.lit(None).cast("string")
     df = df.withColumns({"_cancelled": _cancelled(flow, stage), "_lost": _lost_inputs(df, stage, visible), "_skip": _skips(stage, visible)})
@@ -305,12 +328,13 @@ def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list
     idle = F.col("_cancelled") | F.col("_skipped")
     barred = F.col("_lost").isNotNull() & F.lit(stage.io_mode == "error")
     df = df.withColumn("_run", ~idle & ~barred)
-    df = _columns_made(df, stage) if stage.is_columns else _function_made(df, flow, stage, visible)
+    df = _columns_made(df, stage) if stage.is_columns else _function_made(df, flow, stage, visible, done, wave)
 
     # What went wrong, as "kind: message"; the first of a lost input, an error of the stage's own, a broken rule.
     broken = none
     for name, kind in stage.schema.fields:
-        if (rule := stage.schema.rule(name)) is not None:
+        # A sink's fields were looked at before they became files.
+        if (rule := stage.schema.rule(name)) is not None and (stage.sink is None or name not in stage.sink.fields):
             rest = rule.broken(F.col(f"_v_{name}"), kind.stored if isinstance(kind, Flex) else kind)
             broken = F.coalesce(broken, F.when(rest.isNotNull(), F.concat(F.lit(f"{name}: "), rest)))
     broken = F.when(F.col("_run") & F.col("_error").isNull(), broken)
@@ -365,51 +389,57 @@ def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
     return df.withColumns(values).drop("_raised", *drawn.values())
 
 
-def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, str]) -> DataFrame:
+def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, str], done: list[Stage], wave: int | None) -> DataFrame:
     """The function over the columns it names; rows where it is not to run are passed by."""
     # A sink names its files by the row's parameters, so it sees the grid.
     seed = [flow.seed_col] if flow.seed_col in visible else []
     packed, names = _packed(stage.does, visible, [*seed, *(visible if stage.sink is not None else [])])
     fields = [(name, kind.stored if isinstance(kind, Flex) else kind) for name, kind in stage.schema.fields]
-    told = [("_error", T.StringType()), ("_kind", T.StringType()), ("_warning", T.StringType()), ("_attempt", T.IntegerType()), ("_host", T.StringType()), ("_from", T.LongType()), ("_to", T.LongType())]
+    told = [("_error", T.StringType()), ("_kind", T.StringType()), ("_warning", T.StringType()), ("_attempt", T.IntegerType()), ("_host", T.StringType()), ("_retry", T.BooleanType()), ("_from", T.LongType()), ("_to", T.LongType())]
     out = T.StructType([T.StructField(n, t) for n, t in [*told, *[(f"_v_{name}", kind) for name, kind in fields]]])
     shape = arrow_type(out)
-    options = (flow.validate, flow.retries, flow.backoff, flow.base, flow.seed_col, flow.run_id, flow.events)
+    options = (flow.validate, flow.retries, flow.backoff, flow.base, flow.retry_on, flow.seed_col, flow.run_id, flow.events, wave)
+    # References that a function is given as values.
+    sources = {s.named(f): (s.sink, f) for s in done if s.sink is not None and s.sink.autoload for f in s.sink.fields}
+    loads = {n: sources[visible[n]] for n in names if visible[n] in sources}
 
     # A condition that is a column stays here.
     bare = replace(stage, skip_when=None)
 
     def work(batch: pa.Array, run: pa.Array, row_id: pa.Array) -> pa.Array:
-        rows = [_attempted(bare, a, options, i) if r else None for a, r, i in zip(_rows(batch, names), run.to_pylist(), row_id.to_pylist(), strict=True)]
+        rows = [_attempted(bare, a, options, i, loads) if r else None for a, r, i in zip(_rows(batch, names), run.to_pylist(), row_id.to_pylist(), strict=True)]
         return pa.array(rows, shape)
 
     # Not deterministic, as retries and files are not to happen again for each column that is read.
     work.__annotations__ = {"batch": pa.Array, "run": pa.Array, "row_id": pa.Array, "return": pa.Array}
     made = F.arrow_udf(work, out).asNondeterministic()
     df = df.withColumn("_made", made(packed, F.col("_run"), F.col("row_id")))
-    got = {n: F.col(f"_made.{n}") for n in out.names if n not in ("_from", "_to")}
+    got = {n: F.col(f"_made.{n}") for n in out.names if n not in ("_from", "_to") and (n != "_retry" or wave is not None)}
     return df.withColumns(got | {"_began": F.timestamp_micros("_made._from"), "_ended": F.timestamp_micros("_made._to")}).drop("_made")
 
 
-def _attempted(stage: Stage, arguments: dict[str, Any], options: tuple, row_id: str) -> dict[str, Any]:
-    """One row: the call and its retries."""
-    validate, retries, backoff, base, seed_col, run_id, events = options
+def _attempted(stage: Stage, arguments: dict[str, Any], options: tuple, row_id: str, loads: dict[str, tuple]) -> dict[str, Any]:
+    """One row: the call and its retries, or the one attempt of a wave."""
+    validate, retries, backoff, base, retry_on, seed_col, run_id, events, wave = options
     most = stage.retries if stage.retries is not None else retries
+    rule = retry_on if stage.retry_on is None else stage.retry_on
     if seed_col is not None and arguments.get(seed_col) is not None:
         _seed(f"{arguments[seed_col]}")
-    began, attempt = time.time_ns(), 0
+    began, attempt = time.time_ns(), 0 if wave is None else wave - 1
     with sending(events, {"run_id": run_id, "row_id": row_id, "stage": stage.id}) as context:
         while True:
             attempt += 1
             context["attempt"] = attempt
             try:
-                values, warning = _called(stage, stage.constants | arguments, validate)
+                given = arguments | {n: sink.value_of(f, arguments[n]) for n, (sink, f) in loads.items()}
+                values, warning = _called(stage, stage.constants | given, validate)
                 record = {f"_v_{k}": v for k, v in values.items()} | {"_warning": warning}
                 break
             except Exception as e:  # a stage's own error, which the flow's policy decides on
                 kind = e.kind if isinstance(e, StageError) else type(e).__name__
-                record = {"_error": str(e), "_kind": kind}
-                if attempt > most or stage.retry_on is not None and kind not in stage.retry_on:
+                again = attempt <= most and should_retry(e, kind, rule)
+                record = {"_error": str(e), "_kind": kind, "_retry": again}
+                if not again or wave is not None:
                     break
                 time.sleep(min(LONGEST_SLEEP, retry_delay(attempt, stage.backoff or backoff, base if stage.base is None else stage.base)))
     return record | {"_attempt": attempt, "_host": socket.gethostname(), "_from": began // 1000, "_to": time.time_ns() // 1000}
@@ -453,7 +483,9 @@ def _called(stage: Stage, arguments: dict[str, Any], validate: str) -> tuple[dic
             except TypeError:
                 out[name] = None
     if stage.sink is not None:
-        out = stage.sink.written(stage.id, out, arguments)
+        values, out = out, stage.sink.written(stage.id, out, arguments)
+        if stage.sink.autoload and not hasattr(stage.sink, "kinds"):
+            out |= {n: lossless(values[n], kind) for n, kind in stage.schema.fields if n in stage.sink.fields and n in values and kind != FILE_REF and not isinstance(kind, Flex)}
     return out, warning
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from gridweave.operators.flow import Flow, flow, map_rows
 from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, with_metadata
 from gridweave.operators.ordinals import numbered
 from gridweave.operators.partitioning import Dist, balance_by_weight, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
+from gridweave.operators.runs import run as run_kept
+from gridweave.operators.runs import runs_of
 from gridweave.plans.flow_plan import dry_run, flow_fingerprint, flow_plan, pending_groups, plan_decision
 from gridweave.plans.flow_plan import resource_envelope as envelope
 from gridweave.sources import catalog as C
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import with_context
+from gridweave.sources.shared import shared_dir
 from gridweave.streaming.watch import windowed_counts
 from gridweave.streaming.workers import chunk_marks, progress, worker_alerts
 
@@ -560,3 +565,37 @@ def chunk_progress(spark, sf_dir):
     """Chunks done of each run, each once however often it is told."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("user_id").alias("chunk_id"), F.lit("chunk_completed").alias("event_type"), "ts")
     return progress(chunk_marks(rows)).select("run_id", "chunks_done")
+
+
+@query("""with c as (select count(*) as n, sum(c_nationkey * 3 + 1)::bigint as one, sum(c_nationkey * 3 + 2)::bigint as two, sum(c_nationkey * 3)::bigint as three from customer)
+select '1' as run_id, 'scale' as stage, n as executed, 0 as reused, three as total from c union all select '1', 'shift', n, 0, one from c
+union all select '2', 'scale', 0, n, three from c union all select '2', 'shift', 0, n, one from c
+union all select '3', 'scale', 0, n, three from c union all select '3', 'shift', n, 0, two from c""")
+def flow_resume(spark, sf_dir):
+    """A flow run three times over one store: whole, again with no call, and with its second stage changed. For how many
+    rows each stage was called, how many were read, and the sum of its results."""
+    grid = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    store = f"{shared_dir(spark)}/flows/{uuid.uuid4().hex}"
+    sums = None
+    for run_id, by in (("1", 1), ("2", 1), ("3", 2)):
+        f = flow(grid, run_id=run_id).stage("scale", lambda c_nationkey: {"y": c_nationkey * 3}, S.returns(y=S.int_()))
+        out = run_kept(f.stage("shift", lambda y, by: {"z": y + by}, S.returns(z=S.int_()), needs=("scale",), constants={"by": by}), store)
+        totals = out.agg(F.sum("`scale.y`").alias("scale"), F.sum("`shift.z`").alias("shift")).unpivot([], ["scale", "shift"], "stage", "total").withColumn("run_id", F.lit(run_id))
+        sums = totals if sums is None else sums.unionByName(totals)
+    told = runs_of(spark, store).select("run_id", "stage", "executed", "reused")
+    return told.join(sums, ["run_id", "stage"])
+
+
+@query("""select n_nationkey, '.json' as words_as, '.csv' as sizes_as, length(n_name)::double * 1.5 + n_regionkey as y, 2::bigint as files from nation""")
+def sink_fields(spark, sf_dir):
+    """Two fields of a stage as files of different formats, written once all rows are done and loaded again by the next stage."""
+    sink = C.Sink(("words", "sizes"), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}", formats={"words": "json", "sizes": "csv"}, autoload=True)
+    f = (
+        flow(table(spark, sf_dir, "nation"))
+        .stage("save", lambda n_name, n_regionkey: {"words": {"name": n_name, "region": n_regionkey}, "sizes": [{"v": len(n_name) * 1.5}]}, S.returns(words=S.file_ref(), sizes=S.file_ref()), sink=sink)
+        .stage("load", lambda words, save_sizes: {"y": float(save_sizes["v"].iloc[0]) + words["region"]}, S.returns(y=S.dbl()), needs=("save",))
+    )
+    out = run_kept(f, f"{shared_dir(spark)}/flows/{uuid.uuid4().hex}")
+    there = C.artifact_catalog(spark, sink.base).groupBy(F.element_at(F.col("params"), "n_nationkey").cast("int").alias("n_nationkey")).agg(F.count("*").alias("files"))
+    end = lambda c: F.regexp_extract(c, r"\.\w+$", 0)
+    return out.select("n_nationkey", end("`save.words`.path").alias("words_as"), end("`save.sizes`.path").alias("sizes_as"), F.col("`load.y`").alias("y")).join(there, "n_nationkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import getpass
 import hashlib
 import json
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.schema import FILE_REF, record
+from gridweave.schema import FILE_REF, lossless, record
+from gridweave.sources.artifacts import dumped, loaded, read_bytes, use_artifacts
 from gridweave.sources.events import run_context
 
 SIDECAR = record(
@@ -35,9 +37,9 @@ class Format:
     extension: str
 
 
-def _write_json(value: Any, path: str) -> None:
+def _write_json(value: Any, path: str, **options: Any) -> None:
     with open(path, "w") as f:
-        json.dump(value, f, default=str)
+        json.dump(value, f, **({"default": str} | options))
 
 
 def _read_json(path: str) -> Any:
@@ -45,9 +47,9 @@ def _read_json(path: str) -> Any:
         return json.load(f)
 
 
-def _write_pickle(value: Any, path: str) -> None:
+def _write_pickle(value: Any, path: str, **options: Any) -> None:
     with open(path, "wb") as f:
-        pickle.dump(value, f)
+        pickle.dump(value, f, **options)
 
 
 def _read_pickle(path: str) -> Any:
@@ -55,12 +57,14 @@ def _read_pickle(path: str) -> Any:
         return pickle.load(f)
 
 
-def _write_frame(kind: str) -> Callable[[Any, str], None]:
-    def write(value: Any, path: str) -> None:
+def _write_frame(kind: str) -> Callable[..., None]:
+    def write(value: Any, path: str, **options: Any) -> None:
         import pandas as pd
 
         frame = value if isinstance(value, pd.DataFrame) else pd.DataFrame(value if isinstance(value, list) else [value])
-        {"csv": lambda: frame.to_csv(path, index=False), "tsv": lambda: frame.to_csv(path, index=False, sep="\t"), "parquet": lambda: frame.to_parquet(path), "feather": lambda: frame.to_feather(path)}[kind]()
+        text = {"index": False} | ({"sep": "\t"} if kind == "tsv" else {})
+        make, first = {"csv": (frame.to_csv, text), "tsv": (frame.to_csv, text), "parquet": (frame.to_parquet, {}), "feather": (frame.to_feather, {})}[kind]
+        make(path, **(first | options))
 
     return write
 
@@ -93,27 +97,46 @@ def list_formats() -> list[str]:
 class Sink:
     """Fields of a stage that become files below ``base`` (a folder that all executors share) and file references.
 
-    ``overwrite``: skip (an existing file stays), overwrite or error. Files are written beside their place and renamed,
-    and paths follow from the row alone, so a task that runs twice does no harm. Sidecars have every field of SIDECAR;
-    the status in them is that of the run while its stage writes.
+    ``overwrite``: skip (an existing file stays), overwrite or error (a file with other contents is an error). ``formats``
+    names the format of single fields, or is one itself; ``options`` go to the writers. With ``autoload`` later stages
+    get the values in place of references, and so does the result where the field is declared as another type than a
+    reference. Sidecars have every field of SIDECAR; the status in them is that of the run while its stage writes.
+
+    :meth:`Flow.collect` writes files while its rows are evaluated, each beside its place and then renamed; paths follow from
+    the row alone, so a task that runs twice does no harm. :func:`gridweave.operators.runs.run` writes them once, when all
+    rows of the stage are done, through the format ``artifacts``.
     """
 
     fields: tuple[str, ...]
     base: str
     template: str = "{stage}/{field}/{row_key}"
-    format: str = "rds"
+    format: str | Format = "rds"
     overwrite: str = "skip"
     sidecar: bool = True
     code_version: str | None = None
     schema_signature: str | None = None
     stage_fingerprint: str | None = None
+    formats: dict[str, str | Format] = dataclasses.field(default_factory=dict)
+    options: dict[str, Any] = dataclasses.field(default_factory=dict)
+    autoload: bool = False
+
+    def __post_init__(self) -> None:
+        if unknown := set(self.formats) - set(self.fields):
+            raise ValueError(f"no fields of the sink: {', '.join(sorted(unknown))}")
+        object.__setattr__(self, "base", self.base.removeprefix("file://"))
+        # Looked up here, as workers know the formats that come with the library only.
+        own = {f: self.formats.get(f, self.format) for f in self.fields}
+        object.__setattr__(self, "_known", {f: v if isinstance(v, Format) else _formats[v] for f, v in own.items()})
+
+    def format_of(self, field: str) -> Format:
+        return self._known[field]
 
     def path(self, stage: str, field: str, row: dict[str, Any]) -> str:
         key = hashlib.sha1(json.dumps({k: v for k, v in row.items() if not k.startswith(".")}, sort_keys=True, default=str).encode()).hexdigest()
         rest = self.template.format(**{**row, "stage": stage, "field": field, "row_key": key})
         if os.path.isabs(rest) or ".." in rest.split("/"):
             raise ValueError(f"{rest} leaves the sink's folder")
-        end = _formats[self.format].extension
+        end = self.format_of(field).extension
         return os.path.join(self.base, rest if rest.endswith(end) else rest + end)
 
     def written(self, stage: str, outputs: dict[str, Any], row: dict[str, Any]) -> dict[str, Any]:
@@ -123,29 +146,61 @@ class Sink:
     def _one(self, stage: str, field: str, value: Any, row: dict[str, Any]) -> dict[str, Any]:
         path = self.path(stage, field, row)
         existed = os.path.exists(path)
-        if existed and self.overwrite == "error":
-            raise FileExistsError(path)
         write = not existed or self.overwrite == "overwrite"
+        if existed and self.overwrite == "error":
+            with open(path, "rb") as f:
+                if f.read() != dumped(self.format_of(field).writer, value, self.options):
+                    raise FileExistsError(path)
         if write:
             os.makedirs(os.path.dirname(path), exist_ok=True)
             beside = f"{path}.{uuid.uuid4().hex}.tmp"
-            _formats[self.format].writer(value, beside)
+            self.format_of(field).writer(value, beside, **self.options)
             os.replace(beside, path)
         with open(path, "rb") as f:
             digest = hashlib.file_digest(f, "sha256").hexdigest()
         ref = {"path": path, "bytes": os.path.getsize(path), "sha256": digest, "written": write, "existed": existed}
         if self.sidecar and write:
-            params = {k: str(v) for k, v in row.items() if not k.startswith(".") and "." not in k}
-            known = run_context() or {}
-            told = {
-                "stage": stage, "field": field, "row_key": os.path.basename(path).split(".")[0], "params": params, "params_hash": hashlib.sha1(json.dumps(params, sort_keys=True).encode()).hexdigest(),
-                "created_at": datetime.now(UTC).isoformat(), "creator": getpass.getuser(), "code_version": self.code_version, "schema_signature": self.schema_signature, "stage_fingerprint": self.stage_fingerprint,
-                "upstream_run_id": known.get("run_id"), "run_key": hashlib.sha1(f"{known.get('run_id')}/{stage}/{self.stage_fingerprint}".encode()).hexdigest(), "run_status": "running",
-            }
-            _write_json(told | {k: ref[k] for k in ("sha256", "bytes", "written", "existed")}, f"{path}.side")
+            _write_json(self.told(stage, field, path, row) | {k: ref[k] for k in ("sha256", "bytes", "written", "existed")}, f"{path}.side")
             os.replace(f"{path}.side", f"{path}.json")
         return ref
 
+    def told(self, stage: str, field: str, path: str, row: dict[str, Any]) -> dict[str, Any]:
+        """What a sidecar tells but for the file itself."""
+        params = {k: str(v) for k, v in row.items() if not k.startswith(".") and "." not in k}
+        known = run_context() or {}
+        return {
+            "stage": stage, "field": field, "row_key": os.path.basename(path).split(".")[0], "params": params, "params_hash": hashlib.sha1(json.dumps(params, sort_keys=True).encode()).hexdigest(),
+            "created_at": datetime.now(UTC).isoformat(), "creator": getpass.getuser(), "code_version": self.code_version, "schema_signature": self.schema_signature, "stage_fingerprint": self.stage_fingerprint,
+            "upstream_run_id": known.get("run_id"), "run_key": hashlib.sha1(f"{known.get('run_id')}/{stage}/{self.stage_fingerprint}".encode()).hexdigest(), "run_status": "running",
+        }
+
+    def value_of(self, field: str, ref: Any) -> Any:
+        """The value of a field's file reference; anything else stays as it is."""
+        if not isinstance(ref, dict) or ref.get("path") is None:
+            return ref
+        return loaded(self.format_of(field).reader, read_bytes(ref["path"]))
+
+
+#: A field on its way to a file: what :meth:`Packing.written` makes of it.
+def packed_type(kind: T.DataType) -> T.StructType:
+    parts = {"path": T.StringType(), "content": T.BinaryType(), "sha256": T.StringType(), "sidecar": T.StringType(), "value": kind}
+    return T.StructType([T.StructField(k, v) for k, v in parts.items()])
+
+
+@dataclass(frozen=True)
+class Packing(Sink):
+    """A sink that packs its fields' files into the row instead of writing them. ``kinds``: the types of values that the
+    result has beside their files."""
+
+    kinds: dict[str, T.DataType] = dataclasses.field(default_factory=dict)
+
+    def _one(self, stage: str, field: str, value: Any, row: dict[str, Any]) -> dict[str, Any]:
+        path, content = self.path(stage, field, row), dumped(self.format_of(field).writer, value, self.options)
+        digest = hashlib.sha256(content).hexdigest()
+        side = self.told(stage, field, path, row) | {"sha256": digest, "bytes": len(content), "written": True, "existed": False}
+        own = lossless(value, self.kinds[field]) if field in self.kinds else None
+        return {"path": path, "content": content, "sha256": digest, "sidecar": json.dumps(side, default=str) if self.sidecar else None, "value": own}
+
 
 def temporary_sink(fields: tuple[str, ...], base: str, prefix: str = "quick", **options: Any) -> Sink:
     """A sink in a new folder of its own below ``base``, which all executors share."""
@@ -178,7 +233,7 @@ def manifest_clear(spark: SparkSession, folder: str, stage: str | None = None) -
 
 def materialize(ref: dict[str, Any], format: str) -> Any:
     """The value of a file reference."""
-    return _formats[format].reader(ref["path"])
+    return loaded(_formats[format].reader, read_bytes(ref["path"]))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -252,6 +307,8 @@ def import_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified(refs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """File references (path, sha256) with ``intact``: whether the file is there and has the digest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.sha2("content", 256).alias("_now"))
+    """File references (path, sha256) with ``intact``: whether the file is there and has the digest. Files are digested
+    piece by piece, so none is held whole."""
+    use_artifacts(spark)
+    files = spark.read.format("artifacts").option("content", "false").load(folder).select("path", F.col("sha256").alias("_now"))
     return refs.join(files, "path", "left").withColumn("intact", F.coalesce(F.col("_now") == F.col("sha256"), F.lit(False))).drop("_now")
