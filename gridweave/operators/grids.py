@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,27 +11,63 @@ from pyspark.sql import functions as F
 from gridweave.operators.ordinals import numbered
 
 
-def _values(spark: SparkSession, name: str, values: Any) -> DataFrame:
-    """One parameter's values with their positions from 0."""
+#: A list of more values is joined by position instead of being part of the plan.
+WRITTEN_OUT = 1000
+
+
+def _with_value(out: DataFrame, name: str, values: Any) -> DataFrame:
+    """``out`` with the value of a parameter in place of ``.at <name>``, its position from 0."""
+    at = F.col(f"`.at {name}`")
     if isinstance(values, DataFrame):
-        return values.select(F.col(values.columns[0]).alias(name), F.col(values.columns[1]).alias(f"_{name}"))
-    return spark.createDataFrame([(v, k) for k, v in enumerate(values)], [name, f"_{name}"])
+        given = values.select(F.col(values.columns[0]).alias(name), F.col(values.columns[1]).cast("long").alias(".at"))
+    else:
+        given = out.sparkSession.createDataFrame([(v, k) for k, v in enumerate(values)], [name, ".at"])
+        kind = given.schema[name].dataType
+        if len(values) <= WRITTEN_OUT and all(v is None or isinstance(v, (bool, int, float, str)) for v in values):
+            return out.withColumn(name, F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at.cast("int"))).drop(f".at {name}")
+    return out.join(given, at == F.col("`.at`")).drop(f".at {name}", ".at")
 
 
-def param_grid(spark: SparkSession, **parameters: Any) -> DataFrame:
+def param_grid(spark: SparkSession, cut: dict[str, Column | str] | None = None, **parameters: Any) -> DataFrame:
     """All combinations of the parameters' values, the first varying fastest, with ``ordinal`` from 0.
 
-    A parameter is a list, or a DataFrame of (value, position from 0) for one too large for the driver. The order is
-    arithmetic on the positions, so nothing is sorted.
+    A parameter is a list, or a DataFrame of (value, position from 0 without gaps) for one too large for the driver. Combinations
+    are numbers whose digits are the positions, so there are as many in each partition and nothing is crossed or
+    sorted. ``cut`` has predicates by the name of the last parameter that they are about: each is applied before the
+    parameters after it are expanded, to combinations of those up to it, and what is left is dealt evenly.
     """
-    out, ordinal, stride = None, F.lit(0).cast("long"), 1
-    for name, values in parameters.items():
-        one = _values(spark, name, values)
-        size = values.count() if isinstance(values, DataFrame) else len(values)
-        out = one if out is None else out.crossJoin(one)
-        ordinal = ordinal + F.col(f"_{name}").cast("long") * stride
-        stride *= size
-    return out.withColumn("ordinal", ordinal).select(*parameters, "ordinal")
+    cut = cut or {}
+    if unknown := set(cut) - set(parameters):
+        raise ValueError(f"no parameters: {', '.join(sorted(unknown))}")
+    sizes = {n: v.count() if isinstance(v, DataFrame) else len(v) for n, v in parameters.items()}
+    # Runs of parameters, each up to one with a predicate.
+    runs: list[list[str]] = [[]]
+    for name in parameters:
+        runs[-1].append(name)
+        if name in cut:
+            runs.append([])
+    out, stride = None, 1
+    for k, names in enumerate(runs):
+        if not names:
+            continue
+        total = math.prod(sizes[n] for n in names)
+        if out is None:
+            out = spark.range(total).select(F.col("id").alias(".code"), F.lit(0).cast("long").alias("ordinal"))
+        else:
+            out = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            out = out.withColumn(".code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")))) if total else out.where("false").withColumn(".code", F.lit(0).cast("long"))
+        out = out.withColumn("ordinal", F.col("ordinal") + F.col("`.code`") * stride)
+        within = 1
+        for n in names:
+            out = out.withColumn(f".at {n}", F.expr(f"(`.code` div {within}L) % {max(1, sizes[n])}L"))
+            within *= sizes[n] or 1
+        out = out.drop(".code")
+        for n in names:
+            out = _with_value(out, n, parameters[n])
+        stride *= total
+        if names[-1] in cut:
+            out = out.where(cut[names[-1]])
+    return out.select(*parameters, "ordinal")
 
 
 def with_metadata(grid: DataFrame, names: list[str], ordinal: str = "ordinal") -> DataFrame:
@@ -40,9 +77,9 @@ def with_metadata(grid: DataFrame, names: list[str], ordinal: str = "ordinal") -
     return rows.withColumn(".grid_hash", F.substring(F.md5(F.concat_ws("\x1e", *text)), 1, 8))
 
 
-def grid(spark: SparkSession, where: Column | str | None = None, metadata: bool = True, **parameters: Any) -> DataFrame:
-    """A parameter grid, filtered by a typed predicate and then numbered."""
-    out = param_grid(spark, **parameters)
+def grid(spark: SparkSession, where: Column | str | None = None, metadata: bool = True, cut: dict[str, Column | str] | None = None, **parameters: Any) -> DataFrame:
+    """A parameter grid, filtered by a typed predicate (and by those of ``cut`` while it is made) and then numbered."""
+    out = param_grid(spark, cut, **parameters)
     out = out if where is None else out.where(where)
     return with_metadata(out, list(parameters)) if metadata else out
 

@@ -17,7 +17,7 @@ def in_ranges(df: DataFrame, ordinal: str, parts: int, name: str = "_block") ->
         return df.withColumn(name, F.lit(0))
     splits = [-float("inf"), *sorted(set(limits)), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_ordinal", outputCol=name, handleInvalid="keep").transform(own)
-    return ranged.withColumn(name, F.col(name).cast("int")).drop("_ordinal")
+    return ranged.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(splits)))).drop("_ordinal")
 
 
 def numbered(df: DataFrame, ordinal: str, by: tuple[str, ...] = (), name: str = "row_number", parts: int | None = None) -> DataFrame:
@@ -39,3 +39,14 @@ def numbered(df: DataFrame, ordinal: str, by: tuple[str, ...] = (), name: str =
     joined = rows.join(offsets if by else F.broadcast(offsets), condition).drop(*[offsets[c] for c in (*by, "_block")])
     local = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(ordinal))
     return joined.withColumn(name, (F.col("_before") + local).cast("long")).drop("_block", "_before")
+
+
+def running_total(df: DataFrame, ordinal: str, value: str, name: str = "before", parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of the doubles ``value`` of all rows before each one in the order of ``ordinal`` (unique),
+    added up within ranges and over the ranges' sums as :func:`numbered` does it."""
+    parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_ranges(df, ordinal, parts)
+    sums = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    local = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.join(F.broadcast(offsets), "_block").withColumn(name, F.col("_before") + local).drop("_block", "_before")

@@ -11,11 +11,13 @@ from gridweave import schema as S
 from gridweave.functions import scalars as X
 from gridweave.operators import diagnostics as D
 from gridweave.operators.flow import Flow, flow, map_rows
-from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, with_metadata
+from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, param_grid, with_metadata
 from gridweave.operators.ordinals import numbered
-from gridweave.operators.partitioning import Dist, balance_by_weight, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
+from gridweave.operators.partitioning import Dist, balance_by_weight, balance_longest_first, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
 from gridweave.operators.runs import run as run_kept
 from gridweave.operators.runs import runs_of
+from gridweave.operators.timeline import as_of
+from gridweave.operators.timeline import run_timeline as timeline
 from gridweave.plans.flow_plan import dry_run, flow_fingerprint, flow_plan, pending_groups, plan_decision
 from gridweave.plans.flow_plan import resource_envelope as envelope
 from gridweave.sources import catalog as C
@@ -599,3 +601,72 @@ def sink_fields(spark, sf_dir):
     there = C.artifact_catalog(spark, sink.base).groupBy(F.element_at(F.col("params"), "n_nationkey").cast("int").alias("n_nationkey")).agg(F.count("*").alias("files"))
     end = lambda c: F.regexp_extract(c, r"\.\w+$", 0)
     return out.select("n_nationkey", end("`save.words`.path").alias("words_as"), end("`save.sizes`.path").alias("sizes_as"), F.col("`load.y`").alias("y")).join(there, "n_nationkey")
+
+
+@query("""with recursive w as (select c_nationkey as k, count(*)::double as c, row_number() over (order by count(*) desc, c_nationkey) as i from customer group by c_nationkey),
+r as (select 0::bigint as i, [0.0, 0.0, 0.0, 0.0]::double[] as loads, null::bigint as k, null::bigint as g
+union all select w.i, list_transform(range(1, 5), lambda j: r.loads[j] + case when j = list_position(r.loads, list_min(r.loads)) then w.c else 0 end), w.k, list_position(r.loads, list_min(r.loads))::bigint from r join w on w.i = r.i + 1)
+select k::int as c_nationkey, g as "group" from r where i > 0""")
+def balance_heavy(spark, sf_dir):
+    """Nations dealt to four groups, those with most customers first: all are heavy, so as by placing one after another."""
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").cast("double").alias("n"))
+    return balance_longest_first(rows, "c_nationkey", "n", 4, parts=64).select("c_nationkey", "group")
+
+
+@query("""select true as fits, count(*) as n, round(sum(o_totalprice), 2) as weight from orders""")
+def balance_bound(spark, sf_dir):
+    """Orders dealt to 8 groups by price: no group is above its fair share by more than a sixteenth of it."""
+    rows = balance_longest_first(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 8)
+    loads = rows.groupBy("group").agg(F.sum("o_totalprice").alias("w"), F.count("*").alias("n"))
+    fair = F.sum("w") / 8
+    return loads.agg((F.max("w") <= fair * (1 + 1 / 16)).alias("fits"), F.sum("n").alias("n"), F.round(F.sum("w"), 2).alias("weight"))
+
+
+@query("""select o_orderkey as wanted_id, c_custkey as record_id from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F'""")
+def subset_shared(spark, sf_dir):
+    """Orders' parameters with customers' records in them; all records share an entry that a third of the orders have."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    entries = lambda **e: F.create_map(*[x for k, v in e.items() for x in (F.lit(k), v.cast("string"))])
+    wanted = o.select(F.col("o_orderkey").alias("id"), entries(status=F.col("o_orderstatus"), owner=F.col("o_custkey"), priority=F.col("o_orderpriority")).alias("params"))
+    return R.manifest_subset(c.select(F.col("c_custkey").alias("id"), entries(owner=F.col("c_custkey"), status=F.lit("F")).alias("params")), wanted)
+
+
+@query("""select e.event_id, v.event_id as last_view from (select * from events where event_type = 'error') e
+asof left join (select user_id % 7 as u, max(event_id) as event_id, ts from events where event_type = 'view' group by user_id % 7, ts) v on e.user_id % 7 = v.u and e.ts >= v.ts""")
+def last_before(spark, sf_dir):
+    """Each error with the last view of its group before it."""
+    e = table(spark, sf_dir, "events").withColumn("u", F.col("user_id") % 7)
+    views = e.where("event_type = 'view'").select("u", "ts", F.col("event_id").alias("view"))
+    return as_of(e.where("event_type = 'error'").select("event_id", "u", "ts"), views, "ts", ("u",), "view", "last_view").select("event_id", "last_view")
+
+
+@query("""with e as (select *, (user_id % 5)::varchar as run_id, case event_type when 'view' then 'worker_heartbeat' when 'click' then 'user_log' when 'error' then 'chunk_failed' else 'other' end as kind from events),
+r as (select run_id, min(ts) as s, count(distinct user_id) as n from e group by run_id),
+lines as (
+select run_id, ts as happened, case kind when 'worker_heartbeat' then '[HEARTBEAT] chunk ' || user_id || ': ' || substr(props, 1, 60) when 'user_log' then '[LOG] ' || props else '[FAIL] chunk ' || user_id || ' failed: bad ' || event_id end as event, user_id as chunk_id, kind = 'chunk_failed' as bad, 'events' as source from e where kind <> 'other'
+union all select run_id, ts, '[FAIL] chunk ' || user_id || ', stage ''pay'': value ' || event_id, user_id, true, 'attempts' from e where event_type = 'purchase' and value > 400
+union all select run_id, s + to_seconds(user_id * 60), '[TIMEOUT] chunk ' || user_id || ': job TIMEOUT', user_id, true, 'jobs' from (select distinct run_id, user_id from e where user_id % 3 = 0) join r using (run_id)
+union all select run_id, s + interval 30 day, '[DONE] ' || (n - 1) || '/' || n || ' ok, 1 failed', null, false, 'runs' from r),
+logs as (select run_id, user_id as chunk_id, ts, max(props) as said from e where kind = 'user_log' group by all),
+t as (select l.*, g.said from lines l asof left join logs g on l.run_id = g.run_id and l.chunk_id = g.chunk_id and l.happened >= g.ts)
+select run_id, event, source, chunk_id, case when bad then said end as last_log, (epoch_us(happened) - epoch_us(s)) / 1000000.0 as offset_s from t join r using (run_id)""")
+def run_timeline(spark, sf_dir):
+    """Lines about five runs from events, failed attempts, jobs and ends, failures with the last log line of their chunk."""
+    e = table(spark, sf_dir, "events").withColumns({"run_id": (F.col("user_id") % 5).cast("string"), "chunk_id": F.col("user_id")})
+    kind = F.when(F.col("event_type") == "view", "worker_heartbeat").when(F.col("event_type") == "click", "user_log").when(F.col("event_type") == "error", "chunk_failed").otherwise("other")
+    severity = F.when(F.col("event_type") == "error", "error")
+    events = e.select("run_id", "ts", kind.alias("event_type"), "chunk_id", F.lit(None).cast("string").alias("stage"), F.col("props").alias("message"), F.concat(F.lit("bad "), F.col("event_id")).alias("error"), severity.alias("severity"))
+    attempts = e.where("event_type = 'purchase' and value > 400").select("run_id", "chunk_id", F.lit("pay").alias("stage"), F.lit(False).alias("ok"), F.lit(False).alias("skipped"), F.lit("failed").alias("status"), F.col("ts").alias("ended_at"), F.lit("ValueError").alias("error_class"), F.concat(F.lit("value "), F.col("event_id")).alias("error_message"))
+    jobs = e.where("user_id % 3 = 0").select("run_id", "chunk_id").distinct().withColumns({"state": F.lit("TIMEOUT"), "signal": F.lit(0), "elapsed_s": F.col("chunk_id") * 60.0})
+    start = e.groupBy("run_id").agg(F.min("ts").alias("submitted_at"), F.count_distinct("user_id").alias("n_chunks"))
+    runs = start.withColumns({"finished_at": F.col("submitted_at") + F.expr("interval 30 day"), "n_failed": F.lit(1)})
+    return timeline(events, attempts, jobs, runs).select("run_id", "event", "source", "chunk_id", "last_log", "offset_s")
+
+
+@query("""select r_name as region, level, tag, r_regionkey + 5 * (level - 1) + 15 * (case tag when 'p' then 0 else 1 end) as ordinal
+from region, range(1, 4) l(level), (values ('p'), ('q')) t(tag) where r_regionkey >= 1 and level <> r_regionkey""")
+def grid_expand(spark, sf_dir):
+    """A grid of regions, levels and tags; regions and levels are cut before tags are expanded."""
+    regions = table(spark, sf_dir, "region").select("r_name", "r_regionkey")
+    out = param_grid(spark, cut={"region": "ordinal >= 1", "level": "level <> ordinal % 5"}, region=regions, level=[1, 2, 3], tag=["p", "q"])
+    return out

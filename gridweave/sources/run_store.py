@@ -96,21 +96,19 @@ def manifest_latest(records: DataFrame, wanted: DataFrame, order: str, files: Da
 def manifest_subset(records: DataFrame, wanted: DataFrame, id_column: str = "id", files: DataFrame | None = None) -> DataFrame:
     """Pairs of a wanted row and a record whose parameters (maps) are a strict subset of its own.
 
-    Instead of comparing every pair, equal (name, value) entries are joined and counted: a record is a subset when as
-    many entries match as it has. Records without parameters are a subset of every row that has some. Where records
-    have a ``stage_id``, wanted rows have one too and only records of the same stage match. With ``files`` (path) all
-    ``output_paths`` of a record exist. Of records of one ``param_hash`` a wanted row gets the one of the least id."""
+    Records are met through one entry each, see :func:`subset_candidates`. Records without parameters are a subset of every
+    row that has some. Where records have a ``stage_id``, wanted rows have one too and only records of the same stage
+    match. With ``files`` (path) all ``output_paths`` of a record exist. Of records of one ``param_hash`` a wanted row gets the
+    one of the least id."""
     if files is not None:
         paths = records.select(id_column, F.explode(F.map_values("output_paths")).alias("path"))
         records = records.join(paths.join(files.select("path").distinct(), "path", "left_anti").select(id_column).distinct(), id_column, "left_anti")
     stage = F.col("stage_id") if "stage_id" in records.columns else F.lit("")
     own = wanted.select(F.col(id_column).alias("wanted_id"), stage.alias("stage_id"), "params")
     theirs = records.select(F.col(id_column).alias("record_id"), stage.alias("stage_id"), "params")
-    entries = lambda df, key, n: df.select(key, "stage_id", F.size("params").alias(n), F.explode("params").alias("k", "v"))
-    left, right = entries(own, "wanted_id", "n").alias("l"), entries(theirs, "record_id", "m").alias("r")
-    same = (F.col("l.stage_id") == F.col("r.stage_id")) & (F.col("l.k") == F.col("r.k")) & F.col("l.v").eqNullSafe(F.col("r.v"))
-    hits = left.join(right, same).groupBy("wanted_id", "record_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("m").alias("m"))
-    found = hits.where((F.col("hits") == F.col("m")) & (F.col("m") < F.col("n"))).select("wanted_id", "record_id")
+    near = subset_candidates(own, theirs)
+    holds = F.forall(F.map_entries("record_params"), lambda e: F.map_contains_key("params", e["key"]) & F.try_element_at("params", e["key"]).eqNullSafe(e["value"]))
+    found = near.where((F.size("record_params") < F.size("params")) & holds).select("wanted_id", "record_id")
     bare = theirs.where(F.size("params") == 0).select("record_id", "stage_id")
     found = found.unionByName(own.where(F.size("params") > 0).join(bare, "stage_id").select("wanted_id", "record_id"))
     if "param_hash" not in records.columns:
@@ -120,6 +118,25 @@ def manifest_subset(records: DataFrame, wanted: DataFrame, id_column: str = "id"
     return hashed.groupBy("wanted_id", "param_hash", lone.alias("_lone")).agg(F.min("record_id").alias("record_id")).select("wanted_id", "record_id")
 
 
+def subset_candidates(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """wanted_id, params, record_id and record_params of the pairs in question: a record meets only wanted rows that have its rarest
+    (stage, name, value) entry, rarest among wanted rows; one with an entry that no wanted row has meets none. An entry that
+    all records share costs a pair only where a record has no rarer one.
+
+    ``wanted``: wanted_id, stage_id, params; ``records``: record_id, stage_id, params. Counting combines on the map side; both
+    joins have plain exchanges, so adaptive execution splits frequent entries.
+    """
+    entry = lambda df, *rest: df.select("stage_id", F.explode("params").alias("k", "v"), *rest)
+    same = lambda x, y: (F.col(f"{x}.stage_id") == F.col(f"{y}.stage_id")) & (F.col(f"{x}.k") == F.col(f"{y}.k")) & F.col(f"{x}.v").eqNullSafe(F.col(f"{y}.v"))
+    counts = entry(wanted).groupBy("stage_id", "k", "v").agg(F.count("*").alias("n"))
+    told = entry(records, "record_id").alias("r").join(counts.alias("c"), same("r", "c"), "left").select("record_id", "r.stage_id", "r.k", "r.v", "n")
+    rarest = told.groupBy("record_id", "stage_id").agg(F.min_by(F.struct("k", "v"), F.struct("n", "k")).alias("e"), F.bool_or(F.col("n").isNull()).alias("lost"))
+    rarest = rarest.where(~F.col("lost")).select("record_id", "stage_id", "e.k", "e.v")
+    pairs = entry(wanted, "wanted_id").alias("w").join(rarest.alias("r"), same("w", "r")).select("wanted_id", "record_id")
+    # One row for each id on either side.
+    return pairs.join(wanted.select("wanted_id", "params"), "wanted_id").join(records.select("record_id", F.col("params").alias("record_params")), "record_id")
+
+
 def adopted(records: DataFrame, new: dict[str, str]) -> DataFrame:
     """Records that lack all the new parameters, with these added and their hash made anew."""
     names = F.array(*[F.lit(k) for k in new])
