@@ -11,7 +11,8 @@ import random
 import re
 from collections.abc import Iterator
 
-_AD = "(ad|ads|advert|advertisement|adverts|banner|promo|promotion|sponsored|sponsor)"
+_AD = "(ad|ads|advert|advertisement|adverts|banner|promo|promotion|sponsored|sponsor|werbung|anzeige|publicidad|publicite)"
+_SAID = "(comments|commentlist|discussion|disqus|reviews|ratings|comentarios|opiniones|commentaires|avis|kommentare|bewertungen)"
 
 #: Before the article.
 TOPS = (
@@ -40,6 +41,9 @@ WRAPS = (
     ("<table><tr><td>", "</td></tr></table>"),
     ("<div><div>", "</div></div>"),
     ("<section><div>", "</div></section>"),
+    ("<form><div>", "</div></form>"),
+    ('<form id="(aspnetform|form1)"><div class="(content|main)">', "</div></form>"),
+    ("<header><main>", "</main></header>"),
     ("", ""),
 )
 #: The article itself, some with what is not of it between.
@@ -48,7 +52,7 @@ BODIES = (
     "<h1 data-main>§6</h1><p data-main>§40</p><p data-main>§2</p><p data-main>§25 <a>§2</a></p><h2 data-main>§3</h2><p data-main>§50</p><p data-main>§4</p>",
     f'<header><h1 data-main>§9</h1><p data-main>§14</p></header><p data-main>§70</p><div class="{_AD}">§8</div><p data-main>§45</p><aside><p>§20</p></aside><p data-main>§5</p><blockquote data-main>§18</blockquote>',
     "<h1 data-main>§5</h1><p data-main>§20 <a>§6</a> §4</p><p data-main>§55 <a>§3</a> §8</p><p data-main>§2</p><p data-main>§40</p>",
-    '<h2 data-main>§6</h2><p data-main>§22</p><p data-main>§5</p><p data-main>§33</p><div class="(share|sharing|social)"><a>§1</a> <a>§1</a></div>',
+    '<h2 data-main>§6</h2><p data-main>§22</p><p data-main>§5</p><p data-main>§33</p><div class="(share|sharing|social|compartir|partager|teilen)"><a>§1</a> <a>§1</a></div>',
     "<p data-main><a>§4</a> §16</p><p data-main>§30</p><table><tr><td data-main>§3</td><td data-main>§4</td></tr><tr><td data-main>§2</td><td data-main>§5</td></tr></table><h3 data-main>§2</h3><p data-main>§12 <a>§6</a></p>",
     "<h1 data-main>§8</h1><p data-main>§1</p>",
     f'<h1 data-main>§6</h1><div data-main>§45</div><div data-main>§28</div><div class="(newsletter|subscribe|subscription|signup)"><p>§16</p></div><div data-main>§60</div><figure><figcaption data-main>§8</figcaption></figure><ol><li data-main>§14</li><li data-main>§20</li></ol><div class="{_AD}"><p>§12 <a>§3</a></p></div><div data-main>§9</div>',
@@ -61,10 +65,12 @@ BODIES = (
 )
 #: Behind it.
 TAILS = (
-    '<div class="(related|recommended|recommendations)"><h3>§2</h3><p><a>§7</a></p><p><a>§5</a></p><p>§18</p></div>',
+    '<div class="(related|recommended|recommendations|relacionados|similaires|verwandte)"><h3>§2</h3><p><a>§7</a></p><p><a>§5</a></p><p>§18</p></div>',
     "<aside><h2>§3</h2><ul><li><a>§5</a></li><li><a>§6</a></li></ul><p>§30</p></aside>",
-    '<section id="(comments|commentlist|discussion|disqus)"><h2>§2</h2><div class="(comment|reply)"><p>§30</p></div><div class="(comment|reply)"><p>§6</p></div><div class="comment-(body|content)"><p>§60</p></div><form><label>§2</label><p>§7</p></form></section>',
-    '<div class="(sidebar|widget|widgets)"><h3>§2</h3><p>§15</p><p><a>§4</a></p></div>',
+    f'<section id="{_SAID}"><h2>§2</h2><div class="(comment|reply)"><p>§30</p></div><div class="(comment|reply)"><p>§6</p></div><div class="comment-(body|content)"><p>§60</p></div><form><label>§2</label><p>§7</p></form></section>',
+    f'<div class="{_SAID}"><h3>§2</h3><p>§40</p><p>§22</p></div>',
+    f'<div id="(user|customer|reader|leser)-{_SAID}"><div><p>§30</p></div><div><p>§50</p></div></div>',
+    '<div class="(sidebar|widget|widgets|seitenleiste|lateral)"><h3>§2</h3><p>§15</p><p><a>§4</a></p></div>',
     "<div><a>§2</a> | <a>§2</a></div><p><a>§3</a></p>",
     '<ol class="(comments|replies)"><li class="comment"><article class="comment-body"><p>§25</p></article></li><li class="comment"><article class="comment-body"><p>§40</p></article></li></ol><div id="respond"><h3>§3</h3></div>',
     '<a><div>§4</div></a><a><div>§6</div></a><div class="(pagination|pager)"><a>§1</a> <a>§1</a></div>',
@@ -90,6 +96,7 @@ FOOTERS = (
 
 _TAGS = re.compile(r"(</?)(?:header|nav|aside|footer|article|main|section|form|figure|figcaption)\b")
 _NAMES = re.compile(r' (?:class|id|role)="[^"]*"')
+_LONG = re.compile(r"§\d\d")
 _CHOICE = re.compile(r"\(([^)]*)\)")
 _FILL = re.compile(r"§(\d+)")
 
@@ -103,6 +110,10 @@ def labelled_pages(n: int = 960, seed: int = 7) -> Iterator[str]:
         top, (begin, end), body, tail, foot = (kind[o[i]] for kind, o in zip(kinds, order, strict=True))
         if i % 8 == 5:
             top = tail = foot = ""
+        if i % 8 in (2, 6):
+            # Without tags and names nothing tells paragraphs of notices, asides, readers and footers from text.
+            bare = lambda part: _LONG.search(part) and (i % 8 == 6 or not _NAMES.search(part))  # noqa: B023, E731
+            top, tail, foot = ("" if bare(part) else part for part in (top, tail, foot))
         if "<article" in tail and "<article" not in begin:
             tail = tail.replace("article", "div")
         # A part behind the article stands within its wrapper now and then.

@@ -14,7 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache, lru_cache
 
 import numpy as np
@@ -42,33 +42,63 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: A name that begins with one of these tells what its element has, not what it is.
 _HAVING = frozenset("has with without no not is js".split())
 _INLINE, _HOLDERS, _DROPPED, _IN_HEAD = frozenset(INLINE), frozenset(HOLDERS), frozenset(DROPPED), frozenset(IN_HEAD)
-#: Words of a block from which on it is a paragraph.
-_LONG = 15
+#: Elements for other things than text, headings, and parts of tables with what they end and where that stops.
+_OTHER, _HEADINGS = frozenset("nav aside footer form menu dialog".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS = {name: (frozenset(over.split()), frozenset(to.split())) for name, over, to in (("td", "td th", "table tr"), ("th", "td th", "table tr"), ("tr", "td th tr", "table"), ("tbody", "td th tr tbody thead", "table"), ("thead", "td th tr tbody thead", "table"))}
+#: Words of a block from which on it is a paragraph; pages that are classified together.
+_LONG, _TOGETHER = 15, 256
 
 
 class Element:
-    """An element that is open: its name, its class, id and role names in parts, whether it holds the article, and how
-    many words outside links it has."""
+    """An element of a page: its name, its class, id and role names in parts, the element that it is in, and what follows
+    from all around it: whether it is for other things than text, whether it is in a list item, in the article, holds the
+    article, and the least odds of the names around. ``plain`` counts words outside links in it."""
 
-    __slots__ = ("name", "names", "core", "marked", "plain")
+    __slots__ = ("name", "names", "parent", "marked", "item", "plain", "text", "parts", "outside", "framed", "article", "core", "low")
 
-    def __init__(self, name: str, names: tuple[tuple[str, ...], ...] = (), marked: bool = False):
-        self.name, self.names, self.core, self.marked, self.plain = name, names, False, marked, 0
+    def __init__(self, name: str, parent: Element | None = None, names: tuple[tuple[str, ...], ...] = (), marked: bool = False):
+        self.name, self.names, self.parent, self.marked = name, names, parent, marked
+        self.item = name in ("li", "dt", "dd") or (parent is not None and parent.item and parent.name != "")
+        self.plain, self.text, self.parts, self.outside, self.framed, self.article, self.core, self.low = 0, 0, 0, False, False, False, False, 0.0
 
 
 @dataclass
 class Block:
-    """A run of text between block tags, with the state of the page where it begins."""
+    """A run of text between block tags, in the innermost element around it."""
 
     text: str
     words: int
     linked: int
-    heading: bool
-    item: bool
-    outside: bool
-    marked: bool
-    around: list[Element] = field(default_factory=list)
-    article: bool = False
+    inner: Element
+
+    @property
+    def heading(self) -> bool:
+        return self.inner.name in _HEADINGS
+
+    @property
+    def item(self) -> bool:
+        return self.inner.item
+
+    @property
+    def marked(self) -> bool:
+        return self.inner.marked
+
+    @property
+    def outside(self) -> bool:
+        return self.inner.outside
+
+    @property
+    def article(self) -> bool:
+        return self.inner.article
+
+    @property
+    def around(self) -> list[Element]:
+        """The elements around it, the outermost first."""
+        out, e = [], self.inner
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out[::-1]
 
 
 @lru_cache(1 << 14)
@@ -146,26 +176,34 @@ def blocks(page: str | None) -> list[Block]:
     """The text blocks of a whole page, in order."""
     page = page or ""
     out: list[Block] = []
+    # All elements with a block of their own or around one, those around others first.
+    elements: list[Element] = []
     stack: list[Element] = []
     held: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     state = Element("")
+    elements.append(state)
     # An open link: how deep the page was where it began, and whether it goes around blocks.
     link, depth, wraps = False, 0, False
 
     def closed() -> None:
         if not pieces:
             return
-        text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
-        if text:
-            words = len(text.split())
-            linked = sum(len(html.unescape(p).split()) for p, inside in pieces if inside)
-            names = [e.name for e in stack]
-            inner = "header" in names and any(n in ("article", "main") for n in names[: len(names) - names[::-1].index("header")])
-            outside = any(n in ("nav", "aside", "footer", "form", "menu", "dialog") for n in names) or ("header" in names and not inner)
-            out.append(Block(text, words, min(words, linked), re.fullmatch("h[1-6]", state.name) is not None, "li" in names or state.name in ("li", "dt", "dd"), outside, state.marked, [*stack, *[state] * (state.name not in _HOLDERS)]))
+        text = "".join([p for p, _ in pieces])
+        parts = (html.unescape(text) if "&" in text else text).split()
+        if parts:
+            linked = 0
+            for p, inside in pieces:
+                if inside:
+                    linked += len((html.unescape(p) if "&" in p else p).split())
+            out.append(Block(" ".join(parts), len(parts), min(len(parts), linked), state))
         pieces.clear()
 
+    def ended(k: int) -> None:
+        """Closes the elements from place ``k`` of the stack on."""
+        held.subtract([e.name for e in stack[k:]])
+        del stack[k:]
+
     at, dropped = 0, None
     for begin, stop, name, end, attrs in _tags(page):
         if begin < at:
@@ -205,47 +243,103 @@ def blocks(page: str | None) -> list[Block]:
             wraps = not any(inside and p.strip() for p, inside in pieces)
         closed()
         if end:
-            state = Element("")
-            if name in _HOLDERS:
+            if name in _HOLDERS and held[name]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].name == name:
-                        held.subtract(e.name for e in stack[k:])
-                        del stack[k:]
+                        ended(k)
                         break
+            state = Element("", stack[-1] if stack else None)
         else:
-            state = Element(name, () if name in ("body", "html", "article", "main") or not attrs else _names(attrs), "data-main" in attrs)
+            if name in _ENDS:
+                # The parts of a table end those before them, whatever is open in these.
+                over, to = _ENDS[name]
+                if any(held[n] for n in over):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k].name in to:
+                            break
+                        if stack[k].name in over:
+                            ended(k)
+            own = () if name in ("body", "html", "article", "main") or not attrs else _names(attrs)
+            state = Element(name, stack[-1] if stack else None, own, "data-main" in attrs)
             if name in _HOLDERS:
                 stack.append(state)
                 held[name] += 1
+        elements.append(state)
         link = link and wraps and len(stack) >= depth
     if dropped is None:
         pieces.append((page[at:], link))
     closed()
-    _find_core(out)
+    _find_core(out, elements)
     return out
 
 
-def _find_core(found: list[Block]) -> None:
-    """Marks the blocks of the article (the article or main element that is the only one with words outside links, or the
-    first with a third of the page's) and the elements that hold it, or hold the first paragraph and most of those words."""
-    plain = [b for b in found if not b.outside and 3 * b.linked < b.words]
+def _summed(elements: list[Element], slot: str) -> None:
+    """Adds each element's count to that of the element around it."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            setattr(e.parent, slot, getattr(e.parent, slot) + getattr(e, slot))
+
+
+def _find_core(found: list[Block], elements: list[Element]) -> None:
+    """Finds what is for other things, the article, and the elements that hold it. All is counted once for each element.
+
+    A form or header around the page is not for other things: one that holds an article or main element with text, nine
+    tenths of the words outside links, or half of them with a heading and three blocks. The article is the first group of article
+    elements (or main ones) beside each other that is the only one with words outside links or has a third of the page's; of
+    several those with a paragraph and a fifth of the words of the largest. What holds it, or holds the first paragraph and
+    most of those words, is of the article whatever it is called."""
+    plain = [b for b in found if 3 * b.linked < b.words]
+    for b in plain:
+        b.inner.text += b.words
+        b.inner.parts += 1
+        b.inner.framed = b.inner.framed or b.heading
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.text += e.text
+            e.parent.parts += e.parts
+            e.parent.framed = e.parent.framed or e.framed
+    total = sum(b.words for b in plain)
+    # Headers within an article are of it. ``low`` serves as a mark here: in an article or main element.
+    holds = {id(e.parent) for e in elements if e.name in ("article", "main") and e.text and e.parent is not None}
+    for e in reversed(elements):
+        if id(e) in holds and e.parent is not None:
+            holds.add(id(e.parent))
+    inside: set[int] = set()
+    for e in elements:
+        up = e.parent
+        if up is not None and (id(up) in inside or up.name in ("article", "main")):
+            inside.add(id(e))
+        own = e.name in _OTHER or (e.name == "header" and id(e) not in inside)
+        if own and e.name in ("form", "header") and e.text:
+            own = not (id(e) in holds or 10 * e.text >= 9 * total or (2 * e.text > total and e.framed and e.parts >= 3))
+        e.outside = own or (up is not None and up.outside)
+
+    plain = [b for b in plain if not b.outside]
     for b in plain:
-        for e in b.around:
-            e.plain += b.words
+        b.inner.plain += b.words
+    _summed(elements, "plain")
     total = sum(b.words for b in plain)
-    core = None
+    core: list[Element] = []
     for kind in ("article", "main"):
-        like = {id(e): e for b in plain for e in b.around if e.name == kind}
-        core = core or next((e for e in like.values() if len(like) == 1 or 3 * e.plain >= total), None)
-    if core:
-        for b in found:
-            b.article = core in b.around
-        for e in next(b.around for b in plain if core in b.around):
+        groups: dict[int, list[Element]] = {}
+        for e in elements:
+            if e.name == kind and e.plain:
+                groups.setdefault(id(e.parent), []).append(e)
+        for group in groups.values():
+            if not core and (len(groups) == 1 or 3 * sum(e.plain for e in group) >= total):
+                most = max(e.plain for e in group)
+                core = [e for e in group if len(group) == 1 or (e.plain >= _LONG and 5 * e.plain >= most)] or group
+    for e in core:
+        e.article = True
+        while e is not None and not e.core:
             e.core = True
-            if e is core:
-                break
-    for e in next((b.around for b in plain if b.words >= _LONG), []):
-        e.core |= 2 * e.plain > total
+            e = e.parent
+    for e in elements:
+        e.article = e.article or (e.parent is not None and e.parent.article)
+    first = next((b.inner for b in plain if b.words >= _LONG), None)
+    while first is not None:
+        first.core = first.core or 2 * first.plain > total
+        first = first.parent
 
 
 FEATURES = "words link_density words_before link_density_before words_after link_density_after place names heading item near_text".split()
@@ -255,24 +349,43 @@ PLACES = (-2.0, -1.0, 0.0, 1.0)
 _MANY = 40.0
 
 
-def _odds(block: Block, odds: dict[str, float]) -> float:
-    """The least of the odds of the names around a block, 0 at most; parts of one name add up."""
-    return min((sum(odds.get(p, 0.0) for p in name) for e in block.around if not e.core for name in e.names), default=0.0)
+def _least_odds(inner: Element, odds: dict[str, float], known: dict[int, float]) -> float:
+    """The least of the odds of the names around a block, 0 at most; parts of one name add up. Kept for each element."""
+    chain, e = [], inner
+    while e is not None and id(e) not in known:
+        chain.append(e)
+        e = e.parent
+    least = known[id(e)] if e is not None else 0.0
+    for e in reversed(chain):
+        if e.names and not e.core:
+            least = min(least, min(sum([odds.get(p, 0.0) for p in name]) for name in e.names))
+        known[id(e)] = least
+    return least
+
+
+def pages_features(pages: list[list[Block]], odds: dict[str, float]) -> np.ndarray:
+    """A row for each block of several pages; where a neighbour is missing it has no words and no links."""
+    rows = []
+    for number, found in enumerate(pages):
+        elsewhere = PLACES[1 if any(b.inner.article and not b.inner.outside for b in found) else 2]
+        known: dict[int, float] = {}
+        for b in found:
+            e = b.inner
+            rows.append((number, b.words, b.linked, PLACES[0] if e.outside else PLACES[3] if e.article else elsewhere, _least_odds(e, odds, known), e.name in _HEADINGS, e.item))
+    table = np.array(rows, float).reshape(-1, 7)
+    page, words = table[:, 0], np.minimum(table[:, 1], _MANY)
+    density = table[:, 2] / table[:, 1] if len(table) else table[:, 2]
+    wide = lambda v: np.concatenate([np.zeros(3), v, np.zeros(3)])
+    pages_wide, n = np.concatenate([[-1.0] * 3, page, [-1.0] * 3]), len(page)
+    beside = lambda v, k: np.where(pages_wide[3 + k : 3 + k + n] == page, wide(v)[3 + k : 3 + k + n], 0.0)
+    plain = np.where(density < 0.34, words, 0.0)
+    near = np.max([beside(plain, k) for k in (-3, -2, -1, 1, 2, 3)], axis=0)
+    return np.column_stack([words, density, beside(words, -1), beside(density, -1), beside(words, 1), beside(density, 1), table[:, 3:], near])
 
 
 def block_features(found: list[Block], odds: dict[str, float]) -> np.ndarray:
-    """A row for each block; where a neighbour is missing it has no words and no links."""
-    count = np.array([b.words for b in found], float)
-    density = np.array([b.linked for b in found]) / count
-    words = np.minimum(count, _MANY)
-    before, after = np.concatenate([[0.0], words[:-1]]), np.concatenate([words[1:], [0.0]])
-    d_before, d_after = np.concatenate([[0.0], density[:-1]]), np.concatenate([density[1:], [0.0]])
-    elsewhere = PLACES[1 if any(b.article and not b.outside for b in found) else 2]
-    flags = np.array([[PLACES[0] if b.outside else PLACES[3] if b.article else elsewhere, min(0.0, _odds(b, odds)), b.heading, b.item] for b in found], float)
-    plain = np.where(density < 0.34, words, 0)
-    wide = np.concatenate([[0.0] * 3, plain, [0.0] * 3])
-    near = np.max([wide[k : k + len(found)] for k in (0, 1, 2, 4, 5, 6)], axis=0)
-    return np.column_stack([words, density, before, d_before, after, d_after, flags, near])
+    """The same for one page."""
+    return pages_features([found], odds)
 
 
 def name_odds(pages: list[list[Block]]) -> dict[str, float]:
@@ -344,13 +457,14 @@ class TextModel:
     tree: Node
     odds: dict[str, float]
 
+    def main_texts(self, pages: list[str | None]) -> list[str]:
+        """The kept blocks of each page, two newlines between them."""
+        found = [blocks(page) for page in pages]
+        keep = iter((self.tree.shares(pages_features(found, self.odds)) >= 0.5).tolist())
+        return ["\n\n".join([b.text for b in own if next(keep)]) for own in found]
+
     def main_text(self, page: str | None) -> str:
-        """The kept blocks of a page, two newlines between them."""
-        found = blocks(page)
-        if not found:
-            return ""
-        keep = self.tree.shares(block_features(found, self.odds)) >= 0.5
-        return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+        return self.main_texts([page])[0]
 
 
 @cache
@@ -372,7 +486,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            texts = [model.main_text(page) for page in batch["html"].to_pylist()]
+            pages = batch["html"].to_pylist()
+            texts = [t for k in range(0, len(pages), _TOGETHER) for t in model.main_texts(pages[k : k + _TOGETHER])]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(work, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,6 +24,11 @@ HELD_OUT = [
     '<body><header><h1><a>§2</a></h1></header><main><section class="lead"><h2 data-main>§7</h2><p data-main>§21</p></section><section><p data-main>§48</p><figure><img><figcaption data-main>§9</figcaption></figure><p data-main>§6</p></section><section class="share-buttons"><a>§1</a><a>§1</a></section></main><section class="related-articles"><h3>§2</h3><article><a>§7</a></article><article><a>§6</a></article></section></body>',
     '<body><div id="top-ad">§7</div><div id="breadcrumb"><a>§1</a> &gt; <a>§2</a></div><div id="story-body"><h1 data-main>§8</h1><p data-main><a>§2</a> §28</p><p data-main>§17</p><p data-main>§3</p><p data-main>§64</p></div><div id="disqus_thread"><div class="post-message"><p>§26</p></div><div class="post-message"><p>§14</p></div></div><div id="legal">§16</div></body>',
     '<body><article class="has-image with-sidebar"><h1 data-main>§5</h1><p data-main>§4</p><p data-main>§90</p><aside class="pullquote"><p>§9</p></aside><p data-main>§66</p><footer><p>§5 <a>§2</a></p></footer></article><section id="reply-list"><div class="reply"><p>§19</p></div></section></body>',
+    '<body><form name="all"><div class="top-nav"><a>§1</a> <a>§2</a> <a>§1</a></div><div class="body-copy"><h1 data-main>§6</h1><p data-main>§45</p><p data-main>§30</p><p data-main>§52</p></div><div class="bottom-links"><a>§2</a> <a>§2</a></div></form></body>',
+    "<body><table><tr><td><a>§1</a><td><a>§2</a><tr><td><h1 data-main>§5</h1><p data-main>§60<p data-main>§40<p data-main>§33<tr><td><a>§2</a><td><a>§1</a></table></body>",
+    '<body><nav><a>§1</a><a>§1</a></nav><main><article><h2 data-main>§5</h2><p data-main>§40</p><p data-main>§28</p></article><article><h2 data-main>§4</h2><p data-main>§35</p><p data-main>§31</p></article></main><footer>§9</footer></body>',
+    '<body><div class="noticia"><h1 data-main>§7</h1><p data-main>§48</p><p data-main>§26</p><p data-main>§39</p></div><div id="lista-comentarios"><p>§24</p><p>§31</p></div><div class="pie"><a>§2</a> <a>§1</a></div></body>',
+    '<body><header class="page"><article><h1 data-main>§6</h1><p data-main>§38</p><p data-main>§44</p></article></header><div class="product-reviews"><p>§26</p><p>§33</p></div></body>',
     '<body><div class="popup-overlay"><div class="modal"><p>§12</p></div></div><div class="wrap"><div class="menu"><a>§1</a><a>§1</a><a>§1</a></div><div class="text"><p data-main>§29</p><p data-main>§51</p><p data-main>§7</p><p data-main>§43</p></div></div><div class="copyright-line">§6</div></body>',
 ]
 
@@ -56,6 +62,32 @@ def test_names_around_an_article(around):
     assert html_text.text_model().main_text(plain).split("\n\n")[:4] == want
 
 
+def test_what_holds_the_text_is_not_outside():
+    words = "some words that make a line of text long enough to be a paragraph of it " * 2
+    one = f"<h1>A title here</h1><p>{words}</p><p>And {words}</p>"
+    want = ["A title here", words.strip(), "And " + words.strip()]
+    model = html_text.text_model()
+    for begin, end in (("<form><div class=content>", "</div></form>"), ("<form><main>", "</main></form>"), ("<header><article>", "</article></header>"), ("<body><form id=all><table><tr><td>", "</table></form>")):
+        assert model.main_text(f"{begin}{one}{end}").split("\n\n") == want, begin
+    two = f"<nav><a>home</a></nav><article>{one}</article><article>{one}</article><footer>all rights</footer>"
+    assert model.main_text(two).split("\n\n") == want * 2
+    for name in ("user-reviews", "comentarios", "kommentare", "comments"):
+        assert model.main_text(f'<div class="story">{one}</div><div class="{name}"><p>{words}</p><p>{words}</p></div>').split("\n\n") == want, name
+
+
+def test_open_elements_take_linear_time():
+    """Cells and rows end those before them; a page twice as long takes about twice the time."""
+    found = html_text.blocks("<table><tr><td>one<td>two<div>three<tr><td>four</table><p>five")
+    assert [b.text for b in found] == ["one", "two", "three", "four", "five"]
+    assert [[e.name for e in b.around if e.name] for b in found] == [["table", "tr", "td"], ["table", "tr", "td"], ["table", "tr", "td", "div"], ["table", "tr", "td"], ["p"]]
+    nested = html_text.blocks("<table><tr><td>a<table><tr><td>b<td>c</table>d<td>e</table>")
+    assert [(b.text, [e.name for e in b.around].count("td")) for b in nested] == [("a", 1), ("b", 2), ("c", 2), ("d", 1), ("e", 1)]
+    for page in ("<table>" + "<tr><td>cell <td>two" * 60_000, "<div>" * 60_000 + "text", '<div class="a b"><p>some text' * 30_000, "<form><ul>" * 30_000 + "<li>x" * 30_000):
+        began = time.process_time()
+        html_text.text_model().main_text(page)
+        assert time.process_time() - began < 20
+
+
 def test_links_around_blocks():
     cases = {
         "<a href=x><div>Next story</div></a><p>text</p>": [1, 0],
