@@ -211,3 +211,38 @@ def _with_files(rows: DataFrame, stage: Stage, values: dict[str, T.DataType], sc
 def forget(spark: SparkSession, store: str, stage: str | None = None) -> bool:
     """Deletes what a store keeps of a stage, or all of it; whether there was anything."""
     return delete(spark, store if stage is None else f"{store}/attempts/{stage}")
+
+
+#: What is kept of a result that was written.
+RESULT = "run_id string, run_key string, path string, status string, n_rows long, ok long, failed long, failed_by_stage map<string,long>, started_at timestamp, ended_at timestamp, error string"
+
+
+def write_result(flow: Flow, path: str, store: str, made: Callable[[Flow], DataFrame] = Flow.collect) -> dict:
+    """Writes a flow's result as Parquet and adds a record of it to ``store``: rows, successes and failures, of each stage
+    too, counted in the pass that writes; also of a run that is broken off, with its error. The record is returned.
+    ``made`` gives the result, :meth:`Flow.collect` unless it is a kept run."""
+    spark, began = flow.grid.sparkSession, datetime.now(UTC)
+    flow = replace(flow, run_id=flow.run_id or uuid.uuid4().hex)
+    key = _run_key(flow.run_id, {s.id: stage_signature(s) for s in flow.stages})
+    record = {"run_id": flow.run_id, "run_key": key, "path": path, "status": "completed", "n_rows": 0, "ok": 0, "failed": 0, "failed_by_stage": {}, "started_at": began, "error": None}
+    bad = lambda s: F.exists(F.col("`.diag`"), lambda d: (d["stage"] == s) & ~d["ok"] & ~d["skipped"])
+    seen = Observation()
+    try:
+        out = made(flow)
+        out = out.observe(seen, F.count("*").alias("n_rows"), F.count_if("`.ok`").alias("ok"), *[F.count_if(bad(s.id)).alias(f"s{k}") for k, s in enumerate(flow.stages)])
+        out.write.mode("overwrite").parquet(path)
+        counts = seen.get
+        record |= {"n_rows": counts["n_rows"], "ok": counts["ok"], "failed": counts["n_rows"] - counts["ok"], "failed_by_stage": {s.id: counts[f"s{k}"] for k, s in enumerate(flow.stages)}}
+    except Exception as e:
+        record |= {"status": "failed", "error": str(e).splitlines()[0]}
+        raise
+    finally:
+        record["ended_at"] = datetime.now(UTC)
+        fields = T.StructType.fromDDL(RESULT)
+        spark.createDataFrame([tuple(record[f.name] for f in fields)], fields).coalesce(1).write.mode("append").parquet(f"{store}/results")
+    return record
+
+
+def results_of(spark: SparkSession, store: str) -> DataFrame:
+    """The records of results that were written."""
+    return spark.read.schema(RESULT).parquet(f"{store}/results")

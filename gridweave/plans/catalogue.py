@@ -15,7 +15,7 @@ from gridweave.operators.grids import combine_grids, describe_grid, lhs_grid, pa
 from gridweave.operators.ordinals import numbered
 from gridweave.operators.partitioning import Dist, balance_by_weight, balance_longest_first, balance_round_robin, chunk_by, chunk_plan, resolve_layout, waves
 from gridweave.operators.runs import run as run_kept
-from gridweave.operators.runs import runs_of
+from gridweave.operators.runs import results_of, runs_of, write_result
 from gridweave.operators.timeline import as_of
 from gridweave.operators.timeline import run_timeline as timeline
 from gridweave.plans.flow_plan import dry_run, flow_fingerprint, flow_plan, pending_groups, plan_decision
@@ -24,6 +24,7 @@ from gridweave.sources import catalog as C
 from gridweave.sources import run_store as R
 from gridweave.sources.logs import with_context
 from gridweave.sources.shared import shared_dir
+from gridweave.streaming.registry import append, registry
 from gridweave.streaming.watch import windowed_counts
 from gridweave.streaming.workers import chunk_marks, progress, worker_alerts
 
@@ -670,3 +671,25 @@ def grid_expand(spark, sf_dir):
     regions = table(spark, sf_dir, "region").select("r_name", "r_regionkey")
     out = param_grid(spark, cut={"region": "ordinal >= 1", "level": "level <> ordinal % 5"}, region=regions, level=[1, 2, 3], tag=["p", "q"])
     return out
+
+
+@query("""select user_id, min(event_id) as first_seq, arg_max(value, event_id) filter (value is not null) as value, arg_max(event_type, event_id) filter (event_type is not null) as event_type from events group by user_id""")
+def registry_segments(spark, sf_dir):
+    """Records that came in ten batches, in an order of their own, as compacted segments."""
+    rows, store = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type"), f"{shared_dir(spark)}/registry/{uuid.uuid4().hex}"
+    for number, part in enumerate((7, 2, 9, 0, 5, 1, 8, 3, 6, 4)):
+        append(rows.where(F.col("event_id") % 10 == part), number, store, "user_id", "event_id", ["value", "event_type"], fan=3)
+    return registry(spark, store, "user_id", "user_id long, first_seq long, value double, event_type string")
+
+
+@query("""select 'keep' as run_id, 'completed' as status, count(*) as n_rows, count(*) filter (l_quantity > 45) as failed, count(*) filter (l_quantity > 45) as at_net, 0::bigint as at_gross from lineitem
+union all select 'omit', 'completed', count(*) filter (l_quantity <= 45), 0, 0, 0 from lineitem""")
+def run_records(spark, sf_dir):
+    """What is kept of two results, counted while they were written."""
+    store = f"{shared_dir(spark)}/flows/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    for policy in ("keep", "omit"):
+        f = flow(rows, error=policy, run_id=policy).stage("net", {"v": "if(l_quantity > 45, 1 div 0, l_quantity)"}, S.returns(v=S.dbl())).stage("gross", {"w": "l_extendedprice"}, S.returns(w=S.dbl()))
+        write_result(f, f"{store}/{policy}", store)
+    stage = lambda s: F.element_at("failed_by_stage", s).alias(f"at_{s}")
+    return results_of(spark, store).select("run_id", "status", "n_rows", "failed", stage("net"), stage("gross"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave import schema as S
 from gridweave.operators.flow import flow
-from gridweave.operators.runs import forget, run, runs_of
+from gridweave.operators.runs import forget, results_of, run, runs_of, write_result
 from gridweave.sources.artifacts import use_artifacts
 from gridweave.sources.catalog import Format, Sink, artifact_catalog, verified
 
@@ -210,3 +210,19 @@ def test_hoisted_records(spark):
     out = f.collect()
     assert "s.p" not in out.columns and {"s.p$a", "s.p$b", "s.q"} <= set(out.columns)
     assert plain(out, "s.p$a", "s.p$b", "t.r") == [(0, "t", 1), (1, "t", 2)]
+
+
+def test_results_have_a_record(spark, tmp_path):
+    """Counted while they are written; also of what is broken off, and of kept runs."""
+    store, path = f"file://{tmp_path}/store", f"file://{tmp_path}/out"
+    f = flow(grid(spark), error="keep", run_id="r1").stage("a", {"y": "if(x < 2, 1 div 0, x)"}, S.returns(y=S.int_())).stage("b", lambda x: {"z": 10 // (x - 3)}, S.returns(z=S.int_()))
+    got = write_result(f, path, store)
+    assert (got["n_rows"], got["ok"], got["failed"], got["failed_by_stage"], got["status"]) == (6, 3, 3, {"a": 2, "b": 1}, "completed")
+    assert spark.read.parquet(path).count() == 6
+    stop = flow(f.grid, error="stop", run_id="r2").add_stage(f.stages[0])
+    with pytest.raises(Exception, match="stage a"):
+        write_result(stop, path, store)
+    write_result(flow(f.grid, error="omit", run_id="r3").add_stage(f.stages[1]), path, store, made=lambda g: run(g, store))
+    rows = {r.run_id: r for r in results_of(spark, store).collect()}
+    assert {k: (r.status, r.n_rows, r.failed) for k, r in rows.items()} == {"r1": ("completed", 6, 3), "r2": ("failed", 0, 0), "r3": ("completed", 5, 0)}
+    assert "stage a" in rows["r2"].error and len({r.run_key for r in rows.values()}) == 3 and all(r.started_at <= r.ended_at for r in rows.values())
