@@ -18,27 +18,23 @@ TIME_UNITS = {"d": 86400, "day": 86400, "days": 86400, "h": 3600, "hr": 3600, "h
 
 
 def parse_hms(text: Column) -> Column:
-    """Seconds of D-HH:MM:SS, HH:MM:SS, MM:SS or a plain number; null for anything else."""
+    """Seconds of a duration as schedulers write it, days-hours:minutes:seconds with as many parts as there are, from minutes
+    on; or of a plain number. Null for anything else."""
     s = F.regexp_replace(text, r"\s+", "")
-    part = lambda pattern, k: F.regexp_extract(s, pattern, k).try_cast("double")
-    days, hours, minutes = r"^(\d+)-(\d{2}):(\d{2}):(\d{2})$", r"^(\d{1,2}):(\d{2}):(\d{2})$", r"^(\d{1,2}):(\d{2})$"
-    return (
-        F.when(s.rlike(days), part(days, 1) * 86400 + part(days, 2) * 3600 + part(days, 3) * 60 + part(days, 4))
-        .when(s.rlike(hours), part(hours, 1) * 3600 + part(hours, 2) * 60 + part(hours, 3))
-        .when(s.rlike(minutes), part(minutes, 1) * 60 + part(minutes, 2))
-        .otherwise(s.try_cast("double"))
-    )
+    clock = r"^(?:(?:(\d+)-)?(\d{1,2}):)?(\d{1,2}):(\d{2})$"
+    total = F.lit(0.0)
+    for place, seconds in enumerate((86400, 3600, 60, 1), 1):
+        total = total + F.coalesce(F.regexp_extract(s, clock, place).try_cast("double"), F.lit(0.0)) * seconds
+    return F.when(s.rlike(clock), total).otherwise(s.try_cast("double"))
 
 
 def parse_memory(text: Column) -> Column:
-    """Bytes of a number with K, M, G, T or P; null for missing marks and anything else."""
+    """Bytes of a size such as 12, 1.5k, 8G, 8GB or 4Gn (of a node) and 4Gc (of a core); null for anything else."""
+    size = r"^(\d+(?:\.\d+)?)([KMGTP]?)(?:I?B)?[NC]?$"
     s = F.upper(F.trim(text))
-    pattern = r"^([0-9]+(?:\.[0-9]+)?)([KMGTP]?)"
-    number, unit = F.regexp_extract(s, pattern, 1).try_cast("double"), F.regexp_extract(s, pattern, 2)
-    factor = F.lit(None).cast("double")
-    for name, value in MEMORY_UNITS.items():
-        factor = F.when(unit == name, F.lit(float(value))).otherwise(factor)
-    return F.when(s.isin("N/A", "NA", "NONE", ""), None).when(s.rlike(pattern), number * factor).otherwise(s.try_cast("double"))
+    factors = F.create_map(*[F.lit(x) for unit, factor in MEMORY_UNITS.items() for x in (unit, float(factor))])
+    found = F.regexp_extract(s, size, 1).try_cast("double") * F.try_element_at(factors, F.regexp_extract(s, size, 2))
+    return F.when(s.rlike(size), found).otherwise(s.try_cast("double"))
 
 
 def format_bytes(value: Column) -> Column:
@@ -169,6 +165,39 @@ def expand(template: str, **columns: Column) -> Column:
     return F.concat(*out, F.lit(rest)) if out else F.lit(rest)
 
 
+class path_patterns:
+    """Places of files that come up again and again, as columns. ``now`` is a time, the current one unless given."""
+
+    @staticmethod
+    def _stamp(now: Column | None, form: str) -> Column:
+        return F.date_format(F.current_timestamp() if now is None else now, form)
+
+    @staticmethod
+    def timestamped(folder: Column, name: Column, extension: Column, now: Column | None = None) -> Column:
+        """A file named by the time that it is from."""
+        return F.concat(folder, F.lit("/"), path_patterns._stamp(now, "yyyyMMdd_HHmmss"), F.lit("_"), name, F.lit("."), extension)
+
+    @staticmethod
+    def experiment(exp_id: Column, name: Column, run: Column) -> Column:
+        """The folder of one run of an experiment."""
+        return F.concat(F.lit("experiments/"), exp_id, F.lit("/"), name, F.lit("/run_"), F.format_string("%03d", run))
+
+    @staticmethod
+    def user_workspace(*parts: Column, user: str | None = None) -> Column:
+        """A place in the workspace of the user who builds the query."""
+        return F.concat_ws("/", F.lit("workspace"), F.lit(user or getpass.getuser()), *parts)
+
+    @staticmethod
+    def daily_log(name: Column, now: Column | None = None) -> Column:
+        """A log in a folder for each day."""
+        return F.concat(F.lit("logs/"), path_patterns._stamp(now, "yyyyMMdd"), F.lit("/"), name, F.lit("_"), path_patterns._stamp(now, "HHmmss"), F.lit(".log"))
+
+    @staticmethod
+    def checkpoint(model: Column, epoch: Column, now: Column | None = None) -> Column:
+        """A model's state after an epoch."""
+        return F.concat(F.lit("checkpoints/"), model, F.lit("/epoch_"), F.format_string("%04d", epoch), F.lit("_"), path_patterns._stamp(now, "yyyyMMdd"), F.lit(".pkl"))
+
+
 def normal_message(message: Column) -> Column:
     """An error message without what changes between runs: line numbers, folders, addresses, times, runs of blanks."""
     # These patterns decide which messages have one fingerprint.

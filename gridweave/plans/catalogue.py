@@ -693,3 +693,24 @@ def run_records(spark, sf_dir):
         write_result(f, f"{store}/{policy}", store)
     stage = lambda s: F.element_at("failed_by_stage", s).alias(f"at_{s}")
     return results_of(spark, store).select("run_id", "status", "n_rows", "failed", stage("net"), stage("gross"))
+
+
+@query("""select c_custkey::varchar as param_hash, bool_and(o_orderstatus <> 'P') as outputs_current from customer join orders on o_custkey = c_custkey group by c_custkey
+union all select c_custkey::varchar, false from customer where c_custkey not in (select o_custkey from orders)""")
+def manifest_current(spark, sf_dir):
+    """Customers' records with their orders as outputs: whether all files of those that are not pending exist."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/out/"), F.col("o_orderkey").cast("string"))
+    outputs = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("k"), path.alias("v")))).alias("output_paths"))
+    text = lambda v: F.lit(v).cast("string")
+    records = c.select("c_custkey").join(outputs, "c_custkey", "left").select(text("fit").alias("stage_id"), F.col("c_custkey").cast("string").alias("param_hash"), F.create_map(F.lit("c"), F.col("c_custkey").cast("string")).alias("params"), "output_paths", text("t").alias("completed_at"))
+    files = o.where("o_orderstatus <> 'P'").select(path.alias("path"))
+    return R.completion_manifest(records, "fit", files).select("param_hash", "outputs_current")
+
+
+@query("""select o_orderkey, 'logs/' || strftime(o_orderdate, '%Y%m%d') || '/' || o_orderstatus || '_' || strftime(o_orderdate, '%H%M%S') || '.log' as log,
+'experiments/' || o_custkey || '/' || o_orderstatus || '/run_' || lpad((o_orderkey % 1000)::varchar, 3, '0') as run from orders""")
+def path_names(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    return o.select("o_orderkey", X.path_patterns.daily_log(status, F.col("o_orderdate")).alias("log"), X.path_patterns.experiment(F.col("o_custkey").cast("string"), status, F.col("o_orderkey") % 1000).alias("run"))

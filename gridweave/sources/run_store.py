@@ -79,6 +79,24 @@ def merged(old: DataFrame, new: DataFrame, key: str, keep_old: bool = True) -> D
     return joined.select(key, *[pick(c).alias(c) for c in fields])
 
 
+def completion_manifest(records: DataFrame, stage: str, files: DataFrame | None = None) -> DataFrame:
+    """stage_id, param_hash, params, output_paths and completed_at of a stage's records; with ``files`` (path) also
+    ``outputs_current``, whether there are outputs and all of them exist. Records that are there twice stay so. Files are joined to the
+    paths of records, which are put together again by a hash of the record."""
+    fields = ["stage_id", "param_hash", "params", "output_paths", "completed_at"]
+    own = records.where(F.col("stage_id").eqNullSafe(F.lit(stage))).select(*fields)
+    if files is None:
+        return own
+    # Maps in the order of their names, so that equal records have one hash.
+    flat = lambda c: F.array_sort(F.map_entries(c))
+    key = F.sha2(F.to_json(F.struct("stage_id", "param_hash", flat("params").alias("p"), flat("output_paths").alias("o"), "completed_at"), {"ignoreNullFields": "false"}), 256)
+    one = own.groupBy(key.alias("_key")).agg(F.any_value(F.struct(*fields)).alias("_r"), F.count("*").alias("_times"))
+    paths = one.select("_key", F.explode(F.map_values("_r.output_paths")).alias("path"))
+    found = paths.join(files.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left").groupBy("_key").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("_all"))
+    kept = one.join(found, "_key", "left").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    return kept.select("_r.*", F.coalesce("_all", F.lit(False)).alias("outputs_current"))
+
+
 def manifest_latest(records: DataFrame, wanted: DataFrame, order: str, files: DataFrame | None = None) -> DataFrame:
     """For each wanted (param_hash, output_names) the newest record with that hash and those outputs whose files all
     exist (``files``: path), by the largest of its fields rather than by a sort of each hash's records."""

@@ -272,3 +272,28 @@ def test_context_of_any_length(spark):
     lines = spark.range(200).select(F.lit("f").alias("file"), F.col("id").alias("line"))
     got = with_context(lines, F.col("line") == 100, "file", "line", before=40, after=70, block=16)
     assert sorted(r.line for r in got.collect()) == list(range(60, 171))
+
+
+def test_completion_manifest_knows_what_exists(spark):
+    schema = "stage_id string, param_hash string, params map<string,string>, output_paths map<string,string>, completed_at string, script string"
+    rows = [("s", "h", {"a": "1", "b": "2"}, {"o": "/1", "p": "/2"}, "t", "x"), ("s", "h", {"b": "2", "a": "1"}, {"p": "/2", "o": "/1"}, "t", "y"), ("s", "g", {"a": "2"}, {"o": "/1", "p": "/gone"}, "t", "x"), ("s", "e", {}, {}, None, "x"), ("s", "n", None, None, None, "x"), ("t", "h", {}, {"o": "/1"}, "t", "x"), (None, "h", {}, {"o": "/1"}, "t", "x")]
+    records = spark.createDataFrame(rows, schema)
+    files = spark.createDataFrame([("/1",), ("/2",), ("/1",), ("/3",)], "path string")
+    got = R.completion_manifest(records, "s", files)
+    assert sorted((r.param_hash, r.outputs_current) for r in got.collect()) == [("e", False), ("g", False), ("h", True), ("h", True), ("n", False)]
+    assert R.completion_manifest(records, "s").columns == ["stage_id", "param_hash", "params", "output_paths", "completed_at"]
+    assert R.completion_manifest(records, "nowhere", files).collect() == []
+
+
+def test_patterns_of_paths(spark):
+    now, L = F.to_timestamp(F.lit("2024-01-15 14:30:22")), F.lit
+    P = X.path_patterns
+    assert one(spark, P.timestamped(L("results"), L("analysis"), L("csv"), now)) == "results/20240115_143022_analysis.csv"
+    assert one(spark, P.experiment(L("exp001"), L("model_v2"), L(3))) == "experiments/exp001/model_v2/run_003"
+    assert one(spark, P.user_workspace(L("temp"), L("data.rds"), user="ann")) == "workspace/ann/temp/data.rds"
+    assert one(spark, P.daily_log(L("fit"), now)) == "logs/20240115/fit_143022.log"
+    assert one(spark, P.checkpoint(L("m"), L(12), now)) == "checkpoints/m/epoch_0012_20240115.pkl"
+    for text, want in (("8GB", 8 * 1024.0**3), ("4Gc", 4 * 1024.0**3), ("12X", None), ("2T", 2 * 1024.0**4), ("NA", None)):
+        assert one(spark, X.parse_memory(F.lit(text))) == want
+    for text, want in (("3-1:02:03", 262923.0), ("1:02:03", 3723.0), ("3-02:03", None), ("90.5", 90.5)):
+        assert one(spark, X.parse_hms(F.lit(text))) == want
