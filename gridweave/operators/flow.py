@@ -9,6 +9,7 @@ and ``.ok``. Filters on the result do not reach the grid: filter the grid first.
 from __future__ import annotations
 
 import inspect
+import json
 import random
 import socket
 import time
@@ -98,8 +99,8 @@ class Stage:
         refused = [n for n in ("sink", "retries", "backoff", "base", "retry_on") if getattr(self, n) is not None]
         if self.is_columns and refused:
             raise ValueError(f"stage {self.id}: a stage of columns takes no {', '.join(refused)}")
-        if self.is_columns and any(isinstance(kind, Flex) for _, kind in self.schema.fields):
-            raise ValueError(f"stage {self.id}: a stage of columns has Spark's types only")
+        if self.is_columns and any(isinstance(kind, Flex) and (kind.stored != T.VariantType() or kind.held_by(F.lit(None).cast(kind.stored)) is None) for _, kind in self.schema.fields):
+            raise ValueError(f"stage {self.id}: a stage of columns has Spark's types only, and variants of them")
         for rule in self.schema.rules:
             if rule.name not in dict(self.schema.fields):
                 raise ValueError(f"stage {self.id}: there is no output {rule.name} to have a rule")
@@ -254,17 +255,21 @@ def _visible(stage: Stage, grid: list[str], done: list[Stage]) -> dict[str, str]
     return out | {f"{s.id}_{name}": s.named(name) for s in done if s.id in stage.needs for name, _ in s.schema.fields}
 
 
-def _packed(function: Callable, visible: dict[str, str], extra: list[str] = ()) -> tuple[Column, list[str]]:
-    """A struct of the columns that a function names (all with a catch-all), and the names of its fields."""
+def _packed(df: DataFrame, function: Callable, visible: dict[str, str], extra: list[str] = ()) -> tuple[Column, list[str], list[str]]:
+    """A struct of the columns that a function names (all with a catch-all), the names of its fields, and which of them are
+    variants, which go as JSON."""
     parameters = inspect.signature(function).parameters
     wide = any(p.kind is inspect.Parameter.VAR_KEYWORD for p in parameters.values())
     taken = [n for n in visible if wide or n in parameters or n in extra]
-    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{visible[n]}`").alias(f"a{k}") for k, n in enumerate(taken)]), taken
+    own = {n: F.col(f"`{visible[n]}`") for n in taken}
+    open_ = [n for n in taken if isinstance(df.schema[visible[n]].dataType, T.VariantType)]
+    return F.struct(F.lit(0).alias("_"), *[(F.to_json(c) if n in open_ else c).alias(f"a{k}") for k, (n, c) in enumerate(own.items())]), taken, open_
 
 
-def _rows(batch: pa.Array, names: list[str]) -> list[dict[str, Any]]:
+def _rows(batch: pa.Array, names: list[str], variants: list[str]) -> list[dict[str, Any]]:
     """Packed columns as arguments; maps are dicts."""
     columns = [[dict(v) if v is not None else None for v in c.to_pylist()] if pa.types.is_map(c.type) else c.to_pylist() for c in (batch.field(k + 1) for k in range(len(names)))]
+    columns = [[None if v is None else json.loads(v) for v in c] if n in variants else c for n, c in zip(names, columns, strict=True)]
     return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)] if names else [{} for _ in range(len(batch))]
 
 
@@ -275,7 +280,7 @@ def _takes(function: Callable, arguments: dict[str, Any]) -> dict[str, Any]:
     return {k: v for k, v in arguments.items() if k in parameters}
 
 
-def _skips(stage: Stage, visible: dict[str, str]) -> Column:
+def _skips(df: DataFrame, stage: Stage, visible: dict[str, str]) -> Column:
     """An error in the condition means that the stage is not skipped."""
     test = stage.skip_when
     if test is None:
@@ -283,7 +288,7 @@ def _skips(stage: Stage, visible: dict[str, str]) -> Column:
     if not callable(test) or isinstance(test, Column):
         test = _column(test)
         return F.when(raises(test), F.lit(False)).otherwise(F.coalesce(test, F.lit(False)))
-    packed, names = _packed(test, visible)
+    packed, names, variants = _packed(df, test, visible)
     constants = stage.constants
 
     def one(arguments: dict[str, Any]) -> bool:
@@ -294,7 +299,7 @@ def _skips(stage: Stage, visible: dict[str, str]) -> Column:
 
     @F.arrow_udf("boolean")
     def found(batch: pa.Array) -> pa.Array:
-        return pa.array([one(row) for row in _rows(batch, names)], pa.bool_())
+        return pa.array([one(row) for row in _rows(batch, names, variants)], pa.bool_())
 
     return found(packed)
 
@@ -323,7 +328,7 @@ def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list
     ``_retry`` tells whether a failure is one to try again."""
     visible = _visible(stage, grid, done)
     none = F.lit(None).cast("string")
-    df = df.withColumns({"_cancelled": _cancelled(flow, stage), "_lost": _lost_inputs(df, stage, visible), "_skip": _skips(stage, visible)})
+    df = df.withColumns({"_cancelled": _cancelled(flow, stage), "_lost": _lost_inputs(df, stage, visible), "_skip": _skips(df, stage, visible)})
     df = df.withColumns({"_skipped": F.col("_skip") & ~F.col("_cancelled")})
     idle = F.col("_cancelled") | F.col("_skipped")
     barred = F.col("_lost").isNotNull() & F.lit(stage.io_mode == "error")
@@ -337,13 +342,20 @@ def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list
         if (rule := stage.schema.rule(name)) is not None and (stage.sink is None or name not in stage.sink.fields):
             rest = rule.broken(F.col(f"_v_{name}"), kind.stored if isinstance(kind, Flex) else kind)
             broken = F.coalesce(broken, F.when(rest.isNotNull(), F.concat(F.lit(f"{name}: "), rest)))
-    broken = F.when(F.col("_run") & F.col("_error").isNull(), broken)
-    df = df.withColumn("_broken", broken)
+    wrong = none
+    if stage.is_columns:
+        # Functions' values were looked at as they came.
+        for name, kind in stage.schema.fields:
+            if isinstance(kind, Flex):
+                held = F.coalesce(kind.held_by(F.col(f"_v_{name}")), F.lit(False))
+                wrong = F.coalesce(wrong, F.when(~held, F.lit(f"{name}: is not {kind.name}")))
+    going = F.col("_run") & F.col("_error").isNull()
+    df = df.withColumns({"_wrong": F.when(going, wrong), "_broken": F.when(going, broken)})
     lost = F.when(~idle & barred, F.split_part("_lost", F.lit(": "), F.lit(1)))
     # After a cancellation there is nothing else to tell; a warning is told beside what is well.
-    kind_of = F.coalesce(F.when(F.col("_cancelled"), "cancelled"), lost, F.col("_kind"), F.when(F.col("_broken").isNotNull(), "contract"))
+    kind_of = F.coalesce(F.when(F.col("_cancelled"), "cancelled"), lost, F.col("_kind"), F.when(F.col("_wrong").isNotNull(), "validation"), F.when(F.col("_broken").isNotNull(), "contract"))
     warned = F.concat_ws("; ", F.when(F.lit(stage.io_mode == "warn"), F.col("_lost")), F.col("_warning"))
-    message = F.coalesce(F.when(F.col("_cancelled"), "a stage before it did not succeed"), F.when(lost.isNotNull(), F.col("_lost")), F.col("_error"), F.col("_broken"), F.when(~idle & (warned != ""), warned))
+    message = F.coalesce(F.when(F.col("_cancelled"), "a stage before it did not succeed"), F.when(lost.isNotNull(), F.col("_lost")), F.col("_error"), F.col("_wrong"), F.col("_broken"), F.when(~idle & (warned != ""), warned))
     df = df.withColumns({"_kind": kind_of, "_message": message})
     failed = ~idle & F.col("_kind").isNotNull()
     status = F.when(F.col("_cancelled"), "cancelled").when(F.col("_skipped"), "skipped").when(failed, "failed").otherwise("completed")
@@ -357,7 +369,7 @@ def _staged(df: DataFrame, flow: Flow, stage: Stage, grid: list[str], done: list
         F.when(F.col("_run"), F.col("_attempt") - 1).otherwise(0).alias("retry_count"), none.cast("double").alias("queue_ms"), F.col("_kind").alias("error_class"), F.col("_message").alias("error_message"),
     )
     df = df.withColumns(outputs | {".diag": F.concat("`.diag`", F.array(record.cast(DIAG)))})
-    return df.drop("_cancelled", "_skip", "_skipped", "_lost", "_run", "_error", "_kind", "_warning", "_broken", "_message", "_began", "_ended", "_host", "_attempt", *[f"_v_{n}" for n, _ in stage.schema.fields])
+    return df.drop("_cancelled", "_skip", "_skipped", "_lost", "_run", "_error", "_kind", "_warning", "_wrong", "_broken", "_message", "_began", "_ended", "_host", "_attempt", *[f"_v_{n}" for n, _ in stage.schema.fields])
 
 
 def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
@@ -383,9 +395,10 @@ def _columns_made(df: DataFrame, stage: Stage) -> DataFrame:
     for name, kind in stage.schema.fields:
         if name in made:
             own = df.select(made[name].alias("v")).schema["v"].dataType
-            values[f"_v_{name}"] = F.when(F.col("_run") & F.col("_error").isNull(), lossless_column(made[name], own, kind))
+            stored = kind.stored if isinstance(kind, Flex) else kind
+            values[f"_v_{name}"] = F.when(F.col("_run") & F.col("_error").isNull(), lossless_column(made[name], own, stored))
         else:
-            values[f"_v_{name}"] = F.lit(None).cast(kind)
+            values[f"_v_{name}"] = F.lit(None).cast(kind.stored if isinstance(kind, Flex) else kind)
     return df.withColumns(values).drop("_raised", *drawn.values())
 
 
@@ -393,10 +406,11 @@ def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, s
     """The function over the columns it names; rows where it is not to run are passed by."""
     # A sink names its files by the row's parameters, so it sees the grid.
     seed = [flow.seed_col] if flow.seed_col in visible else []
-    packed, names = _packed(stage.does, visible, [*seed, *(visible if stage.sink is not None else [])])
+    packed, names, variants = _packed(df, stage.does, visible, [*seed, *(visible if stage.sink is not None else [])])
     fields = [(name, kind.stored if isinstance(kind, Flex) else kind) for name, kind in stage.schema.fields]
     told = [("_error", T.StringType()), ("_kind", T.StringType()), ("_warning", T.StringType()), ("_attempt", T.IntegerType()), ("_host", T.StringType()), ("_retry", T.BooleanType()), ("_from", T.LongType()), ("_to", T.LongType())]
-    out = T.StructType([T.StructField(n, t) for n, t in [*told, *[(f"_v_{name}", kind) for name, kind in fields]]])
+    made_of = [(f"_v_{name}", T.StringType() if isinstance(kind, T.VariantType) else kind) for name, kind in fields]
+    out = T.StructType([T.StructField(n, t) for n, t in [*told, *made_of]])
     shape = arrow_type(out)
     options = (flow.validate, flow.retries, flow.backoff, flow.base, flow.retry_on, flow.seed_col, flow.run_id, flow.events, wave)
     # References that a function is given as values.
@@ -407,7 +421,7 @@ def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, s
     bare = replace(stage, skip_when=None)
 
     def work(batch: pa.Array, run: pa.Array, row_id: pa.Array) -> pa.Array:
-        rows = [_attempted(bare, a, options, i, loads) if r else None for a, r, i in zip(_rows(batch, names), run.to_pylist(), row_id.to_pylist(), strict=True)]
+        rows = [_attempted(bare, a, options, i, loads) if r else None for a, r, i in zip(_rows(batch, names, variants), run.to_pylist(), row_id.to_pylist(), strict=True)]
         return pa.array(rows, shape)
 
     # Not deterministic, as retries and files are not to happen again for each column that is read.
@@ -415,6 +429,7 @@ def _function_made(df: DataFrame, flow: Flow, stage: Stage, visible: dict[str, s
     made = F.arrow_udf(work, out).asNondeterministic()
     df = df.withColumn("_made", made(packed, F.col("_run"), F.col("row_id")))
     got = {n: F.col(f"_made.{n}") for n in out.names if n not in ("_from", "_to") and (n != "_retry" or wave is not None)}
+    got |= {f"_v_{n}": F.parse_json(F.col(f"_made._v_{n}")) for n, kind in fields if isinstance(kind, T.VariantType)}
     return df.withColumns(got | {"_began": F.timestamp_micros("_made._from"), "_ended": F.timestamp_micros("_made._to")}).drop("_made")
 
 

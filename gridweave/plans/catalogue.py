@@ -714,3 +714,19 @@ def path_names(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.col("o_orderstatus")
     return o.select("o_orderkey", X.path_patterns.daily_log(status, F.col("o_orderdate")).alias("log"), X.path_patterns.experiment(F.col("o_custkey").cast("string"), status, F.col("o_orderkey") % 1000).alias("run"))
+
+
+@query("""select p_partkey, case when p_size % 2 = 0 then p_size::varchar else '"' || p_size || '"' end as made, p_size + 1 as next, p_size % 3 <> 0 as ok, case when p_size % 3 <> 0 then '{"size":' || p_size || '}' end as boxed from part""")
+def flow_variants(spark, sf_dir):
+    """Values of several types as variants: made by a function, read by a function, and made by columns under a rule."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    either = S.one_of(S.int_(), S.chr_(), stored=S.variant())
+    rule = S.ctr_field("v", predicate=lambda v: F.variant_get(v, "$.size", "int") % 3 != 0)
+    f = (
+        flow(p, error="keep")
+        .stage("make", lambda p_size: {"v": p_size if p_size % 2 == 0 else str(p_size)}, S.returns(v=either))
+        .stage("read", lambda make_v: {"n": int(make_v) + 1}, S.returns(n=S.int_()), needs=("make",))
+        .stage("box", {"v": "struct(p_size as size)"}, S.returns(v=S.variant(), _contract=(rule,)), needs=("make",))
+    )
+    text = lambda c: F.to_json(F.col(f"`{c}`"))
+    return f.collect().select("p_partkey", text("make.v").alias("made"), F.col("`read.n`").alias("next"), F.col("`.ok`").alias("ok"), text("box.v").alias("boxed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import json
 import pickle
 import re
 import threading
@@ -94,8 +96,15 @@ class Flex:
         worker = threading.Thread(target=lambda: found.append(_passes(self.test, value)), daemon=True)
         worker.start()
         worker.join(self.timeout)
+        if worker.is_alive():
+            # Ends the test at its next step; one that waits outside of Python ends when it comes back.
+            ctypes.pythonapi.PyThreadState_SetAsyncExc(ctypes.c_ulong(worker.ident), ctypes.py_object(SystemExit))
         return bool(found and found[0])
 
+    def held_by(self, value: Column) -> Column | None:
+        """Whether a variant column's value is of the type, where Spark can tell without calling the test."""
+        return None
+
 
 def _passes(test: Callable[[Any], bool], value: Any) -> bool:
     try:
@@ -104,6 +113,23 @@ def _passes(test: Callable[[Any], bool], value: Any) -> bool:
         return False
 
 
+def variant() -> T.DataType:
+    """Any value that JSON can hold, as a variant: numbers, text, truth values, lists and records, read by paths."""
+    return T.VariantType()
+
+
+#: What the schema of a variant begins with, by the kind of type that its value is of.
+_SCHEMAS = (
+    (T.BooleanType, "BOOLEAN"), (T.IntegralType, "BIGINT"), (T.NumericType, "(BIGINT|DECIMAL|DOUBLE|FLOAT)"), (T.StringType, "STRING"), (T.ArrayType, "ARRAY"), ((T.StructType, T.MapType), "OBJECT"),
+)
+
+
+def variant_is(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a variant's value is of the kind of a type; None if variants have no such kind."""
+    begin = next((b for of, b in _SCHEMAS if isinstance(kind, of)), None)
+    return None if begin is None else F.schema_of_variant(value).rlike(f"^{begin}")
+
+
 def isa(kind: type | str, stored: T.DataType = T.BinaryType()) -> Flex:
     """Values of a class, or of one with that name."""
     named = lambda v: any(c.__name__ == kind for c in type(v).__mro__)
@@ -152,6 +178,15 @@ class _Union(Flex):
     def accepts(self, value: Any, mode: str = "light") -> bool:
         return _passes(self.test, value) or any(check_type(value, s, mode) for s in self.specs)
 
+    def held_by(self, value: Column) -> Column | None:
+        tests = [s.held_by(value) if isinstance(s, Flex) else variant_is(value, s) for s in self.specs]
+        if any(t is None for t in tests):
+            return None
+        out = value.isNull() | F.is_variant_null(value) if self.name.startswith("maybe") else F.lit(False)
+        for t in tests:
+            out = out | t
+        return out
+
 
 def is_flex(spec: Any) -> bool:
     return isinstance(spec, Flex)
@@ -171,16 +206,32 @@ def validate_row(row: dict[str, Any], schema: Returns, mode: str = "light") -> l
 
 def stored_value(value: Any, spec: Flex) -> Any:
     """A value as it is kept."""
+    if value is not None and isinstance(spec.stored, T.VariantType):
+        return as_json(value)
     if value is None or not isinstance(spec.stored, T.BinaryType):
         return value if value is None else lossless(value, spec.stored)
     return pickle.dumps(value)
 
 
+def as_json(value: Any) -> str:
+    """A value as it goes to a variant; a TypeError if JSON cannot hold it."""
+    try:
+        return json.dumps(value, allow_nan=False, default=lambda v: v.item() if hasattr(v, "item") else _no_json(v))
+    except ValueError as e:
+        raise TypeError(str(e)) from None
+
+
+def _no_json(value: Any) -> Any:
+    raise TypeError(f"a variant holds no {type(value).__name__}")
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     """The Arrow type of one of Spark's."""
     simple = {T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.DateType: pa.date32(), T.TimestampType: pa.timestamp("us", tz="UTC")}
     if type(kind) in simple:
         return simple[type(kind)]
+    if isinstance(kind, T.VariantType):
+        return pa.string()
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))
     if isinstance(kind, T.StructType):
@@ -276,6 +327,8 @@ def lossless(value: Any, kind: T.DataType) -> Any:
     become integers that can hold them, numbers and truth values doubles, 0 and 1 truth values; text is text."""
     if value is None:
         return None
+    if isinstance(kind, T.VariantType):
+        return as_json(value)
     if hasattr(value, "item") and not isinstance(value, (bytes, bytearray)):
         value = value.item()
     if type(kind) in _BITS:
@@ -306,6 +359,8 @@ def lossless_column(value: Column, own: T.DataType, kind: T.DataType) -> Column:
     numeric, null = isinstance(own, T.NumericType), F.lit(None).cast(kind)
     if isinstance(own, T.NullType):
         return null
+    if isinstance(kind, T.VariantType):
+        return value if isinstance(own, T.VariantType) else F.to_variant_object(value) if isinstance(own, (T.StructType, T.ArrayType, T.MapType)) else value.cast(kind)
     if type(kind) in _BITS:
         if isinstance(own, (T.BooleanType, T.IntegralType)):
             return value.try_cast(kind)

@@ -246,3 +246,45 @@ def test_plans_of_blocked_stages(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
     rows = explain(f, {"cpus": 2})
     assert [(r["stage"], r["needs"], r["inputs"], r["kind"], r["cpus"], r["cpus_source"]) for r in rows][0] == ("fit", "", "x", "function", 2, "profile")
+
+
+def test_variants_of_both_kinds(spark):
+    """Unions and records as variants, from functions and from columns, with rules on paths."""
+    number_or_text = S.one_of(S.dbl(), S.chr_(), stored=S.variant())
+    some = S.maybe(S.one_of(S.int_(), S.lst(S.int_()), stored=S.variant()))
+    deep = S.ctr_field("d", predicate=lambda v: F.variant_get(v, "$.deep", "int") < 3)
+    made = lambda x: {"u": x + 0.5 if x % 2 else f"t{x}", "m": None if x == 0 else [x, 1], "d": {"deep": x, "more": [x]}}
+    f = flow(numbers(spark, 0, 1, 2, 3), error="keep").stage("f", made, S.returns(u=number_or_text, m=some, d=S.variant(), _contract=(deep,)))
+    f = f.stage("use", lambda f_d, f_u: {"n": len(f_d["more"]) + (1 if isinstance(f_u, str) else 0)}, S.returns(n=S.int_()), needs=("f",))
+    columns = {"u": "if(x % 2 = 1, to_variant_object(array(x)), cast(x as variant))", "m": "to_variant_object(array(cast(x as int)))", "d": "struct(cast(x as int) as deep)"}
+    f = f.stage("c", columns, S.returns(u=number_or_text, m=some, d=S.variant(), _contract=(deep,)))
+    rows = {int(r.x): r for r in f.collect().withColumns({c: F.to_json(F.col(f"`{c}`")) for c in ("f.u", "f.m", "f.d", "c.u", "c.d")}).collect()}
+    assert [rows[x]["f.u"] for x in range(4)] == ['"t0"', "1.5", '"t2"', None]
+    assert [rows[x]["f.m"] for x in range(3)] == [None, "[1,1]", "[2,1]"] and rows[2]["f.d"] == '{"deep":2,"more":[2]}'
+    assert [rows[x]["use.n"] for x in range(3)] == [2, 1, 2]
+    kinds = {x: [(d.stage, d.error_class) for d in rows[x][".diag"]] for x in range(4)}
+    assert kinds[0] == [("f", None), ("c", None), ("use", None)] and kinds[1][1] == ("c", "validation") and kinds[3][0] == ("f", "contract") and kinds[3][1] == ("c", "validation")
+    assert rows[2]["c.u"] == "2" and rows[2]["c.d"] == '{"deep":2}'
+    bad = flow(numbers(spark, 1), error="keep").stage("b", lambda x: {"v": {1, 2}}, S.returns(v=S.variant())).stage("w", lambda x: {"v": float("nan")}, S.returns(v=number_or_text))
+    assert [d.ok for d in bad.collect().first()[".diag"]] == [True, False] and bad.collect().where("`b.v` is null").count() == 1
+    with pytest.raises(ValueError, match="Spark's types only"):
+        flow(numbers(spark, 1)).stage("p", {"v": "1"}, S.returns(v=S.pred(bool)))
+
+
+def test_tests_that_run_out_of_time_end():
+    import threading
+    import time
+
+    beats = []
+
+    def slow(v):
+        while True:
+            beats.append(v)
+            time.sleep(0.01)
+
+    before = threading.active_count()
+    assert not S.pred(slow, timeout=0.1).accepts(1)
+    time.sleep(0.3)
+    count = len(beats)
+    time.sleep(0.2)
+    assert len(beats) == count and threading.active_count() == before
