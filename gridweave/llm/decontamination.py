@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import stored
+from gridweave.llm.shared import drop_stored, stored
 from gridweave.llm.words import Chunk, chunks
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -213,6 +213,7 @@ def _blocks(benchmark: DataFrame, n: int, least: float, block_words: int) -> Ite
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
         yield items_of(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n, least)
+    drop_stored(items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 1_000_000) -> DataFrame:

@@ -275,28 +275,31 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: f
     least = least_matches(limit, tolerance)
     signed = stored(_texts_signed(docs, n), "signatures")
     worded = signed.where(F.col("sig").isNotNull())
-    # The first half of a class's key is its name in graphs.
-    classes = stored(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("copies")), "classes")
+    # Classes have numbers of their own in graphs, which are part of the stored table and so stay what they are.
+    counted = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count_distinct("doc_id").alias("copies"))
+    classes = stored(counted.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    standing = worded.select("doc_id", "k1", "k2", "bands").join(classes.select(F.col("copy_id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    keys = stored(standing.select(F.col("k1").alias("node"), F.explode("bands").alias("key")).distinct(), "bands")
+    standing = worded.select("doc_id", "k1", "k2", "bands").join(classes.select(F.col("copy_id").alias("doc_id"), "k1", "k2", "node"), ["doc_id", "k1", "k2"])
+    keys = stored(standing.select("node", F.explode("bands").alias("key")).distinct(), "bands")
     crowded = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
     placed = keys.join(crowded, "key")
-    sigs = worded.select(F.col("k1").alias("node"), "sig").join(placed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+    crowd = placed.select("node").distinct().join(classes.select("node", "k1", "k2", F.col("copy_id").alias("doc_id")), "node")
+    sigs = worded.select("doc_id", "k1", "k2", "sig").join(crowd, ["doc_id", "k1", "k2"]).groupBy("node").agg(F.min("sig").alias("sig"))
     edges = _candidate_edges(_blocks(placed.join(sigs, "node").select("key", "size", "node", "sig"), "key", "size"), least)
 
     joined = connected_components(edges)
     clusters = stored(joined, "clusters")
     sizes = stored(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    member = clusters.join(sizes, "component").join(classes.select(F.col("k1").alias("node"), "copy_id", "copies"), "node")
+    member = clusters.join(sizes, "component").join(classes.select("node", "k1", "k2", "copy_id", "copies"), "node")
     # A doc_id with several texts brings them all; the one that is the class's is known by its key.
-    texts = docs.select("doc_id", "text").join(member.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("node", "component", "size", "copies", "text")
+    texts = docs.select("doc_id", "text").join(member.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("node", "k1", "k2", "component", "size", "copies", "text")
 
     def with_grams(batches):
         for batch in batches:
             for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
                 count = len(chunk.first) - 1
-                own = np.flatnonzero(sequence_hashes(chunk)[:, 0] == batch["node"].slice(begin, count).to_numpy())
+                named = np.column_stack([batch[c].slice(begin, count).to_numpy() for c in ("k1", "k2")])
+                own = np.flatnonzero((sequence_hashes(chunk) == named).all(axis=1))
                 grams, text = text_grams(chunk, n)
                 have, sig = signatures(grams, text)
                 cut = np.searchsorted(text, np.arange(count + 1))
@@ -317,8 +320,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: f
     totals = found.groupBy("node").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.max("blocks").alias("blocks"))
     wide = found.where((F.col("blocks") > 1) & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
     across = connected_components(wide)
-    labels = totals.join(across, "node", "left").select(F.col("node").alias("k1"), "links", F.coalesce("component", F.when(F.col("blocks") > 1, F.col("node")).otherwise(F.col("root"))).alias("_class"))
-    labelled = stored(classes.join(labels, "k1", "left").withColumn("_class", F.coalesce("_class", "k1")), "labelled")
+    labels = totals.join(across, "node", "left").select("node", "links", F.coalesce("component", F.when(F.col("blocks") > 1, F.col("node")).otherwise(F.col("root"))).alias("_class"))
+    labelled = stored(classes.join(labels, "node", "left").withColumn("_class", F.coalesce("_class", "node")), "labelled")
     least_id = labelled.groupBy("_class").agg(F.min("copy_id").alias("class_id"))
     known = stored(labelled.join(least_id, "_class").select("k1", "k2", "copy_id", "class_id", F.col("_class").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
     for table in (classes, keys, crowded, joined, clusters, sizes, members, found, across, labelled):
