@@ -13,7 +13,7 @@ from gridweave.llm.decontamination import without_contaminated
 from gridweave.llm.mixing import fit_domains, mix_sources
 from gridweave.llm.ngram_join import without_near_duplicates
 from gridweave.llm.queries import MIXTURE, table
-from gridweave.llm.shared import stored, unused
+from gridweave.llm.shared import drop_stored, stored, unused
 from gridweave.llm.token_files import token_files
 from gridweave.llm.tokens import public_path
 from gridweave.llm.toxicity import fit_toxicity, keep_ordinary
@@ -42,7 +42,7 @@ MOST_COPIES = 1000.0
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once and rarer languages more often, so that their expected words meet MIXTURE. Languages
     without labelled documents are left out of the targets; without any, all documents stay as they are, as do rows
-    without a doc_id."""
+    without a doc_id. All rows of a doc_id are repeated as often as the one of them that is to be most often."""
     usable = docs.where(F.col("lang").isin(list(MIXTURE)) & F.char_length("text").between(1, 16384))
     labelled = usable.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     if labelled.isEmpty():
@@ -75,8 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one's result written to the shared folder before the next and deleted once that
+    is written; the last one reads its own files."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            drop_stored(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_stored(docs)
+    return out
