@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.words import CHUNK_BYTES, spans
+from gridweave.llm.words import spans
 
 #: White space other than single spaces between words and runs of newlines.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n ")
@@ -46,8 +46,8 @@ _MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]]
 _ALNUM[[b for b in range(0x80) if chr(b).isalnum()]] = True
 #: Units (or pieces) kept by a worker; longer units are not kept.
 KEEP, LONG = 500_000, 80
-#: Texts are encoded together up to this many characters.
-TOGETHER = 1 << 19
+#: Texts are encoded together up to this many characters, or for ids alone up to this many bytes.
+TOGETHER, TOGETHER_BYTES = 1 << 19, 1 << 22
 #: Bytes of the longest pre-tokens that are handled together with others: of words, and of texts without spaces.
 _NARROW, _WIDE = 48, 240
 #: Pre-tokens of more bytes are searched for tokens as a whole, so many bytes at a time.
@@ -132,7 +132,9 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them, without added special tokens.
 
     Texts are taken apart by :func:`pieces`; of each different piece the library is asked once as long as a worker keeps
-    its ids by the piece's bytes, which it does up to a bound. Texts for a vocabulary of another kind go to the library whole.
+    its ids by the piece's bytes, which it does up to a bound; beyond it those stay that were met again. New pieces that
+    are plainly one pre-token go to the library's model, others through its pre-tokenizer too. Texts for a vocabulary of
+    another kind go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -143,21 +145,57 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.parted = byte_level(self.library)
+        self.model = self.library.model
+        self.shown = {b: c for b, c in enumerate(_byte_characters()) if b != 10}
         self._forget()
 
     def _forget(self) -> None:
-        """Kept pieces: the number of each, and where in ``pool`` the ids of each begin and how many there are."""
+        """Kept pieces: the number of each, where in ``pool`` the ids of each begin, how many there are, and how often the
+        piece was met."""
         self.number: dict[bytes, int] = {}
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, f"<u{self.width}")
 
-    def _keep(self, new: list[bytes]) -> None:
-        got = self.library.encode([piece.decode() for piece in new], is_pretokenized=True, add_special_tokens=False)
-        cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))
-        self.number.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.at = np.concatenate([self.at, cut[:-1] + len(self.pool)])
-        self.size = np.concatenate([self.size, np.diff(cut).astype(np.int32)])
-        self.pool = np.concatenate([self.pool, np.array(got.ids, self.pool.dtype)])
+    def _full(self) -> bool:
+        return len(self.number) > KEEP or len(self.pool) > 16 * KEEP
+
+    def _thin(self) -> None:
+        """Forget pieces that were not met again, and of the others those met least beyond half the bound."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > KEEP // 2:
+            often = np.sort(often[np.argpartition(-self.met[often], KEEP // 2)[: KEEP // 2]])
+        names, at, size, met, pool = list(self.number), self.at[often], self.size[often], self.met[often] // 2, self.pool
+        self._forget()
+        self.number = {names[k]: n for n, k in enumerate(often.tolist())}
+        end = np.cumsum(size, dtype=np.int64)
+        self.at, self.size, self.met = end - size, size, met
+        self.pool = pool[np.repeat(at - self.at, size) + np.arange(int(size.sum()))]
+        if self._full():
+            self._forget()
+
+    def _keep(self, new: list[bytes]) -> list[int]:
+        """Keep the ids of pieces that are not kept so far; the number of each."""
+        own, others = [], []
+        for piece in new:
+            word = piece.decode()
+            (own if _ONE.fullmatch(word) and (word.isascii() or _KNOWN.fullmatch(word)) else others).append(piece)
+        # Newlines are in none of these, so each byte gets its character in all of them at once.
+        shown = b"\n".join(own).decode("latin-1").translate(self.shown)
+        ids, size, tokenize = [], [], self.model.tokenize
+        for word in shown.split("\n") if own else ():
+            found = tokenize(word)
+            size.append(len(found))
+            ids += [t.id for t in found]
+        if others:
+            got = self.library.encode([piece.decode() for piece in others], is_pretokenized=True, add_special_tokens=False)
+            size += np.bincount(np.array(got.word_ids, np.int64), minlength=len(others)).tolist()
+            ids += got.ids
+        self.number.update(zip(own + others, range(len(self.number), len(self.number) + len(new)), strict=True))
+        size = np.array(size, np.int32)
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
+        self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        self.pool = np.concatenate([self.pool, np.array(ids, self.pool.dtype)])
+        return [self.number[piece] for piece in new]
 
     def _together(self, raw: list[bytes]) -> list[bytes]:
         """The ids of some texts without special strings."""
@@ -169,13 +207,13 @@ class Encoder:
         if not len(start):
             return [b""] * len(raw)
         back, different = spans(data, start, end)
-        if len(self.number) > KEEP or len(self.pool) > 16 * KEEP:
-            self._forget()
+        if self._full():
+            self._thin()
         entry = np.fromiter(map(self.number.get, different, repeat(-1)), np.int64, len(different))
         new = np.flatnonzero(entry < 0)
         if len(new):
-            entry[new] = len(self.at) + np.arange(len(new))
-            self._keep([different[k] for k in new])
+            entry[new] = self._keep([different[k] for k in new.tolist()])
+        self.met[entry] += 1
         size = self.size[entry][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.at[entry][back] - total[:-1], size) + np.arange(total[-1])]
@@ -197,7 +235,7 @@ class Encoder:
             text = text or ""
             special = not self.parted or any(s in text for s in self.special)
             raw = b"" if special else text.encode()
-            if part and size + len(raw) > CHUNK_BYTES - 64:
+            if part and size + len(raw) > TOGETHER_BYTES:
                 yield from done()
                 part, size, odd = [], 0, {}
             if special:

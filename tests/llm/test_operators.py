@@ -167,6 +167,45 @@ def test_prefix_counts_and_encoding(data):
         assert np.cumsum(steps, dtype=int).tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
 
 
+def test_encoding_keeps_pieces_met_again(monkeypatch):
+    """Beyond the bound of kept pieces those met again stay; ids are the library's throughout."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEEP", 100)
+    coder, library, asked, most = tokens.Encoder(PATH), Tokenizer.from_file(PATH), collections.Counter(), 0
+    keep = coder._keep
+    monkeypatch.setattr(coder, "_keep", lambda new: asked.update(new) or keep(new))
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "met again, isn't it? déjà  vu " + " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40))
+        (ids,) = coder.encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        most = max(most, len(coder.number))
+    assert asked[b" again"] == asked[" déjà  vu".encode()] == 1 and len(asked) > 2000 and most < 200
+    # More pieces met again than the bound has room for, and one with more ids than all kept ones may have.
+    many = [" ".join(f"{chr(97 + k)}{chr(97 + j)}x" for j in range(26)) for k in range(12)] * 3 + ["ab" * 20_000, *made()[0][1].split("\n")]
+    for text, ids in zip(many, [x for t in many for x in coder.encode([t])], strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_pieces_go_to_the_model():
+    """What is plainly one pre-token passes by the library's pre-tokenizer, which takes most of its time."""
+    from tokenizers import Tokenizer
+
+    coder, library, sent = tokens.Encoder(PATH), Tokenizer.from_file(PATH), []
+
+    class Library:
+        def encode(self, some, **how):
+            sent.extend(some)
+            return library.encode(some, **how)
+
+    coder.library = Library()
+    text = "Plain words, 42 of them; déjà vu (слово) 漢字! But isn't  this\n\n²?"
+    (ids,) = coder.encode([text])
+    assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sent and not {"Plain", " words", ",", " 42", " déjà"}.intersection(sent)
+
+
 def test_prefix_counts_of_long_words():
     """Words far beyond those handled together, with and without special strings, against the library at many prefixes."""
     from tokenizers import Tokenizer
