@@ -47,7 +47,7 @@ _ALNUM[[b for b in range(0x80) if chr(b).isalnum()]] = True
 #: Units (or pieces) kept by a worker; longer units are not kept.
 KEEP, LONG = 500_000, 80
 #: Texts are encoded together up to this many characters, or for ids alone up to this many bytes.
-TOGETHER, TOGETHER_BYTES = 1 << 19, 1 << 22
+TOGETHER, TOGETHER_BYTES = 1 << 19, 1 << 20
 #: Bytes of the longest pre-tokens that are handled together with others: of words, and of texts without spaces.
 _NARROW, _WIDE = 48, 240
 #: Pre-tokens of more bytes are searched for tokens as a whole, so many bytes at a time.
