@@ -11,7 +11,7 @@ documents and nothing else. Rates are never stored between steps: each step comp
 M^-1 e, a few numbers.
 
 Scale: one pass over texts for posteriors and tokens, written to the shared folder; each step is one aggregate over
-that narrow table, combined on the map side.
+that narrow table, summed in each task, with one row of each of them to a last one.
 """
 
 from __future__ import annotations
@@ -137,13 +137,11 @@ def _sums(featured: DataFrame, width: int, history: list[np.ndarray], step: floa
         for batch in batches:
             p, w = _matrix(batch["posteriors"], width), np.asarray(batch["tokens"], np.float64)
             part = (p * (w * _rates(p, history, step, penalty, least))[:, None]).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array(part)], ["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.list_(pa.float64()))], ["parts"])
 
-    rows = featured.select("posteriors", "tokens").mapInArrow(work, "k long, v double").groupBy("k").agg(F.sum("v")).collect()
-    out = np.zeros(width)
-    for k, v in rows:
-        out[k] = v
-    return out
+    # Without a key, so that a step is not dealt out to all shuffle partitions: one row of each task meets the others.
+    parts = featured.select("posteriors", "tokens").mapInArrow(work, "parts array<double>")
+    return np.array([v or 0.0 for v in parts.agg(*[F.sum(F.col("parts")[k]) for k in range(width)]).first()])
 
 
 def mix_sources(

@@ -571,6 +571,28 @@ def test_mixing_against_plain_least_squares(spark):
     assert some.domains == ("aa", "bb", "cc")
 
 
+def test_steps_of_mixing_do_not_go_to_all_shuffle_partitions(spark):
+    """A step sends one row of each task to one last task, however many shuffle partitions there are."""
+    docs = frame(spark, [(k, ["abcd bcde cdef", "wxyz vwxy zyxw"][k % 2] + f" {k}") for k in range(40)])
+    model = mixing.fit_domains(docs, spark.createDataFrame([(k, "ab"[k % 2]) for k in range(40)], "doc_id long, domain string"))
+    width, before = len(model.domains), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    featured = docs.select("text").mapInPandas(lambda parts: (d.assign(posteriors=[[0.25, 0.75]] * len(d), tokens=3)[["posteriors", "tokens"]] for d in parts), "posteriors array<double>, tokens long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("one step of mixing", "")
+        sums = mixing._sums(featured, width, [], 1.0, 1e-3, 0.0)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert np.allclose(sums, [30.0, 90.0])
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("one step of mixing") for s in status.getJobInfo(j).stageIds}
+    assert 0 < sum(status.getStageInfo(s).numTasks for s in stages) <= 2 * docs.rdd.getNumPartitions() + 1
+    assert not mixing._sums(featured.limit(0), width, [], 1.0, 1e-3, 0.0).any()
+
+
 def test_html_text(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now this thing</div>'
