@@ -13,7 +13,7 @@ from gridweave.llm.decontamination import without_contaminated
 from gridweave.llm.mixing import fit_domains, mix_sources
 from gridweave.llm.ngram_join import without_near_duplicates
 from gridweave.llm.queries import MIXTURE, table
-from gridweave.llm.shared import drop_stored, stored, unused
+from gridweave.llm.shared import drop_stored, small_batches, stored, unused
 from gridweave.llm.token_files import token_files
 from gridweave.llm.tokens import public_path
 from gridweave.llm.toxicity import fit_toxicity, keep_ordinary
@@ -21,17 +21,20 @@ from gridweave.llm.toxicity import fit_toxicity, keep_ordinary
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
+    small_batches(spark)
     return keep_ordinary(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest doc_id. Rows without words or without a doc_id
     have no near duplicates; of the former each doc_id and text stays once, of the latter every row."""
+    small_batches(spark)
     return without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that aligns with a benchmark item."""
+    small_batches(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,6 +46,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document at least once and rarer languages more often, so that their expected words meet MIXTURE. Languages
     without labelled documents are left out of the targets; without any, all documents stay as they are, as do rows
     without a doc_id. All rows of a doc_id are repeated as often as the one of them that is to be most often."""
+    small_batches(spark)
     usable = docs.where(F.col("lang").isin(list(MIXTURE)) & F.char_length("text").between(1, 16384))
     labelled = usable.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     if labelled.isEmpty():
@@ -59,6 +63,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document as read back from the files."""
+    small_batches(spark)
     return token_files(docs, public_path("byte_bpe_50k.json"), end_id=2)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import drop_stored, stored
+from gridweave.llm.shared import drop_stored, stored, values
 from gridweave.llm.words import Chunk, chunks
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -181,8 +181,8 @@ def matches(chunk: Chunk, items: Items, least: float) -> list[tuple[int, int, fl
     return [(t, i, score, seeds, b, e) for (t, i), (score, seeds, b, e) in sorted(out.items())]
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [(t or "").lower() for t in batch["text"].to_pylist()]
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    return ((t or "").lower() for t in values(batch["text"]))
 
 
 def _found(docs: DataFrame, items: Items, least: float) -> DataFrame:
@@ -239,10 +239,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, leas
     def filtered(rows: DataFrame, block: Items) -> DataFrame:
         def work(batches):
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
                 for begin, chunk in chunks(_texts(batch), bare=True):
-                    keep[[begin + row[0] for row in matches(chunk, block, least)]] = False
-                yield batch.filter(pa.array(keep))
+                    keep = np.ones(len(chunk.first) - 1, bool)
+                    keep[[row[0] for row in matches(chunk, block, least)]] = False
+                    yield batch.slice(begin, len(keep)).filter(pa.array(keep))
 
         return rows.mapInArrow(work, rows.schema)
 

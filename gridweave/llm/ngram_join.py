@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.components import connected_components
-from gridweave.llm.shared import drop_stored, stored, unused
+from gridweave.llm.shared import drop_stored, stored, unused, values
 from gridweave.llm.words import Chunk, chunks, hashes, mix
 
 BANDS, ROWS = 27, 4
@@ -172,7 +172,7 @@ def _blocks(df: DataFrame, group: str, size: str) -> DataFrame:
 def _texts_signed(docs: DataFrame, n: int) -> DataFrame:
     def work(batches):
         for batch in batches:
-            for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
+            for begin, chunk in chunks((t or "").lower() for t in values(batch["text"])):
                 count = len(chunk.first) - 1
                 keys = _keys(chunk)
                 have, sig = signatures(*text_grams(chunk, n))
@@ -296,7 +296,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: f
 
     def with_grams(batches):
         for batch in batches:
-            for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
+            for begin, chunk in chunks((t or "").lower() for t in values(batch["text"])):
                 count = len(chunk.first) - 1
                 named = np.column_stack([batch[c].slice(begin, count).to_numpy() for c in ("k1", "k2")])
                 own = np.flatnonzero((sequence_hashes(chunk) == named).all(axis=1))
@@ -342,7 +342,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8)
 
     def keyed(batches):
         for batch in batches:
-            for begin, chunk in chunks([(t or "").lower() for t in batch["text"].to_pylist()]):
+            for begin, chunk in chunks((t or "").lower() for t in values(batch["text"])):
                 part = batch.slice(begin, len(chunk.first) - 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, *_keys(chunk)], [*part.schema.names, k1, k2])
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,30 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes that Spark gathers for a Python worker at once where the session does not say, and rows that a worker takes from that.
+BATCH_BYTES, SOME_ROWS = 4 << 20, 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of about BATCH_BYTES between Spark and Python workers from now on, if the session has no bound of its own:
+    an executor holds several of them, both in the JVM and in each worker, and Spark's own bound is far larger."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch, some rows at a time; one without rows gives none."""
+    for at in range(0, batch.num_rows, SOME_ROWS):
+        yield batch.slice(at, SOME_ROWS)
+
+
+def values(column: pa.Array) -> Iterator:
+    """The column's values, made some at a time."""
+    for at in range(0, len(column), SOME_ROWS):
+        yield from column.slice(at, SOME_ROWS).to_pylist()
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names with as many underscores before them as make them none of the columns'."""
     taken = {c.lower() for c in columns}

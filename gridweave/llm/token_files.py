@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import shared_dir
+from gridweave.llm.shared import shared_dir, values
 from gridweave.llm.tokens import encoder
 
 MAGIC = b"IDS1"
@@ -49,7 +49,7 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = 2000, longest: in
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(encoder(path).encode(batch["text"].to_pylist())), pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(encoder(path).encode(values(batch["text"]))), pa.binary())], ["ids"])
 
     picked = short.where(F.col("_order") <= order[-1]).dropDuplicates(["_order"])
     samples = sorted(bytes(r[0]) for r in picked.select("text").mapInArrow(work, "ids binary").collect())
@@ -103,7 +103,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 2) -
     of a hash of their texts, so that very many of them are spread over tasks. Each document is held whole; a task holds one shard."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, path)
-    spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, content binary").write.mode("overwrite").parquet(f"{out}/dictionary")
+    # As literals: rows of a Python list would start a second daemon with workers of its own on each executor.
+    spark.range(1).select(F.lit(hashlib.sha256(dictionary).hexdigest()).alias("sha256"), F.lit(dictionary).alias("content")).write.mode("overwrite").parquet(f"{out}/dictionary")
 
     def work(batches):
         coder, pack, part = encoder(path), _packer(dictionary), TaskContext.get().partitionId()
@@ -116,7 +117,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int | None = 2) -
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(),) * 7 + (pa.binary(),), strict=True)], names=["part", "number", "before", "n_docs", "n_tokens", "first_id", "last_id", "shard"]), tokens
 
         for batch in batches:
-            for name, got in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].to_pylist()), strict=True):
+            for name, got in zip(values(batch["doc_id"]), coder.encode(values(batch["text"])), strict=True):
                 ids.append(got + end)
                 names.append(name)
                 size += len(got)

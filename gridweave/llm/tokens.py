@@ -16,7 +16,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -44,8 +44,8 @@ _BLANK_BYTE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _GAP[[0x20, 0x0A]] = True
 _MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
 _ALNUM[[b for b in range(0x80) if chr(b).isalnum()]] = True
-#: Units (or pieces) kept by a worker; longer units are not kept.
-KEEP, LONG = 500_000, 80
+#: Pieces kept by an encoder; units kept by a counter of prefixes, where longer ones are not kept.
+KEEP, UNITS, LONG = 300_000, 500_000, 80
 #: Texts are encoded together up to this many characters, or for ids alone up to this many bytes.
 TOGETHER, TOGETHER_BYTES = 1 << 19, 1 << 20
 #: Bytes of the longest pre-tokens that are handled together with others: of words, and of texts without spaces.
@@ -223,7 +223,7 @@ class Encoder:
     def _apart(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.pool.dtype).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids (null: none) as little-endian integers of ``width`` bytes."""
         part, size, odd = [], 0, {}
 
@@ -333,7 +333,7 @@ class PrefixCounter:
 
     def _may_follow(self, a: str, b: str) -> bool:
         if (got := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > KEEP:
+            if len(self.pairs) > UNITS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self._follows(a, b)
         return got
@@ -384,7 +384,7 @@ class PrefixCounter:
             back = max(0, begin - self.widest)
             ends, sizes, numbers = self._ending(data[back : begin + _STRETCH])
             own = ends + back > begin
-            if len(met) > 4 * KEEP:
+            if len(met) > 4 * UNITS:
                 met.clear()
             done = begin
             for end, size, k in zip((ends[own] + back).tolist(), sizes[own].tolist(), numbers[own].tolist(), strict=True):
@@ -477,7 +477,7 @@ class PrefixCounter:
         """Counts of ``head`` with the beginnings of a special string, short of the whole."""
         if (got := self.begun.get((head, special))) is None:
             got = [len(self.library.encode(head + special[:k], add_special_tokens=False).ids) for k in range(1, len(special))]
-            if len(head) <= LONG and len(self.begun) < KEEP // 16:
+            if len(head) <= LONG and len(self.begun) < UNITS // 16:
                 self.begun[head, special] = got
         return got
 
@@ -501,7 +501,7 @@ class PrefixCounter:
     def steps(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text an int8 for each code point: by how much the count of the prefix that ends there differs from the one before."""
         for part in grouped(texts):
-            if len(self.kept) > KEEP:
+            if len(self.kept) > UNITS:
                 self.kept.clear()
             kept, late = self.kept, {}
             new = {unit: atoms(unit, self.special) for unit in set().union(*part).difference(kept)}

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.shared import parts
+
 WINDOW = 4
 #: Bytes saved from which a window counts, one share each.
 THRESHOLDS = (2, 3, 4, 5, 7)
@@ -210,6 +212,7 @@ def keep_ordinary(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def work(batches):
         scores = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([s < 0.5 for s in scores(batch["text"].to_pylist())], pa.bool_()))
+            for part in parts(batch):
+                yield part.filter(pa.array([s < 0.5 for s in scores(part["text"].to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

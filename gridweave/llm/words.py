@@ -7,7 +7,7 @@ longer ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -100,7 +100,7 @@ class Chunk:
         return value, at
 
 
-def chunks(texts: list[str | None], bare: bool = False) -> Iterator[tuple[int, Chunk]]:
+def chunks(texts: Iterable[str | None], bare: bool = False) -> Iterator[tuple[int, Chunk]]:
     """Chunks over the texts (null: empty) in order, with the place of each chunk's first text."""
     begin, size, part = 0, 0, []
     for text in texts:

@@ -5,11 +5,12 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridweave.llm import mixing, toxicity
+from gridweave.llm import mixing, shared, token_files, toxicity
 from gridweave.llm.queries import MIXTURE, table
 from gridweave.llm.shared import stored
 from gridweave.llm.tokens import public_path
@@ -145,3 +146,43 @@ def test_stages_take_clashing_columns_and_long_texts(spark):
         assert out.columns == wide.columns and out.where("doc_id = 900000").count() >= 1
         assert {r.k1 for r in out.select("k1").collect()} == {"k1"}
     assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == 22
+
+
+def test_workers_get_small_batches(spark):
+    """Every stage bounds what a worker gets at once, and a bound of the session's own stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.get_total_buffer_size()], pa.int64())], ["bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    own = spark.newSession()
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(bound)
+            stage(spark, table(spark, SF, "documents"), SF)
+            assert int(spark.conf.get(bound)) == shared.BATCH_BYTES
+        got = [r[0] for r in docs.select("text").mapInArrow(sizes, "bytes long").collect()]
+        assert len(got) > 2 and max(got) < 3 * shared.BATCH_BYTES
+        own.conf.set(bound, "1000000")
+        shared.small_batches(own)
+        assert own.conf.get(bound) == "1000000"
+    finally:
+        spark.conf.unset(bound)
+
+
+def test_filters_return_some_rows_at_a_time():
+    """What a filter keeps goes back in parts, and texts are made in parts."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([None, "a b"] * 500)], ["doc_id", "text"])
+    got = list(shared.parts(batch))
+    assert max(p.num_rows for p in got) == shared.SOME_ROWS and pa.Table.from_batches(got).to_pylist() == batch.to_pylist()
+    assert list(shared.values(batch["text"])) == batch["text"].to_pylist()
+    assert list(shared.parts(batch.slice(0, 0))) == [] == list(shared.values(batch["text"].slice(0, 0)))
+
+
+def test_token_files_need_no_rows_of_python_lists(spark, monkeypatch):
+    """Such rows start a second daemon with workers of its own on each executor."""
+    docs = table(spark, SF, "documents").limit(20)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows of a Python list"))
+    assert token_files.token_files(docs, public_path("byte_bpe_50k.json")).count() == 20
